@@ -7,3 +7,12 @@ from vintagekit.plans import studio
 QUERIES = {
     "tie_aware_deciles": studio.tie_aware_deciles,
 }
+
+for _name in """scan_account_month dim_enrich data_window exclusion_set tier_accounts available_cohorts
+score_availability cohort_bulk cohort_point_in_time cohort_month portfolio_snapshot portfolio_closest_score
+benchmark_snapshot snapshot_diagnostics snapshot_summary score_status invalid_scores funnel read_funnel
+board_reconciliation quantile_deciles overall_summary segment_tables rank_diagnostics d1_d10_lift reversals
+kpi_strip verdict gains_curve read_comparison month_stats benchmark_summary lift_comparison grouped_rank_order
+activation_base activation_by_month activation_curve activation_histogram activation_table activation_by_score
+account_payload decile_export dataset_diagnostics""".split():
+    QUERIES[_name] = getattr(studio, _name)

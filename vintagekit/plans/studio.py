@@ -68,3 +68,389 @@ def tie_aware_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: cohort (all board months, all reads in one pass) -> tie-aware deciles per read."""
     s = inputs(spark, sf_dir)
     return finish(R.tie_aware_deciles(s.cohort_pairs(), ["read_key"], k=s.cfg.n_deciles))
+
+
+# ----------------------------------------------------------------------------
+# sources, window, account sets
+# ----------------------------------------------------------------------------
+
+def scan_account_month(spark, sf_dir):
+    """SRC1: the account-month fact (adapter A)."""
+    prepare(spark)
+    return TD.account_month_fact(spark, sf_dir)
+
+
+def dim_enrich(spark, sf_dir):
+    """J1 + J2: fact with channel and the month-end scorecard identifier."""
+    prepare(spark)
+    fact = TD.account_month_fact(spark, sf_dir)
+    return P.dim_enrich(fact, TD.product_dimension(spark, sf_dir), TD.month_end_info(spark, sf_dir))
+
+
+def data_window(spark, sf_dir):
+    prepare(spark)
+    return P.data_window(TD.account_month_fact(spark, sf_dir), CFG)
+
+
+def exclusion_set(spark, sf_dir):
+    return inputs(spark, sf_dir).excluded
+
+
+def tier_accounts(spark, sf_dir):
+    prepare(spark)
+    return P.tier_accounts(TD.account_month_fact(spark, sf_dir), CFG)
+
+
+def _bounds(s: StudyInputs):
+    from vintagekit.functions.dates import month_end_of
+    return month_end_of(s.window_start), month_end_of(s.window_end)
+
+
+def available_cohorts(spark, sf_dir):
+    """Boarded cohorts by (vintage, program, channel) with maturity counts."""
+    s = inputs(spark, sf_dir)
+    lo, hi = _bounds(s)
+    br = P.boards(s.fact, s.cfg, lo, hi, s.products)
+    mob = (s.fact.filter(F.col("cardid").isNotNull()).join(br.select(P.ACCT), P.ACCT, "left_semi")
+           .groupBy(P.ACCT).agg(F.max("monthsonbooks").alias("max_mob_observed")))
+    j = br.join(mob, P.ACCT, "left")
+    m = F.coalesce(F.col("max_mob_observed"), F.lit(-1))
+    return finish(j.groupBy("vintage", "program_code", "channel").agg(
+        F.count(F.lit(1)).alias("accounts"), F.min("opendate").alias("min_opendate"),
+        F.max("opendate").alias("max_opendate"), F.avg("creditline").alias("avg_creditline"),
+        F.sum((m >= 4).cast("long")).alias("matured_mob4"), F.sum((m >= 6).cast("long")).alias("matured_mob6"),
+        F.max("max_mob_observed").alias("max_mob_observed")))
+
+
+def score_availability(spark, sf_dir):
+    """P5: for every cohort, accounts with a row / a score / a valid score by MOB 1..max."""
+    from vintagekit.config import SCORE_AVAILABILITY_MAX_MOB
+    s = inputs(spark, sf_dir)
+    lo, hi = _bounds(s)
+    br = P.boards(s.fact, s.cfg, lo, hi, None).select("vintage", P.ACCT)
+    rows = s.fact.filter(F.col("cardid").isNotNull() & F.col("monthsonbooks").between(1, SCORE_AVAILABILITY_MAX_MOB)) \
+        .select(P.ACCT, "monthsonbooks", "bhvr_score")
+    j = br.join(rows, P.ACCT, "left")
+    acct = F.col(P.ACCT)
+    g = j.groupBy("vintage", F.col("monthsonbooks").alias("score_mob")).agg(
+        F.countDistinct(acct).alias("boarded_accounts_with_row"),
+        F.countDistinct(F.when(F.col("bhvr_score").isNotNull(), acct)).alias("accounts_with_score"),
+        F.countDistinct(F.when(P.valid_score(s.cfg), acct)).alias("accounts_with_valid_score"),
+        F.min("bhvr_score").alias("min_score"), F.max("bhvr_score").alias("max_score"))
+    return finish(g.withColumn("valid_score_rate_among_rows",
+                               R.safe_div("accounts_with_valid_score", "boarded_accounts_with_row")))
+
+
+# ----------------------------------------------------------------------------
+# cohort and snapshots
+# ----------------------------------------------------------------------------
+
+def cohort_bulk(spark, sf_dir):
+    """Cohort rows (account x read) for every board month in one pass."""
+    return finish(inputs(spark, sf_dir).cohort())
+
+
+def cohort_point_in_time(spark, sf_dir):
+    """Cohort in point-in-time mode."""
+    return finish(inputs(spark, sf_dir).cohort(mode="point_in_time"))
+
+
+def cohort_month(spark, sf_dir):
+    """One board month (the first), score and performance rows without date bounds."""
+    s = inputs(spark, sf_dir)
+    return finish(P.cohort_month(s.fact, s.cfg, s.window_start, s.products))
+
+
+def _portfolio(s: StudyInputs, **kw):
+    allowed = P.tier_accounts(s.fact, s.cfg)
+    return P.portfolio_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded, allowed=allowed, **kw)
+
+
+def portfolio_snapshot(spark, sf_dir):
+    """Eligible, valid-score subject snapshot rows per read."""
+    return finish(_portfolio(inputs(spark, sf_dir)))
+
+
+def portfolio_closest_score(spark, sf_dir):
+    """P12 + J5: snapshot with the closest valid score in each read's window."""
+    s = inputs(spark, sf_dir)
+    return finish(P.portfolio_closest_score(s.fact, s.cfg, s.products))
+
+
+def benchmark_snapshot(spark, sf_dir):
+    """Benchmark population with credit-line groups."""
+    s = inputs(spark, sf_dir)
+    return finish(P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded))
+
+
+def _diag_rows(s: StudyInputs):
+    snap = P.snapshot_rows(s.fact, s.cfg, s.cfg.snapshot_month, s.products)
+    perf = P.forward_perf(snap, s.fact, s.cfg, s.cfg.snapshot_month)
+    return P._stack_reads(snap.join(perf, P.ACCT, "left"), s.cfg, list(snap.columns))
+
+
+def snapshot_diagnostics(spark, sf_dir):
+    """By (read, board month, source, program, channel) before score/eligibility filters."""
+    s = inputs(spark, sf_dir)
+    d = _diag_rows(s)
+    valid = P.valid_score(s.cfg)
+    elig = (F.coalesce(F.col("has_horizon"), F.lit(0)) == 1) | (F.coalesce(F.col("chargeoff"), F.lit(0)) == 1)
+    keys = ["read_key", "board_month", "snapshot_population_source", "program_code", "channel"]
+    return finish(d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("active_or_new_snapshot_accounts"),
+        F.sum((F.col("activeaccountindicator") == 1).cast("long")).alias("active_snapshot_accounts"),
+        F.sum((F.col("newaccountindicator") == 1).cast("long")).alias("new_board_snapshot_accounts"),
+        F.sum(F.col("bhvr_score").isNotNull().cast("long")).alias("accounts_with_score"),
+        F.sum(F.coalesce(valid, F.lit(False)).cast("long")).alias("accounts_with_valid_score"),
+        F.sum(elig.cast("long")).alias("eligible_accounts"),
+        F.sum(F.coalesce(valid & elig, F.lit(False)).cast("long")).alias("eligible_valid_score_accounts"),
+        F.sum(F.coalesce(valid & elig & (F.coalesce(F.col("target"), F.lit(0)) == 1), F.lit(False)).cast("long"))
+        .alias("bads_valid_score"),
+        F.avg(F.when(valid, F.col("bhvr_score").cast("double"))).alias("avg_valid_score")))
+
+
+def snapshot_summary(spark, sf_dir):
+    """Diagnostics re-aggregated by board month with three rates."""
+    d = snapshot_diagnostics(spark, sf_dir)
+    sums = ["active_or_new_snapshot_accounts", "active_snapshot_accounts", "new_board_snapshot_accounts",
+            "accounts_with_score", "accounts_with_valid_score", "eligible_accounts",
+            "eligible_valid_score_accounts", "bads_valid_score"]
+    g = d.groupBy("read_key", "board_month").agg(*[F.sum(c).alias(c) for c in sums])
+    return finish(g.withColumn("valid_score_rate", R.safe_div("accounts_with_valid_score", "active_or_new_snapshot_accounts"))
+                  .withColumn("eligible_valid_score_rate",
+                              R.safe_div("eligible_valid_score_accounts", "active_or_new_snapshot_accounts"))
+                  .withColumn("bad_rate_valid_score", R.safe_div("bads_valid_score", "eligible_valid_score_accounts")))
+
+
+def _status_rows(s: StudyInputs):
+    return P.snapshot_rows(s.fact, s.cfg, s.cfg.snapshot_month, s.products, variant="score_card")
+
+
+def score_status(spark, sf_dir):
+    """P16 + F8: snapshot score status counts with min/max/avg score."""
+    s = inputs(spark, sf_dir)
+    d = _status_rows(s).withColumn("snapshot_score_status", P.score_status(s.cfg))
+    keys = ["board_month", "snapshot_population_source", "program_code", "channel", "snapshot_score_status"]
+    return finish(d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("accounts"), F.min("bhvr_score").alias("min_snapshot_score"),
+        F.max("bhvr_score").alias("max_snapshot_score"),
+        F.avg(F.col("bhvr_score").cast("double")).alias("avg_snapshot_score")))
+
+
+def invalid_scores(spark, sf_dir):
+    """Frequencies of invalid snapshot score values."""
+    s = inputs(spark, sf_dir)
+    d = _status_rows(s).filter(~F.coalesce(P.valid_score(s.cfg), F.lit(False)))
+    keys = ["board_month", "snapshot_population_source", "program_code", "channel",
+            F.col("bhvr_score").alias("snapshot_bhvr_score")]
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("accounts"))
+
+
+def funnel(spark, sf_dir):
+    """Five parallel step counts at the snapshot in one scan."""
+    from vintagekit.functions.dates import month_end_of
+    s = inputs(spark, sf_dir)
+    obs = month_end_of(s.cfg.snapshot_month)
+    f = s.fact.filter((F.col("reportingdate") == F.lit(obs)) & F.col("cardid").isNotNull() & P.program_filter(s.cfg))
+    an = P.active_or_new()
+    c = lambda e: F.sum(F.coalesce(e, F.lit(False)).cast("long"))
+    return f.agg(F.count(F.lit(1)).alias("step1_rows_at_snapshot"), c(an).alias("step2_active_or_new"),
+                 c(an & (F.col("creditline") == F.lit(s.cfg.creditline_tier))).alias("step3_snapshot_cl_tier"),
+                 c(an & P.valid_score(s.cfg)).alias("step4_valid_score"),
+                 c(an & (F.col("dimbucketid") <= 29)).alias("step5_current_or_30dpd"))
+
+
+def read_funnel(spark, sf_dir):
+    """Per read - pulled, not excluded, and boarded at the tier."""
+    s = inputs(spark, sf_dir)
+    pulled = P.portfolio_snapshot(s.fact, s.cfg, s.products)
+    ex = s.excluded.withColumn("_x", F.lit(1))
+    tier = P.tier_accounts(s.fact, s.cfg).withColumn("_t", F.lit(1))
+    j = pulled.join(ex, P.ACCT, "left").join(tier, P.ACCT, "left")
+    kept = F.col("_x").isNull()
+    return j.groupBy("read_key").agg(
+        F.count(F.lit(1)).alias("pulled"), F.sum(kept.cast("long")).alias("not_excluded"),
+        F.sum((kept & F.col("_t").isNotNull()).cast("long")).alias("at_tier"))
+
+
+def board_reconciliation(spark, sf_dir):
+    """P20: distinct boards by board month (any line / at tier) and a TOTAL row
+    that adds the months."""
+    s = inputs(spark, sf_dir)
+    lo, hi = _bounds(s)
+    f = s.fact.filter(F.col("cardid").isNotNull() & (F.col("newaccountindicator") == 1) & P.program_filter(s.cfg)
+                      & (F.col("reportingdate") >= F.lit(lo)) & (F.col("reportingdate") <= F.lit(hi)))
+    acct = F.col(P.ACCT)
+    g = f.groupBy(F.date_format(F.trunc("opendate", "month"), "yyyy-MM").alias("board_month")).agg(
+        F.countDistinct(acct).alias("boards_any_cl"),
+        F.countDistinct(F.when(F.col("creditline") == F.lit(s.cfg.creditline_tier), acct)).alias("boards_at_tier"),
+        F.avg("creditline").alias("avg_creditline"))
+    total = g.agg(F.lit("TOTAL").alias("board_month"), F.sum("boards_any_cl").alias("boards_any_cl"),
+                  F.sum("boards_at_tier").alias("boards_at_tier"),
+                  F.lit(None).cast("double").alias("avg_creditline"))
+    out = g.unionByName(total)
+    return finish(out.withColumn("tier_share", R.safe_div("boards_at_tier", "boards_any_cl")))
+
+
+# ----------------------------------------------------------------------------
+# rank-order analytics on the cohort
+# ----------------------------------------------------------------------------
+
+def quantile_deciles(spark, sf_dir):
+    return finish(R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+
+
+def overall_summary(spark, sf_dir):
+    s = inputs(spark, sf_dir)
+    cohort = s.cohort()
+    return finish(R.overall_summary(cohort, R.eligible_pairs(cohort, s.cfg), ["read_key"]))
+
+
+def segment_tables(spark, sf_dir):
+    return finish(R.segment_tables(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+
+
+def rank_diagnostics(spark, sf_dir):
+    dec = R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
+    return finish(R.rank_diagnostics(dec, ["read_key"]))
+
+
+def d1_d10_lift(spark, sf_dir):
+    dec = R.tie_aware_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
+    return finish(R.d1_d10_lift(dec, ["read_key"]))
+
+
+def reversals(spark, sf_dir):
+    dec = R.tie_aware_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
+    return R.reversals(dec, ["read_key"])
+
+
+def kpi_strip(spark, sf_dir):
+    return finish(R.kpi_strip(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+
+
+def verdict(spark, sf_dir):
+    return R.verdict(inputs(spark, sf_dir).cohort_pairs(), [])
+
+
+def gains_curve(spark, sf_dir):
+    dec = R.tie_aware_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
+    return finish(R.gains_curve(dec, ["read_key"]))
+
+
+def read_comparison(spark, sf_dir):
+    return finish(R.read_comparison(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+
+
+def month_stats(spark, sf_dir):
+    return finish(R.month_stats(inputs(spark, sf_dir).cohort_pairs(), "vintage", ["read_key"]))
+
+
+def _snapshot_pairs(s: StudyInputs) -> DataFrame:
+    """Subject portfolio and benchmark groups as one population-labelled frame."""
+    port = _portfolio(s).withColumn("population", F.lit("subject"))
+    bench = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded) \
+        .withColumn("population", F.col("benchmark_group"))
+    cols = ["population", "read_key", P.ACCT, "bhvr_score", "metric_eligible", "target", "creditline"]
+    return R.eligible_pairs(port.select(*cols).unionByName(bench.select(*cols)), s.cfg)
+
+
+def benchmark_summary(spark, sf_dir):
+    """KPI strip per population (subject portfolio and benchmark groups) and read."""
+    s = inputs(spark, sf_dir)
+    return finish(R.kpi_strip(_snapshot_pairs(s), ["population", "read_key"]))
+
+
+def lift_comparison(spark, sf_dir):
+    """Lift-normalised decile comparison across populations."""
+    s = inputs(spark, sf_dir)
+    return finish(R.lift_comparison(_snapshot_pairs(s), ["population", "read_key"]))
+
+
+def grouped_rank_order(spark, sf_dir):
+    """Quantile deciles per benchmark credit-line group and read."""
+    s = inputs(spark, sf_dir)
+    bench = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded)
+    return finish(R.quantile_deciles(R.eligible_pairs(bench, s.cfg), ["benchmark_group", "read_key"]))
+
+
+# ----------------------------------------------------------------------------
+# activation
+# ----------------------------------------------------------------------------
+
+def _activation(s: StudyInputs):
+    from vintagekit.operators import activation as A
+    return A.activation_base(s.fact, s.cfg, s.window_start, s.window_end, s.excluded)
+
+
+def activation_base(spark, sf_dir):
+    return _activation(inputs(spark, sf_dir))
+
+
+def activation_by_month(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    return finish(A.activation_by_month(_activation(inputs(spark, sf_dir))))
+
+
+def activation_curve(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    return finish(A.activation_curve(_activation(inputs(spark, sf_dir))))
+
+
+def activation_histogram(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    return A.activation_histogram(_activation(inputs(spark, sf_dir)))
+
+
+def activation_table(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    return finish(A.activation_table(_activation(inputs(spark, sf_dir))))
+
+
+def activation_by_score(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    s = inputs(spark, sf_dir)
+    scores = A.first_score_per_account(s.cohort(), s.cfg.reads[0].key)
+    return finish(A.activation_by_score(_activation(s), scores))
+
+
+# ----------------------------------------------------------------------------
+# payload and exports
+# ----------------------------------------------------------------------------
+
+def _payload(s: StudyInputs) -> DataFrame:
+    from vintagekit.operators import payload as PL
+    reads = s.cfg.reads
+    cohort = PL.with_dataset(PL.account_frame(s.cohort(), reads, "vintage", s.cfg),
+                             "cohort-subject", "Cohort", "subject")
+    port = PL.with_dataset(PL.account_frame(_portfolio(s), reads, "board_month", s.cfg),
+                           "port-subject", "Total Portfolio", "subject")
+    bench_long = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded)
+    bench = PL.account_frame(bench_long, reads, "board_month", s.cfg, keys=["benchmark_group"])
+    bench = PL.with_dataset(bench, F.concat(F.lit("port-"), F.col("benchmark_group")), "Total Portfolio",
+                            F.col("benchmark_group")).drop("benchmark_group")
+    return cohort.unionByName(port).unionByName(bench)
+
+
+def account_payload(spark, sf_dir):
+    """SNK6: one row per (dataset, account) with e_<read>/b_<read> flags."""
+    return finish(_payload(inputs(spark, sf_dir)))
+
+
+def decile_export(spark, sf_dir):
+    """SNK7: tie-aware deciles per (dataset, read) over the payload."""
+    from vintagekit.operators import payload as PL
+    s = inputs(spark, sf_dir)
+    long = PL.payload_long(_payload(s), s.cfg.reads).filter(F.col("eligible") == 1)
+    return finish(R.tie_aware_deciles(long, ["dataset_id", "read_key"], score="score", bad="bad"))
+
+
+def dataset_diagnostics(spark, sf_dir):
+    """SNK8: expected datasets left-joined to payload counts."""
+    from vintagekit.operators import payload as PL
+    s = inputs(spark, sf_dir)
+    groups = ["Group 1 - Credit Line >= $5,000", "Group 2 - $5,000 > Credit Line >= $3,000",
+              "Group 3 - Credit Line < $3,000", "Group Unknown Credit Line"]
+    ids = ["cohort-subject", "port-subject"] + [f"port-{g}" for g in groups]
+    expected = spark.createDataFrame([(i,) for i in ids], "dataset_id string")
+    return PL.dataset_diagnostics(_payload(s), expected)
