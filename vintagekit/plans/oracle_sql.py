@@ -188,11 +188,11 @@ def cohort_union(cfg: StudyConfig = CFG, boards: str = "boards") -> str:
     return "\nUNION ALL\n".join(sel)
 
 
-def cohort_ctes(cfg: StudyConfig = CFG, exclude: bool = True) -> str:
+def cohort_ctes(cfg: StudyConfig = CFG, exclude: bool = True, mode: str = "ever") -> str:
     """CTEs up to ``cohort`` (valid score, exclusions applied) and ``pairs`` (eligible)."""
     excl = "AND creditaccountid NOT IN (SELECT creditaccountid FROM excl)" if exclude else ""
     return ("WITH " + FACT + "," + window_cte(cfg) + "," + boards_cte(cfg) + "," + score_cte(cfg) + ","
-            + cohort_perf_ctes(cfg) + f""",
+            + cohort_perf_ctes(cfg, mode=mode) + f""",
 cohort_all AS ({cohort_union(cfg)}
 ),
 cohort AS (
@@ -259,3 +259,644 @@ def register(name: str, sql: str, doubles: list[str] | None = None) -> None:
 register("tie_aware_deciles",
          cohort_ctes() + "," + deciles_sql("pairs", ["read_key"]) + "\nSELECT * FROM deciles_full",
          DECILE_DOUBLES)
+
+
+# ----------------------------------------------------------------------------
+# study: sources, window, sets
+# ----------------------------------------------------------------------------
+
+BASE = "WITH " + FACT + "," + window_cte()
+
+register("scan_account_month", BASE + "\nSELECT * FROM fact")
+
+register("dim_enrich", BASE + """,
+mefi AS (
+  SELECT l_orderkey * 10 + l_linenumber AS cardid, last_day(CAST(l_shipdate AS DATE)) AS reportingdate,
+         'SC' || CAST(min(l_suppkey) % 4 AS VARCHAR) AS behaviorscorecardidentifier
+  FROM lineitem GROUP BY 1, 2
+)
+SELECT f.*, p.channel, m.behaviorscorecardidentifier
+FROM fact f LEFT JOIN products p ON f.dimproductofferedid = p.dimproductofferedid
+LEFT JOIN mefi m ON f.cardid = m.cardid AND f.reportingdate = m.reportingdate""")
+
+register("data_window", BASE + """
+SELECT first_board_month, latest_reporting_date, latest_data_month, board_months, portfolio_snapshot_month FROM win""")
+
+register("exclusion_set", BASE + "\nSELECT * FROM excl")
+
+TIER = f"""
+tier AS (
+  SELECT DISTINCT creditaccountid FROM fact
+  WHERE cardid IS NOT NULL AND newaccountindicator = 1 AND substr(reservationnumber, 1, 4) IN ({_codes()})
+    AND creditline = {CFG.creditline_tier}
+)"""
+
+register("tier_accounts", BASE + "," + TIER + "\nSELECT * FROM tier")
+
+register("available_cohorts", BASE + "," + boards_cte() + """,
+mob AS (
+  SELECT b.creditaccountid, max(p.monthsonbooks) AS max_mob_observed
+  FROM boards b LEFT JOIN fact p ON b.creditaccountid = p.creditaccountid AND p.cardid IS NOT NULL
+  GROUP BY b.creditaccountid
+)
+SELECT b.vintage, b.program_code, b.channel, count(*) AS accounts, min(b.opendate) AS min_opendate,
+       max(b.opendate) AS max_opendate, avg(b.creditline) AS avg_creditline,
+       CAST(sum(CASE WHEN coalesce(m.max_mob_observed, -1) >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS matured_mob4,
+       CAST(sum(CASE WHEN coalesce(m.max_mob_observed, -1) >= 6 THEN 1 ELSE 0 END) AS BIGINT) AS matured_mob6,
+       max(m.max_mob_observed) AS max_mob_observed
+FROM boards b LEFT JOIN mob m ON b.creditaccountid = m.creditaccountid
+GROUP BY b.vintage, b.program_code, b.channel""", ["avg_creditline"])
+
+register("score_availability", BASE + "," + boards_cte() + f"""
+SELECT b.vintage, s.monthsonbooks AS score_mob,
+  count(DISTINCT b.creditaccountid) AS boarded_accounts_with_row,
+  count(DISTINCT CASE WHEN s.bhvr_score IS NOT NULL THEN b.creditaccountid END) AS accounts_with_score,
+  count(DISTINCT CASE WHEN s.bhvr_score BETWEEN {CFG.valid_min} AND {CFG.valid_max} THEN b.creditaccountid END)
+    AS accounts_with_valid_score,
+  min(s.bhvr_score) AS min_score, max(s.bhvr_score) AS max_score,
+  count(DISTINCT CASE WHEN s.bhvr_score BETWEEN {CFG.valid_min} AND {CFG.valid_max} THEN b.creditaccountid END)
+    / count(DISTINCT b.creditaccountid) AS valid_score_rate_among_rows
+FROM boards b LEFT JOIN fact s ON b.creditaccountid = s.creditaccountid AND s.cardid IS NOT NULL
+  AND s.monthsonbooks BETWEEN 1 AND 8
+GROUP BY b.vintage, s.monthsonbooks""", ["valid_score_rate_among_rows"])
+
+# ----------------------------------------------------------------------------
+# study: cohorts and snapshots
+# ----------------------------------------------------------------------------
+
+COHORT_DOUBLES = ["creditline"]
+register("cohort_bulk", cohort_ctes() + "\nSELECT * FROM cohort", COHORT_DOUBLES)
+register("cohort_point_in_time", cohort_ctes(mode="point_in_time") + "\nSELECT * FROM cohort", COHORT_DOUBLES)
+
+register("cohort_month", "WITH " + FACT + "," + window_cte()
+         + "," + boards_cte(start="win.start_eom", end="win.start_eom") + "," + score_cte(bounded=False) + ","
+         + cohort_perf_ctes(bounded=False) + f""",
+cohort_all AS ({cohort_union()})
+SELECT *, 'ever' AS performance_mode, CAST(NULL AS INTEGER) AS configured_score_mob FROM cohort_all
+WHERE bhvr_score BETWEEN {CFG.valid_min} AND {CFG.valid_max}""", COHORT_DOUBLES)
+
+
+def _month_end(d: dt.date, add: int = 0) -> dt.date:
+    m = d.year * 12 + (d.month - 1) + add + 1
+    return dt.date(m // 12, m % 12 + 1, 1) - dt.timedelta(days=1)
+
+
+def _perf_bounds(horizon: int, cfg: StudyConfig = CFG):
+    snap = cfg.snapshot_month
+    if cfg.m1_inclusive:
+        return _month_end(snap), _month_end(snap, horizon - 1)
+    return _month_end(snap, 1), _month_end(snap, horizon)
+
+
+OBS = _d(_month_end(CFG.snapshot_month))
+VALID = f"BETWEEN {CFG.valid_min} AND {CFG.valid_max}"
+VALID_CASE = f"CASE WHEN a.bhvr_score {VALID} THEN 0 ELSE 1 END"
+BLANK_CASE = "CASE WHEN a.esc IS NULL OR trim(a.esc) = '' THEN 0 ELSE 1 END"
+CARD_ORDER = "a.cardid DESC, a.card_part DESC, a.card_supp DESC"
+
+
+def snap_cte(name: str = "snap", variant: str = "score_status_card") -> str:
+    order = []
+    if variant in ("score_status_card", "score_card"):
+        order.append(VALID_CASE)
+    if variant == "score_status_card":
+        order.append(BLANK_CASE)
+    order.append(CARD_ORDER)
+    return f"""
+{name}_raw AS (
+  SELECT date_trunc('month', a.reportingdate)::DATE AS vintage, a.reportingdate AS snapshot_reportingdate,
+    a.opendate, date_trunc('month', a.opendate)::DATE AS board_month, a.creditaccountid,
+    a.cardid AS snapshot_cardid, a.activeaccountindicator, a.newaccountindicator,
+    CASE WHEN a.activeaccountindicator = 1 THEN 'active' WHEN a.newaccountindicator = 1 THEN 'new_board'
+         ELSE 'other' END AS snapshot_population_source,
+    a.reservationnumber, substr(a.reservationnumber, 1, 4) AS program_code,
+    substr(a.reservationnumber, 1, 6) AS campaign_code, p.channel, a.creditline,
+    a.dimbucketid AS bucket_at_snapshot, a.bhvr_score, a.esc, a.scorecard,
+    row_number() OVER (PARTITION BY a.creditaccountid ORDER BY {', '.join(order)}) AS rn
+  FROM fact a LEFT JOIN products p ON a.dimproductofferedid = p.dimproductofferedid
+  WHERE a.reportingdate = {OBS} AND a.cardid IS NOT NULL
+    AND (a.activeaccountindicator = 1 OR a.newaccountindicator = 1)
+    AND substr(a.reservationnumber, 1, 4) IN ({_codes()})
+),
+{name} AS (SELECT * EXCLUDE (rn) FROM {name}_raw WHERE rn = 1)"""
+
+
+def fperf_ctes(src: str, prefix: str) -> str:
+    parts = []
+    for r in CFG.reads:
+        s, e = _perf_bounds(r.horizon)
+        parts.append(f"""
+{prefix}_{r.key} AS (
+  SELECT p.creditaccountid, max(p.monthsonbooks) AS max_mob_observed, max(p.dimbucketid) AS max_bucket,
+    max(CASE WHEN p.chargeoffindicator = 1 THEN 1 ELSE 0 END) AS chargeoff,
+    max(CASE WHEN p.chargeoffindicator = 1 AND p.dimstatusreasonid NOT IN ({_ids()}) THEN 1 ELSE 0 END)
+      AS contractual_chargeoff,
+    max(CASE WHEN p.reportingdate = {_d(e)} THEN 1 ELSE 0 END) AS has_horizon,
+    max(CASE WHEN p.dimbucketid >= {r.bucket} OR p.chargeoffindicator = 1 THEN 1 ELSE 0 END) AS target
+  FROM fact p JOIN {src} s ON p.creditaccountid = s.creditaccountid
+  WHERE p.reportingdate >= {_d(s)} AND p.reportingdate <= {_d(e)} AND p.cardid IS NOT NULL
+    AND (p.activeaccountindicator = 1 OR p.chargeoffindicator = 1)
+  GROUP BY p.creditaccountid
+)""")
+    return ",".join(parts)
+
+
+def long_union(src: str, prefix: str, name: str) -> str:
+    sel = []
+    for r in CFG.reads:
+        sel.append(f"""
+  SELECT s.*, '{r.key}' AS read_key, {r.bucket} AS target_bucket, {r.horizon} AS horizon,
+    f.max_mob_observed, f.max_bucket, f.chargeoff, f.contractual_chargeoff, f.has_horizon, f.target,
+    CASE WHEN coalesce(f.has_horizon, 0) = 1 OR coalesce(f.chargeoff, 0) = 1 THEN 1 ELSE 0 END AS metric_eligible
+  FROM {src} s LEFT JOIN {prefix}_{r.key} f ON s.creditaccountid = f.creditaccountid""")
+    return f"{name} AS (" + "\nUNION ALL\n".join(sel) + "\n)"
+
+
+PORT = BASE + "," + TIER + "," + snap_cte() + "," + fperf_ctes("snap", "fp") + "," + long_union("snap", "fp", "snap_long") + f""",
+port AS (
+  SELECT * RENAME (has_horizon AS has_horizon_snapshot) FROM snap_long
+  WHERE creditaccountid NOT IN (SELECT creditaccountid FROM excl)
+    AND creditaccountid IN (SELECT creditaccountid FROM tier)
+    AND bhvr_score {VALID} AND metric_eligible = 1
+)"""
+register("portfolio_snapshot", PORT + "\nSELECT * FROM port", ["creditline"])
+
+
+def _closest_ctes() -> str:
+    parts = []
+    for r in CFG.reads:
+        _, e = _perf_bounds(r.horizon)
+        parts.append(f"""
+cs_{r.key} AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT a.creditaccountid, s.reportingdate AS score_reportingdate, s.monthsonbooks AS score_mob,
+      s.cardid AS score_cardid, CAST(date_diff('day', {OBS}, s.reportingdate) AS INTEGER) AS days_from_snapshot,
+      s.bhvr_score, s.esc, s.scorecard,
+      row_number() OVER (PARTITION BY a.creditaccountid ORDER BY abs(date_diff('day', {OBS}, s.reportingdate)),
+        s.reportingdate, s.cardid DESC, s.card_part DESC, s.card_supp DESC) AS rn
+    FROM snapc a JOIN fact s ON a.creditaccountid = s.creditaccountid AND s.cardid IS NOT NULL
+     AND s.reportingdate >= {OBS} AND s.reportingdate <= {_d(e)} AND s.bhvr_score {VALID}
+  ) WHERE rn = 1
+)""")
+    return ",".join(parts)
+
+
+def _closest_union() -> str:
+    sel = []
+    for r in CFG.reads:
+        sel.append(f"""
+  SELECT l.* RENAME (has_horizon AS has_horizon_snapshot), c.score_reportingdate, c.score_mob, c.score_cardid,
+         c.days_from_snapshot, c.bhvr_score, c.esc, c.scorecard
+  FROM snapc_long l LEFT JOIN cs_{r.key} c ON l.creditaccountid = c.creditaccountid
+  WHERE l.read_key = '{r.key}'""")
+    return "\nUNION ALL\n".join(sel)
+
+
+register("portfolio_closest_score", BASE + "," + snap_cte("snapc0", "card") + """,
+snapc AS (SELECT * EXCLUDE (bhvr_score, esc, scorecard) FROM snapc0),""" + fperf_ctes("snapc", "fpc") + ","
+         + long_union("snapc", "fpc", "snapc_long") + "," + _closest_ctes() + "\n" + _closest_union(),
+         ["creditline"])
+
+GROUP_CASE = """CASE WHEN creditline >= 5000 THEN 'Group 1 - Credit Line >= $5,000'
+       WHEN creditline < 5000 AND creditline >= 3000 THEN 'Group 2 - $5,000 > Credit Line >= $3,000'
+       WHEN creditline < 3000 THEN 'Group 3 - Credit Line < $3,000'
+       ELSE 'Group Unknown Credit Line' END"""
+
+BENCH_CTES = f"""
+bsnap_raw AS (
+  SELECT date_trunc('month', a.reportingdate)::DATE AS vintage, a.reportingdate AS snapshot_reportingdate,
+    a.opendate, date_trunc('month', a.opendate)::DATE AS board_month, a.creditaccountid,
+    a.cardid AS snapshot_cardid, a.reservationnumber, substr(a.reservationnumber, 1, 4) AS program_code,
+    p.channel, a.creditline, a.vantage3, a.dimbucketid AS bucket_at_snapshot, a.bhvr_score, a.esc, a.scorecard,
+    row_number() OVER (PARTITION BY a.creditaccountid ORDER BY {VALID_CASE}, {CARD_ORDER}) AS rn
+  FROM fact a LEFT JOIN products p ON a.dimproductofferedid = p.dimproductofferedid
+  WHERE a.reportingdate = {OBS} AND a.cardid IS NOT NULL AND a.activeaccountindicator = 1
+    AND a.dimbucketid <= {CFG.benchmark_bucket_max} AND a.vantage3 >= {CFG.benchmark_vantage_min}
+    AND (a.reservationnumber IS NULL OR substr(a.reservationnumber, 1, 4) NOT IN ({_codes()}))
+    AND (a.esc IS NULL OR trim(a.esc) = '')
+),
+bsnap AS (SELECT * EXCLUDE (rn) FROM bsnap_raw WHERE rn = 1),""" + fperf_ctes("bsnap", "fb") + "," + long_union("bsnap", "fb", "bsnap_long") + f""",
+bench AS (
+  SELECT * EXCLUDE (has_horizon, target, metric_eligible), coalesce(target, 0) AS target, 1 AS metric_eligible,
+         {GROUP_CASE} AS benchmark_group
+  FROM bsnap_long WHERE creditaccountid NOT IN (SELECT creditaccountid FROM excl)
+)"""
+BENCH = BASE + "," + BENCH_CTES
+register("benchmark_snapshot", BENCH + "\nSELECT * FROM bench", ["creditline"])
+
+DIAG = BASE + "," + snap_cte() + "," + fperf_ctes("snap", "fp") + "," + long_union("snap", "fp", "snap_long")
+register("snapshot_diagnostics", DIAG + f"""
+SELECT read_key, board_month, snapshot_population_source, program_code, channel,
+  count(*) AS active_or_new_snapshot_accounts,
+  CAST(sum(CASE WHEN activeaccountindicator = 1 THEN 1 ELSE 0 END) AS BIGINT) AS active_snapshot_accounts,
+  CAST(sum(CASE WHEN newaccountindicator = 1 THEN 1 ELSE 0 END) AS BIGINT) AS new_board_snapshot_accounts,
+  CAST(sum(CASE WHEN bhvr_score IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS accounts_with_score,
+  CAST(sum(CASE WHEN bhvr_score {VALID} THEN 1 ELSE 0 END) AS BIGINT) AS accounts_with_valid_score,
+  CAST(sum(metric_eligible) AS BIGINT) AS eligible_accounts,
+  CAST(sum(CASE WHEN bhvr_score {VALID} AND metric_eligible = 1 THEN 1 ELSE 0 END) AS BIGINT)
+    AS eligible_valid_score_accounts,
+  CAST(sum(CASE WHEN bhvr_score {VALID} AND metric_eligible = 1 AND coalesce(target, 0) = 1 THEN 1 ELSE 0 END)
+    AS BIGINT) AS bads_valid_score,
+  avg(CASE WHEN bhvr_score {VALID} THEN CAST(bhvr_score AS DOUBLE) END) AS avg_valid_score
+FROM snap_long GROUP BY ALL""", ["avg_valid_score"])
+
+register("snapshot_summary", DIAG + f""",
+d AS (
+  SELECT read_key, board_month, count(*) AS a, sum(CASE WHEN activeaccountindicator = 1 THEN 1 ELSE 0 END) AS b,
+    sum(CASE WHEN newaccountindicator = 1 THEN 1 ELSE 0 END) AS c,
+    sum(CASE WHEN bhvr_score IS NOT NULL THEN 1 ELSE 0 END) AS d,
+    sum(CASE WHEN bhvr_score {VALID} THEN 1 ELSE 0 END) AS e, sum(metric_eligible) AS f,
+    sum(CASE WHEN bhvr_score {VALID} AND metric_eligible = 1 THEN 1 ELSE 0 END) AS g,
+    sum(CASE WHEN bhvr_score {VALID} AND metric_eligible = 1 AND coalesce(target, 0) = 1 THEN 1 ELSE 0 END) AS h
+  FROM snap_long GROUP BY ALL
+)
+SELECT read_key, board_month, CAST(a AS BIGINT) AS active_or_new_snapshot_accounts,
+  CAST(b AS BIGINT) AS active_snapshot_accounts, CAST(c AS BIGINT) AS new_board_snapshot_accounts,
+  CAST(d AS BIGINT) AS accounts_with_score, CAST(e AS BIGINT) AS accounts_with_valid_score,
+  CAST(f AS BIGINT) AS eligible_accounts, CAST(g AS BIGINT) AS eligible_valid_score_accounts,
+  CAST(h AS BIGINT) AS bads_valid_score,
+  CASE WHEN a = 0 THEN NULL ELSE e / a END AS valid_score_rate,
+  CASE WHEN a = 0 THEN NULL ELSE g / a END AS eligible_valid_score_rate,
+  CASE WHEN g = 0 THEN NULL ELSE h / g END AS bad_rate_valid_score
+FROM d""", ["valid_score_rate", "eligible_valid_score_rate", "bad_rate_valid_score"])
+
+STATUS = BASE + "," + snap_cte("ssnap", "score_card")
+register("score_status", STATUS + f"""
+SELECT board_month, snapshot_population_source, program_code, channel,
+  CASE WHEN bhvr_score {VALID} THEN 'valid_{CFG.valid_min}_{CFG.valid_max}'
+       WHEN bhvr_score IS NULL THEN 'missing_score'
+       WHEN bhvr_score < {CFG.valid_min} THEN 'below_{CFG.valid_min}_exception'
+       WHEN bhvr_score > {CFG.valid_max} THEN 'above_{CFG.valid_max}_exception' ELSE 'other_invalid' END
+    AS snapshot_score_status,
+  count(*) AS accounts, min(bhvr_score) AS min_snapshot_score, max(bhvr_score) AS max_snapshot_score,
+  avg(CAST(bhvr_score AS DOUBLE)) AS avg_snapshot_score
+FROM ssnap GROUP BY ALL""", ["avg_snapshot_score"])
+
+register("invalid_scores", STATUS + f"""
+SELECT board_month, snapshot_population_source, program_code, channel, bhvr_score AS snapshot_bhvr_score,
+       count(*) AS accounts
+FROM ssnap WHERE bhvr_score IS NULL OR bhvr_score < {CFG.valid_min} OR bhvr_score > {CFG.valid_max}
+GROUP BY ALL""")
+
+register("funnel", BASE + f"""
+SELECT count(*) AS step1_rows_at_snapshot,
+  CAST(sum(CASE WHEN activeaccountindicator = 1 OR newaccountindicator = 1 THEN 1 ELSE 0 END) AS BIGINT)
+    AS step2_active_or_new,
+  CAST(sum(CASE WHEN (activeaccountindicator = 1 OR newaccountindicator = 1) AND creditline = {CFG.creditline_tier}
+    THEN 1 ELSE 0 END) AS BIGINT) AS step3_snapshot_cl_tier,
+  CAST(sum(CASE WHEN (activeaccountindicator = 1 OR newaccountindicator = 1) AND bhvr_score {VALID}
+    THEN 1 ELSE 0 END) AS BIGINT) AS step4_valid_score,
+  CAST(sum(CASE WHEN (activeaccountindicator = 1 OR newaccountindicator = 1) AND dimbucketid <= 29
+    THEN 1 ELSE 0 END) AS BIGINT) AS step5_current_or_30dpd
+FROM fact WHERE reportingdate = {OBS} AND cardid IS NOT NULL AND substr(reservationnumber, 1, 4) IN ({_codes()})""")
+
+register("read_funnel", BASE + "," + TIER + "," + snap_cte() + "," + fperf_ctes("snap", "fp") + ","
+         + long_union("snap", "fp", "snap_long") + f"""
+SELECT read_key, count(*) AS pulled,
+  CAST(sum(CASE WHEN creditaccountid NOT IN (SELECT creditaccountid FROM excl) THEN 1 ELSE 0 END) AS BIGINT)
+    AS not_excluded,
+  CAST(sum(CASE WHEN creditaccountid NOT IN (SELECT creditaccountid FROM excl)
+                 AND creditaccountid IN (SELECT creditaccountid FROM tier) THEN 1 ELSE 0 END) AS BIGINT) AS at_tier
+FROM snap_long WHERE bhvr_score {VALID} AND metric_eligible = 1 GROUP BY read_key""")
+
+register("board_reconciliation", BASE + f""",
+g AS (
+  SELECT strftime(date_trunc('month', a.opendate), '%Y-%m') AS board_month,
+    count(DISTINCT a.creditaccountid) AS boards_any_cl,
+    count(DISTINCT CASE WHEN a.creditline = {CFG.creditline_tier} THEN a.creditaccountid END) AS boards_at_tier,
+    avg(a.creditline) AS avg_creditline
+  FROM fact a, win
+  WHERE a.cardid IS NOT NULL AND a.newaccountindicator = 1 AND substr(a.reservationnumber, 1, 4) IN ({_codes()})
+    AND a.reportingdate >= win.start_eom AND a.reportingdate <= win.end_eom
+  GROUP BY 1
+),
+u AS (
+  SELECT * FROM g
+  UNION ALL
+  SELECT 'TOTAL', CAST(sum(boards_any_cl) AS BIGINT), CAST(sum(boards_at_tier) AS BIGINT), CAST(NULL AS DOUBLE) FROM g
+)
+SELECT *, CASE WHEN boards_any_cl = 0 THEN NULL ELSE boards_at_tier / boards_any_cl END AS tier_share FROM u""",
+         ["avg_creditline", "tier_share"])
+
+# ----------------------------------------------------------------------------
+# study: rank-order analytics
+# ----------------------------------------------------------------------------
+
+
+def quantile_sql(src: str, groups: list[str], k: int = 10, score: str = "bhvr_score") -> str:
+    g = ", ".join(groups)
+    cases = " ".join(
+        f"WHEN {kk} THEN quantile_cont({score}, [{', '.join(repr(i / kk) for i in range(kk + 1))}])"
+        for kk in range(2, k + 1))
+    on = " AND ".join(f"p.{c} = q.{c}" for c in groups)
+    return f"""
+qk AS (SELECT {g}, least(count(DISTINCT {score}), {k}) AS k FROM {src} GROUP BY {g}),
+qe AS (
+  SELECT {', '.join('p.' + c for c in groups)}, any_value(q.k) AS k,
+         list_sort(list_distinct(CASE any_value(q.k) {cases} END)) AS edges
+  FROM {src} p JOIN qk q ON {on} GROUP BY {', '.join('p.' + c for c in groups)}
+),
+qb AS (
+  SELECT p.*, CAST(CASE WHEN q.k <= 1 THEN 1
+    ELSE greatest(len(list_filter(q.edges, lambda e: e < p.{score})) - 1, 0) + 1 END AS INTEGER) AS score_decile
+  FROM {src} p JOIN qe q ON {on}
+),
+qd AS (
+  SELECT {g}, score_decile, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bads, min({score}) AS score_min,
+         max({score}) AS score_max, avg({score}) AS score_mean, median({score}) AS score_median
+  FROM qb GROUP BY ALL
+),
+qdec AS (
+  SELECT *, n - bads AS goods, bads / n AS bad_rate,
+    CASE WHEN sum(bads) OVER (PARTITION BY {g}) = 0 THEN NULL
+         ELSE (bads / n) / (sum(bads) OVER (PARTITION BY {g}) / sum(n) OVER (PARTITION BY {g})) END AS lift_vs_overall,
+    n / sum(n) OVER (PARTITION BY {g}) AS pct_population,
+    CAST(sum(n) OVER (PARTITION BY {g} ORDER BY score_decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      AS BIGINT) AS cum_n_low_to_high,
+    CAST(sum(bads) OVER (PARTITION BY {g} ORDER BY score_decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      AS BIGINT) AS cum_bads_low_to_high,
+    CAST(count(*) OVER (PARTITION BY {g}) AS INTEGER) AS actual_deciles, {k} AS requested_deciles
+  FROM qd
+),
+qfull AS (SELECT *, cum_bads_low_to_high / cum_n_low_to_high AS cum_bad_rate_low_to_high FROM qdec)"""
+
+
+QDOUBLES = ["score_mean", "score_median", "bad_rate", "lift_vs_overall", "pct_population",
+            "cum_bad_rate_low_to_high"]
+COH = cohort_ctes()
+register("quantile_deciles", COH + "," + quantile_sql("pairs", ["read_key"]) + "\nSELECT * FROM qfull", QDOUBLES)
+
+register("overall_summary", COH + """,
+t AS (SELECT read_key, count(*) AS total_scored_rows FROM cohort GROUP BY read_key),
+e AS (SELECT read_key, count(*) AS eligible_rows, CAST(sum(bad) AS BIGINT) AS bads, min(bhvr_score) AS score_min,
+             max(bhvr_score) AS score_max, avg(bhvr_score) AS score_mean FROM pairs GROUP BY read_key)
+SELECT t.read_key, t.total_scored_rows, coalesce(e.eligible_rows, 0) AS eligible_rows, coalesce(e.bads, 0) AS bads,
+       e.score_min, e.score_max, e.score_mean,
+       CASE WHEN coalesce(e.eligible_rows, 0) = 0 THEN NULL ELSE coalesce(e.bads, 0) / e.eligible_rows END AS rate
+FROM t LEFT JOIN e ON t.read_key = e.read_key""", ["score_mean", "rate"])
+
+register("segment_tables", COH + """
+SELECT read_key, 'program_code' AS segment, program_code AS value, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bads,
+       avg(bhvr_score) AS score_mean, CAST(sum(bad) AS BIGINT) / count(*) AS bad_rate
+FROM pairs GROUP BY read_key, program_code
+UNION ALL
+SELECT read_key, 'channel', channel, count(*), CAST(sum(bad) AS BIGINT), avg(bhvr_score),
+       CAST(sum(bad) AS BIGINT) / count(*)
+FROM pairs GROUP BY read_key, channel""", ["score_mean", "bad_rate"])
+
+register("rank_diagnostics", COH + "," + quantile_sql("pairs", ["read_key"]) + """,
+rk AS (
+  SELECT read_key, score_decile, bad_rate,
+    rank() OVER (PARTITION BY read_key ORDER BY score_decile)
+      + (count(*) OVER (PARTITION BY read_key, score_decile) - 1) / 2.0 AS r1,
+    rank() OVER (PARTITION BY read_key ORDER BY bad_rate)
+      + (count(*) OVER (PARTITION BY read_key, bad_rate) - 1) / 2.0 AS r2,
+    CASE WHEN bad_rate > lag(bad_rate) OVER (PARTITION BY read_key ORDER BY score_decile) THEN 1 ELSE 0 END AS up
+  FROM qfull
+),
+g AS (SELECT read_key, corr(r1, r2) AS sp, CAST(sum(up) AS INTEGER) AS v, count(*) AS n FROM rk GROUP BY read_key)
+SELECT read_key, CASE WHEN n >= 2 THEN sp END AS spearman_decile_bad_rate,
+       CASE WHEN n >= 2 THEN v END AS monotonic_violations,
+       CASE WHEN n < 2 THEN 'Not enough deciles' WHEN v = 0 AND sp < 0 THEN 'Pass'
+            ELSE 'Review rank-order bumps' END AS note
+FROM g""", ["spearman_decile_bad_rate"])
+
+DEC = COH + "," + deciles_sql("pairs", ["read_key"])
+LIFT_LABEL = """CASE WHEN {x} IS NULL THEN 'insufficient' WHEN {x} >= 2.0 THEN 'clean rank-order'
+       WHEN {x} >= 1.5 THEN 'weak rank-order' ELSE 'not separating' END"""
+
+
+def lift_sql(src: str, groups: list[str]) -> str:
+    g = ", ".join(groups)
+    return f"""
+lf0 AS (
+  SELECT {g}, arg_min(bad_rate, decile) AS d1_bad_rate, arg_max(bad_rate, decile) AS d10_bad_rate,
+         count(*) AS deciles_present
+  FROM {src} GROUP BY {g}
+),
+lf AS (
+  SELECT *, CASE WHEN d10_bad_rate IS NULL OR d10_bad_rate = 0 OR d1_bad_rate IS NULL THEN NULL
+                 ELSE d1_bad_rate / d10_bad_rate END AS d1_d10_lift
+  FROM lf0
+),
+lift AS (SELECT *, {LIFT_LABEL.format(x='d1_d10_lift')} AS lift_label FROM lf)"""
+
+
+def rev_sql(src: str, groups: list[str], eps: str = "0.0") -> str:
+    g = ", ".join(groups)
+    return f"""
+rv0 AS (
+  SELECT {g}, CASE WHEN bad_rate > lag(bad_rate) OVER (PARTITION BY {g} ORDER BY decile) + {eps} THEN 1 ELSE 0 END
+         AS up FROM {src}
+),
+rev AS (SELECT {g}, CAST(coalesce(sum(up), 0) AS INTEGER) AS reversals FROM rv0 GROUP BY {g})"""
+
+
+def stats_sql(src: str, groups: list[str], with_line: bool = True) -> str:
+    g = ", ".join(groups)
+    line = ", avg(creditline) AS avg_creditline" if with_line else ""
+    return f"""
+st AS (
+  SELECT {g}, count(*) AS eligible, CAST(sum(bad) AS BIGINT) AS bads, avg(bhvr_score) AS avg_score{line},
+         CAST(sum(bad) AS BIGINT) / count(*) AS edr
+  FROM {src} GROUP BY {g}
+)"""
+
+
+LIFT_DOUBLES = ["d1_bad_rate", "d10_bad_rate", "d1_d10_lift"]
+register("d1_d10_lift", DEC + "," + lift_sql("deciles_full", ["read_key"]) + "\nSELECT * FROM lift", LIFT_DOUBLES)
+register("reversals", DEC + "," + rev_sql("deciles_full", ["read_key"]) + "\nSELECT * FROM rev")
+register("kpi_strip", DEC + "," + lift_sql("deciles_full", ["read_key"]) + "," + stats_sql("pairs", ["read_key"]) + """
+SELECT st.*, lift.d1_d10_lift, lift.lift_label FROM st LEFT JOIN lift ON st.read_key = lift.read_key""",
+         ["avg_score", "avg_creditline", "edr", "d1_d10_lift"])
+
+RC = (DEC + "," + lift_sql("deciles_full", ["read_key"]) + "," + rev_sql("deciles_full", ["read_key"], "1e-9") + ","
+      + stats_sql("pairs", ["read_key"], False) + """,
+rc AS (
+  SELECT st.read_key, st.eligible, st.bads, st.edr, lift.d1_bad_rate, lift.d10_bad_rate, lift.d1_d10_lift,
+         lift.lift_label, rev.reversals
+  FROM st LEFT JOIN lift ON st.read_key = lift.read_key LEFT JOIN rev ON st.read_key = rev.read_key
+)""")
+register("read_comparison", RC + "\nSELECT * FROM rc", ["edr"] + LIFT_DOUBLES)
+register("verdict", RC + f"""
+SELECT max(CASE WHEN eligible < 200 THEN 1 ELSE 0 END) AS any_thin,
+       max(CASE WHEN eligible >= 200 AND lift_label = 'clean rank-order' THEN 1 ELSE 0 END) AS any_clean,
+       max(CASE WHEN eligible >= 200 AND lift_label = 'not separating' THEN 1 ELSE 0 END) AS any_bad,
+       count(*) AS reads,
+       CASE WHEN max(CASE WHEN eligible >= 200 AND lift_label = 'not separating' THEN 1 ELSE 0 END) = 1 THEN 'bad'
+            WHEN max(CASE WHEN eligible >= 200 AND lift_label = 'clean rank-order' THEN 1 ELSE 0 END) = 0
+              OR max(CASE WHEN eligible < 200 THEN 1 ELSE 0 END) = 1 THEN 'warn' ELSE 'good' END AS verdict
+FROM rc""")
+
+register("gains_curve", DEC + """
+SELECT read_key, decile AS point, cum_n / sum(n) OVER (PARTITION BY read_key) AS cum_pop_share, cum_bad_share
+FROM deciles_full
+UNION ALL
+SELECT DISTINCT read_key, 0, 0.0, 0.0 FROM deciles_full""", ["cum_pop_share", "cum_bad_share"])
+
+
+register("month_stats", COH + "," + deciles_sql("pairs", ["read_key", "vintage"]) + ","
+         + lift_sql("deciles_full", ["read_key", "vintage"]) + """
+SELECT p.read_key, p.vintage, count(*) AS n, CAST(sum(p.bad) AS BIGINT) AS bads, avg(p.bhvr_score) AS avg_score,
+       CAST(sum(p.bad) AS BIGINT) / count(*) AS bad_rate, any_value(l.d1_d10_lift) AS d1_d10_lift
+FROM pairs p LEFT JOIN lift l ON p.read_key = l.read_key AND p.vintage = l.vintage
+GROUP BY p.read_key, p.vintage""", ["avg_score", "bad_rate", "d1_d10_lift"])
+
+SNAPPAIRS = (PORT + "," + BENCH_CTES + f""",
+spairs AS (
+  SELECT 'subject' AS population, read_key, creditaccountid, bhvr_score, metric_eligible, target, creditline,
+         CAST(coalesce(target, 0) AS INTEGER) AS bad FROM port
+  UNION ALL
+  SELECT benchmark_group, read_key, creditaccountid, bhvr_score, metric_eligible, target, creditline,
+         CAST(coalesce(target, 0) AS INTEGER) FROM bench
+  WHERE metric_eligible = 1 AND bhvr_score {VALID}
+)""")
+register("benchmark_summary", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + ","
+         + lift_sql("deciles_full", ["population", "read_key"]) + "," + stats_sql("spairs", ["population", "read_key"]) + """
+SELECT st.*, lift.d1_d10_lift, lift.lift_label FROM st LEFT JOIN lift
+  ON st.population = lift.population AND st.read_key = lift.read_key""",
+         ["avg_score", "avg_creditline", "edr", "d1_d10_lift"])
+
+register("lift_comparison", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + """
+SELECT population, read_key, arg_min(lift_vs_overall, decile) AS d1_lift, arg_max(lift_vs_overall, decile) AS d10_lift,
+       arg_min(lift_vs_overall, decile) - arg_max(lift_vs_overall, decile) AS lift_spread
+FROM deciles_full GROUP BY population, read_key""", ["d1_lift", "d10_lift", "lift_spread"])
+
+register("grouped_rank_order", BENCH + f""",
+bpairs AS (SELECT *, CAST(coalesce(target, 0) AS INTEGER) AS bad FROM bench
+           WHERE metric_eligible = 1 AND bhvr_score {VALID}),""" + quantile_sql("bpairs", ["benchmark_group", "read_key"])
+         + "\nSELECT * FROM qfull", QDOUBLES)
+
+# ----------------------------------------------------------------------------
+# study: activation
+# ----------------------------------------------------------------------------
+
+ACT_CTES = f"""
+act_b_raw AS (
+  SELECT a.creditaccountid, date_trunc('month', a.opendate)::DATE AS board_month,
+         row_number() OVER (PARTITION BY a.creditaccountid ORDER BY a.reportingdate, {CARD_ORDER}) AS rn
+  FROM fact a, win
+  WHERE a.reportingdate >= win.start_eom AND a.reportingdate <= win.end_eom AND a.cardid IS NOT NULL
+    AND a.newaccountindicator = 1 AND substr(a.reservationnumber, 1, 4) IN ({_codes()})
+    AND a.creditline = {CFG.creditline_tier}
+),
+act_b AS (SELECT creditaccountid, board_month FROM act_b_raw WHERE rn = 1),
+act_f AS (
+  SELECT b.creditaccountid, min(CASE WHEN p.activeaccountindicator = 1 THEN p.reportingdate END) AS first_active_date
+  FROM act_b b CROSS JOIN win JOIN fact p ON b.creditaccountid = p.creditaccountid AND p.cardid IS NOT NULL
+   AND p.reportingdate <= win.end_eom
+  GROUP BY b.creditaccountid
+),
+act AS (
+  SELECT b.creditaccountid, b.board_month, f.first_active_date,
+    CAST(CASE WHEN f.first_active_date IS NULL THEN -1
+         ELSE greatest(0, year(f.first_active_date) * 12 + month(f.first_active_date)
+                          - year(b.board_month) * 12 - month(b.board_month)) END AS INTEGER) AS act_lag,
+    CAST(year(win.latest_data_month) * 12 + month(win.latest_data_month)
+         - year(b.board_month) * 12 - month(b.board_month) AS INTEGER) AS obs_months
+  FROM act_b b CROSS JOIN win LEFT JOIN act_f f ON b.creditaccountid = f.creditaccountid
+  WHERE b.creditaccountid NOT IN (SELECT creditaccountid FROM excl)
+)"""
+ACT = BASE + "," + ACT_CTES
+register("activation_base", ACT + "\nSELECT * FROM act")
+register("activation_by_month", ACT + """
+SELECT board_month, count(*) AS boarded, CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS activated,
+       CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS pct_activated
+FROM act GROUP BY board_month""", ["pct_activated"])
+register("activation_curve", ACT + """,
+tt AS (SELECT act_lag, CAST(unnest(generate_series(0, least(obs_months, 12))) AS INTEGER) AS t
+       FROM act WHERE obs_months IS NOT NULL AND obs_months >= 0)
+SELECT t, count(*) AS denom, CAST(sum(CASE WHEN act_lag >= 0 AND act_lag <= t THEN 1 ELSE 0 END) AS BIGINT) AS numer,
+       CAST(sum(CASE WHEN act_lag >= 0 AND act_lag <= t THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS rate
+FROM tt GROUP BY t""", ["rate"])
+register("activation_histogram", ACT + """,
+bins AS (SELECT CAST(unnest(generate_series(0, least(max(act_lag), 12))) AS INTEGER) AS lag FROM act WHERE act_lag >= 0),
+c AS (SELECT CAST(least(act_lag, 12) AS INTEGER) AS lag, count(*) AS n FROM act WHERE act_lag >= 0 GROUP BY 1)
+SELECT bins.lag, coalesce(c.n, 0) AS n FROM bins LEFT JOIN c ON bins.lag = c.lag""")
+register("activation_table", ACT + """
+SELECT board_month, count(*) AS boarded, CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS activated,
+  CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS pct_ever,
+  sum(CASE WHEN obs_months >= 1 AND act_lag >= 0 AND act_lag <= 1 THEN 1 ELSE 0 END)
+    / nullif(sum(CASE WHEN obs_months >= 1 THEN 1 ELSE 0 END), 0) AS pct_by_1,
+  sum(CASE WHEN obs_months >= 3 AND act_lag >= 0 AND act_lag <= 3 THEN 1 ELSE 0 END)
+    / nullif(sum(CASE WHEN obs_months >= 3 THEN 1 ELSE 0 END), 0) AS pct_by_3,
+  sum(CASE WHEN obs_months >= 6 AND act_lag >= 0 AND act_lag <= 6 THEN 1 ELSE 0 END)
+    / nullif(sum(CASE WHEN obs_months >= 6 THEN 1 ELSE 0 END), 0) AS pct_by_6,
+  median(CASE WHEN act_lag >= 0 THEN act_lag END) AS median_lag
+FROM act GROUP BY board_month""", ["pct_ever", "pct_by_1", "pct_by_3", "pct_by_6", "median_lag"])
+
+BANDS_SQL = """
+bands AS (SELECT * FROM (VALUES (0, '<400'), (1, '400-499'), (2, '500-599'), (3, '600-699'), (4, '700-799'),
+                                (5, '800-900')) v(band_order, score_band))"""
+register("activation_by_score", COH + "," + ACT_CTES + "," + BANDS_SQL + f""",
+sc AS (SELECT creditaccountid, max(bhvr_score) AS bhvr_score FROM cohort WHERE read_key = '{CFG.reads[0].key}'
+       GROUP BY creditaccountid),
+ab AS (
+  SELECT a.*, CASE WHEN coalesce(CAST(s.bhvr_score AS DOUBLE), -1) >= 400 AND coalesce(CAST(s.bhvr_score AS DOUBLE), -1) <= 499.99 THEN '400-499'
+    WHEN coalesce(CAST(s.bhvr_score AS DOUBLE), -1) >= 500 AND coalesce(CAST(s.bhvr_score AS DOUBLE), -1) <= 599.99 THEN '500-599'
+    WHEN coalesce(CAST(s.bhvr_score AS DOUBLE), -1) >= 600 AND coalesce(CAST(s.bhvr_score AS DOUBLE), -1) <= 699.99 THEN '600-699'
+    WHEN coalesce(CAST(s.bhvr_score AS DOUBLE), -1) >= 700 AND coalesce(CAST(s.bhvr_score AS DOUBLE), -1) <= 799.99 THEN '700-799'
+    WHEN coalesce(CAST(s.bhvr_score AS DOUBLE), -1) >= 800 AND coalesce(CAST(s.bhvr_score AS DOUBLE), -1) <= 900 THEN '800-900'
+    ELSE '<400' END AS score_band
+  FROM act a LEFT JOIN sc s ON a.creditaccountid = s.creditaccountid
+),
+g AS (SELECT score_band, count(*) AS boarded, CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS activated,
+             median(CASE WHEN act_lag >= 0 THEN act_lag END) AS median_lag FROM ab GROUP BY score_band)
+SELECT b.band_order, b.score_band, coalesce(g.boarded, 0) AS boarded, coalesce(g.activated, 0) AS activated,
+       CASE WHEN coalesce(g.boarded, 0) = 0 THEN NULL ELSE g.activated / g.boarded END AS pct_activated, g.median_lag
+FROM bands b LEFT JOIN g ON b.score_band = g.score_band""", ["pct_activated", "median_lag"])
+
+
+# ----------------------------------------------------------------------------
+# study: payload and exports
+# ----------------------------------------------------------------------------
+
+
+def _frame_sql(src: str, board_col: str, dataset: str, prism: str, population: str, keys: str = "") -> str:
+    r0 = CFG.reads[0].key
+    flags = ", ".join(
+        f"CAST(coalesce(max(CASE WHEN read_key = '{r.key}' THEN coalesce(metric_eligible, 0) END), 0) AS INTEGER) AS e_{r.key}, "
+        f"CAST(coalesce(max(CASE WHEN read_key = '{r.key}' THEN coalesce(target, 0) END), 0) AS INTEGER) AS b_{r.key}"
+        for r in CFG.reads)
+    k = f"{keys}, " if keys else ""
+    return f"""
+  SELECT {dataset} AS dataset_id, '{prism}' AS prism, {population} AS population, b.creditaccountid,
+         b.board_month, b.score, b.cl, coalesce(b.program, '') AS program, coalesce(b.channel, '') AS channel,
+         {', '.join(f'f.e_{r.key}, f.b_{r.key}' for r in CFG.reads)}
+  FROM (SELECT {k}creditaccountid, min(strftime({board_col}, '%Y-%m')) AS board_month,
+               min(program_code) AS program, min(channel) AS channel, min(creditline) AS cl,
+               CAST(min(bhvr_score) AS INTEGER) AS score
+        FROM {src} WHERE read_key = '{r0}' AND bhvr_score {VALID} GROUP BY ALL) b
+  LEFT JOIN (SELECT {k}creditaccountid, {flags} FROM {src} GROUP BY ALL) f
+    ON b.creditaccountid = f.creditaccountid {"AND b." + keys + " = f." + keys if keys else ""}"""
+
+
+PAYLOAD = (COH + "," + TIER + "," + snap_cte() + "," + fperf_ctes("snap", "fp") + ","
+           + long_union("snap", "fp", "snap_long") + f""",
+port AS (
+  SELECT * RENAME (has_horizon AS has_horizon_snapshot) FROM snap_long
+  WHERE creditaccountid NOT IN (SELECT creditaccountid FROM excl)
+    AND creditaccountid IN (SELECT creditaccountid FROM tier)
+    AND bhvr_score {VALID} AND metric_eligible = 1
+),""" + BENCH_CTES + ",\npayload AS ("
+           + _frame_sql("cohort", "vintage", "'cohort-subject'", "Cohort", "'subject'") + "\nUNION ALL\n"
+           + _frame_sql("port", "board_month", "'port-subject'", "Total Portfolio", "'subject'") + "\nUNION ALL\n"
+           + _frame_sql("bench", "board_month", "'port-' || b.benchmark_group", "Total Portfolio",
+                        "b.benchmark_group", "benchmark_group") + "\n)")
+register("account_payload", PAYLOAD + "\nSELECT * FROM payload", ["cl"])
+
+_plong = " UNION ALL ".join(
+    f"SELECT dataset_id, '{r.key}' AS read_key, score, b_{r.key} AS bad FROM payload WHERE e_{r.key} = 1"
+    for r in CFG.reads)
+register("decile_export", PAYLOAD + f""",
+plong AS ({_plong}),""" + deciles_sql("plong", ["dataset_id", "read_key"], score="score") + "\nSELECT * FROM deciles_full",
+         DECILE_DOUBLES)
+
+register("dataset_diagnostics", PAYLOAD + """,
+expected AS (SELECT * FROM (VALUES ('cohort-subject'), ('port-subject'), ('port-Group 1 - Credit Line >= $5,000'),
+  ('port-Group 2 - $5,000 > Credit Line >= $3,000'), ('port-Group 3 - Credit Line < $3,000'),
+  ('port-Group Unknown Credit Line')) v(dataset_id)),
+c AS (SELECT dataset_id, count(*) AS rows FROM payload GROUP BY dataset_id)
+SELECT e.dataset_id, coalesce(c.rows, 0) AS rows, CASE WHEN coalesce(c.rows, 0) > 0 THEN 'included' ELSE 'empty' END
+  AS status
+FROM expected e LEFT JOIN c ON e.dataset_id = c.dataset_id""")
