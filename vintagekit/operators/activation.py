@@ -29,7 +29,7 @@ def activation_base(fact: DataFrame, cfg: StudyConfig, window_start: dt.date, wi
                     & F.col("cardid").isNotNull() & (F.col("newaccountindicator") == 1) & P.program_filter(cfg))
     if cfg.creditline_tier is not None:
         f = f.filter(F.col("creditline") == F.lit(cfg.creditline_tier))
-    b = P.first_per_account(f, [F.col("reportingdate").asc()] + P.CARD_DESC).select(
+    b = P.first_per_account(f, [F.col("reportingdate").asc()] + P.card_desc()).select(
         ACCT, month_start("opendate").alias("board_month"))
     act = (fact.filter(F.col("cardid").isNotNull() & (F.col("reportingdate") <= F.lit(end_eom)))
            .join(b.select(ACCT), ACCT, "left_semi")

@@ -172,7 +172,9 @@ def first_per_account(df: DataFrame, order: list[Column], key: str = ACCT) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-CARD_DESC = [F.col("cardid").desc(), F.col("card_part").desc(), F.col("card_supp").desc()]
+def card_desc() -> list[Column]:
+    """Largest card first; the line's part and supplier keys finish the order."""
+    return [F.col("cardid").desc(), F.col("card_part").desc(), F.col("card_supp").desc()]
 
 
 def boards(fact: DataFrame, cfg: StudyConfig, start_eom: dt.date, end_eom: dt.date,
@@ -183,7 +185,7 @@ def boards(fact: DataFrame, cfg: StudyConfig, start_eom: dt.date, end_eom: dt.da
         & F.col("cardid").isNotNull() & (F.col("newaccountindicator") == 1) & program_filter(cfg))
     if tier and cfg.creditline_tier is not None:
         f = f.filter(F.col("creditline") == F.lit(cfg.creditline_tier))
-    b = first_per_account(f, [F.col("reportingdate").asc()] + CARD_DESC)
+    b = first_per_account(f, [F.col("reportingdate").asc()] + card_desc())
     b = _with_channel(b, products)
     return b.select(
         month_start("reportingdate").alias("vintage"),
@@ -209,7 +211,7 @@ def best_score(br: DataFrame, fact: DataFrame, cfg: StudyConfig, start_eom: dt.d
         s = s.filter(F.col("monthsonbooks") == cfg.score_mob)
     s = s.join(br.select(ACCT), ACCT, "left_semi")
     order = [F.when(valid_score(cfg), 0).otherwise(1), F.when(blank("esc"), 0).otherwise(1),
-             F.col("reportingdate").desc()] + CARD_DESC
+             F.col("reportingdate").desc()] + card_desc()
     best = first_per_account(s, order)
     return best.select(
         ACCT,
@@ -351,7 +353,7 @@ def snapshot_rows(fact: DataFrame, cfg: StudyConfig, snapshot: dt.date, products
         order.append(F.when(valid_score(cfg), 0).otherwise(1))
     if variant == "score_status_card":
         order.append(F.when(blank("esc"), 0).otherwise(1))
-    best = first_per_account(f, order + CARD_DESC)
+    best = first_per_account(f, order + card_desc())
     best = _with_channel(best, products)
     return best.select(
         month_start("reportingdate").alias("vintage"),
@@ -408,7 +410,7 @@ def closest_score(snap: DataFrame, fact: DataFrame, cfg: StudyConfig, snapshot:
                     & (F.col("reportingdate") <= F.lit(window_end)) & valid_score(cfg))
     s = s.join(snap.select(ACCT), ACCT, "left_semi")
     days = F.datediff(F.col("reportingdate"), F.lit(obs))
-    best = first_per_account(s, [F.abs(days).asc(), F.col("reportingdate").asc()] + CARD_DESC)
+    best = first_per_account(s, [F.abs(days).asc(), F.col("reportingdate").asc()] + card_desc())
     return best.select(ACCT, F.col("reportingdate").alias("score_reportingdate"),
                        F.col("monthsonbooks").alias("score_mob"), F.col("cardid").alias("score_cardid"),
                        F.datediff(F.col("reportingdate"), F.lit(obs)).alias("days_from_snapshot"),
@@ -473,7 +475,7 @@ def benchmark_snapshot(fact: DataFrame, cfg: StudyConfig, products: DataFrame |
                     & not_program_filter(cfg))
     if cfg.benchmark_require_blank_status:
         f = f.filter(blank("esc"))
-    best = first_per_account(f, [F.when(valid_score(cfg), 0).otherwise(1)] + CARD_DESC)
+    best = first_per_account(f, [F.when(valid_score(cfg), 0).otherwise(1)] + card_desc())
     best = _with_channel(best, products)
     snap = best.select(
         month_start("reportingdate").alias("vintage"),

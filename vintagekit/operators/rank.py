@@ -302,7 +302,8 @@ def rank_diagnostics(deciles: DataFrame, groups: Sequence[str] = (), decile: str
     d = d.withColumn("_r_rate", F.rank().over(part.orderBy("bad_rate"))
                      + (F.count(F.lit(1)).over(_w(groups + ["bad_rate"])) - 1) / 2.0)
     d = d.withColumn("_up", (F.col("bad_rate") > F.lag("bad_rate").over(part.orderBy(decile))).cast("int"))
-    g = d.groupBy(*groups).agg(F.corr("_r_dec", "_r_rate").alias("spearman_decile_bad_rate"),
+    pearson = safe_div(F.covar_pop("_r_dec", "_r_rate"), F.stddev_pop("_r_dec") * F.stddev_pop("_r_rate"))
+    g = d.groupBy(*groups).agg(pearson.alias("spearman_decile_bad_rate"),
                                F.coalesce(F.sum("_up"), F.lit(0)).cast("int").alias("monotonic_violations"),
                                F.count(F.lit(1)).alias("_n"))
     enough = F.col("_n") >= 2

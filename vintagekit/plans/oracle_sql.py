@@ -900,3 +900,296 @@ c AS (SELECT dataset_id, count(*) AS rows FROM payload GROUP BY dataset_id)
 SELECT e.dataset_id, coalesce(c.rows, 0) AS rows, CASE WHEN coalesce(c.rows, 0) > 0 THEN 'included' ELSE 'empty' END
   AS status
 FROM expected e LEFT JOIN c ON e.dataset_id = c.dataset_id""")
+
+
+# ----------------------------------------------------------------------------
+# campaign pipeline (adapter C in SQL)
+# ----------------------------------------------------------------------------
+from vintagekit import config as _C  # noqa: E402
+
+
+def _lst(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _score_text(expr: str) -> str:
+    return f"'0.' || lpad(CAST(({expr}) * 5 AS VARCHAR), 5, '0')"
+
+
+MAIL = f"""WITH
+mraw AS (
+  SELECT 'P' || lpad(CAST(c.c_nationkey AS VARCHAR), 3, '0') || lpad(CAST(month(o.o_orderdate) AS VARCHAR), 3, '0')
+           AS CAMPAIGN_CODE,
+    CAST(o.o_orderdate AS DATE) AS CAMPAIGN_DATE,
+    substr('VABCN', CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER), 1) AS CAMPFLAG1,
+    CAST(NULL AS VARCHAR) AS CAMPFLAG2,
+    CAST(o.o_custkey AS VARCHAR) AS ENCRYPTED_PIN,
+    lpad(CAST(o.o_orderkey AS VARCHAR), 9, '0') AS RESERVATION_SEQUENCE,
+    'P' || lpad(CAST(c.c_nationkey AS VARCHAR), 3, '0') || lpad(CAST(month(o.o_orderdate) AS VARCHAR), 3, '0')
+      AS OFFER_CODE_FIRST_7,
+    '000' AS OFFER_CODE_LAST_3,
+    CASE WHEN o.o_orderstatus = 'O' THEN 'Prospecting' ELSE 'Retargeting' END AS prospect_type,
+    CASE WHEN o.o_custkey % 20 = 0 THEN NULL
+         ELSE CAST(CAST(500 + floor((c.c_acctbal + 1000) * CAST(0.03 AS DOUBLE)) AS BIGINT) AS VARCHAR) END
+      AS SCORE_VANTAGE_VALUE_V3,
+    {_score_text('o.o_orderkey * 31 % 1000')} AS TRM10_Score,
+    CAST(1 + o.o_orderkey % 10 AS INTEGER) AS TRM10_TIER,
+    CAST(o.o_custkey % 13 AS INTEGER) AS TIMES_MAILED_12MO_CNT,
+    CASE WHEN year(o.o_orderdate) = 1995 THEN NULL ELSE {_score_text('o.o_orderkey * 17 % 1000')} END
+      AS EXP_RESPONSE_SCORE,
+    CASE WHEN o.o_orderkey % 101 = 0 THEN 'S' ELSE NULL END AS endmark,
+    CAST(o.o_orderkey % 7 AS VARCHAR) AS TM12_3BR
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o.o_orderstatus <> 'F'
+),
+mail AS (
+  SELECT *, date_trunc('month', CAMPAIGN_DATE)::DATE AS campaign_month,
+    TRY_CAST(SCORE_VANTAGE_VALUE_V3 AS DOUBLE) AS vantage3,
+    TRY_CAST(TRM10_Score AS DOUBLE) AS TRM_Score,
+    TRY_CAST(EXP_RESPONSE_SCORE AS DOUBLE) AS EXP_RESPONSE_SCORE_num,
+    OFFER_CODE_FIRST_7 || RESERVATION_SEQUENCE AS ReservationNumber,
+    TRY_CAST(TM12_3BR AS DOUBLE) AS TM12_3RR,
+    CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.NEW_MAIL_FLAGS)}) THEN 0
+              WHEN CAMPFLAG1 IN ({_lst(_C.REMAIL_FLAGS)}) THEN 1 END AS INTEGER) AS rm_flag
+  FROM mraw
+  WHERE CAMPFLAG1 IN ({_lst(_C.MAIL_CAMPFLAGS)}) AND coalesce(endmark, '') NOT LIKE '%S%'
+),
+arows AS (
+  SELECT l.*, o.o_custkey, o.o_orderdate, c.c_nationkey,
+         concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS APPLICATION_ID
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+),
+app AS (SELECT APPLICATION_ID, l_shipdate AS APPLICATION_RECEIVE_DATE, l_shipdate AS READY_TO_BOARD_DATE,
+               CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS BOARDDATE FROM arows),
+applicant AS (SELECT APPLICATION_ID, CAST(DATE '1950-01-01' + CAST(o_custkey % 15000 AS INTEGER) AS DATE) AS DOB
+              FROM arows),
+status AS (
+  SELECT APPLICATION_ID,
+    'P' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || lpad(CAST(month(o_orderdate) AS VARCHAR), 3, '0')
+      || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS RESERVATION_NUMBER,
+    CASE WHEN l_returnflag = 'N' THEN 'Declined: Expired Offer' WHEN l_returnflag = 'R'
+         THEN 'Failed IP Fraud Score Check' ELSE 'Approved' END AS STATUS_DESC,
+    l_returnflag AS STATUS_NAME
+  FROM arows
+),
+codes AS (SELECT DISTINCT campaign_month, substr(OFFER_CODE_FIRST_7, 1, 7) AS CampaignCode FROM mail),
+chain AS (
+  SELECT a.APPLICATION_ID, b.DOB, c.RESERVATION_NUMBER, substr(c.RESERVATION_NUMBER, 1, 7) AS CampaignCode,
+    CAST(a.APPLICATION_RECEIVE_DATE AS DATE) AS AppRcvDate, CAST(a.READY_TO_BOARD_DATE AS DATE) AS RTBDate,
+    CAST(a.BOARDDATE AS DATE) AS BoardDate, c.STATUS_DESC, c.STATUS_NAME
+  FROM app a LEFT JOIN applicant b ON a.APPLICATION_ID = b.APPLICATION_ID
+  LEFT JOIN status c ON a.APPLICATION_ID = c.APPLICATION_ID
+),
+apps AS (
+  SELECT k.campaign_month, ch.*,
+    CASE WHEN ch.STATUS_DESC IN ({_lst(_C.FRAUD_DECLINE_STATUSES)}) THEN 1 ELSE 0 END AS FraudDecline_dm,
+    CASE WHEN ch.STATUS_DESC IS DISTINCT FROM '{_C.EXPIRED_OFFER_STATUS}' THEN 1 ELSE 0 END AS GrossResponse_dm,
+    CASE WHEN ch.BoardDate > k.campaign_month THEN 1 ELSE 0 END AS NetResponse_dm
+  FROM chain ch JOIN codes k ON ch.CampaignCode = k.CampaignCode
+  WHERE ch.AppRcvDate >= (k.campaign_month - INTERVAL 1 MONTH)
+    AND ch.AppRcvDate <= last_day(k.campaign_month + INTERVAL 3 MONTH)
+),
+fapps AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_month, RESERVATION_NUMBER
+                                 ORDER BY AppRcvDate, APPLICATION_ID) AS rn FROM apps) WHERE rn = 1
+),
+mail1 AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_month, ReservationNumber
+                                 ORDER BY CAMPAIGN_DATE, ENCRYPTED_PIN, RESERVATION_SEQUENCE) AS rn FROM mail)
+  WHERE rn = 1
+),
+fees AS (
+  SELECT 'P' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS ProgramCode,
+         CAST((n_nationkey % 4) * 25 AS DOUBLE) AS finalcombinedaf
+  FROM nation WHERE n_nationkey % 6 <> 5
+),
+rj AS (
+  SELECT m.*, a.AppRcvDate, a.BoardDate, a.FraudDecline_dm AS FraudDecline, a.GrossResponse_dm AS GrossResponse,
+         a.NetResponse_dm AS NetResponse, f.finalcombinedaf AS annual_fee
+  FROM mail1 m LEFT JOIN fapps a ON m.campaign_month = a.campaign_month AND m.ReservationNumber = a.RESERVATION_NUMBER
+  LEFT JOIN fees f ON substr(m.OFFER_CODE_FIRST_7, 1, 4) = f.ProgramCode
+)"""
+
+
+def _cuts(name: str, col: str = "TRM_Score") -> str:
+    parts = " ".join(f"WHEN {col} >= CAST({lo} AS DOUBLE) AND {col} <= CAST({hi} AS DOUBLE) THEN {i}"
+                     for i, (lo, hi) in enumerate(_C.FIXED_CUTS[name], start=1))
+    return f"CAST(CASE {parts} END AS INTEGER)"
+
+
+_DEC_COLS = ", ".join(f"{_cuts(k)} AS {k if k != 'total' else 'total'}_decile" for k in _C.FIXED_CUTS)
+_SCORECARD = f"""CAST(CASE WHEN (vantage3 IS NULL OR vantage3 < {_C.SCORECARD_VANTAGE_CUT}) AND prospect_type = 'Prospecting' THEN 1
+  WHEN vantage3 >= {_C.SCORECARD_VANTAGE_CUT} AND prospect_type = 'Prospecting' THEN 2
+  WHEN (vantage3 IS NULL OR vantage3 < {_C.SCORECARD_VANTAGE_CUT}) AND prospect_type = 'Retargeting' THEN 3
+  WHEN vantage3 >= {_C.SCORECARD_VANTAGE_CUT} AND prospect_type = 'Retargeting' THEN 4 END AS INTEGER)"""
+_BAND = "CASE " + " ".join(
+    (f"WHEN vantage3 >= {lo} AND vantage3 <= {hi} THEN '{lab}'" if hi is not None else
+     f"WHEN vantage3 >= {lo} THEN '{lab}'") for lab, lo, hi in _C.VS_BANDS) + " END"
+_FLAGS = f"""CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.PROSPECTING_FLAGS)}) THEN 1 ELSE 0 END AS INTEGER) AS prospectingflag,
+  CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.PQ_ABANDON_FLAGS)}) THEN 1 ELSE 0 END AS INTEGER) AS pqabandon_flag,
+  CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.CHARGEOFF_FLAGS)}) THEN 1 ELSE 0 END AS INTEGER) AS prchargeoff_flag,
+  CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.CLOSURE_FLAGS)}) THEN 1 ELSE 0 END AS INTEGER) AS prclosure_flag,
+  CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.DECLINE_FLAGS)}) THEN 1 ELSE 0 END AS INTEGER) AS prdecline_flag"""
+
+FINAL = MAIL + f""",
+fr AS (SELECT *, {_SCORECARD} AS scorecard, {_BAND} AS vs_band, {_FLAGS}, {_DEC_COLS} FROM rj)"""
+
+MAIL_DOUBLES = ["vantage3", "TRM_Score", "EXP_RESPONSE_SCORE_num", "TM12_3RR"]
+register("campaign_windows", MAIL + """
+SELECT campaign_month, last_day(campaign_month) AS month_end, (campaign_month - INTERVAL 1 MONTH)::DATE AS min_app_date,
+       last_day(campaign_month + INTERVAL 3 MONTH) AS max_app_date, (campaign_month - INTERVAL 2 MONTH)::DATE AS pq_app_date,
+       upper(strftime(campaign_month, '%b%y')) AS month_label
+FROM (SELECT DISTINCT campaign_month FROM mail)""")
+register("mailfile_month", MAIL + "\nSELECT * FROM mail", MAIL_DOUBLES)
+register("applications", MAIL + "\nSELECT * FROM apps")
+register("first_application", MAIL + "\nSELECT * FROM fapps")
+register("response_join", MAIL + "\nSELECT * FROM rj", MAIL_DOUBLES + ["annual_fee"])
+register("final_response", FINAL + "\nSELECT * FROM fr", MAIL_DOUBLES + ["annual_fee"])
+register("campaign_flags", MAIL + f"""
+SELECT CAMPFLAG1, rm_flag, {_FLAGS}, count(*) AS mail_rows FROM mail GROUP BY ALL""")
+register("vs_band", MAIL + f"""
+SELECT {_BAND} AS vs_band, {_SCORECARD} AS scorecard, count(*) AS mail_rows FROM mail GROUP BY ALL""")
+register("fixed_cut_deciles", MAIL + f"""
+SELECT campaign_month, ReservationNumber, TRM_Score, {_DEC_COLS} FROM mail""", ["TRM_Score"])
+
+_DIMS = "prospect_type AS Prospect_type, pqabandon_flag, prchargeoff_flag, prclosure_flag, prdecline_flag, vs_band, " \
+        "annual_fee, TIMES_MAILED_12MO_CNT AS times_mailed_12mo_cnt, TRM10_TIER AS trm10_tier, scorecard, rm_flag"
+ROLLUP = FINAL + f""",
+roll AS (
+  SELECT campaign_month, {_DIMS}, count(*) AS volume, CAST(sum(GrossResponse) AS BIGINT) AS responders,
+         sum(TRM_Score) AS expected_responses, sum(EXP_RESPONSE_SCORE_num) AS expected_responses_xpm,
+         CAST(sum(NetResponse) AS BIGINT) AS Boards
+  FROM fr GROUP BY ALL
+),
+rollup AS (SELECT *, responders / volume AS GRR, Boards / volume AS NRR FROM roll)"""
+ROLL_DOUBLES = ["annual_fee", "expected_responses", "expected_responses_xpm", "GRR", "NRR"]
+register("campaign_rollup", ROLLUP + "\nSELECT * FROM rollup", ROLL_DOUBLES)
+register("combined_rollup", ROLLUP + """
+SELECT strftime(campaign_month, '%Y-%m') AS campaign_month, upper(strftime(campaign_month, '%b%y')) AS month_label,
+       * EXCLUDE (campaign_month) FROM rollup""", ROLL_DOUBLES)
+
+_ATTR_COLS = ("ALL7120", "ALL8370", "ALL2350", "ALL6980", "BCC5120", "BCC5830", "BCC5020", "ALL7110", "ALL7516",
+              "IQB9416", "IQT9416", "IQT9413", "IQT9415", "IQT9417", "IQT9410", "BCC5421", "IQT9510", "REV3511")
+
+
+def _exc(mod, code, value):
+    return f"CAST(CASE WHEN k % {mod} = 0 THEN {code} ELSE {value} END AS DOUBLE)"
+
+
+BUREAU = f""",
+agg AS (
+  SELECT o.o_custkey AS k, count(*) AS n, CAST(sum(l.l_quantity) AS BIGINT) AS q,
+         CAST(sum(floor(l.l_extendedprice)) AS BIGINT) AS px,
+         sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS nr,
+         sum(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END) AS no
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey
+),
+attrs AS (
+  SELECT CAST(k AS VARCHAR) AS EPIN, CASE WHEN k % 3 = 0 THEN 'TRM_BUREAU_B' ELSE 'TRM_BUREAU_A' END AS FileName,
+    {_exc(23, 995, 'q % 260')} AS ALL7120, {_exc(29, 9995, 'q * 7 % 240')} AS ALL8370,
+    CAST(nr % 25 AS DOUBLE) AS ALL2350, {_exc(19, 996, 'no * 37 % 1100')} AS ALL6980,
+    {_exc(31, 999999999, 'CASE WHEN k % 11 = 0 THEN n ELSE px % 30000 END')} AS BCC5120,
+    {_exc(37, 999999999, 'CASE WHEN k % 13 = 0 THEN n ELSE px % 2500 END')} AS BCC5830,
+    {_exc(41, 999999999, 'CASE WHEN k % 17 = 0 THEN n * 9 ELSE px * 3 % 26000 END')} AS BCC5020,
+    {_exc(43, 999, 'q % 230')} AS ALL7110, {_exc(47, 998, 'q * 3 % 150')} AS ALL7516,
+    CAST(n % 4 AS DOUBLE) AS IQB9416, CAST(n % 7 AS DOUBLE) AS IQT9416, CAST(nr % 3 AS DOUBLE) AS IQT9413,
+    CAST(no % 5 AS DOUBLE) AS IQT9415, CAST(n % 9 AS DOUBLE) AS IQT9417, CAST((n + no) % 11 AS DOUBLE) AS IQT9410,
+    {_exc(53, 999999999, 'CASE WHEN k % 5 = 0 THEN 0 ELSE px % 7000 END')} AS BCC5421,
+    {_exc(59, 9999, 'n % 15')} AS IQT9510, {_exc(61, 98, 'nr % 4')} AS REV3511
+  FROM agg
+),
+wa AS (
+  SELECT f.campaign_month, f.ReservationNumber, f.ENCRYPTED_PIN, f.vantage3, f.TM12_3RR, f.scorecard,
+         f.pqabandon_flag, f.prchargeoff_flag, f.prclosure_flag, f.prdecline_flag, a.*
+  FROM fr f LEFT JOIN (SELECT EPIN, {', '.join(_ATTR_COLS)} FROM attrs WHERE FileName LIKE 'TRM_BUREAU_A%') a
+    ON f.ENCRYPTED_PIN = a.EPIN
+)"""
+ATTR_DOUBLES = ["vantage3", "TM12_3RR"] + list(_ATTR_COLS)
+register("append_attributes", FINAL + BUREAU + "\nSELECT * FROM wa", ATTR_DOUBLES)
+
+
+def _rz(x: str, u) -> str:
+    return f"(round(({x}) / CAST({u} AS DOUBLE)) * CAST({u} AS DOUBLE))"
+
+
+_B5120 = """CASE WHEN {x} > 999999990 THEN 25000.0 WHEN {x} IS NULL OR {x} <= 10 THEN 9.0
+  WHEN {x} <= 100 THEN {r10} WHEN {x} <= 1000 THEN {r100} WHEN {x} <= 10000 THEN {r500}
+  ELSE {r1000} END"""
+
+
+def _bal(x):
+    return "CAST(" + _B5120.format(x=x, r10=_rz(x, 10), r100=_rz(x, 100), r500=_rz(x, 500),
+                                   r1000=_rz(f"least({x}, 20000.0)", 1000)) + " AS DOUBLE)"
+
+
+ENG = f""",
+e0 AS (
+  SELECT *,
+    CAST(CASE WHEN ALL7120 > 990 THEN 230.0 ELSE least(ALL7120, 200.0) END AS DOUBLE) AS ALL7120tr,
+    CAST(CASE WHEN ALL8370 > 9990 THEN 230.0 ELSE least(ALL8370, 200.0) END AS DOUBLE) AS ALL8370tr,
+    CAST(least(ALL2350 + 10, 28.0) AS DOUBLE) AS ALL2350tr,
+    CAST(CASE WHEN ALL6980 > 990 THEN 15.0 ELSE least(ALL6980 + 10, 1000.0) END AS DOUBLE) AS ALL6980tr,
+    {_bal('BCC5120')} AS BCC5120tr,
+    CAST(CASE WHEN BCC5830 > 999999990 THEN 2500.0 WHEN BCC5830 IS NULL OR BCC5830 <= 10 THEN 9.0
+         WHEN BCC5830 <= 100 THEN {_rz('BCC5830', 10)} ELSE {_rz('least(BCC5830, 2000.0)', 100)} END AS DOUBLE)
+      AS BCC5830tr,
+    {_bal('BCC5020')} AS BCC5020tr,
+    CAST(CASE WHEN ALL7110 > 990 THEN 240.0 ELSE least(ALL7110 + 10, 210.0) END AS DOUBLE) AS ALL7110tr,
+    CAST(CASE WHEN ALL7516 > 990 THEN 140.0 ELSE least(ALL7516 + 10, 130.0) END AS DOUBLE) AS ALL7516tr
+  FROM wa
+),
+e1 AS (SELECT *, CAST(least(ALL2350tr * ALL6980tr, 10000.0) AS DOUBLE) AS Full_delinq_min FROM e0),
+eng AS (
+  SELECT * EXCLUDE (ALL7120tr, ALL8370tr, ALL2350tr, ALL6980tr, Full_delinq_min, BCC5120tr, BCC5830tr, BCC5020tr,
+                    ALL7110tr, ALL7516tr),
+    ALL7120tr, ALL8370tr, ALL7120tr * ALL8370tr / 100 AS Effetive_max_util, ALL2350tr, ALL6980tr, Full_delinq_min,
+    CASE WHEN Full_delinq_min <= 500 THEN {_rz('Full_delinq_min', 50)}
+         WHEN Full_delinq_min <= 1000 THEN {_rz('Full_delinq_min', 100)}
+         ELSE {_rz('Full_delinq_min', 750)} END AS Full_delinq,
+    BCC5120tr, BCC5830tr, BCC5020tr,
+    least(BCC5830tr / BCC5120tr * 100, 60.0) AS Maxbal_mon_pymt_rate,
+    least(BCC5830tr / BCC5020tr * 100, 60.0) AS Totbal_mon_pymt_rate,
+    ALL7110tr, ALL7516tr, ALL7516tr / ALL7110tr * 10 AS Util_NewCards_rate,
+    CASE WHEN IQT9416 = 0 THEN -1.0 ELSE IQB9416 / IQT9416 END AS iqbt_16ratio,
+    CASE WHEN IQT9415 = 0 THEN -1.0 ELSE IQT9413 / IQT9415 END AS iqt_1315ratio,
+    CASE WHEN IQT9417 = 0 THEN -1.0 ELSE IQT9413 / IQT9417 END AS iqt_1317ratio,
+    2 * IQT9413 - IQT9417 AS iqt_1317grad,
+    CASE WHEN IQT9410 = 0 THEN -1.0 ELSE IQT9415 / IQT9410 END AS iqt_1510ratio,
+    2 * IQT9415 - IQT9410 AS iqt_1510grad
+  FROM e1
+)"""
+ENG_DOUBLES = ATTR_DOUBLES + ["ALL7120tr", "ALL8370tr", "Effetive_max_util", "ALL2350tr", "ALL6980tr",
+                              "Full_delinq_min", "Full_delinq", "BCC5120tr", "BCC5830tr", "BCC5020tr",
+                              "Maxbal_mon_pymt_rate", "Totbal_mon_pymt_rate", "ALL7110tr", "ALL7516tr",
+                              "Util_NewCards_rate", "iqbt_16ratio", "iqt_1315ratio", "iqt_1317ratio", "iqt_1317grad",
+                              "iqt_1510ratio", "iqt_1510grad"]
+register("engineered_features", FINAL + BUREAU + ENG + "\nSELECT * FROM eng", ENG_DOUBLES)
+
+WOE = """,
+w0 AS (
+  SELECT *, CAST(CASE WHEN BCC5421 > 999999990 THEN -1.0 WHEN BCC5421 = 0 THEN 0.0
+                      ELSE greatest(1000.0, least(""" + _rz("BCC5421", 1000) + """, 5000.0)) / 1000 END AS DOUBLE)
+              AS bcc5421_impcap
+  FROM {src}
+),
+woe AS (
+  SELECT *, CASE WHEN bcc5421_impcap = -1 THEN -0.221847752 WHEN bcc5421_impcap = 1 THEN -0.615782366
+                 WHEN bcc5421_impcap = 2 THEN 0.049639017 WHEN bcc5421_impcap = 3 THEN 0.0846879412
+                 WHEN bcc5421_impcap = 4 THEN 0.408789384 ELSE 0.5849793963 END::DOUBLE AS bcc5421_woe,
+    CAST(CASE WHEN IQT9510 > 9990 THEN 8.0 ELSE least(IQT9510, 11.0) END AS DOUBLE) AS iqt9510_impcap,
+    ln(1 + CAST(CASE WHEN IQT9510 > 9990 THEN 8.0 ELSE least(IQT9510, 11.0) END AS DOUBLE)) AS iqt9510_impcaplog,
+    CAST(CASE WHEN REV3511 > 90 THEN 3.0 ELSE least(REV3511, 2.0) END AS DOUBLE) AS rev3511_cap
+  FROM w0
+)"""
+WOE_DOUBLES = ["bcc5421_impcap", "bcc5421_woe", "iqt9510_impcap", "iqt9510_impcaplog", "rev3511_cap"]
+register("woe_transforms", FINAL + BUREAU + WOE.format(src="wa") + "\nSELECT * FROM woe", ATTR_DOUBLES + WOE_DOUBLES)
+
+_KEEP = ["vantage3", "TM12_3RR", "iqt_1317ratio", "iqbt_16ratio", "Full_delinq", "ALL8370tr", "Totbal_mon_pymt_rate",
+         "ALL7516tr", "Util_NewCards_rate", "iqt9510_impcaplog", "bcc5421_woe", "rev3511_cap", "Effetive_max_util",
+         "Maxbal_mon_pymt_rate", "ALL2350tr", "iqt_1510grad", "iqt_1317grad", "iqt_1315ratio", "prdecline_flag",
+         "prclosure_flag", "pqabandon_flag", "prchargeoff_flag"]
+register("feature_select", FINAL + BUREAU + ENG + WOE.format(src="eng") + f"""
+SELECT campaign_month, ReservationNumber, scorecard, {', '.join(_KEEP)} FROM woe""",
+         [c for c in _KEEP if not c.endswith("_flag")])

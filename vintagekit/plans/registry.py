@@ -16,3 +16,10 @@ kpi_strip verdict gains_curve read_comparison month_stats benchmark_summary lift
 activation_base activation_by_month activation_curve activation_histogram activation_table activation_by_score
 account_payload decile_export dataset_diagnostics""".split():
     QUERIES[_name] = getattr(studio, _name)
+
+from vintagekit.plans import campaign  # noqa: E402
+
+for _name in """campaign_windows mailfile_month applications first_application response_join final_response
+campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
+woe_transforms feature_select""".split():
+    QUERIES[_name] = getattr(campaign, _name)

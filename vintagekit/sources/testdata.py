@@ -198,30 +198,44 @@ def program_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bureau_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bureau attribute table keyed by EPIN (customer), derived from line items.
 
-    Attributes are per-customer aggregates of line items, scaled into the
-    ranges the feature rules expect; exception codes (> 990 / > 999999990)
-    appear for some customers.
+    Attribute values are per-customer aggregates of line items folded into the
+    ranges the feature rules expect; exception codes (> 990, > 9990,
+    > 999999990) and zero denominators appear for some customers. Two file
+    names let the file-name filter select a subset.
     """
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     a = (li.join(o, li.l_orderkey == o.o_orderkey)
          .groupBy("o_custkey")
-         .agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"),
-              F.sum("l_extendedprice").alias("px"), F.max("l_discount").alias("disc"),
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"),
+              F.sum(F.floor("l_extendedprice")).cast("long").alias("px"),
               F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("nr"),
               F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("no")))
     k = F.col("o_custkey")
-    exc = (k % 23) == 0
+    q, px, n, nr, no = (F.col(c) for c in ("q", "px", "n", "nr", "no"))
+
+    def exc(mod, code, value):
+        return F.when(k % mod == 0, F.lit(code)).otherwise(value).cast("double")
+
     return a.select(
         k.cast("string").alias("EPIN"),
-        F.when(k % 2 == 0, F.lit("TRM_BUREAU_A")).otherwise(F.lit("TRM_BUREAU_B")).alias("FileName"),
-        F.when(exc, 999.0).otherwise(F.col("q") % 250).cast("double").alias("util"),
-        F.col("nr").cast("double").alias("dq_a"),
-        F.when(exc, 995.0).otherwise(F.col("no") * 37 % 1100).cast("double").alias("dq_b"),
-        F.when(k % 31 == 0, 999999999.0).otherwise(F.round(F.col("px") / 10, 0)).alias("bal"),
-        F.when(k % 37 == 0, 999999999.0).otherwise(F.round(F.col("px") / 100, 0)).alias("pay"),
-        (F.col("n") % 9).cast("double").alias("inq_a"),
-        (F.col("no") % 5).cast("double").alias("inq_b"),
-        F.round(F.col("disc") * 1000, 0).alias("newcard_bal"),
-        (F.col("n") * 100 % 700).cast("double").alias("newcard_lim"),
+        F.when(k % 3 == 0, F.lit("TRM_BUREAU_B")).otherwise(F.lit("TRM_BUREAU_A")).alias("FileName"),
+        exc(23, 995, q % 260).alias("ALL7120"),
+        exc(29, 9995, q * 7 % 240).alias("ALL8370"),
+        (nr % 25).cast("double").alias("ALL2350"),
+        exc(19, 996, no * 37 % 1100).alias("ALL6980"),
+        exc(31, 999999999, F.when(k % 11 == 0, n).otherwise(px % 30000)).alias("BCC5120"),
+        exc(37, 999999999, F.when(k % 13 == 0, n).otherwise(px % 2500)).alias("BCC5830"),
+        exc(41, 999999999, F.when(k % 17 == 0, n * 9).otherwise(px * 3 % 26000)).alias("BCC5020"),
+        exc(43, 999, q % 230).alias("ALL7110"),
+        exc(47, 998, q * 3 % 150).alias("ALL7516"),
+        (n % 4).cast("double").alias("IQB9416"),
+        (n % 7).cast("double").alias("IQT9416"),
+        (nr % 3).cast("double").alias("IQT9413"),
+        (no % 5).cast("double").alias("IQT9415"),
+        (n % 9).cast("double").alias("IQT9417"),
+        ((n + no) % 11).cast("double").alias("IQT9410"),
+        exc(53, 999999999, F.when(k % 5 == 0, F.lit(0)).otherwise(px % 7000)).alias("BCC5421"),
+        exc(59, 9999, n % 15).alias("IQT9510"),
+        exc(61, 98, nr % 4).alias("REV3511"),
     )
