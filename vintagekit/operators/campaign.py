@@ -175,6 +175,12 @@ def final_response(joined: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------
 
 
+def exact_sum(col: str) -> Column:
+    """Sum of a double accumulated in decimal: exact, hence independent of how the
+    rows are partitioned and ordered across executors."""
+    return F.sum(F.col(col).cast("decimal(38,10)")).cast("double")
+
+
 def campaign_rollup(final: DataFrame, by_month: bool = True) -> DataFrame:
     """C4 + C5: volume, responders, expected responses (TRM, XPM), boards and the
     source's precomputed rates, by campaign month and the 11 dimensions.
@@ -183,8 +189,8 @@ def campaign_rollup(final: DataFrame, by_month: bool = True) -> DataFrame:
     g = final.groupBy(*[F.col(k).alias(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("volume"),
         F.sum("GrossResponse").cast("long").alias("responders"),
-        F.sum("TRM_Score").alias("expected_responses"),
-        F.sum("EXP_RESPONSE_SCORE_num").alias("expected_responses_xpm"),
+        exact_sum("TRM_Score").alias("expected_responses"),
+        exact_sum("EXP_RESPONSE_SCORE_num").alias("expected_responses_xpm"),
         F.sum("NetResponse").cast("long").alias("Boards"))
     return (g.withColumn("GRR", F.col("responders") / F.col("volume"))
             .withColumn("NRR", F.col("Boards") / F.col("volume")))

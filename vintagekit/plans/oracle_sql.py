@@ -31,7 +31,8 @@ def rounded(sql: str, cols: list[str], digits: int = 6) -> str:
     """Wrap a query so the named double columns are rounded."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    scale = f"CAST({10 ** digits} AS DOUBLE)"
+    rep = ", ".join(f"round({c} * {scale}) / {scale} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) _q"
 
 
@@ -1059,7 +1060,8 @@ _DIMS = "prospect_type AS Prospect_type, pqabandon_flag, prchargeoff_flag, prclo
 ROLLUP = FINAL + f""",
 roll AS (
   SELECT campaign_month, {_DIMS}, count(*) AS volume, CAST(sum(GrossResponse) AS BIGINT) AS responders,
-         sum(TRM_Score) AS expected_responses, sum(EXP_RESPONSE_SCORE_num) AS expected_responses_xpm,
+         CAST(sum(CAST(TRM_Score AS DECIMAL(38,10))) AS DOUBLE) AS expected_responses,
+         CAST(sum(CAST(EXP_RESPONSE_SCORE_num AS DECIMAL(38,10))) AS DOUBLE) AS expected_responses_xpm,
          CAST(sum(NetResponse) AS BIGINT) AS Boards
   FROM fr GROUP BY ALL
 ),
@@ -1193,3 +1195,214 @@ _KEEP = ["vantage3", "TM12_3RR", "iqt_1317ratio", "iqbt_16ratio", "Full_delinq",
 register("feature_select", FINAL + BUREAU + ENG + WOE.format(src="eng") + f"""
 SELECT campaign_month, ReservationNumber, scorecard, {', '.join(_KEEP)} FROM woe""",
          [c for c in _KEEP if not c.endswith("_flag")])
+
+
+# ----------------------------------------------------------------------------
+# response mart (adapter M in SQL)
+# ----------------------------------------------------------------------------
+
+MART = ROLLUP + f""",
+mart AS (
+  SELECT strftime(campaign_month, '%Y-%m') AS campaign_month, Prospect_type,
+    pqabandon_flag, prchargeoff_flag, prclosure_flag, prdecline_flag,
+    CASE WHEN vs_band IS NULL OR trim(vs_band) = '' THEN '{_C.LOWEST_BAND}' ELSE vs_band END AS vs_band,
+    annual_fee, times_mailed_12mo_cnt, trm10_tier, scorecard, rm_flag,
+    volume, responders, expected_responses, expected_responses_xpm, Boards
+  FROM rollup
+)"""
+
+
+def agg_sql(src: str, dims: list[str], name: str = "agg", where: str = "") -> str:
+    d = ", ".join(dims)
+    sel = d + ", " if dims else ""
+    grp = f"GROUP BY {d}" if dims else ""
+    return f"""
+{name}0 AS (
+  SELECT {sel}CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume,
+    CAST(coalesce(sum(responders), 0) AS BIGINT) AS responders, CAST(coalesce(sum(Boards), 0) AS BIGINT) AS Boards,
+    coalesce(CAST(sum(CAST(expected_responses AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS expected_responses,
+    coalesce(CAST(sum(CAST(expected_responses_xpm AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS expected_responses_xpm,
+    count(expected_responses_xpm) AS xnn, count(*) AS nrows
+  FROM {src} {where} {grp}
+),
+{name}1 AS (
+  SELECT *,
+    CASE WHEN volume = 0 THEN NULL ELSE responders / volume END AS actual_response_rate,
+    CASE WHEN volume = 0 THEN NULL ELSE Boards / volume END AS actual_board_rate,
+    CASE WHEN volume = 0 THEN NULL ELSE expected_responses / volume END AS expected_rr_trm,
+    CASE WHEN volume = 0 OR xnn = 0 THEN NULL ELSE expected_responses_xpm / volume END AS expected_rr_xpm
+  FROM {name}0
+),
+{name} AS (
+  SELECT * EXCLUDE (xnn, nrows),
+    CASE WHEN expected_rr_trm IS NULL OR expected_rr_trm = 0 THEN NULL ELSE actual_response_rate / expected_rr_trm END
+      AS actual_vs_expected_trm,
+    CASE WHEN expected_rr_xpm IS NULL OR expected_rr_xpm = 0 THEN NULL ELSE actual_response_rate / expected_rr_xpm END
+      AS actual_vs_expected_xpm,
+    nrows AS _rows
+  FROM {name}1
+)"""
+
+
+AGG_DOUBLES = ["expected_responses", "expected_responses_xpm", "actual_response_rate", "actual_board_rate",
+               "expected_rr_trm", "expected_rr_xpm", "actual_vs_expected_trm", "actual_vs_expected_xpm"]
+RATES = ["actual_response_rate", "actual_board_rate", "expected_rr_trm", "expected_rr_xpm",
+         "actual_vs_expected_trm", "actual_vs_expected_xpm"]
+
+register("aggregate_by", MART + "," + agg_sql("mart", ["vs_band", "scorecard"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
+         AGG_DOUBLES)
+register("kpi_totals", MART + "," + agg_sql("mart", []) + "\nSELECT " + ", ".join(
+    f"CASE WHEN _rows > 0 THEN {m} END AS {m}" for m in _C.METRIC_COLUMNS) + " FROM agg",
+    [m for m in _C.METRIC_COLUMNS if m in AGG_DOUBLES])
+register("monthly_trend", MART + "," + agg_sql("mart", ["campaign_month"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
+         AGG_DOUBLES)
+register("pivot_metric", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"]) + f""",
+lr AS (SELECT vs_band, campaign_month, round({_C.DEFAULT_METRIC} * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS v
+       FROM agg)
+PIVOT lr ON campaign_month USING first(v) GROUP BY vs_band""")
+_supp = ", ".join(f"CASE WHEN volume < {_C.SMALL_CELL_THRESHOLD} THEN NULL ELSE {r} END AS {r}" for r in RATES)
+register("suppress_small_cells", MART + "," + agg_sql("mart", ["campaign_month", "vs_band"])
+         + f"\nSELECT * EXCLUDE (_rows, {', '.join(RATES)}), {_supp} FROM agg", AGG_DOUBLES)
+
+_thr = _C.SMALL_CELL_THRESHOLD
+_met = _C.DEFAULT_METRIC
+register("pivot_overall", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"], "ac") + ","
+         + agg_sql("mart", ["vs_band"], "ar") + "," + agg_sql("mart", ["campaign_month"], "am") + ","
+         + agg_sql("mart", [], "ag") + f""",
+cells AS (SELECT vs_band, campaign_month, CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END AS value FROM ac
+          WHERE vs_band IS NOT NULL),
+vis AS (SELECT * FROM cells WHERE value IS NOT NULL)
+SELECT 'cell' AS level, CAST(vs_band AS VARCHAR) AS row_value, campaign_month AS column_key, value FROM vis
+UNION ALL
+SELECT 'row_total', CAST(vs_band AS VARCHAR), 'Overall', CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END FROM ar
+WHERE vs_band IN (SELECT vs_band FROM vis)
+UNION ALL
+SELECT 'col_total', 'Overall', campaign_month, {_met} FROM am
+UNION ALL
+SELECT 'grand', 'Overall', 'Overall', {_met} FROM ag""", ["value"])
+
+_LB = _C.DEFAULT_LOOKBACK_MONTHS
+MONTHS_RANKED = f""",
+mr AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month DESC) AS r
+       FROM (SELECT DISTINCT campaign_month FROM mart WHERE campaign_month IS NOT NULL)),
+mj AS (SELECT m.*, mr.r FROM mart m JOIN mr ON m.campaign_month = mr.campaign_month)"""
+register("exec_kpis", MART + MONTHS_RANKED + "," + agg_sql("mj", [], "kl", "WHERE r = 1") + ","
+         + agg_sql("mj", [], "ka", f"WHERE r <= {_LB}") + ","
+         + agg_sql("mj", [], "kx", f"WHERE r <= {_LB} AND expected_responses_xpm IS NOT NULL") + """
+SELECT (SELECT max(campaign_month) FROM mj WHERE r = 1) AS latest_month, """
+         + ", ".join(f"kl.{m} AS latest_{m}" for m in _C.METRIC_COLUMNS) + ", "
+         + ", ".join((f"CASE WHEN kx._rows > 0 THEN kx.{m} END AS all_{m}"
+                      if m in ("expected_rr_xpm", "actual_vs_expected_xpm") else f"ka.{m} AS all_{m}")
+                     for m in _C.METRIC_COLUMNS) + f""",
+  CASE WHEN kl.actual_vs_expected_trm IS NULL THEN 'plain' WHEN kl.actual_vs_expected_trm >= {_C.KPI_GOOD} THEN 'good'
+       WHEN kl.actual_vs_expected_trm < {_C.KPI_BAD} THEN 'bad' ELSE 'warn' END AS aoe_status
+FROM kl, ka, kx""", [f"{p}_{m}" for p in ("latest", "all") for m in _C.METRIC_COLUMNS if m in AGG_DOUBLES])
+
+
+def _unpivot(src: str, ids: list[str], metrics: list[str], dropna: bool = False) -> str:
+    i = ", ".join(ids)
+    parts = [f"SELECT {i}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {src}"
+             + (f" WHERE {m} IS NOT NULL" if dropna else "") for m in metrics]
+    return "\nUNION ALL\n".join(parts)
+
+
+register("trend_long", MART + MONTHS_RANKED + "," + agg_sql("mj", ["campaign_month"], "agg", f"WHERE r <= {_LB}")
+         + "\n" + _unpivot("agg", ["campaign_month"], ["actual_board_rate", "actual_response_rate", "expected_rr_trm",
+                                                      "expected_rr_xpm"]), ["value"])
+register("model_by_band_trm", MART + "," + agg_sql("mart", ["vs_band"]) + "\n"
+         + _unpivot("agg", ["vs_band"], ["actual_response_rate", "expected_rr_trm"]), ["value"])
+register("model_by_band_xpm", MART + "," + agg_sql("mart", ["vs_band"], "agg", "WHERE expected_responses_xpm IS NOT NULL")
+         + "\n" + _unpivot("agg", ["vs_band"], ["actual_response_rate", "expected_rr_xpm"]), ["value"])
+register("model_monthly", MART + "," + agg_sql("mart", ["campaign_month"]) + "\n"
+         + _unpivot("agg", ["campaign_month"], ["actual_response_rate", "expected_rr_trm", "expected_rr_xpm"], True),
+         ["value"])
+register("model_by_tier", MART + "," + agg_sql("mart", ["trm10_tier"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
+         AGG_DOUBLES)
+register("model_by_scorecard", MART + "," + agg_sql("mart", ["scorecard"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
+         AGG_DOUBLES)
+register("volume_mix", MART + "\nSELECT vs_band, campaign_month, CAST(sum(volume) AS BIGINT) AS volume FROM mart GROUP BY ALL")
+
+register("mom_delta", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"]) + f""",
+c AS (SELECT CAST(vs_band AS VARCHAR) AS row_value, campaign_month,
+             CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END AS v FROM agg),
+c2 AS (SELECT * FROM c WHERE row_value IS NOT NULL AND v IS NOT NULL),
+idx AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month) AS i FROM (SELECT DISTINCT campaign_month FROM c2)),
+ci AS (SELECT c2.*, idx.i FROM c2 JOIN idx ON c2.campaign_month = idx.campaign_month),
+d AS (SELECT a.row_value, a.campaign_month, a.v AS value, b.v AS prev_v, a.v - b.v AS delta
+      FROM ci a JOIN ci b ON a.row_value = b.row_value AND a.i = b.i + 1 WHERE a.v - b.v <> 0),
+mx AS (SELECT max(abs(delta)) AS m FROM d)
+SELECT d.*, least(1.0, abs(delta) / mx.m) AS intensity,
+       {_C.MOM_ALPHA_BASE} + {_C.MOM_ALPHA_SPAN} * least(1.0, abs(delta) / mx.m) AS alpha,
+       CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction
+FROM d, mx""", ["value", "prev_v", "delta", "intensity", "alpha"])
+
+register("volume_share", MART + f""",
+cell AS (SELECT CAST(vs_band AS VARCHAR) AS row_value, campaign_month AS column_key, CAST(sum(volume) AS BIGINT) AS vol
+         FROM mart WHERE vs_band IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM cell UNION ALL SELECT row_value, 'Overall', CAST(sum(vol) AS BIGINT) FROM cell GROUP BY row_value),
+t AS (SELECT *, sum(vol) OVER (PARTITION BY column_key) AS tot FROM b)
+SELECT row_value, column_key, vol,
+       greatest({float(_C.VOLUME_SHARE_MIN)}, least({float(_C.VOLUME_SHARE_MAX)}, vol / tot * 100)) AS pct
+FROM t WHERE tot > 0 AND vol > 0""", ["pct"])
+
+register("dict_filter", MART + """
+SELECT * FROM mart WHERE vs_band IN ('640-700', '701-730', '731-830') AND scorecard IN (2, 4)""",
+         ["annual_fee", "expected_responses", "expected_responses_xpm"])
+register("month_window", MART + MONTHS_RANKED + f"\nSELECT * EXCLUDE (r) FROM mj WHERE r <= {_LB}",
+         ["annual_fee", "expected_responses", "expected_responses_xpm"])
+register("filter_options", MART + "\n" + "\nUNION\n".join(
+    f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value FROM mart WHERE {d} IS NOT NULL"
+    for d in _C.ROLLUP_DIMENSIONS))
+
+register("validate_rollup", MART + """,
+v AS (
+  SELECT campaign_month, count(*) AS row_count, CAST(coalesce(sum(volume), 0) AS BIGINT) AS total_volume,
+    CAST(coalesce(sum(responders), 0) AS BIGINT) AS total_responders, CAST(coalesce(sum(Boards), 0) AS BIGINT) AS total_boards,
+    coalesce(min(volume) < 0, false) AS e0, coalesce(coalesce(sum(volume), 0) <= 0, false) AS e1,
+    coalesce(max(CASE WHEN responders > volume THEN 1 ELSE 0 END) = 1, false) AS e2,
+    coalesce(max(CASE WHEN Boards > volume THEN 1 ELSE 0 END) = 1, false) AS e3,
+    false AS e4,
+    coalesce(max(CASE WHEN expected_responses < 0 OR expected_responses > volume THEN 1 ELSE 0 END) = 1, false) AS w0,
+    coalesce(max(CASE WHEN expected_responses_xpm < 0 OR expected_responses_xpm > volume THEN 1 ELSE 0 END) = 1, false) AS w1
+  FROM mart GROUP BY campaign_month
+)
+SELECT campaign_month, row_count, total_volume, total_responders, total_boards, NOT (e0 OR e1 OR e2 OR e3 OR e4) AS ok,
+  array_to_string(list_filter([CASE WHEN e0 THEN 'negative volume' END, CASE WHEN e1 THEN 'total volume not positive' END,
+    CASE WHEN e2 THEN 'responders exceed volume' END, CASE WHEN e3 THEN 'boards exceed volume' END,
+    CASE WHEN e4 THEN 'foreign campaign_month' END], lambda x: x IS NOT NULL), '; ') AS errors,
+  array_to_string(list_filter([CASE WHEN w0 THEN 'expected_responses outside [0, volume]' END,
+    CASE WHEN w1 THEN 'expected_responses_xpm outside [0, volume]' END], lambda x: x IS NOT NULL), '; ') AS warnings
+FROM v""")
+
+register("validation_summary", MART + """
+SELECT campaign_month, 'campaign_month=' || campaign_month AS partition_path, count(*) AS row_count,
+  CAST(coalesce(sum(volume), 0) AS BIGINT) AS total_volume, CAST(coalesce(sum(responders), 0) AS BIGINT) AS total_responders,
+  CAST(coalesce(sum(Boards), 0) AS BIGINT) AS total_boards,
+  coalesce(CAST(sum(CAST(expected_responses AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS total_expected_responses,
+  CAST(sum(CAST(expected_responses_xpm AS DECIMAL(38,10))) AS DOUBLE) AS total_expected_responses_xpm,
+  count(expected_responses_xpm) > 0 AND coalesce(sum(expected_responses_xpm) <> 0, false) AS has_xpm
+FROM mart GROUP BY campaign_month""", ["total_expected_responses", "total_expected_responses_xpm"])
+
+register("parse_rollup_month", MART + """,
+ms AS (SELECT DISTINCT strptime(campaign_month, '%Y-%m')::DATE AS d FROM mart),
+names AS (
+  SELECT 'exp_' || upper(strftime(d, '%b%y')) || '_rollup.csv' AS file_name FROM ms
+  UNION ALL SELECT 'EXP_' || lower(strftime(d, '%b%y')) || '_rollup.CSV' FROM ms
+  UNION ALL SELECT 'exp_' || strftime(d, '%Y%m') || '_rollup.csv' FROM ms
+)
+SELECT file_name,
+  CASE WHEN regexp_matches(file_name, '(?i)^exp_(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)(\\d{2})_rollup\\.csv$')
+  THEN make_date(
+    CASE WHEN CAST(regexp_extract(file_name, '(?i)^exp_([a-z]{3})(\\d{2})_rollup\\.csv$', 2) AS INTEGER) < 80
+         THEN 2000 ELSE 1900 END + CAST(regexp_extract(file_name, '(?i)^exp_([a-z]{3})(\\d{2})_rollup\\.csv$', 2) AS INTEGER),
+    list_position(['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'],
+                  upper(regexp_extract(file_name, '(?i)^exp_([a-z]{3})(\\d{2})_rollup\\.csv$', 1))), 1) END
+    AS campaign_month
+FROM names""")
+
+register("missing_months", MART + """,
+p AS (SELECT DISTINCT campaign_month FROM mart),
+b AS (SELECT min(campaign_month) AS lo, max(campaign_month) AS hi FROM p),
+e AS (SELECT strftime(unnest(generate_series(strptime(lo, '%Y-%m'), strptime(hi, '%Y-%m'), INTERVAL 1 MONTH)), '%Y-%m')
+        AS campaign_month FROM b)
+SELECT campaign_month FROM e WHERE campaign_month NOT IN (SELECT campaign_month FROM p)""")

@@ -23,3 +23,11 @@ for _name in """campaign_windows mailfile_month applications first_application r
 campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
 woe_transforms feature_select""".split():
     QUERIES[_name] = getattr(campaign, _name)
+
+from vintagekit.plans import mart  # noqa: E402
+
+for _name in """aggregate_by kpi_totals monthly_trend pivot_metric suppress_small_cells pivot_overall exec_kpis
+trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier model_by_scorecard volume_mix mom_delta
+volume_share dict_filter month_window filter_options validate_rollup validation_summary parse_rollup_month
+missing_months""".split():
+    QUERIES[_name] = getattr(mart, _name)

@@ -25,11 +25,13 @@ CFG = StudyConfig()
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns (presentation / comparison precision)."""
+    """Round double columns to ``digits`` places as round(x * 10^d) / 10^d, the same
+    IEEE steps on every engine (so an exact half never rounds two ways)."""
+    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append((F.round(F.col(f.name) * F.lit(scale), 0) / F.lit(scale)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
