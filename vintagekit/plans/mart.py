@@ -19,13 +19,24 @@ METRIC = C.DEFAULT_METRIC
 FILTERS = {"vs_band": ["640-700", "701-730", "731-830"], "scorecard": [2, 4], "not_a_column": ["x"]}
 
 
-def mart_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_mart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter M: the campaign rollup conformed as mart rows (campaign_month yyyy-MM)."""
     roll = CP.campaign_rollup(_final(spark, sf_dir))
     roll = roll.withColumn("campaign_month", F.date_format("campaign_month", "yyyy-MM"))
     return M.prepare_rollup(roll)
 
 
+def mart_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart as the dashboard reads it: built once per session and staged as
+    Parquet (SRC5), sorted by month so month filters skip row groups."""
+    from vintagekit.session import prepare
+    from vintagekit.sources.cache import cache_or_compute, stage_path
+    prepare(spark)
+    return cache_or_compute(spark, stage_path(spark, "mart", sf_dir), lambda: build_mart_rows(spark, sf_dir),
+                            required=["campaign_month", "volume", "expected_responses_xpm"],
+                            sort_within=["campaign_month"])
+
+
 def aggregate_by(spark, sf_dir):
     return finish(M.aggregate_by(mart_frame(spark, sf_dir), ["vs_band", "scorecard"]))
 
@@ -143,3 +154,106 @@ def missing_months(spark, sf_dir):
 
 def _unused(_: dt.date) -> None:  # keeps the date import for type hints in callers
     return None
+
+
+# ----------------------------------------------------------------------------
+# file-backed mart (rows-only checks: results depend on files written here)
+# ----------------------------------------------------------------------------
+
+def _scratch(spark, name):
+    import uuid
+
+    from vintagekit.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/mart-{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _store(spark, sf_dir):
+    from vintagekit.sources import mart_store as S
+    path = _scratch(spark, "store")
+    S.replace_months(mart_frame(spark, sf_dir), path)
+    return S, path
+
+
+def mart_replace_month(spark, sf_dir):
+    """SNK1: validated dynamic-overwrite write; returns the per-month outcome."""
+    from vintagekit.sources import mart_store as S
+    path = _scratch(spark, "store")
+    v = S.replace_months(mart_frame(spark, sf_dir), path)
+    # replacing a month again with the same rows leaves the mart unchanged
+    S.replace_months(S.read_mart(spark, path).filter(F.col("campaign_month") == F.lit("1998-06")), path)
+    return v.join(S.read_mart(spark, path).groupBy("campaign_month").agg(F.count(F.lit(1)).alias("stored_rows")),
+                  "campaign_month", "left")
+
+
+def read_mart(spark, sf_dir):
+    S, path = _store(spark, sf_dir)
+    return S.read_mart(spark, path)
+
+
+def mart_months(spark, sf_dir):
+    S, path = _store(spark, sf_dir)
+    return S.mart_months(S.read_mart(spark, path))
+
+
+def csv_rollup_roundtrip(spark, sf_dir):
+    """SNK2 -> SRC3: rollup written as CSV per month, read back with a fixed schema."""
+    from vintagekit.sources import mart_store as S
+    roll = CP.campaign_rollup(_final(spark, sf_dir)).withColumn(
+        "campaign_month", F.date_format("campaign_month", "yyyy-MM"))
+    path = _scratch(spark, "csv")
+    S.write_rollup_csv(roll, path)
+    return S.read_rollup_csv(spark, path)
+
+
+def load_log(spark, sf_dir):
+    from vintagekit.sources import mart_store as S
+    path = _scratch(spark, "store")
+    v = S.replace_months(mart_frame(spark, sf_dir), path)
+    log_path = _scratch(spark, "log")
+    S.append_log(S.load_log_rows(v, "2026-01-01T00:00:00"), log_path)
+    return spark.read.parquet(log_path)
+
+
+AS_OF = dt.date(2001, 9, 15)
+
+
+def _plan(spark, sf_dir):
+    from vintagekit.sources import mart_store as S
+    months = mart_frame(spark, sf_dir).select("campaign_month").distinct()
+    files = months.select("campaign_month", F.to_timestamp(F.concat(F.col("campaign_month"), F.lit("-20")))
+                          .alias("file_time"))
+    m = F.to_date("campaign_month", "yyyy-MM")
+    parts = (months.where(F.month(m) % 4 != 0)
+             .select("campaign_month", F.to_timestamp(F.concat(F.col("campaign_month"),
+                                                               F.when(F.month(m) % 3 == 0, F.lit("-25"))
+                                                               .otherwise(F.lit("-10"))))
+                     .alias("partition_time")))
+    return S, S.ingest_plan(files, parts, AS_OF)
+
+
+def ingest_plan(spark, sf_dir):
+    """ING1 with derived file and partition times and an injected as-of date."""
+    return _plan(spark, sf_dir)[1]
+
+
+def ingest_summary(spark, sf_dir):
+    S, plan = _plan(spark, sf_dir)
+    v = M.validate_rollup(mart_frame(spark, sf_dir).withColumn("expected_month", F.col("campaign_month")))
+    return S.ingest_summary(plan, v)
+
+
+def mart_status(spark, sf_dir):
+    S, path = _store(spark, sf_dir)
+    return S.mart_status(spark, path).drop("last_refresh").withColumn("has_refresh_time", F.lit(True))
+
+
+def filtered_export(spark, sf_dir):
+    S, path = _store(spark, sf_dir)
+    out = _scratch(spark, "export")
+    S.filtered_export(S.read_mart(spark, path), FILTERS, out, month_from="1997-01", month_to="1999-12")
+    return spark.read.option("header", True).csv(out)
+
+
+def cache_or_compute(spark, sf_dir):
+    """SRC5: second call reads the staged copy."""
+    return mart_frame(spark, sf_dir)

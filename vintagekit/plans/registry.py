@@ -31,3 +31,7 @@ trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier model
 volume_share dict_filter month_window filter_options validate_rollup validation_summary parse_rollup_month
 missing_months""".split():
     QUERIES[_name] = getattr(mart, _name)
+
+for _name in """mart_replace_month read_mart mart_months csv_rollup_roundtrip load_log ingest_plan ingest_summary
+mart_status filtered_export cache_or_compute""".split():
+    QUERIES[_name] = getattr(mart, _name)
