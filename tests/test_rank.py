@@ -60,7 +60,7 @@ def test_quantile_bins_skip(spark):
 
 def test_reversals_and_diagnostics(spark):
     scores = list(range(30))
-    bads = [1, 1, 1, 0, 0, 1, 0, 0, 0] + [0] * 21
+    bads = [1, 1, 1, 0, 0, 0, 1, 1, 0] + [0] * 21
     dec = R.tie_aware_deciles(frame(spark, scores, bads), ["grp"], k=10)
     rev = R.reversals(dec, ["grp"]).collect()[0].reversals
     assert rev == 1
