@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +33,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, LOWER)
 
 
-def doc_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
-    """Rows with equal id and equal text are copies of one row: every operator gives them
-    the same result, so (id, hash of the text) finds a row's result again. Nulls compare equal
-    through the two ``*_null`` free columns (id as is, compared null-safe)."""
-    return [F.col(doc_id).alias("k_id"), F.xxhash64(F.col(text)).alias("k_text")]
-
-
-def null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]

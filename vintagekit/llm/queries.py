@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagekit.llm import pii, simhash
+from vintagekit.llm import decontaminate, licenses, mixing, pii, simhash
 from vintagekit.llm.common import table
 
 
@@ -12,9 +12,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_license_scan, op4_simhash_near_dedup, op9_benchmark_decontamination,
+                                   op10_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.ORACLE_SQL}
