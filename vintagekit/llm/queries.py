@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintagekit.llm import decontaminate, licenses, mixing, pii, simhash
+import corpus_pipeline
+from vintagekit.llm import decontaminate, language, licenses, lm, mixing, pii, quality, simhash, topk, warc
 from vintagekit.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_report(table(spark, sf_dir, "embeddings"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +49,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_license_scan, op4_simhash_near_dedup, op9_benchmark_decontamination,
-                                   op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.ORACLE_SQL}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_quality_classifier, op3_license_scan, op4_simhash_near_dedup, op5_exact_top_k, op6_language_id,
+    op7_lm_scoring, op8_warc, op9_benchmark_decontamination, op10_source_mixing, pipeline)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": topk.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
+    "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
+}
