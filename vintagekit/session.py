@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,12 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every job needs: UTC dates, AQE, and a checkpoint directory.
-
-    The checkpoint directory is read from ``spark.checkpoint.dir`` (on a cluster
-    it names a shared folder); a private temporary one is set only when unset,
-    as in local tests.
-    """
+    """Settings every job needs: UTC dates, AQE, and a checkpoint directory."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     checkpoint_dir(spark)
@@ -45,12 +39,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for staged tables: ``spark.checkpoint.dir``, which on a cluster names shared storage.
+
+    Without it a local master uses the scratch folder that its session removes at the end; any
+    other master raises, since executors would not see each other's files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="vintagekit-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    sc.setCheckpointDir(staging_root(sc.master, spark.conf.get("spark.checkpoint.dir", None), sc._temp_dir))
+    return sc.getCheckpointDir()
+
+
+def staging_root(master: str, configured: str | None, local: str) -> str:
+    if configured:
+        return configured
+    if master.startswith("local[") or master == "local":
+        return f"{local}/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")

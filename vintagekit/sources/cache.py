@@ -24,9 +24,11 @@ def stage_path(spark: SparkSession, name: str, *parts: str) -> str:
 
 def _complete(spark: SparkSession, path: str, required: Iterable[str]) -> DataFrame | None:
     try:
-        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
+        spark.read.text(f"{path}/_SUCCESS")
         df = spark.read.parquet(path)
-    except (AnalysisException, Exception):  # noqa: BLE001 - any read failure means "not staged"
+    except AnalysisException as e:  # only a missing path means "not staged"; anything else is raised
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if not set(required).issubset(df.columns):
         return None
