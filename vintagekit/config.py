@@ -25,8 +25,6 @@ BENCHMARK_BUCKET_MAX = 29
 THIN_READ_ELIGIBLE = 200
 LIFT_CLEAN = 2.0
 LIFT_WEAK = 1.5
-SNAPSHOT_SOURCES = ("active", "new_board", "other")
-LIFT_LABELS = ("clean rank-order", "weak rank-order", "not separating", "insufficient")
 # activation x score bands: (label, low inclusive, high inclusive); unscored go to the first
 ACTIVATION_SCORE_BANDS = (
     ("<400", None, 399.99),
@@ -36,13 +34,12 @@ ACTIVATION_SCORE_BANDS = (
     ("700-799", 700, 799.99),
     ("800-900", 800, 900),
 )
-# benchmark credit-line groups
-CREDITLINE_GROUPS = (
-    ("Group 1", "creditline >= 5000"),
-    ("Group 2", "3000 <= creditline < 5000"),
-    ("Group 3", "creditline < 3000"),
-    ("Group Unknown", "creditline is null"),
-)
+# benchmark credit-line groups: limits and labels, highest first
+CREDITLINE_HIGH = 5000
+CREDITLINE_MID = 3000
+CREDITLINE_GROUPS = ("Group 1 - Credit Line >= $5,000", "Group 2 - $5,000 > Credit Line >= $3,000",
+                     "Group 3 - Credit Line < $3,000", "Group Unknown Credit Line")
+FUNNEL_BUCKET_MAX = 29
 
 
 @dataclass(frozen=True)
@@ -77,7 +74,7 @@ class StudyConfig:
     perf_start_mob: int = 0
     score_mob: int | None = None
     m1_inclusive: bool = True
-    snapshot_month: _dt.date = _dt.date(1998, 6, 1)
+    snapshot_month: _dt.date | None = None  # None: the month detected from the data
     benchmark_vantage_min: int = BENCHMARK_VANTAGE_MIN
     benchmark_bucket_max: int = BENCHMARK_BUCKET_MAX
     benchmark_require_blank_status: bool = True
@@ -210,7 +207,8 @@ ROLLUP_DIMENSIONS = (
 REQUIRED_ROLLUP_COLUMNS = ROLLUP_DIMENSIONS[:10] + ("rm_flag", "volume", "responders", "expected_responses", "Boards")
 OPTIONAL_ROLLUP_COLUMNS = {"expected_responses_xpm": None}
 DROP_RATE_COLUMNS = ("GRR", "NRR")
-FLAG_COLUMNS = ("pqabandon_flag", "prchargeoff_flag", "prclosure_flag", "prdecline_flag", "rm_flag")
+FLAG_COLUMNS = ("pqabandon_flag", "prchargeoff_flag", "prclosure_flag", "prdecline_flag", "rm_flag", "scorecard", "trm10_tier")
+ROLLUP_COLUMNS = REQUIRED_ROLLUP_COLUMNS + tuple(OPTIONAL_ROLLUP_COLUMNS) + DROP_RATE_COLUMNS
 RECENT_REFRESH_WINDOW_MONTHS = 3
 HISTORY_FREEZE_MONTHS = 24
 SMALL_CELL_THRESHOLD = 100
@@ -225,7 +223,6 @@ VOLUME_SHARE_MIN = 2
 VOLUME_SHARE_MAX = 100
 MONTH_ABBREVIATIONS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 TWO_DIGIT_YEAR_PIVOT = 80
-ROLLUP_FILE_GLOB = "exp_*_rollup.csv"
 
 METRIC_COLUMNS = (
     "volume",
@@ -238,6 +235,8 @@ METRIC_COLUMNS = (
     "actual_vs_expected_trm",
     "actual_vs_expected_xpm",
 )
+COUNT_METRICS = ("volume", "responders", "Boards")
+RATIO_METRICS = ("actual_vs_expected_trm", "actual_vs_expected_xpm")
 RATE_COLUMNS = (
     "actual_response_rate",
     "actual_board_rate",

@@ -47,7 +47,8 @@ def mailfile(raw: DataFrame, start=None, end=None) -> DataFrame:
         F.expr("try_cast(SCORE_VANTAGE_VALUE_V3 AS double)").alias("vantage3"),
         F.expr("try_cast(TRM10_Score AS double)").alias("TRM_Score"),
         F.expr("try_cast(EXP_RESPONSE_SCORE AS double)").alias("EXP_RESPONSE_SCORE_num"),
-        F.concat(F.col("OFFER_CODE_FIRST_7"), F.col("RESERVATION_SEQUENCE")).alias("ReservationNumber"),
+        F.concat(F.coalesce("OFFER_CODE_FIRST_7", F.lit("")), F.coalesce("RESERVATION_SEQUENCE", F.lit("")))
+        .alias("ReservationNumber"),  # a missing part is blank
         F.expr("try_cast(TM12_3BR AS double)").alias("TM12_3RR"),
         rm.cast("int").alias("rm_flag"))
 
@@ -78,19 +79,19 @@ def applications(apps: DataFrame, applicants: DataFrame, status: DataFrame, mail
     """J8 + J9 + C2: application chain restricted, per campaign month, to the
     application window and to campaign codes mailed that month.
 
-    The mailed (month, code) list is small (codes x months); the range
-    condition on the receive date rides on the equi-join on the code.
+    The window is the whole months from one before to three after the campaign, so every (month, code) is
+    listed once for each of these application months and both code and month are join keys: no range
+    condition, and a code with very many applications is spread over its months.
     """
-    codes = mail.select("campaign_month", F.substring("OFFER_CODE_FIRST_7", 1, 7).alias("CampaignCode")).distinct()
+    codes = (mail.select("campaign_month", F.substring("OFFER_CODE_FIRST_7", 1, 7).alias("CampaignCode")).distinct()
+             .withColumn("app_month", F.explode(F.array(*[F.add_months("campaign_month", k).cast("date") for k in range(-1, 4)]))))
     chain = (apps.join(applicants, "APPLICATION_ID", "left").join(status, "APPLICATION_ID", "left")
              .withColumn("CampaignCode", F.substring("RESERVATION_NUMBER", 1, 7))
              .withColumn("AppRcvDate", F.to_date("APPLICATION_RECEIVE_DATE"))
              .withColumn("RTBDate", F.to_date("READY_TO_BOARD_DATE"))
-             .withColumn("BoardDate", F.to_date("BOARDDATE")))
-    lo = F.add_months(F.col("campaign_month"), -1)
-    hi = F.last_day(F.add_months(F.col("campaign_month"), 3))
-    j = chain.join(codes, "CampaignCode", "inner").filter(
-        (F.col("AppRcvDate") >= lo) & (F.col("AppRcvDate") <= hi))
+             .withColumn("BoardDate", F.to_date("BOARDDATE"))
+             .withColumn("app_month", F.trunc("AppRcvDate", "month")))
+    j = chain.join(codes, ["CampaignCode", "app_month"])
     return j.select("campaign_month", "APPLICATION_ID", "DOB", "RESERVATION_NUMBER", "CampaignCode",
                     "AppRcvDate", "RTBDate", "BoardDate", "STATUS_DESC", "STATUS_NAME", *application_flags())
 
@@ -109,13 +110,15 @@ def first_application(apps: DataFrame) -> DataFrame:
 
 def response_join(mail: DataFrame, first_apps: DataFrame, fees: DataFrame) -> DataFrame:
     """J10 + J11: every mail row with its first application and the annual fee of
-    its 4-character program code (fee lookup broadcast: one row per program code)."""
+    its 4-character program code. A program code with two fees raises: it would multiply mail rows."""
     a = first_apps.select("campaign_month", F.col("RESERVATION_NUMBER").alias("ReservationNumber"),
                           "AppRcvDate", "BoardDate", F.col("FraudDecline_dm").alias("FraudDecline"),
                           F.col("GrossResponse_dm").alias("GrossResponse"),
                           F.col("NetResponse_dm").alias("NetResponse"))
     j = mail.join(a, ["campaign_month", "ReservationNumber"], "left")
-    fee = F.broadcast(fees.select(F.col("ProgramCode").alias("_pc"), F.col("finalcombinedaf").alias("annual_fee")))
+    fee = fees.groupBy(F.col("ProgramCode").alias("_pc")).agg(
+        F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two fees for one program code")))
+        .otherwise(F.max("finalcombinedaf")).alias("annual_fee"))
     return j.join(fee, F.substring("OFFER_CODE_FIRST_7", 1, 4) == F.col("_pc"), "left").drop("_pc")
 
 
@@ -178,7 +181,7 @@ def final_response(joined: DataFrame) -> DataFrame:
 def exact_sum(col: str) -> Column:
     """Sum of a double accumulated in decimal: exact, hence independent of how the
     rows are partitioned and ordered across executors."""
-    return F.sum(F.col(col).cast("decimal(38,10)")).cast("double")
+    return F.sum(F.col(col).cast("decimal(38,18)")).cast("double")
 
 
 def campaign_rollup(final: DataFrame, by_month: bool = True) -> DataFrame:

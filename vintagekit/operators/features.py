@@ -19,8 +19,46 @@ from vintagekit.functions.nulls import sas_lt
 BCC5421_WOE = ((-1, -0.221847752), (1, -0.615782366), (2, 0.049639017), (3, 0.0846879412), (4, 0.408789384))
 BCC5421_WOE_ELSE = 0.5849793963
 
-ATTRIBUTES = ("ALL7120", "ALL8370", "ALL2350", "ALL6980", "BCC5120", "BCC5830", "BCC5020", "ALL7110", "ALL7516",
-              "IQB9416", "IQT9416", "IQT9413", "IQT9415", "IQT9417", "IQT9410", "BCC5421", "IQT9510", "REV3511")
+# FIXED VALUES - bureau attributes appended to the mail file
+ATTRIBUTES = (
+    "ALL7516", "ALL7120", "ALL6980", "ALL1361", "IQT9416", "IQT9413", "IQT9415", "IQT9410", "BCC5030", "BCC5830",
+    "ALL7110", "BCC5020", "ALL0300", "ALL0336", "ALL0400", "ALL0416", "ALL1380", "ALL2002", "ALL2005", "ALL2350",
+    "ALL2390", "ALL2488", "ALL2717D", "ALL5012", "ALL5070", "ALL5320", "ALL5361", "ALL6200", "ALL6220", "ALL6230",
+    "ALL6250", "ALL6400", "ALL6900", "ALL7371D", "ALL7460", "ALL8020", "ALL8110", "ALL8120", "ALL8121", "ALL8221",
+    "ALL8320", "ALL8321", "ALL8370", "ALL8552", "ALL8560", "ALL9110", "ALL9210", "AUA2320", "AUA8220", "AUA8320",
+    "AUT5620", "BCA6210", "BCA8151", "BCC2328", "BCC2388", "BCC2800", "BCC3456", "BCC3512", "BCC5120", "BCC5320",
+    "BCC5400", "BCC5421", "BCC5422", "BCC7117", "BCC7147", "BCC7516", "BCC7800", "BCX0438", "BRC5620", "BRC6280",
+    "COL3203", "COL3211", "COL3237", "COL5060", "COL8192", "ILN0438", "ILN1380", "ILN2380", "ILN5020", "ILN6160",
+    "IQB9416", "IQB9510", "IQF9510", "IQT9417", "IQT9510", "MTA2320", "MTA2388", "MTA6230", "PIL0438", "PIL6200",
+    "REH5020", "REH5320", "REV0300", "REV2388", "REV3421", "REV3424", "REV3511", "REV5036", "REV5742", "REV6220",
+    "REV7470", "REV7801", "REV8220", "RTA8151", "RTR1380", "RTR3422", "RTR3511", "RTR6200", "RTR8320", "STU2558",
+    "STU8320", "UTI4180")
+
+# FIXED VALUES - variables kept for each scorecard's model
+KEEP_LISTS = {
+    1: ("vantage3", "TM12_3RR", "ALL8120", "ALL1380", "ALL6250", "ALL8020", "ALL8110", "ALL5070", "BCC5400", "AUA2320",
+        "AUT5620", "BCC7147", "IQB9510", "COL5060", "REV7801", "REV8220", "REV5036", "RTR1380", "ALL5012", "BCA8151",
+        "BCC3512", "IQB9416", "MTA6230", "ALL7460", "BCC5421", "ILN5020", "IQT9417", "REV0300", "RTR6200", "ALL7371D",
+        "REV5742", "iqt_1317ratio", "iqbt_16ratio", "Full_delinq", "ALL8370tr", "Totbal_mon_pymt_rate", "ALL7516tr",
+        "Util_NewCards_rate"),
+    2: ("vantage3", "TM12_3RR", "ALL5320", "ALL8320", "ALL6250", "ALL0400", "ALL8121", "BCC5400", "BCX0438", "AUA8220",
+        "ALL9210", "ALL2005", "ILN0438", "ALL2002", "IQB9510", "ILN1380", "RTR8320", "REV5036", "RTA8151", "MTA2320",
+        "STU8320", "REV7470", "BCA6210", "REV6220", "BCC5422", "BRC5620", "BCC7800", "BRC6280", "ALL2488", "IQB9416",
+        "ALL6400", "ALL5361", "ALL7460", "ALL8560", "ALL2350", "ALL8321", "iqt9510_impcaplog", "bcc5421_woe",
+        "rev3511_cap", "Effetive_max_util", "Maxbal_mon_pymt_rate"),
+    3: ("BCC7516", "MTA2388", "ALL2350tr", "Full_delinq", "REV3511", "ALL5320", "REV3421", "ALL0336",
+        "Util_NewCards_rate", "ALL9110", "STU2558", "BCC2800", "ALL7460", "COL3203", "REH5320", "iqt_1510grad",
+        "IQT9510", "ALL8370tr", "ALL8560", "AUA2320", "BCA8151", "ALL6200", "COL8192", "ALL2717D", "iqt_1317grad",
+        "ALL6230", "ALL0300", "ALL2488", "ALL8221", "IQF9510", "ALL1361", "BCC7117", "BCC2388", "REV2388",
+        "iqt_1315ratio", "PIL6200", "RTR3422", "iqbt_16ratio", "ALL0400", "BCC3456", "ILN2380", "TM12_3RR",
+        "prdecline_flag", "prclosure_flag", "pqabandon_flag", "prchargeoff_flag", "scorecard", "TRM_Score",
+        "OFFER_CODE_FIRST_7", "CAMPFLAG1"),
+    4: ("Effetive_max_util", "Full_delinq", "iqt_1510grad", "iqbt_16ratio", "vantage3", "prclosure_flag",
+        "prdecline_flag", "prchargeoff_flag", "ALL0300", "ALL0336", "ALL0416", "ALL2390", "ALL2488", "ALL5320",
+        "ALL6220", "ALL7460", "ALL8221", "ALL8370", "ALL8552", "ALL8560", "ALL9110", "AUA8320", "BCC2328", "BCC5120",
+        "BCC5320", "BCC5400", "BCC7117", "COL3211", "IQT9510", "PIL0438", "REH5020", "REV2388", "REV3424", "STU2558",
+        "TM12_3RR"),
+}
 
 
 def _c(x):
@@ -104,6 +142,9 @@ def woe_transforms(df: DataFrame) -> DataFrame:
 
 
 def feature_select(df: DataFrame, keep: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """Model keep-list (only the listed variables that exist)."""
-    cols = [c for c in list(ids) + list(keep) if c in df.columns]
-    return df.select(*dict.fromkeys(cols))
+    """Model keep-list after the id columns; a listed variable that is not there raises."""
+    cols = list(dict.fromkeys([*ids, *keep]))
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing model variables: {missing}")
+    return df.select(*cols)

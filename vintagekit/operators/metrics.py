@@ -27,7 +27,7 @@ def _sum_aggs(cond: Column | None = None, prefix: str = "") -> list[Column]:
         if c in ("volume", "responders", "Boards"):
             out.append(F.coalesce(F.sum(v(c)), F.lit(0)).cast("long").alias(prefix + c))
         else:  # exact decimal accumulation: deterministic under any partitioning
-            s = F.sum(v(c).cast("decimal(38,10)")).cast("double")
+            s = F.sum(v(c).cast("decimal(38,18)")).cast("double")
             out.append(F.coalesce(s, F.lit(0.0)).alias(prefix + c))
     out.append(F.count(v("expected_responses_xpm")).alias(prefix + "_xpm_nn"))
     return out
@@ -82,12 +82,9 @@ def month_values(df: DataFrame, col: str = "campaign_month") -> list[str]:
     return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
-def pivot_metric(df: DataFrame, row_dim: str, metric: str, column_dim: str = "campaign_month",
-                 values: Sequence[str] | None = None) -> DataFrame:
-    """A5: aggregate to (row, column) first, then lay the metric out wide."""
-    long = aggregate_by(df, [row_dim, column_dim])
-    vals = list(values) if values is not None else month_values(long, column_dim)
-    return long.groupBy(row_dim).pivot(column_dim, vals).agg(F.first(metric))
+def pivot_metric(df: DataFrame, row_dim: str, metric: str, values: Sequence[str], column_dim: str = "campaign_month") -> DataFrame:
+    """A5: aggregate to (row, column) first, then lay the metric out wide over the caller's columns."""
+    return aggregate_by(df, [row_dim, column_dim]).groupBy(row_dim).pivot(column_dim, list(values)).agg(F.first(metric))
 
 
 def pivot_overall_long(df: DataFrame, row_dim: str, metric: str, threshold: int = C.SMALL_CELL_THRESHOLD,
@@ -120,6 +117,31 @@ def pivot_overall_long(df: DataFrame, row_dim: str, metric: str, threshold: int
         "value")
 
 
+def pivot_overall(df: DataFrame, row_dim: str, metric: str, values: Sequence[str],
+                  threshold: int = C.SMALL_CELL_THRESHOLD, column_dim: str = "campaign_month") -> DataFrame:
+    """The wide table - one row per row value plus "Overall", one column per month plus "Overall"."""
+    long = pivot_overall_long(df, row_dim, metric, threshold, column_dim)
+    return (long.groupBy(F.col("row_value").alias("Row")).pivot("column_key", [*values, "Overall"]).agg(F.first("value")))
+
+
+def format_metric(value: Column, metric: str) -> Column:
+    """Counts with thousands separators, ratios with two decimals, rates as percent with two decimals; a dash
+    for a missing value. Halves round up."""
+    if metric in C.COUNT_METRICS:
+        text = F.format_number(value.cast("long"), 0)
+    else:
+        ratio = metric in C.RATIO_METRICS
+        h = F.floor(value * F.lit(100.0 if ratio else 10000.0) + F.lit(0.5)).cast("long")
+        whole = F.floor(h / 100).cast("long").cast("string")
+        text = F.concat(whole, F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"), F.lit("" if ratio else "%"))
+    return F.when(value.isNull() | F.isnan(value.cast("double")), F.lit("\u2014")).otherwise(text)
+
+
+def formatted_pivot(wide: DataFrame, metric: str, row_col: str = "Row") -> DataFrame:
+    """A16 on the wide table."""
+    return wide.select(row_col, *[format_metric(F.col(f"`{c}`"), metric).alias(c) for c in wide.columns if c != row_col])
+
+
 def month_window(df: DataFrame, months: Sequence[str] | None = None, month_from: str | None = None,
                  month_to: str | None = None, lookback: int | None = C.DEFAULT_LOOKBACK_MONTHS,
                  col: str = "campaign_month") -> DataFrame:
@@ -235,38 +257,49 @@ def volume_mix(df: DataFrame, row_dim: str) -> DataFrame:
 # validation (DQ1, SNK4)
 # ----------------------------------------------------------------------------
 
-ERROR_RULES = (
-    ("negative volume", lambda: F.min("volume") < 0),
-    ("total volume not positive", lambda: F.coalesce(F.sum("volume"), F.lit(0)) <= 0),
-    ("responders exceed volume", lambda: F.max((F.col("responders") > F.col("volume")).cast("int")) == 1),
-    ("boards exceed volume", lambda: F.max((F.col("Boards") > F.col("volume")).cast("int")) == 1),
-    ("foreign campaign_month", lambda: F.max((F.col("campaign_month") != F.col("expected_month")).cast("int")) == 1),
-)
-WARNING_RULES = (
-    ("expected_responses outside [0, volume]",
-     lambda: F.max(((F.col("expected_responses") < 0) | (F.col("expected_responses") > F.col("volume")))
-                   .cast("int")) == 1),
-    ("expected_responses_xpm outside [0, volume]",
-     lambda: F.max(((F.col("expected_responses_xpm") < 0) | (F.col("expected_responses_xpm") > F.col("volume")))
-                   .cast("int")) == 1),
-)
-
-
-def validate_rollup(df: DataFrame, expected_month: str = "expected_month") -> DataFrame:
-    """DQ1: one row per expected month: errors block the month, warnings do not."""
-    g = df.groupBy(expected_month).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("total_volume"),
-        F.coalesce(F.sum("responders"), F.lit(0)).cast("long").alias("total_responders"),
-        F.coalesce(F.sum("Boards"), F.lit(0)).cast("long").alias("total_boards"),
-        *[F.coalesce(rule(), F.lit(False)).alias(f"_e{i}") for i, (_, rule) in enumerate(ERROR_RULES)],
-        *[F.coalesce(rule(), F.lit(False)).alias(f"_w{i}") for i, (_, rule) in enumerate(WARNING_RULES)])
-    errs = F.array_compact(F.array(*[F.when(F.col(f"_e{i}"), F.lit(msg)) for i, (msg, _) in enumerate(ERROR_RULES)]))
-    warns = F.array_compact(F.array(*[F.when(F.col(f"_w{i}"), F.lit(msg))
-                                      for i, (msg, _) in enumerate(WARNING_RULES)]))
-    return g.select(F.col(expected_month).alias("campaign_month"), "row_count", "total_volume", "total_responders",
-                    "total_boards", (F.size(errs) == 0).alias("ok"),
-                    F.array_join(errs, "; ").alias("errors"), F.array_join(warns, "; ").alias("warnings"))
+TOTALS = ("row_count", "total_volume", "total_responders", "total_boards", "total_expected_responses",
+          "total_expected_responses_xpm")
+VALIDATION_SCHEMA = ("campaign_month string, row_count long, total_volume long, total_responders long, total_boards long, "
+                     "total_expected_responses double, total_expected_responses_xpm double, ok boolean, errors string, warnings string")
+
+
+def _exact(col: str) -> Column:
+    """Sum of a double accumulated in decimal: the same under any partitioning."""
+    return F.sum(F.col(col).cast("decimal(38,18)")).cast("double")
+
+
+def validate_rollup(df: DataFrame, expected: DataFrame | None = None, month: str = "load_month") -> DataFrame:
+    """DQ1: one row per month attempt (``month``, where the rows were read from): errors block the month, warnings
+    do not. Responders, boards and expected responses are compared as totals. ``expected`` lists the attempts, so a
+    month without rows is reported as empty; without required columns every attempt fails."""
+    missing = [c for c in C.REQUIRED_ROLLUP_COLUMNS if c not in df.columns]
+    attempts = (expected if expected is not None else df).select(month).distinct()
+    if missing:
+        return attempts.select(
+            F.col(month).alias("campaign_month"), *[F.lit(None).cast("double" if "expected" in t else "long").alias(t) for t in TOTALS],
+            F.lit(False).alias("ok"), F.lit(f"missing required columns: {', '.join(missing)}").alias("errors"), F.lit("").alias("warnings"))
+    foreign = ~F.col("campaign_month").eqNullSafe(F.col(month)) if "campaign_month" in df.columns else F.lit(False)
+    xpm = _exact("expected_responses_xpm") if "expected_responses_xpm" in df.columns else F.lit(None).cast("double")
+    g = df.groupBy(month).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("volume").cast("long").alias("total_volume"),
+        F.sum("responders").cast("long").alias("total_responders"), F.sum("Boards").cast("long").alias("total_boards"),
+        _exact("expected_responses").alias("total_expected_responses"), xpm.alias("total_expected_responses_xpm"),
+        F.min("volume").alias("_least"), F.max(foreign).alias("_foreign"))
+    g = attempts.join(g, month, "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    v, some = F.col("total_volume"), F.col("row_count") > 0
+
+    def outside(col: str) -> Column:
+        return (F.col(col) < 0) | (F.col(col) > v)
+
+    errors = [(~some, "rollup is empty"), (F.col("_least") < 0, "negative volume"),
+              (some & F.coalesce(v <= 0, F.lit(True)), "total volume not positive"),
+              (F.col("total_responders") > v, "responders exceed volume"), (F.col("total_boards") > v, "boards exceed volume"),
+              (F.col("_foreign"), "foreign campaign_month")]
+    warnings = [(outside("total_expected_responses"), "expected_responses outside [0, volume]"),
+                (outside("total_expected_responses_xpm"), "expected_responses_xpm outside [0, volume]")]
+    said = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
+    return g.select(F.col(month).alias("campaign_month"), *TOTALS, (F.size(said(errors)) == 0).alias("ok"),
+                    F.array_join(said(errors), "; ").alias("errors"), F.array_join(said(warnings), "; ").alias("warnings"))
 
 
 def validation_summary(mart: DataFrame) -> DataFrame:
@@ -276,9 +309,9 @@ def validation_summary(mart: DataFrame) -> DataFrame:
         F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("total_volume"),
         F.coalesce(F.sum("responders"), F.lit(0)).cast("long").alias("total_responders"),
         F.coalesce(F.sum("Boards"), F.lit(0)).cast("long").alias("total_boards"),
-        F.coalesce(F.sum(F.col("expected_responses").cast("decimal(38,10)")).cast("double"), F.lit(0.0))
+        F.coalesce(F.sum(F.col("expected_responses").cast("decimal(38,18)")).cast("double"), F.lit(0.0))
         .alias("total_expected_responses"),
-        F.sum(F.col("expected_responses_xpm").cast("decimal(38,10)")).cast("double")
+        F.sum(F.col("expected_responses_xpm").cast("decimal(38,18)")).cast("double")
         .alias("total_expected_responses_xpm"),
         F.count("expected_responses_xpm").alias("_nn"))
     has = (F.col("_nn") > 0) & F.coalesce(F.col("total_expected_responses_xpm") != 0, F.lit(False))
@@ -291,18 +324,20 @@ def validation_summary(mart: DataFrame) -> DataFrame:
 # ingest conform (ING2-ING7, ING9)
 # ----------------------------------------------------------------------------
 
-def parse_rollup_month(names: DataFrame, col: str = "file_name") -> DataFrame:
+def rollup_month(name: str) -> Column:
     """ING2: exp_<MON><YY>_rollup.csv -> first day of month; 2-digit years below
     the pivot are 20YY, others 19YY; anything else -> null."""
     months = "|".join(C.MONTH_ABBREVIATIONS)
     pat = rf"(?i)^exp_({months})(\d{{2}})_rollup\.csv$"
-    mon = F.upper(F.regexp_extract(F.col(col), pat, 1))
-    yy = F.regexp_extract(F.col(col), pat, 2)
-    mnum = F.array_position(F.array(*[F.lit(m) for m in C.MONTH_ABBREVIATIONS]), mon).cast("int")
-    y = F.expr(f"try_cast(regexp_extract({col}, '{pat.replace(chr(92), chr(92) * 2)}', 2) AS int)")
+    mon = F.upper(F.regexp_extract(F.col(name), pat, 1))
+    number = F.array_position(F.array(*[F.lit(m) for m in C.MONTH_ABBREVIATIONS]), mon).cast("int")
+    y = F.regexp_extract(F.col(name), pat, 2).try_cast("int")
     year = F.when(y < C.TWO_DIGIT_YEAR_PIVOT, y + 2000).otherwise(y + 1900)
-    ok = (mon != "") & (yy != "")
-    return names.select(col, F.when(ok, F.make_date(year, mnum, F.lit(1))).alias("campaign_month"))
+    return F.when(mon != "", F.make_date(year, number, F.lit(1)))
+
+
+def parse_rollup_month(names: DataFrame, col: str = "file_name") -> DataFrame:
+    return names.select(col, rollup_month(col).alias("campaign_month"))
 
 
 def canonicalize_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -315,7 +350,7 @@ def canonicalize_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def prepare_rollup(df: DataFrame, month_text: Column | str | None = None) -> DataFrame:
     """ING3-ING7: canonical names, drop the precomputed rates, backfill the optional
     XPM column, blank band -> lowest band, month literal, permissive int flags."""
-    out = canonicalize_columns(df, list(C.REQUIRED_ROLLUP_COLUMNS) + list(C.OPTIONAL_ROLLUP_COLUMNS))
+    out = canonicalize_columns(df, C.ROLLUP_COLUMNS)
     out = out.drop(*[c for c in C.DROP_RATE_COLUMNS if c in out.columns])
     for c in C.OPTIONAL_ROLLUP_COLUMNS:
         if c not in out.columns:
@@ -331,13 +366,27 @@ def prepare_rollup(df: DataFrame, month_text: Column | str | None = None) -> Dat
     return out
 
 
-def missing_months(present: DataFrame, start: str | None = None, end: str | None = None,
-                   col: str = "campaign_month") -> DataFrame:
-    """ING9: expected months (yyyy-MM) between the bounds that are not present."""
-    p = present.select(col).distinct()
-    b = p.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
+_TYPES = {"Prospect_type": "string", "vs_band": "string", "annual_fee": "double", "times_mailed_12mo_cnt": "int", "volume": "bigint",
+          "responders": "bigint", "Boards": "bigint", "expected_responses": "double", "expected_responses_xpm": "double"}
+
+
+def conform_rollup(df: DataFrame) -> DataFrame:
+    """The known columns by name, cast by name (text that is no number becomes null), and the month and file columns."""
+    own = [*C.REQUIRED_ROLLUP_COLUMNS, *C.OPTIONAL_ROLLUP_COLUMNS]
+    extra = [c for c in ("campaign_month", "source_file") if c in df.columns]
+    return df.select(*[F.col(c).try_cast(_TYPES.get(c, "int")).alias(c) for c in own], *extra)
+
+
+def expected_months(present: DataFrame, start: str | None = None, end: str | None = None,
+                    col: str = "campaign_month") -> DataFrame:
+    """Every month (yyyy-MM) between the bounds; missing bounds are the first and last month present."""
+    b = present.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     lo = F.to_date(F.lit(start) if start else F.col("lo"), "yyyy-MM")
     hi = F.to_date(F.lit(end) if end else F.col("hi"), "yyyy-MM")
-    exp = b.select(F.explode(F.sequence(lo, hi, F.expr("interval 1 month"))).alias("_m")).select(
+    return b.select(F.explode(F.sequence(lo, hi, F.expr("interval 1 month"))).alias("_m")).select(
         F.date_format("_m", "yyyy-MM").alias(col))
-    return exp.join(p, col, "left_anti")
+
+
+def missing_months(expected: DataFrame, found: DataFrame, col: str = "campaign_month") -> DataFrame:
+    """ING9: expected months for which no file is in the plan."""
+    return expected.select(col).distinct().join(found.select(col).distinct(), col, "left_anti")

@@ -63,6 +63,11 @@ def write_payload(payload: DataFrame, path: str) -> None:
     payload.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
 
 
+def write_deciles(deciles: DataFrame, path: str) -> None:
+    """SNK7: partitioned Parquet, one folder per dataset."""
+    deciles.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+
+
 def dataset_diagnostics(payload: DataFrame, expected: DataFrame) -> DataFrame:
     """SNK8: one row per expected dataset: rows and included/empty status."""
     counts = payload.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"))

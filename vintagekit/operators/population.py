@@ -7,10 +7,11 @@ monthsonbooks, newaccountindicator, activeaccountindicator, chargeoffindicator,
 dimbucketid, dimstatusreasonid, bhvr_score, esc, scorecard, reservationnumber,
 dimproductofferedid, creditline, vantage3.
 
-Physical design: every best-row window, performance aggregation and account
-join is keyed by ``creditaccountid``; the fact arrives hash-partitioned by it,
-so those operators share one exchange. All reads are evaluated in one pass by
-conditional aggregation and unpivoted with ``stack`` - no per-read or
+Physical design: a study population is one scan of the fact and one exchange on
+``creditaccountid``. Best rows are minima of ordering structs, performance per
+read is a conditional maximum and exclusion is a flag, all in one ``groupBy``
+with a partial aggregate before the exchange, so an account with very many rows
+is never held together. Reads are unpivoted afterwards - no per-read or
 per-month loop and no cross join.
 """
 
@@ -21,7 +22,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagekit.config import StudyConfig
+from vintagekit.config import CREDITLINE_GROUPS, CREDITLINE_HIGH, CREDITLINE_MID, StudyConfig
 from vintagekit.functions.dates import add_month_start, month_end_of, month_start
 from vintagekit.functions.nulls import blank, flag
 
@@ -91,9 +92,9 @@ def contractual(cfg: StudyConfig) -> Column:
 # ----------------------------------------------------------------------------
 
 def dim_enrich(fact: DataFrame, products: DataFrame, month_end: DataFrame | None = None) -> DataFrame:
-    """J1 + J2: channel from the product dimension (broadcast, 25 rows by definition)
-    and the scorecard identifier from the month-end table on (cardid, reportingdate)."""
-    out = fact.join(F.broadcast(products), "dimproductofferedid", "left")
+    """J1 + J2: channel from the product dimension and the scorecard identifier from the
+    month-end table on (cardid, reportingdate)."""
+    out = fact.join(products, "dimproductofferedid", "left")
     if month_end is not None:
         me = month_end.filter(F.col("cardid").isNotNull())
         out = out.join(me, ["cardid", "reportingdate"], "left")
@@ -103,7 +104,7 @@ def dim_enrich(fact: DataFrame, products: DataFrame, month_end: DataFrame | None
 def _with_channel(df: DataFrame, products: DataFrame | None) -> DataFrame:
     if products is None:
         return df.withColumn("channel", F.lit(None).cast("string"))
-    return df.join(F.broadcast(products), "dimproductofferedid", "left")
+    return df.join(products, "dimproductofferedid", "left")
 
 
 # ----------------------------------------------------------------------------
@@ -128,17 +129,17 @@ def data_window(fact: DataFrame, cfg: StudyConfig) -> DataFrame:
             .withColumn("portfolio_snapshot_month", F.add_months("latest_data_month", -offset)))
 
 
-def resolve_window(fact: DataFrame, cfg: StudyConfig) -> tuple[dt.date, dt.date]:
-    """Driver-side (first board month, latest complete month): one aggregated row."""
-    row = data_window(fact, cfg).select("first_board_month", "latest_data_month").first()
+def resolve_window(fact: DataFrame, cfg: StudyConfig) -> tuple[dt.date, dt.date, dt.date]:
+    """Driver-side (first board month, latest complete month, snapshot month): one aggregated row."""
+    row = data_window(fact, cfg).select("first_board_month", "latest_data_month", "portfolio_snapshot_month").first()
     if row is None or row[0] is None or row[1] is None:
         raise ValueError("no subject accounts found for the configured program codes")
-    return row[0], row[1]
+    return row[0], row[1], row[2]
 
 
 def exclusion_set(fact: DataFrame, cfg: StudyConfig, window_start: dt.date) -> DataFrame:
     """Accounts that ever had a listed status reason since the look-back start."""
-    start = add_month_start(window_start, -cfg.exclusion_lookback_months)
+    start = exclusion_start(cfg, window_start)
     return (fact.filter(F.col("cardid").isNotNull() & (F.col("reportingdate") >= F.lit(start))
                         & F.col("dimstatusreasonid").isin(list(cfg.exclusion_ids)))
             .select(ACCT).distinct())
@@ -198,27 +199,29 @@ def boards(fact: DataFrame, cfg: StudyConfig, start_eom: dt.date, end_eom: dt.da
         "channel", "creditline")
 
 
-def best_score(br: DataFrame, fact: DataFrame, cfg: StudyConfig, start_eom: dt.date | None,
-               end_eom: dt.date | None) -> DataFrame:
-    """Per boarded account the score row ranked valid first, blank status first,
-    latest, largest card. ``cfg.score_mob`` pins a months-on-books."""
-    s = fact.filter(F.col("cardid").isNotNull())
-    if start_eom is not None:
-        s = s.filter(F.col("reportingdate") >= F.lit(start_eom))
-    if end_eom is not None:
-        s = s.filter(F.col("reportingdate") <= F.lit(end_eom))
-    if cfg.score_mob is not None:
-        s = s.filter(F.col("monthsonbooks") == cfg.score_mob)
-    s = s.join(br.select(ACCT), ACCT, "left_semi")
-    order = [F.when(valid_score(cfg), 0).otherwise(1), F.when(blank("esc"), 0).otherwise(1),
-             F.col("reportingdate").desc()] + card_desc()
-    best = first_per_account(s, order)
-    return best.select(
-        ACCT,
-        F.col("reportingdate").alias("score_reportingdate"),
-        F.col("monthsonbooks").alias("score_mob"),
-        F.col("dimbucketid").alias("bucket_at_score"),
-        "bhvr_score", "esc", "scorecard")
+def _down(*cols: str) -> list[Column]:
+    """Keys of a descending order, nulls last, for use in an ordering struct."""
+    return [k for c in cols for k in (F.col(c).isNull(), -F.col(c))]
+
+
+def _first(cond: Column, order: list[Column], fields: list[Column]) -> Column:
+    """The fields of the first row under ``order`` among the rows where ``cond`` holds."""
+    keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
+    return F.min(F.when(cond, F.struct(*keys, *fields)))
+
+
+_CARD = ("cardid", "card_part", "card_supp")
+
+
+def _score_order(cfg: StudyConfig, status: bool = True) -> list[Column]:
+    """Valid score first, then (optionally) blank status first."""
+    return ([F.when(valid_score(cfg), 0).otherwise(1)]
+            + ([F.when(blank("esc"), 0).otherwise(1)] if status else []))
+
+
+def _excluded(cfg: StudyConfig, start: dt.date) -> Column:
+    """1 if any of an account's rows since ``start`` carries a listed status reason."""
+    return F.max(flag((F.col("reportingdate") >= F.lit(start)) & F.col("dimstatusreasonid").isin(list(cfg.exclusion_ids))))
 
 
 def _read_aggs(cfg: StudyConfig, in_window: Column, at_horizon, cols: tuple[str, ...]):
@@ -254,60 +257,81 @@ def _stack_reads(df: DataFrame, cfg: StudyConfig, keep: list[str]) -> DataFrame:
     return out.select(*keep, "_r.*")
 
 
-def cohort_perf(br: DataFrame, fact: DataFrame, cfg: StudyConfig, start_eom: dt.date | None,
-                end_eom: dt.date | None, mode: str = "ever") -> DataFrame:
-    """Per boarded account and read, performance through the horizon in MOB.
-
-    mode "ever": rows with MOB in [start_mob, horizon]; "point_in_time": the
-    horizon row, or a charge-off row earlier in the window (parenthesised: the
-    account equality and activity condition apply to both branches).
-    Returns one row per (account, read) for accounts that have any row.
-    """
-    p = fact.filter(F.col("cardid").isNotNull()
-                    & ((F.col("activeaccountindicator") == 1) | (F.col("chargeoffindicator") == 1))
-                    & (F.col("monthsonbooks") >= cfg.perf_start_mob)
-                    & (F.col("monthsonbooks") <= cfg.max_horizon))
-    if start_eom is not None:
-        p = p.filter(F.col("reportingdate") >= F.lit(start_eom))
-    if end_eom is not None:
-        p = p.filter(F.col("reportingdate") <= F.lit(end_eom))
-    p = p.join(br.select(ACCT), ACCT, "left_semi").withColumn("_contractual", contractual(cfg))
+def _inside(mode: str):
+    """Which performance rows count for a read. "ever": up to the horizon; "point_in_time": the
+    horizon row, or a charge-off row up to it (the activity condition applies to both branches)."""
     mob = F.col("monthsonbooks")
     if mode == "ever":
-        def inside(r):
-            return mob <= r.horizon
-    elif mode == "point_in_time":
-        def inside(r):
-            return (mob == r.horizon) | ((mob <= r.horizon) & (F.col("chargeoffindicator") == 1))
-    else:
-        raise ValueError("mode must be 'ever' or 'point_in_time'")
-    agg = p.groupBy(ACCT).agg(*_read_aggs(cfg, inside, lambda r: mob == r.horizon, PERF_FIELDS))
-    return agg
+        return lambda r: mob <= r.horizon
+    if mode == "point_in_time":
+        return lambda r: (mob == r.horizon) | ((mob <= r.horizon) & (F.col("chargeoffindicator") == 1))
+    raise ValueError("mode must be 'ever' or 'point_in_time'")
+
+
+def _performing() -> Column:
+    return (F.col("activeaccountindicator") == 1) | (F.col("chargeoffindicator") == 1)
 
 
 def _eligible(has_col: str, co_col: str) -> Column:
     return flag((F.coalesce(F.col(has_col), F.lit(0)) == 1) | (F.coalesce(F.col(co_col), F.lit(0)) == 1))
 
 
+def _cohort(fact: DataFrame, cfg: StudyConfig, boarded: tuple[dt.date, dt.date], window: tuple[dt.date, dt.date] | None,
+            exclude_from: dt.date | None, products: DataFrame | None, mode: str) -> DataFrame:
+    """D1 + D2 + P8 + P10 (+ J6): boarding row, best score, performance per read and exclusion of every
+    account in one aggregation. ``boarded`` and ``window`` are month-end ranges of the boarding rows and
+    of the score and performance rows (None: all)."""
+    date, mob = F.col("reportingdate"), F.col("monthsonbooks")
+    rows = F.lit(True) if window is None else date.between(F.lit(window[0]), F.lit(window[1]))
+    f = fact.filter(F.col("cardid").isNotNull())
+    if window is not None and exclude_from is not None:
+        f = f.filter(date >= F.lit(min(window[0], exclude_from)))
+    board = date.between(*map(F.lit, boarded)) & (F.col("newaccountindicator") == 1) & program_filter(cfg)
+    if cfg.creditline_tier is not None:
+        board = board & (F.col("creditline") == F.lit(cfg.creditline_tier))
+    scored = rows if cfg.score_mob is None else rows & (mob == cfg.score_mob)
+    perform = rows & _performing() & (mob >= cfg.perf_start_mob) & (mob <= cfg.max_horizon)
+    inside = _inside(mode)
+    f = f.withColumn("_contractual", contractual(cfg)).withColumn("_day", F.unix_date("reportingdate"))
+    g = f.groupBy(ACCT).agg(
+        _first(board, [date] + _down(*_CARD), [
+            date.alias("cohort_reportingdate"), F.col("opendate"), F.col("cardid").alias("board_cardid"),
+            F.col("reservationnumber"), F.col("dimproductofferedid"), F.col("creditline")]).alias("b"),
+        _first(scored, _score_order(cfg) + _down("_day", *_CARD), [
+            date.alias("score_reportingdate"), mob.alias("score_mob"), F.col("dimbucketid").alias("bucket_at_score"),
+            F.col("bhvr_score"), F.col("esc"), F.col("scorecard")]).alias("s"),
+        *_read_aggs(cfg, lambda r: perform & inside(r), lambda r: mob == r.horizon, PERF_FIELDS),
+        (_excluded(cfg, exclude_from) if exclude_from is not None else F.lit(0)).alias("_excluded"))
+    g = g.filter(F.col("b").isNotNull() & (F.coalesce("_excluded", F.lit(0)) == 0))
+    reads = [f"{r.key}__{c}" for r in cfg.reads for c in PERF_FIELDS]
+    wide = _with_channel(g.select(ACCT, *[f"b.{c}" for c in (
+        "cohort_reportingdate", "opendate", "board_cardid", "reservationnumber", "dimproductofferedid", "creditline")],
+        *[f"s.{c}" for c in SCORE_FIELDS], *reads), products)
+    wide = wide.select("*", month_start("cohort_reportingdate").alias("vintage"), program_code().alias("program_code"),
+                       campaign_code().alias("campaign_code"))
+    keep = ["vintage", "cohort_reportingdate", "opendate", ACCT, "board_cardid", "reservationnumber", "program_code",
+            "campaign_code", "channel", "creditline", *SCORE_FIELDS]
+    return (_stack_reads(wide, cfg, keep).withColumn("metric_eligible", _eligible("has_horizon", "chargeoff"))
+            .withColumnRenamed("has_horizon", "has_horizon_mob"))
+
+
+SCORE_FIELDS = ("score_reportingdate", "score_mob", "bucket_at_score", "bhvr_score", "esc", "scorecard")
+
+
+def exclusion_start(cfg: StudyConfig, window_start: dt.date) -> dt.date:
+    return add_month_start(window_start, -cfg.exclusion_lookback_months)
+
+
 def cohort_bulk(fact: DataFrame, cfg: StudyConfig, window_start: dt.date, window_end: dt.date,
                 products: DataFrame | None = None, mode: str = "ever",
-                include_invalid: bool = False, excluded: DataFrame | None = None) -> DataFrame:
+                include_invalid: bool = False, exclude: bool = True) -> DataFrame:
     """Cohort dataset for every board month and every read in one pass.
 
     One row per (account, read): board attributes, best score, performance,
     ``metric_eligible`` (horizon observed or charged off) and ``target``.
     """
-    start_eom = month_end_of(window_start)
-    end_eom = month_end_of(window_end)
-    br = boards(fact, cfg, start_eom, end_eom, products)
-    sc = best_score(br, fact, cfg, start_eom, end_eom)
-    perf = cohort_perf(br, fact, cfg, start_eom, end_eom, mode)
-    wide = br.join(sc, ACCT, "left").join(perf, ACCT, "left")
-    keep = [c for c in br.columns] + [c for c in sc.columns if c != ACCT]
-    long = _stack_reads(wide, cfg, keep)
-    out = long.withColumn("metric_eligible", _eligible("has_horizon", "chargeoff")) \
-        .withColumnRenamed("has_horizon", "has_horizon_mob")
-    out = exclude_accounts(out, excluded)
+    window = month_end_of(window_start), month_end_of(window_end)
+    out = _cohort(fact, cfg, window, window, exclusion_start(cfg, window_start) if exclude else None, products, mode)
     return valid_score_filter(out, cfg, include_invalid=include_invalid)
 
 
@@ -315,16 +339,9 @@ def cohort_month(fact: DataFrame, cfg: StudyConfig, cohort: dt.date, products: D
                  mode: str = "ever", include_invalid: bool = False) -> DataFrame:
     """One board month, score rows and performance rows without date bounds."""
     eom = month_end_of(cohort)
-    br = boards(fact, cfg, eom, eom, products)
-    sc = best_score(br, fact, cfg, None, None)
-    perf = cohort_perf(br, fact, cfg, None, None, mode)
-    wide = br.join(sc, ACCT, "left").join(perf, ACCT, "left")
-    keep = list(br.columns) + [c for c in sc.columns if c != ACCT]
-    long = _stack_reads(wide, cfg, keep)
-    out = long.withColumn("metric_eligible", _eligible("has_horizon", "chargeoff")) \
-        .withColumnRenamed("has_horizon", "has_horizon_mob") \
-        .withColumn("performance_mode", F.lit(mode)) \
-        .withColumn("configured_score_mob", F.lit(cfg.score_mob).cast("int"))
+    out = (_cohort(fact, cfg, (eom, eom), None, None, products, mode)
+           .withColumn("performance_mode", F.lit(mode))
+           .withColumn("configured_score_mob", F.lit(cfg.score_mob).cast("int")))
     return valid_score_filter(out, cfg, include_invalid=include_invalid)
 
 
@@ -338,157 +355,144 @@ def perf_bounds(snapshot: dt.date, horizon: int, m1_inclusive: bool) -> tuple[dt
     return start, end
 
 
-def snapshot_rows(fact: DataFrame, cfg: StudyConfig, snapshot: dt.date, products: DataFrame | None,
-                  variant: str = "score_status_card") -> DataFrame:
-    """D3: best active-or-new subject row per account at the snapshot month end.
+SNAPSHOT_ORDERS = ("score_status_card", "score_card", "card")
+_AT_SNAPSHOT = ("snapshot_reportingdate", "opendate", "snapshot_cardid", "activeaccountindicator", "newaccountindicator",
+                "reservationnumber", "dimproductofferedid", "creditline", "vantage3", "bucket_at_snapshot", "bhvr_score",
+                "esc", "scorecard")
+_CLOSEST = ("score_reportingdate", "score_mob", "score_cardid", "days_from_snapshot", "bhvr_score", "esc", "scorecard")
 
-    variant: "score_status_card" (valid, blank status, largest card),
-    "score_card" (valid, largest card) or "card" (largest card).
-    """
-    obs = month_end_of(snapshot)
-    f = fact.filter((F.col("reportingdate") == F.lit(obs)) & F.col("cardid").isNotNull()
-                    & active_or_new() & program_filter(cfg))
-    order = []
-    if variant in ("score_status_card", "score_card"):
-        order.append(F.when(valid_score(cfg), 0).otherwise(1))
-    if variant == "score_status_card":
-        order.append(F.when(blank("esc"), 0).otherwise(1))
-    best = first_per_account(f, order + card_desc())
-    best = _with_channel(best, products)
-    return best.select(
-        month_start("reportingdate").alias("vintage"),
-        F.col("reportingdate").alias("snapshot_reportingdate"),
-        "opendate", month_start("opendate").alias("board_month"), ACCT,
-        F.col("cardid").alias("snapshot_cardid"),
-        "activeaccountindicator", "newaccountindicator",
-        population_source().alias("snapshot_population_source"),
-        "reservationnumber", program_code().alias("program_code"),
-        campaign_code().alias("campaign_code"), "channel", "creditline",
-        F.col("dimbucketid").alias("bucket_at_snapshot"), "bhvr_score", "esc", "scorecard")
-
-
-def forward_perf(snap: DataFrame, fact: DataFrame, cfg: StudyConfig, snapshot: dt.date) -> DataFrame:
-    """J4 + P8 in calendar months: for every read the forward window from the
-    snapshot; one scan of the widest window, per-read conditional aggregates."""
+
+def snapshot_pass(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None = None, subject: str | None = "score_status_card",
+                  benchmark: bool = False, exclude_from: dt.date | None = None, closest: bool = False) -> DataFrame:
+    """D3 + J4 + P8 (+ J5, J6, J7): the subject and benchmark rows of a snapshot month in one scan and one
+    exchange. One row per (population, account) with the row picked at the month end, the forward performance
+    of every read as ``<read>__<field>``, and with ``exclude_from`` the flags ``excluded`` and ``at_tier``.
+
+    ``subject``: which of an account's rows stands for it - "score_status_card" (valid, blank status, largest
+    card), "score_card" or "card"; None leaves the subject out. ``closest``: per read the nearest valid score
+    on or after the snapshot inside the read's window (nearest, earlier, larger card)."""
+    if subject is not None and subject not in SNAPSHOT_ORDERS:
+        raise ValueError(f"subject must be one of {SNAPSHOT_ORDERS}")
+    snapshot = cfg.snapshot_month
+    obs, date = month_end_of(snapshot), F.col("reportingdate")
     bounds = {r.key: perf_bounds(snapshot, r.horizon, cfg.m1_inclusive) for r in cfg.reads}
-    lo = min(b[0] for b in bounds.values())
-    hi = max(b[1] for b in bounds.values())
-    p = fact.filter((F.col("reportingdate") >= F.lit(lo)) & (F.col("reportingdate") <= F.lit(hi))
-                    & F.col("cardid").isNotNull()
-                    & ((F.col("activeaccountindicator") == 1) | (F.col("chargeoffindicator") == 1)))
-    p = p.join(snap.select(ACCT), ACCT, "left_semi").withColumn("_contractual", contractual(cfg))
-    d = F.col("reportingdate")
+    f = fact.filter(F.col("cardid").isNotNull())
+    if exclude_from is None:
+        f = f.filter((date >= F.lit(obs)) & (date <= F.lit(max(e for _, e in bounds.values()))))
+    at = date == F.lit(obs)
+    fields = [date.alias("snapshot_reportingdate"), F.col("opendate"), F.col("cardid").alias("snapshot_cardid"),
+              *[F.col(c) for c in ("activeaccountindicator", "newaccountindicator", "reservationnumber", "dimproductofferedid",
+                                   "creditline", "vantage3")],
+              F.col("dimbucketid").alias("bucket_at_snapshot"), *[F.col(c) for c in ("bhvr_score", "esc", "scorecard")]]
+    picks = {}
+    if subject is not None:
+        order = [] if subject == "card" else _score_order(cfg, status=subject == "score_status_card")
+        picks["subject"] = _first(at & active_or_new() & program_filter(cfg), order + _down(*_CARD), fields)
+    if benchmark:
+        like = (at & (F.col("activeaccountindicator") == 1) & (F.col("dimbucketid") <= cfg.benchmark_bucket_max)
+                & (F.col("vantage3") >= cfg.benchmark_vantage_min) & not_program_filter(cfg))
+        if cfg.benchmark_require_blank_status:
+            like = like & blank("esc")
+        picks["benchmark"] = _first(like, _score_order(cfg, status=False) + _down(*_CARD), fields)
 
     def inside(r):
         s, e = bounds[r.key]
-        return (d >= F.lit(s)) & (d <= F.lit(e))
-
-    return p.groupBy(ACCT).agg(*_read_aggs(cfg, inside, lambda r: d == F.lit(bounds[r.key][1]), PERF_FIELDS))
-
-
-def portfolio_snapshot(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None = None,
-                       include_invalid: bool = False, eligible_only: bool = True,
-                       excluded: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Active-or-new subject accounts at the snapshot with forward performance per read."""
-    snap = snapshot_rows(fact, cfg, cfg.snapshot_month, products)
-    perf = forward_perf(snap, fact, cfg, cfg.snapshot_month)
-    wide = snap.join(perf, ACCT, "left")
-    long = _stack_reads(wide, cfg, list(snap.columns))
-    out = (long.withColumn("metric_eligible", _eligible("has_horizon", "chargeoff"))
+        return _performing() & (date >= F.lit(s)) & (date <= F.lit(e))
+
+    aggs = _read_aggs(cfg, inside, lambda r: date == F.lit(bounds[r.key][1]), PERF_FIELDS)
+    kept = [f"{r.key}__{c}" for r in cfg.reads for c in PERF_FIELDS]
+    if closest:
+        days = F.datediff(date, F.lit(obs))
+        for r in cfg.reads:
+            near = valid_score(cfg) & (date >= F.lit(obs)) & (date <= F.lit(bounds[r.key][1]))
+            aggs.append(_first(near, [F.abs(days), date] + _down(*_CARD), [
+                date.alias("score_reportingdate"), F.col("monthsonbooks").alias("score_mob"), F.col("cardid").alias("score_cardid"),
+                days.alias("days_from_snapshot"), F.col("bhvr_score"), F.col("esc"), F.col("scorecard")]).alias(f"{r.key}__pick"))
+            kept.append(f"{r.key}__pick")
+    if exclude_from is not None:
+        tier = (F.col("newaccountindicator") == 1) & program_filter(cfg)
+        if cfg.creditline_tier is not None:
+            tier = tier & (F.col("creditline") == F.lit(cfg.creditline_tier))
+        aggs += [_excluded(cfg, exclude_from).alias("excluded"), F.max(flag(tier)).alias("at_tier")]
+        kept += ["excluded", "at_tier"]
+    g = f.withColumn("_contractual", contractual(cfg)).groupBy(ACCT).agg(*[v.alias(k) for k, v in picks.items()], *aggs)
+    each = F.array_compact(F.array(*[
+        F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("population"), *[F.col(f"{k}.{c}").alias(c) for c in _AT_SNAPSHOT]))
+        for k in picks]))
+    g = g.select(ACCT, F.explode(each).alias("x"), *kept).select(ACCT, "x.*", *kept)
+    return _with_channel(g, products).select(
+        "*", month_start("snapshot_reportingdate").alias("vintage"), month_start("opendate").alias("board_month"),
+        population_source().alias("snapshot_population_source"), program_code().alias("program_code"),
+        campaign_code().alias("campaign_code"))
+
+
+_SUBJECT = ("vintage", "snapshot_reportingdate", "opendate", "board_month", ACCT, "snapshot_cardid", "activeaccountindicator",
+            "newaccountindicator", "snapshot_population_source", "reservationnumber", "program_code", "campaign_code",
+            "channel", "creditline", "bucket_at_snapshot", "bhvr_score", "esc", "scorecard")
+_BENCHMARK = ("vintage", "snapshot_reportingdate", "opendate", "board_month", ACCT, "snapshot_cardid", "reservationnumber",
+              "program_code", "channel", "creditline", "vantage3", "bucket_at_snapshot", "bhvr_score", "esc", "scorecard")
+
+
+def subject_rows(rows: DataFrame, cfg: StudyConfig, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (account, read) of the subject rows of a pass, before any score or eligibility filter."""
+    return _stack_reads(rows.filter(F.col("population") == "subject"), cfg, [*_SUBJECT, *more])
+
+
+def portfolio_rows(rows: DataFrame, cfg: StudyConfig, include_invalid: bool = False, eligible_only: bool = True,
+                   more: tuple[str, ...] = ()) -> DataFrame:
+    """P11 on the rows of a pass."""
+    out = (subject_rows(rows, cfg, more).withColumn("metric_eligible", _eligible("has_horizon", "chargeoff"))
            .withColumnRenamed("has_horizon", "has_horizon_snapshot"))
-    out = restrict_accounts(exclude_accounts(out, excluded), allowed)
     out = valid_score_filter(out, cfg, include_invalid=include_invalid)
     return out.filter(F.col("metric_eligible") == 1) if eligible_only else out
 
 
-def closest_score(snap: DataFrame, fact: DataFrame, cfg: StudyConfig, snapshot: dt.date,
-                  window_end: dt.date) -> DataFrame:
-    """J5 as-of join: per account the valid score on or after the snapshot date and
-    not after ``window_end``, nearest first, then earlier date, then larger card."""
-    obs = month_end_of(snapshot)
-    s = fact.filter(F.col("cardid").isNotNull() & (F.col("reportingdate") >= F.lit(obs))
-                    & (F.col("reportingdate") <= F.lit(window_end)) & valid_score(cfg))
-    s = s.join(snap.select(ACCT), ACCT, "left_semi")
-    days = F.datediff(F.col("reportingdate"), F.lit(obs))
-    best = first_per_account(s, [F.abs(days).asc(), F.col("reportingdate").asc()] + card_desc())
-    return best.select(ACCT, F.col("reportingdate").alias("score_reportingdate"),
-                       F.col("monthsonbooks").alias("score_mob"), F.col("cardid").alias("score_cardid"),
-                       F.datediff(F.col("reportingdate"), F.lit(obs)).alias("days_from_snapshot"),
-                       "bhvr_score", "esc", "scorecard")
+def benchmark_rows(rows: DataFrame, cfg: StudyConfig, with_groups: bool = True) -> DataFrame:
+    """P13 on the rows of a pass: null target counts as good and every account is eligible."""
+    long = _stack_reads(rows.filter(F.col("population") == "benchmark"), cfg, list(_BENCHMARK))
+    group = creditline_group() if with_groups else F.lit("Benchmark")
+    return (long.withColumn("target", F.coalesce(F.col("target"), F.lit(0))).withColumn("metric_eligible", F.lit(1))
+            .withColumn("benchmark_group", group).drop("has_horizon"))
+
+
+def not_excluded(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.coalesce("excluded", F.lit(0)) == 0)
+
+
+def portfolio_snapshot(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None, exclude_from: dt.date, **kw) -> DataFrame:
+    """Active-or-new subject accounts at the snapshot, boarded at the tier and not excluded, with forward
+    performance per read."""
+    rows = not_excluded(snapshot_pass(fact, cfg, products, exclude_from=exclude_from)).filter(F.col("at_tier") == 1)
+    return portfolio_rows(rows, cfg, **kw)
+
+
+def benchmark_snapshot(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None, exclude_from: dt.date,
+                       with_groups: bool = True) -> DataFrame:
+    """Non-subject active accounts of comparable quality at the snapshot, not excluded, forward performance."""
+    rows = snapshot_pass(fact, cfg, products, subject=None, benchmark=True, exclude_from=exclude_from)
+    return benchmark_rows(not_excluded(rows), cfg, with_groups)
 
 
 def portfolio_closest_score(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None = None) -> DataFrame:
-    """Snapshot (largest card) with, per read, the closest valid score inside
-    that read's window. One scan of the widest window; each read's pick is a
-    conditional ``min`` over an ordering struct (nearest, earlier, larger card)."""
-    snap = snapshot_rows(fact, cfg, cfg.snapshot_month, products, variant="card").drop(
-        "bhvr_score", "esc", "scorecard")
-    perf = forward_perf(snap, fact, cfg, cfg.snapshot_month)
-    obs = month_end_of(cfg.snapshot_month)
-    ends = {r.key: perf_bounds(cfg.snapshot_month, r.horizon, cfg.m1_inclusive)[1] for r in cfg.reads}
-    s = fact.filter(F.col("cardid").isNotNull() & (F.col("reportingdate") >= F.lit(obs))
-                    & (F.col("reportingdate") <= F.lit(max(ends.values()))) & valid_score(cfg))
-    s = s.join(snap.select(ACCT), ACCT, "left_semi")
-    days = F.datediff(F.col("reportingdate"), F.lit(obs))
-    pick = F.struct(F.abs(days).alias("k1"), F.col("reportingdate").alias("score_reportingdate"),
-                    (-F.col("cardid")).alias("k3"), (-F.col("card_part")).alias("k4"),
-                    (-F.col("card_supp")).alias("k5"),
-                    F.col("monthsonbooks").alias("score_mob"), F.col("cardid").alias("score_cardid"),
-                    days.alias("days_from_snapshot"), "bhvr_score", "esc", "scorecard")
-    picks = s.groupBy(ACCT).agg(*[
-        F.min(F.when(F.col("reportingdate") <= F.lit(ends[r.key]), pick)).alias(f"{r.key}__pick")
-        for r in cfg.reads])
-    wide = snap.join(perf, ACCT, "left").join(picks, ACCT, "left")
-    fields = ("score_reportingdate", "score_mob", "score_cardid", "days_from_snapshot",
-              "bhvr_score", "esc", "scorecard")
+    """P12 + J5: snapshot (largest card) with, per read, the closest valid score inside that read's window;
+    rows without a valid score or not eligible go."""
+    rows = snapshot_pass(fact, cfg, products, subject="card", closest=True)
     structs = [
-        F.struct(F.lit(r.key).alias("read_key"), F.lit(r.bucket).alias("target_bucket"),
-                 F.lit(r.horizon).alias("horizon"),
+        F.struct(F.lit(r.key).alias("read_key"), F.lit(r.bucket).alias("target_bucket"), F.lit(r.horizon).alias("horizon"),
                  *[F.col(f"{r.key}__{c}").alias(c) for c in PERF_FIELDS],
-                 *[F.col(f"{r.key}__pick.{c}").alias(c) for c in fields])
+                 *[F.col(f"{r.key}__pick.{c}").alias(c) for c in _CLOSEST])
         for r in cfg.reads
     ]
-    keep = list(snap.columns)
-    long = wide.select(*keep, F.explode(F.array(*structs)).alias("_r")).select(*keep, "_r.*")
+    keep = [c for c in _SUBJECT if c not in _CLOSEST]
+    long = rows.select(*keep, F.explode(F.array(*structs)).alias("_r")).select(*keep, "_r.*")
     return (long.withColumn("metric_eligible", _eligible("has_horizon", "chargeoff"))
-            .withColumnRenamed("has_horizon", "has_horizon_snapshot"))
+            .withColumnRenamed("has_horizon", "has_horizon_snapshot")
+            .filter(valid_score(cfg) & (F.col("metric_eligible") == 1)))
 
 
 def creditline_group(col: str = "creditline") -> Column:
     """benchmark credit-line groups and short labels."""
     c = F.col(col)
-    return (F.when(c >= 5000, "Group 1 - Credit Line >= $5,000")
-            .when((c < 5000) & (c >= 3000), "Group 2 - $5,000 > Credit Line >= $3,000")
-            .when(c < 3000, "Group 3 - Credit Line < $3,000")
-            .otherwise("Group Unknown Credit Line"))
-
-
-def benchmark_snapshot(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None = None,
-                       with_groups: bool = True, excluded: DataFrame | None = None) -> DataFrame:
-    """Non-subject active accounts of comparable quality at the snapshot, forward
-    performance; null target counts as good and every account is eligible."""
-    obs = month_end_of(cfg.snapshot_month)
-    f = fact.filter((F.col("reportingdate") == F.lit(obs)) & F.col("cardid").isNotNull()
-                    & (F.col("activeaccountindicator") == 1)
-                    & (F.col("dimbucketid") <= cfg.benchmark_bucket_max)
-                    & (F.col("vantage3") >= cfg.benchmark_vantage_min)
-                    & not_program_filter(cfg))
-    if cfg.benchmark_require_blank_status:
-        f = f.filter(blank("esc"))
-    best = first_per_account(f, [F.when(valid_score(cfg), 0).otherwise(1)] + card_desc())
-    best = _with_channel(best, products)
-    snap = best.select(
-        month_start("reportingdate").alias("vintage"),
-        F.col("reportingdate").alias("snapshot_reportingdate"),
-        "opendate", month_start("opendate").alias("board_month"), ACCT,
-        F.col("cardid").alias("snapshot_cardid"), "reservationnumber",
-        program_code().alias("program_code"), "channel", "creditline", "vantage3",
-        F.col("dimbucketid").alias("bucket_at_snapshot"), "bhvr_score", "esc", "scorecard")
-    perf = forward_perf(snap, fact, cfg, cfg.snapshot_month)
-    long = _stack_reads(snap.join(perf, ACCT, "left"), cfg, list(snap.columns))
-    group = creditline_group() if with_groups else F.lit("Benchmark")
-    out = (long.withColumn("target", F.coalesce(F.col("target"), F.lit(0)))
-           .withColumn("metric_eligible", F.lit(1))
-           .withColumn("benchmark_group", group)
-           .drop("has_horizon"))
-    return exclude_accounts(out, excluded)
+    high, mid, low, unknown = CREDITLINE_GROUPS
+    return (F.when(c >= CREDITLINE_HIGH, high).when((c < CREDITLINE_HIGH) & (c >= CREDITLINE_MID), mid)
+            .when(c < CREDITLINE_MID, low).otherwise(unknown))

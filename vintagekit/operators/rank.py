@@ -52,9 +52,8 @@ def tie_aware_deciles(df: DataFrame, groups: Sequence[str] = (), score: str = "b
     by_score = (by_score.withColumn("_cum_n", F.sum("n").over(cum))
                 .withColumn("total_n", F.sum("n").over(part))
                 .withColumn("total_bads", F.sum("bads").over(part)))
-    dec = F.least(F.greatest(F.floor((F.col("_cum_n") * k + F.col("total_n") - 1) / F.col("total_n")),
-                             F.lit(1)), F.lit(k)).cast("int")
-    by_score = by_score.withColumn("decile", dec)
+    share = F.expr(f"(_cum_n * {int(k)} + total_n - 1) div total_n")
+    by_score = by_score.withColumn("decile", F.least(F.greatest(share, F.lit(1)), F.lit(k)).cast("int"))
     d = by_score.groupBy(*groups, "decile").agg(
         F.min(score).alias("score_min"), F.max(score).alias("score_max"),
         F.sum("n").alias("n"), F.sum("bads").alias("bads"),
@@ -179,12 +178,34 @@ def month_stats(pairs: DataFrame, month_col: str = "vintage", groups: Sequence[s
 
 
 def lift_comparison(pairs: DataFrame, groups: Sequence[str] = ("population", "read_key"), k: int = 10) -> DataFrame:
-    """Decile rate over population rate per population, with D1 lift, last lift, spread."""
+    """Per population eligible, overall rate, first and last decile over it, and the D1/D10 lift with its label."""
     groups = list(groups)
     dec = tie_aware_deciles(pairs, groups, k=k)
-    g = dec.groupBy(*groups).agg(F.min_by("lift_vs_overall", "decile").alias("d1_lift"),
+    g = dec.groupBy(*groups).agg(F.sum("n").alias("eligible"), safe_div(F.sum("bads"), F.sum("n")).alias("edr"),
+                                 F.min_by("lift_vs_overall", "decile").alias("d1_lift"),
                                  F.max_by("lift_vs_overall", "decile").alias("d10_lift"))
-    return g.withColumn("lift_spread", F.col("d1_lift") - F.col("d10_lift"))
+    return g.join(d1_d10_lift(dec, groups).select(*groups, "d1_d10_lift", "lift_label"), groups, "left")
+
+
+def lift_table(pairs: DataFrame, groups: Sequence[str] = ("population", "read_key"), k: int = 10) -> DataFrame:
+    """Every decile's rate over its population's overall rate."""
+    dec = tie_aware_deciles(pairs, groups, k=k)
+    part = _w(list(groups))
+    return dec.select(*groups, "decile", "n", "bad_rate", safe_div(F.sum("bads").over(part), F.sum("n").over(part)).alias("edr"),
+                      "lift_vs_overall")
+
+
+def overlay_series(pairs: DataFrame, read: str, reads: Sequence[str], base: str, population: str = "population",
+                   read_col: str = "read_key", k: int = 10) -> DataFrame:
+    """Decile series of every population on one read: the requested one if the base population has rows on
+    it, else the first of ``reads`` on which it has."""
+    order = F.lit(None).cast("int")
+    for i, r in reversed(list(enumerate([read, *reads]))):
+        order = F.when(F.col(read_col) == r, F.lit(i)).otherwise(order)
+    dec = tie_aware_deciles(pairs, [population, read_col], k=k).withColumn("_order", order)
+    chosen = dec.filter(F.col(population) == base).agg(F.min("_order").alias("_order"))  # one row
+    return (dec.join(F.broadcast(chosen), "_order")
+            .select(population, read_col, "decile", "score_min", "score_max", "n", "bads", "bad_rate", "cum_bad_rate", "lift_vs_overall"))
 
 
 # ----------------------------------------------------------------------------

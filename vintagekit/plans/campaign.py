@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vintagekit.operators import campaign as CP
 from vintagekit.operators import features as FE
-from vintagekit.plans.studio import finish
 from vintagekit.session import prepare
 from vintagekit.sources import testdata as TD
+from vintagekit.sources.cache import cache_or_compute, stage_path
 
 BUREAU_FILE_PATTERN = "TRM_BUREAU_A%"
 
@@ -20,23 +20,31 @@ def _mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _apps(spark, sf_dir, mail):
-    return CP.applications(TD.applications(spark, sf_dir), TD.applicants(spark, sf_dir),
-                           TD.application_status(spark, sf_dir), mail)
+    rows = cache_or_compute(spark, stage_path(spark, "applications", sf_dir), lambda: TD.application_rows(spark, sf_dir),
+                            required=["APPLICATION_ID"])
+    return CP.applications(TD.applications(rows), TD.applicants(rows), TD.application_status(rows), mail)
 
 
-def _final(spark, sf_dir) -> DataFrame:
+def response(spark, sf_dir) -> DataFrame:
     mail = _mail(spark, sf_dir)
     first = CP.first_application(_apps(spark, sf_dir, mail))
     joined = CP.response_join(CP.first_mail_row(mail), first, TD.program_code_lookup(spark, sf_dir))
     return CP.final_response(joined)
 
 
+def staged_response(spark, sf_dir) -> DataFrame:
+    """C3 as a table of the session: the chain is joined once and everything after it reads it."""
+    prepare(spark)
+    return cache_or_compute(spark, stage_path(spark, "response", sf_dir), lambda: response(spark, sf_dir),
+                            required=["campaign_month", "ReservationNumber", "scorecard"], sort_within=["campaign_month"])
+
+
 def campaign_windows(spark, sf_dir):
     return CP.campaign_windows(_mail(spark, sf_dir).select("campaign_month").distinct())
 
 
 def mailfile_month(spark, sf_dir):
-    return finish(_mail(spark, sf_dir))
+    return _mail(spark, sf_dir)
 
 
 def applications(spark, sf_dir):
@@ -50,11 +58,11 @@ def first_application(spark, sf_dir):
 def response_join(spark, sf_dir):
     mail = _mail(spark, sf_dir)
     first = CP.first_application(_apps(spark, sf_dir, mail))
-    return finish(CP.response_join(CP.first_mail_row(mail), first, TD.program_code_lookup(spark, sf_dir)))
+    return CP.response_join(CP.first_mail_row(mail), first, TD.program_code_lookup(spark, sf_dir))
 
 
 def final_response(spark, sf_dir):
-    return finish(_final(spark, sf_dir))
+    return staged_response(spark, sf_dir)
 
 
 def campaign_flags(spark, sf_dir):
@@ -73,50 +81,50 @@ def vs_band(spark, sf_dir):
 def fixed_cut_deciles(spark, sf_dir):
     """response-score deciles from fixed cut points for every mail row."""
     m = _mail(spark, sf_dir)
-    return finish(m.select("campaign_month", "ReservationNumber", "TRM_Score", *CP.fixed_cut_deciles()))
+    return m.select("campaign_month", "ReservationNumber", "TRM_Score", *CP.fixed_cut_deciles())
 
 
 def campaign_rollup(spark, sf_dir):
-    return finish(CP.campaign_rollup(_final(spark, sf_dir)))
+    return CP.campaign_rollup(staged_response(spark, sf_dir))
 
 
 def combined_rollup(spark, sf_dir):
-    return finish(CP.combined_rollup(CP.campaign_rollup(_final(spark, sf_dir))))
+    return CP.combined_rollup(CP.campaign_rollup(staged_response(spark, sf_dir)))
 
 
 def _with_attrs(spark, sf_dir):
-    f = _final(spark, sf_dir).select("campaign_month", "ReservationNumber", "ENCRYPTED_PIN", "vantage3",
+    f = staged_response(spark, sf_dir).select("campaign_month", "ReservationNumber", "ENCRYPTED_PIN", "vantage3",
                                      "TM12_3RR", "scorecard", "pqabandon_flag", "prchargeoff_flag",
-                                     "prclosure_flag", "prdecline_flag")
+                                     "prclosure_flag", "prdecline_flag", "TRM_Score", "OFFER_CODE_FIRST_7",
+                                                   "CAMPFLAG1")
     return FE.append_attributes(f, TD.bureau_attributes(spark, sf_dir), BUREAU_FILE_PATTERN)
 
 
 def append_attributes(spark, sf_dir):
-    return finish(_with_attrs(spark, sf_dir))
+    return _with_attrs(spark, sf_dir)
 
 
 def engineered_features(spark, sf_dir):
-    return finish(FE.engineered_features(_with_attrs(spark, sf_dir)))
+    return FE.engineered_features(_with_attrs(spark, sf_dir))
 
 
 def woe_transforms(spark, sf_dir):
-    return finish(FE.woe_transforms(_with_attrs(spark, sf_dir)))
+    return FE.woe_transforms(_with_attrs(spark, sf_dir))
+
 
+IDS = ["campaign_month", "ReservationNumber", "scorecard"]
 
-# FIXED VALUES - derived variables of the scorecard keep-lists (raw bureau fields omitted)
-KEEP_LISTS = {
-    1: ("vantage3", "TM12_3RR", "iqt_1317ratio", "iqbt_16ratio", "Full_delinq", "ALL8370tr",
-        "Totbal_mon_pymt_rate", "ALL7516tr", "Util_NewCards_rate"),
-    2: ("vantage3", "TM12_3RR", "iqt9510_impcaplog", "bcc5421_woe", "rev3511_cap", "Effetive_max_util",
-        "Maxbal_mon_pymt_rate"),
-    3: ("ALL2350tr", "Full_delinq", "Util_NewCards_rate", "iqt_1510grad", "ALL8370tr", "iqt_1317grad",
-        "iqt_1315ratio", "iqbt_16ratio", "TM12_3RR", "prdecline_flag", "prclosure_flag", "pqabandon_flag",
-        "prchargeoff_flag"),
-}
+
+def _modelled(spark, sf_dir):
+    return FE.woe_transforms(FE.engineered_features(_with_attrs(spark, sf_dir)))
 
 
 def feature_select(spark, sf_dir):
-    """The union of the scorecard keep-lists over the engineered frame."""
-    df = FE.woe_transforms(FE.engineered_features(_with_attrs(spark, sf_dir)))
-    keep = [c for k in sorted(KEEP_LISTS) for c in KEEP_LISTS[k]]
-    return finish(FE.feature_select(df, keep, ids=["campaign_month", "ReservationNumber", "scorecard"]))
+    """The union of the four scorecards' variables over the engineered frame."""
+    keep = [c for k in sorted(FE.KEEP_LISTS) for c in FE.KEEP_LISTS[k]]
+    return FE.feature_select(_modelled(spark, sf_dir), keep, ids=IDS)
+
+
+def feature_select_sc4(spark, sf_dir):
+    """Scorecard 4's rows with its own variables."""
+    return FE.feature_select(_modelled(spark, sf_dir).filter(F.col("scorecard") == 4), FE.KEEP_LISTS[4], ids=IDS)

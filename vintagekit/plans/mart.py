@@ -4,6 +4,7 @@ and the month-partitioned Parquet mart (write, read, replace, logs)."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,22 @@ from pyspark.sql import functions as F
 from vintagekit import config as C
 from vintagekit.operators import campaign as CP
 from vintagekit.operators import metrics as M
-from vintagekit.plans.campaign import _final
-from vintagekit.plans.studio import finish
+from vintagekit.plans.campaign import staged_response
+from vintagekit.session import checkpoint_dir, prepare
+from vintagekit.sources import mart_store as S
+from vintagekit.sources.cache import cache_or_compute as staged
+from vintagekit.sources.cache import stage_path
 
 ROW_DIM = C.DEFAULT_ROW_DIM
 METRIC = C.DEFAULT_METRIC
+#: Splits the cells of the small test tables; the library's default is config.SMALL_CELL_THRESHOLD.
+CELL_THRESHOLD = 12
 FILTERS = {"vs_band": ["640-700", "701-730", "731-830"], "scorecard": [2, 4], "not_a_column": ["x"]}
 
 
 def build_mart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter M: the campaign rollup conformed as mart rows (campaign_month yyyy-MM)."""
-    roll = CP.campaign_rollup(_final(spark, sf_dir))
+    roll = CP.campaign_rollup(staged_response(spark, sf_dir))
     roll = roll.withColumn("campaign_month", F.date_format("campaign_month", "yyyy-MM"))
     return M.prepare_rollup(roll)
 
@@ -29,97 +35,110 @@ def build_mart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mart_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mart as the dashboard reads it: built once per session and staged as
     Parquet (SRC5), sorted by month so month filters skip row groups."""
-    from vintagekit.session import prepare
-    from vintagekit.sources.cache import cache_or_compute, stage_path
     prepare(spark)
-    return cache_or_compute(spark, stage_path(spark, "mart", sf_dir), lambda: build_mart_rows(spark, sf_dir),
+    return staged(spark, stage_path(spark, "mart", sf_dir), lambda: build_mart_rows(spark, sf_dir),
                             required=["campaign_month", "volume", "expected_responses_xpm"],
                             sort_within=["campaign_month"])
 
 
 def aggregate_by(spark, sf_dir):
-    return finish(M.aggregate_by(mart_frame(spark, sf_dir), ["vs_band", "scorecard"]))
+    return M.aggregate_by(mart_frame(spark, sf_dir), ["vs_band", "scorecard"])
 
 
 def kpi_totals(spark, sf_dir):
-    return finish(M.kpi_totals(mart_frame(spark, sf_dir)))
+    return M.kpi_totals(mart_frame(spark, sf_dir))
 
 
 def monthly_trend(spark, sf_dir):
-    return finish(M.monthly_trend(mart_frame(spark, sf_dir)))
+    return M.monthly_trend(mart_frame(spark, sf_dir))
+
+
+def view(spark, sf_dir, **months) -> DataFrame:
+    """The months a dashboard view shows: a list, a range, or the latest ones by default."""
+    return M.month_window(mart_frame(spark, sf_dir), **months)
+
+
+PIVOT_MONTHS = [f"{y}-{m:02d}" for y in (1999, 2000) for m in range(1, 13)]
 
 
 def pivot_metric(spark, sf_dir):
-    mart = mart_frame(spark, sf_dir)
-    long = finish(M.aggregate_by(mart, [ROW_DIM, "campaign_month"]))
-    vals = M.month_values(long)
-    return long.groupBy(ROW_DIM).pivot("campaign_month", vals).agg(F.first(METRIC))
+    return M.pivot_metric(view(spark, sf_dir, months=PIVOT_MONTHS), ROW_DIM, METRIC, PIVOT_MONTHS)
 
 
 def suppress_small_cells(spark, sf_dir):
     agg = M.aggregate_by(mart_frame(spark, sf_dir), ["campaign_month", "vs_band"])
-    return finish(M.suppress_small_cells(agg, C.SMALL_CELL_THRESHOLD))
+    return M.suppress_small_cells(agg, CELL_THRESHOLD)
 
 
 def pivot_overall(spark, sf_dir):
-    return finish(M.pivot_overall_long(mart_frame(spark, sf_dir), ROW_DIM, METRIC, C.SMALL_CELL_THRESHOLD))
+    return M.pivot_overall_long(view(spark, sf_dir), ROW_DIM, METRIC, CELL_THRESHOLD)
+
+
+def pivot_overall_wide(spark, sf_dir):
+    """The wide table with Overall row and column."""
+    return M.pivot_overall(view(spark, sf_dir, months=PIVOT_MONTHS), ROW_DIM, METRIC, PIVOT_MONTHS, CELL_THRESHOLD)
+
+
+def formatted_pivot(spark, sf_dir):
+    """The wide table as text."""
+    return M.formatted_pivot(pivot_overall_wide(spark, sf_dir), METRIC)
 
 
 def exec_kpis(spark, sf_dir):
-    return finish(M.exec_kpis(mart_frame(spark, sf_dir)))
+    return M.exec_kpis(mart_frame(spark, sf_dir))
 
 
 TREND_RATES = ["actual_board_rate", "actual_response_rate", "expected_rr_trm", "expected_rr_xpm"]
 
 
 def trend_long(spark, sf_dir):
-    win = M.month_window(mart_frame(spark, sf_dir))
-    return finish(M.unpivot_metrics(M.monthly_trend(win), ["campaign_month"], TREND_RATES))
+    win = view(spark, sf_dir)
+    return M.unpivot_metrics(M.monthly_trend(win), ["campaign_month"], TREND_RATES)
 
 
 def model_by_band_trm(spark, sf_dir):
-    agg = M.aggregate_by(mart_frame(spark, sf_dir), ["vs_band"])
-    return finish(M.unpivot_metrics(agg, ["vs_band"], ["actual_response_rate", "expected_rr_trm"]))
+    agg = M.aggregate_by(view(spark, sf_dir), ["vs_band"])
+    return M.unpivot_metrics(agg, ["vs_band"], ["actual_response_rate", "expected_rr_trm"])
 
 
 def model_by_band_xpm(spark, sf_dir):
-    m = mart_frame(spark, sf_dir).where(F.col("expected_responses_xpm").isNotNull())
+    m = view(spark, sf_dir).where(F.col("expected_responses_xpm").isNotNull())
     agg = M.aggregate_by(m, ["vs_band"])
-    return finish(M.unpivot_metrics(agg, ["vs_band"], ["actual_response_rate", "expected_rr_xpm"]))
+    return M.unpivot_metrics(agg, ["vs_band"], ["actual_response_rate", "expected_rr_xpm"])
 
 
 def model_monthly(spark, sf_dir):
-    t = M.monthly_trend(mart_frame(spark, sf_dir))
-    return finish(M.unpivot_metrics(t, ["campaign_month"], ["actual_response_rate", "expected_rr_trm",
-                                                            "expected_rr_xpm"], dropna=True))
+    t = M.monthly_trend(view(spark, sf_dir))
+    return M.unpivot_metrics(t, ["campaign_month"], ["actual_response_rate", "expected_rr_trm",
+                                                            "expected_rr_xpm"], dropna=True)
 
 
 def model_by_tier(spark, sf_dir):
-    return finish(M.aggregate_by(mart_frame(spark, sf_dir), ["trm10_tier"]))
+    return M.aggregate_by(view(spark, sf_dir), ["trm10_tier"])
 
 
 def model_by_scorecard(spark, sf_dir):
-    return finish(M.aggregate_by(mart_frame(spark, sf_dir), ["scorecard"]))
+    return M.aggregate_by(view(spark, sf_dir), ["scorecard"])
 
 
 def volume_mix(spark, sf_dir):
-    return M.volume_mix(mart_frame(spark, sf_dir), ROW_DIM)
+    return M.volume_mix(view(spark, sf_dir), ROW_DIM)
 
 
 def mom_delta(spark, sf_dir):
-    return finish(M.mom_delta(mart_frame(spark, sf_dir), ROW_DIM, METRIC))
+    return M.mom_delta(view(spark, sf_dir), ROW_DIM, METRIC, CELL_THRESHOLD)
 
 
 def volume_share(spark, sf_dir):
-    return finish(M.volume_share(mart_frame(spark, sf_dir), ROW_DIM))
+    return M.volume_share(view(spark, sf_dir), ROW_DIM)
 
 
 def dict_filter(spark, sf_dir):
-    return finish(M.dict_filter(mart_frame(spark, sf_dir), FILTERS))
+    return M.dict_filter(mart_frame(spark, sf_dir), FILTERS)
 
 
 def month_window(spark, sf_dir):
-    return finish(M.month_window(mart_frame(spark, sf_dir)))
+    return M.month_window(mart_frame(spark, sf_dir))
 
 
 def filter_options(spark, sf_dir):
@@ -127,12 +146,34 @@ def filter_options(spark, sf_dir):
 
 
 def validate_rollup(spark, sf_dir):
-    m = mart_frame(spark, sf_dir).withColumn("expected_month", F.col("campaign_month"))
-    return M.validate_rollup(m)
+    return M.validate_rollup(mart_frame(spark, sf_dir).withColumn("load_month", F.col("campaign_month")))
+
+
+def _month_number():
+    return F.substring("campaign_month", 1, 4).cast("int") * 12 + F.substring("campaign_month", 6, 2).cast("int")
+
+
+def faulty(mart: DataFrame) -> DataFrame:
+    """The mart with one kind of fault in each of nine kinds of months."""
+    k, v = _month_number() % 9, F.col("volume")
+    first = F.col("trm10_tier") == 1
+    out = mart.withColumn("load_month", F.col("campaign_month")).where(k != 0)  # 0: no rows at all
+    return (out.withColumn("volume", F.when((k == 1) & first, -v).when(k == 2, F.lit(0)).otherwise(v).cast("long"))
+            .withColumn("responders", F.when(k == 3, v * 2).when((k == 8) & first, v + 1).when(k.isin(2, 8), F.lit(0)).otherwise(F.col("responders")).cast("long"))
+            .withColumn("Boards", F.when(k == 4, v * 2).when(k == 2, F.lit(0)).otherwise(F.col("Boards")).cast("long"))
+            .withColumn("campaign_month", F.when((k == 5) & first, F.lit("1900-01")).otherwise(F.col("campaign_month")))
+            .withColumn("expected_responses", F.when(k == 6, v * 3.0).otherwise(F.col("expected_responses")))
+            .withColumn("expected_responses_xpm", F.when(k == 7, v * -1.0).otherwise(F.col("expected_responses_xpm"))))
+
+
+def validate_rollup_faulty(spark, sf_dir):
+    """DQ1 with every rule at work, and one month that only single rows, not totals, would block."""
+    mart = mart_frame(spark, sf_dir)
+    return M.validate_rollup(faulty(mart), mart.select(F.col("campaign_month").alias("load_month")))
 
 
 def validation_summary(spark, sf_dir):
-    return finish(M.validation_summary(mart_frame(spark, sf_dir)))
+    return M.validation_summary(mart_frame(spark, sf_dir))
 
 
 def parse_rollup_month(spark, sf_dir):
@@ -149,111 +190,113 @@ def parse_rollup_month(spark, sf_dir):
 
 
 def missing_months(spark, sf_dir):
-    return M.missing_months(mart_frame(spark, sf_dir).select("campaign_month"))
-
-
-def _unused(_: dt.date) -> None:  # keeps the date import for type hints in callers
-    return None
+    """ING9: the calendar of the mart against files that lack every fifth month."""
+    mart = mart_frame(spark, sf_dir).select("campaign_month")
+    return M.missing_months(M.expected_months(mart), mart.where(_month_number() % 5 != 0))
 
 
 # ----------------------------------------------------------------------------
-# file-backed mart (rows-only checks: results depend on files written here)
+# file-backed mart
 # ----------------------------------------------------------------------------
 
-def _scratch(spark, name):
-    import uuid
+AS_OF = dt.date(2001, 9, 15)
+
 
-    from vintagekit.session import checkpoint_dir
+def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/mart-{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _store(spark, sf_dir):
-    from vintagekit.sources import mart_store as S
-    path = _scratch(spark, "store")
-    S.replace_months(mart_frame(spark, sf_dir), path)
-    return S, path
+def _loadable(spark, sf_dir) -> DataFrame:
+    return mart_frame(spark, sf_dir).withColumn("load_month", F.col("campaign_month"))
+
+
+_STORES: dict[tuple, str] = {}
+
+
+def _store(spark, sf_dir) -> str:
+    """The mart written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = _scratch(spark, "store")
+        S.replace_months(_loadable(spark, sf_dir), path)
+        _STORES[key] = path
+    return _STORES[key]
 
 
 def mart_replace_month(spark, sf_dir):
-    """SNK1: validated dynamic-overwrite write; returns the per-month outcome."""
-    from vintagekit.sources import mart_store as S
+    """SNK1: faulty months over a good mart - the months that pass are replaced, the others stay. Per month the
+    outcome and what is stored afterwards."""
     path = _scratch(spark, "store")
-    v = S.replace_months(mart_frame(spark, sf_dir), path)
-    # replacing a month again with the same rows leaves the mart unchanged
-    S.replace_months(S.read_mart(spark, path).filter(F.col("campaign_month") == F.lit("1998-06")), path)
-    return v.join(S.read_mart(spark, path).groupBy("campaign_month").agg(F.count(F.lit(1)).alias("stored_rows")),
-                  "campaign_month", "left")
+    S.replace_months(_loadable(spark, sf_dir), path)
+    v = S.replace_months(faulty(mart_frame(spark, sf_dir)), path)
+    stored = S.read_mart(spark, path).groupBy("campaign_month").agg(
+        F.count(F.lit(1)).alias("stored_rows"), F.sum("volume").alias("stored_volume"), F.sum("responders").alias("stored_responders"))
+    return stored.join(v.select("campaign_month", "ok", "errors"), "campaign_month", "left")
 
 
 def read_mart(spark, sf_dir):
-    S, path = _store(spark, sf_dir)
-    return S.read_mart(spark, path)
+    return S.read_mart(spark, _store(spark, sf_dir))
 
 
 def mart_months(spark, sf_dir):
-    S, path = _store(spark, sf_dir)
-    return S.mart_months(S.read_mart(spark, path))
+    return S.mart_months(read_mart(spark, sf_dir))
 
 
-def csv_rollup_roundtrip(spark, sf_dir):
-    """SNK2 -> SRC3: rollup written as CSV per month, read back with a fixed schema."""
-    from vintagekit.sources import mart_store as S
-    roll = CP.campaign_rollup(_final(spark, sf_dir)).withColumn(
-        "campaign_month", F.date_format("campaign_month", "yyyy-MM"))
-    path = _scratch(spark, "csv")
-    S.write_rollup_csv(roll, path)
-    return S.read_rollup_csv(spark, path)
+def _export(spark, rows: DataFrame, folder: str) -> None:
+    S.write_rollup_csv(rows, folder)
 
 
-def load_log(spark, sf_dir):
-    from vintagekit.sources import mart_store as S
-    path = _scratch(spark, "store")
-    v = S.replace_months(mart_frame(spark, sf_dir), path)
-    log_path = _scratch(spark, "log")
-    S.append_log(S.load_log_rows(v, "2026-01-01T00:00:00"), log_path)
-    return spark.read.parquet(log_path)
+def _rollup(spark, sf_dir) -> DataFrame:
+    return CP.campaign_rollup(staged_response(spark, sf_dir)).withColumn("campaign_month", F.date_format("campaign_month", "yyyy-MM"))
 
 
-AS_OF = dt.date(2001, 9, 15)
+def csv_rollup_roundtrip(spark, sf_dir):
+    """SNK2 -> SRC3: rollup written as one named CSV per month, read back by header name."""
+    folder = _scratch(spark, "csv")
+    _export(spark, _rollup(spark, sf_dir), folder)
+    return S.read_rollup_csv(spark, folder).drop("load_month")
 
 
-def _plan(spark, sf_dir):
-    from vintagekit.sources import mart_store as S
-    months = mart_frame(spark, sf_dir).select("campaign_month").distinct()
-    files = months.select("campaign_month", F.to_timestamp(F.concat(F.col("campaign_month"), F.lit("-20")))
-                          .alias("file_time"))
-    m = F.to_date("campaign_month", "yyyy-MM")
-    parts = (months.where(F.month(m) % 4 != 0)
-             .select("campaign_month", F.to_timestamp(F.concat(F.col("campaign_month"),
-                                                               F.when(F.month(m) % 3 == 0, F.lit("-25"))
-                                                               .otherwise(F.lit("-10"))))
-                     .alias("partition_time")))
-    return S, S.ingest_plan(files, parts, AS_OF)
+def _ingested(spark, sf_dir) -> tuple[DataFrame, str, str]:
+    """A full ingest over real files: half of the months are in the mart, a third of these has a newer file, and one
+    kind of month has a file whose totals fail. Outcome, mart path, log path."""
+    folder, path, log = (_scratch(spark, n) for n in ("files", "store", "log"))
+    roll, k = _rollup(spark, sf_dir), _month_number()
+    broken = roll.withColumn("responders", F.when(k % 7 == 3, F.col("volume") * 2).otherwise(F.col("responders")))
+    _export(spark, broken, folder)
+    S.replace_months(_loadable(spark, sf_dir).where(k % 2 == 0), path)
+    _export(spark, broken.where(k % 6 == 0), folder)
+    return S.run_ingest(spark, folder, path, AS_OF, log_path=log), path, log
 
 
 def ingest_plan(spark, sf_dir):
-    """ING1 with derived file and partition times and an injected as-of date."""
-    return _plan(spark, sf_dir)[1]
+    """ING1 from real files and partitions and an injected as-of date."""
+    return _ingested(spark, sf_dir)[0].select("campaign_month", "file_name", "age_months", "action", "reason")
 
 
 def ingest_summary(spark, sf_dir):
-    S, plan = _plan(spark, sf_dir)
-    v = M.validate_rollup(mart_frame(spark, sf_dir).withColumn("expected_month", F.col("campaign_month")))
-    return S.ingest_summary(plan, v)
+    """ING8: files per outcome."""
+    return S.ingest_summary(_ingested(spark, sf_dir)[0])
+
+
+def load_log(spark, sf_dir):
+    """SNK3: the log of one ingest, without its two time columns."""
+    log = spark.read.parquet(_ingested(spark, sf_dir)[2])
+    return (log.where(F.col("source_modified_time").isNotNull() & F.col("loaded_time").isNotNull())
+            .withColumn("source_file", S.file_name("source_file")).drop("source_modified_time", "loaded_time"))
 
 
 def mart_status(spark, sf_dir):
-    S, path = _store(spark, sf_dir)
-    return S.mart_status(spark, path).drop("last_refresh").withColumn("has_refresh_time", F.lit(True))
+    return S.mart_status(spark, _store(spark, sf_dir)).withColumn("refreshed", F.col("last_refresh").isNotNull()).drop("last_refresh")
 
 
 def filtered_export(spark, sf_dir):
-    S, path = _store(spark, sf_dir)
     out = _scratch(spark, "export")
-    S.filtered_export(S.read_mart(spark, path), FILTERS, out, month_from="1997-01", month_to="1999-12")
-    return spark.read.option("header", True).csv(out)
+    S.filtered_export(read_mart(spark, sf_dir), FILTERS, out, month_from="1997-01", month_to="1999-12")
+    return M.conform_rollup(spark.read.option("header", True).csv(out))
 
 
 def cache_or_compute(spark, sf_dir):
-    """SRC5: second call reads the staged copy."""
+    """SRC5: the second call reads the staged copy."""
+    mart_frame(spark, sf_dir)
     return mart_frame(spark, sf_dir)

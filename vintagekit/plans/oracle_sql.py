@@ -9,6 +9,7 @@ Double outputs are rounded to 6 digits on both sides.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from vintagekit.config import DEFAULT_READS, StudyConfig
 
@@ -337,19 +338,20 @@ SELECT *, 'ever' AS performance_mode, CAST(NULL AS INTEGER) AS configured_score_
 WHERE bhvr_score BETWEEN {CFG.valid_min} AND {CFG.valid_max}""", COHORT_DOUBLES)
 
 
-def _month_end(d: dt.date, add: int = 0) -> dt.date:
-    m = d.year * 12 + (d.month - 1) + add + 1
-    return dt.date(m // 12, m % 12 + 1, 1) - dt.timedelta(days=1)
+#: Snapshot month: the detected one; ``at_month`` puts a given month in its place.
+SNAPSHOT = "(SELECT portfolio_snapshot_month FROM win)"
+OBS = f"last_day({SNAPSHOT})"
+
+
+def at_month(sql: str, month: dt.date) -> str:
+    return sql.replace(SNAPSHOT, _d(month))
 
 
 def _perf_bounds(horizon: int, cfg: StudyConfig = CFG):
-    snap = cfg.snapshot_month
-    if cfg.m1_inclusive:
-        return _month_end(snap), _month_end(snap, horizon - 1)
-    return _month_end(snap, 1), _month_end(snap, horizon)
+    shift = 0 if cfg.m1_inclusive else 1
+    return tuple(f"last_day(CAST({SNAPSHOT} + INTERVAL {k} MONTH AS DATE))" for k in (shift, horizon - 1 + shift))
 
 
-OBS = _d(_month_end(CFG.snapshot_month))
 VALID = f"BETWEEN {CFG.valid_min} AND {CFG.valid_max}"
 VALID_CASE = f"CASE WHEN a.bhvr_score {VALID} THEN 0 ELSE 1 END"
 BLANK_CASE = "CASE WHEN a.esc IS NULL OR trim(a.esc) = '' THEN 0 ELSE 1 END"
@@ -392,10 +394,10 @@ def fperf_ctes(src: str, prefix: str) -> str:
     max(CASE WHEN p.chargeoffindicator = 1 THEN 1 ELSE 0 END) AS chargeoff,
     max(CASE WHEN p.chargeoffindicator = 1 AND p.dimstatusreasonid NOT IN ({_ids()}) THEN 1 ELSE 0 END)
       AS contractual_chargeoff,
-    max(CASE WHEN p.reportingdate = {_d(e)} THEN 1 ELSE 0 END) AS has_horizon,
+    max(CASE WHEN p.reportingdate = {e} THEN 1 ELSE 0 END) AS has_horizon,
     max(CASE WHEN p.dimbucketid >= {r.bucket} OR p.chargeoffindicator = 1 THEN 1 ELSE 0 END) AS target
   FROM fact p JOIN {src} s ON p.creditaccountid = s.creditaccountid
-  WHERE p.reportingdate >= {_d(s)} AND p.reportingdate <= {_d(e)} AND p.cardid IS NOT NULL
+  WHERE p.reportingdate >= {s} AND p.reportingdate <= {e} AND p.cardid IS NOT NULL
     AND (p.activeaccountindicator = 1 OR p.chargeoffindicator = 1)
   GROUP BY p.creditaccountid
 )""")
@@ -421,6 +423,8 @@ port AS (
     AND bhvr_score {VALID} AND metric_eligible = 1
 )"""
 register("portfolio_snapshot", PORT + "\nSELECT * FROM port", ["creditline"])
+GIVEN_MONTH = dt.date(1998, 6, 1)
+register("portfolio_snapshot_given", at_month(PORT, GIVEN_MONTH) + "\nSELECT * FROM port", ["creditline"])
 
 
 def _closest_ctes() -> str:
@@ -436,7 +440,7 @@ cs_{r.key} AS (
       row_number() OVER (PARTITION BY a.creditaccountid ORDER BY abs(date_diff('day', {OBS}, s.reportingdate)),
         s.reportingdate, s.cardid DESC, s.card_part DESC, s.card_supp DESC) AS rn
     FROM snapc a JOIN fact s ON a.creditaccountid = s.creditaccountid AND s.cardid IS NOT NULL
-     AND s.reportingdate >= {OBS} AND s.reportingdate <= {_d(e)} AND s.bhvr_score {VALID}
+     AND s.reportingdate >= {OBS} AND s.reportingdate <= {e} AND s.bhvr_score {VALID}
   ) WHERE rn = 1
 )""")
     return ",".join(parts)
@@ -453,10 +457,13 @@ def _closest_union() -> str:
     return "\nUNION ALL\n".join(sel)
 
 
-register("portfolio_closest_score", BASE + "," + snap_cte("snapc0", "card") + """,
+CLOSEST = (BASE + "," + snap_cte("snapc0", "card") + """,
 snapc AS (SELECT * EXCLUDE (bhvr_score, esc, scorecard) FROM snapc0),""" + fperf_ctes("snapc", "fpc") + ","
-         + long_union("snapc", "fpc", "snapc_long") + "," + _closest_ctes() + "\n" + _closest_union(),
-         ["creditline"])
+           + long_union("snapc", "fpc", "snapc_long") + "," + _closest_ctes() + f""",
+closest AS ({_closest_union()})
+SELECT * FROM closest WHERE bhvr_score {VALID} AND metric_eligible = 1""")
+register("portfolio_closest_score", CLOSEST, ["creditline"])
+register("portfolio_closest_score_given", at_month(CLOSEST, GIVEN_MONTH), ["creditline"])
 
 GROUP_CASE = """CASE WHEN creditline >= 5000 THEN 'Group 1 - Credit Line >= $5,000'
        WHEN creditline < 5000 AND creditline >= 3000 THEN 'Group 2 - $5,000 > Credit Line >= $3,000'
@@ -627,40 +634,53 @@ QDOUBLES = ["score_mean", "score_median", "bad_rate", "lift_vs_overall", "pct_po
 COH = cohort_ctes()
 register("quantile_deciles", COH + "," + quantile_sql("pairs", ["read_key"]) + "\nSELECT * FROM qfull", QDOUBLES)
 
-register("overall_summary", COH + """,
-t AS (SELECT read_key, count(*) AS total_scored_rows FROM cohort GROUP BY read_key),
-e AS (SELECT read_key, count(*) AS eligible_rows, CAST(sum(bad) AS BIGINT) AS bads, min(bhvr_score) AS score_min,
-             max(bhvr_score) AS score_max, avg(bhvr_score) AS score_mean FROM pairs GROUP BY read_key)
-SELECT t.read_key, t.total_scored_rows, coalesce(e.eligible_rows, 0) AS eligible_rows, coalesce(e.bads, 0) AS bads,
-       e.score_min, e.score_max, e.score_mean,
+
+
+def summary_sql(src: str, pairs: str, groups: list[str]) -> str:
+    g = ", ".join(groups)
+    on = " AND ".join(f"t.{c} = e.{c}" for c in groups)
+    return f""",
+t AS (SELECT {g}, count(*) AS total_scored_rows FROM {src} GROUP BY {g}),
+e AS (SELECT {g}, count(*) AS eligible_rows, CAST(sum(bad) AS BIGINT) AS bads, min(bhvr_score) AS score_min,
+             max(bhvr_score) AS score_max, avg(bhvr_score) AS score_mean FROM {pairs} GROUP BY {g})
+SELECT {", ".join("t." + c for c in groups)}, t.total_scored_rows, coalesce(e.eligible_rows, 0) AS eligible_rows,
+       coalesce(e.bads, 0) AS bads, e.score_min, e.score_max, e.score_mean,
        CASE WHEN coalesce(e.eligible_rows, 0) = 0 THEN NULL ELSE coalesce(e.bads, 0) / e.eligible_rows END AS rate
-FROM t LEFT JOIN e ON t.read_key = e.read_key""", ["score_mean", "rate"])
+FROM t LEFT JOIN e ON {on}"""
+
 
-register("segment_tables", COH + """
-SELECT read_key, 'program_code' AS segment, program_code AS value, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bads,
+def segments_sql(pairs: str, groups: list[str]) -> str:
+    g = ", ".join(groups)
+    return "\nUNION ALL\n".join(f"""
+SELECT {g}, '{c}' AS segment, {c} AS value, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bads,
        avg(bhvr_score) AS score_mean, CAST(sum(bad) AS BIGINT) / count(*) AS bad_rate
-FROM pairs GROUP BY read_key, program_code
-UNION ALL
-SELECT read_key, 'channel', channel, count(*), CAST(sum(bad) AS BIGINT), avg(bhvr_score),
-       CAST(sum(bad) AS BIGINT) / count(*)
-FROM pairs GROUP BY read_key, channel""", ["score_mean", "bad_rate"])
+FROM {pairs} GROUP BY {g}, {c}""" for c in ("program_code", "channel"))
+
 
-register("rank_diagnostics", COH + "," + quantile_sql("pairs", ["read_key"]) + """,
+def rank_diag_sql(groups: list[str]) -> str:
+    g = ", ".join(groups)
+    return f""",
 rk AS (
-  SELECT read_key, score_decile, bad_rate,
-    rank() OVER (PARTITION BY read_key ORDER BY score_decile)
-      + (count(*) OVER (PARTITION BY read_key, score_decile) - 1) / 2.0 AS r1,
-    rank() OVER (PARTITION BY read_key ORDER BY bad_rate)
-      + (count(*) OVER (PARTITION BY read_key, bad_rate) - 1) / 2.0 AS r2,
-    CASE WHEN bad_rate > lag(bad_rate) OVER (PARTITION BY read_key ORDER BY score_decile) THEN 1 ELSE 0 END AS up
+  SELECT {g}, score_decile, bad_rate,
+    rank() OVER (PARTITION BY {g} ORDER BY score_decile)
+      + (count(*) OVER (PARTITION BY {g}, score_decile) - 1) / 2.0 AS r1,
+    rank() OVER (PARTITION BY {g} ORDER BY bad_rate)
+      + (count(*) OVER (PARTITION BY {g}, bad_rate) - 1) / 2.0 AS r2,
+    CASE WHEN bad_rate > lag(bad_rate) OVER (PARTITION BY {g} ORDER BY score_decile) THEN 1 ELSE 0 END AS up
   FROM qfull
 ),
-g AS (SELECT read_key, corr(r1, r2) AS sp, CAST(sum(up) AS INTEGER) AS v, count(*) AS n FROM rk GROUP BY read_key)
-SELECT read_key, CASE WHEN n >= 2 THEN sp END AS spearman_decile_bad_rate,
+g AS (SELECT {g}, CASE WHEN stddev_pop(r1) > 0 AND stddev_pop(r2) > 0 THEN covar_pop(r1, r2) / (stddev_pop(r1) * stddev_pop(r2)) END AS sp,
+             CAST(sum(up) AS INTEGER) AS v, count(*) AS n FROM rk GROUP BY {g})
+SELECT {g}, CASE WHEN n >= 2 THEN sp END AS spearman_decile_bad_rate,
        CASE WHEN n >= 2 THEN v END AS monotonic_violations,
        CASE WHEN n < 2 THEN 'Not enough deciles' WHEN v = 0 AND sp < 0 THEN 'Pass'
             ELSE 'Review rank-order bumps' END AS note
-FROM g""", ["spearman_decile_bad_rate"])
+FROM g"""
+
+
+register("overall_summary", COH + summary_sql("cohort", "pairs", ["read_key"]), ["score_mean", "rate"])
+register("segment_tables", COH + segments_sql("pairs", ["read_key"]), ["score_mean", "bad_rate"])
+register("rank_diagnostics", COH + "," + quantile_sql("pairs", ["read_key"]) + rank_diag_sql(["read_key"]), ["spearman_decile_bad_rate"])
 
 DEC = COH + "," + deciles_sql("pairs", ["read_key"])
 LIFT_LABEL = """CASE WHEN {x} IS NULL THEN 'insufficient' WHEN {x} >= 2.0 THEN 'clean rank-order'
@@ -711,15 +731,17 @@ register("kpi_strip", DEC + "," + lift_sql("deciles_full", ["read_key"]) + "," +
 SELECT st.*, lift.d1_d10_lift, lift.lift_label FROM st LEFT JOIN lift ON st.read_key = lift.read_key""",
          ["avg_score", "avg_creditline", "edr", "d1_d10_lift"])
 
-RC = (DEC + "," + lift_sql("deciles_full", ["read_key"]) + "," + rev_sql("deciles_full", ["read_key"], "1e-9") + ","
-      + stats_sql("pairs", ["read_key"], False) + """,
+def rc_sql(cohort: str) -> str:
+    return (cohort + "," + deciles_sql("pairs", ["read_key"]) + "," + lift_sql("deciles_full", ["read_key"]) + ","
+            + rev_sql("deciles_full", ["read_key"], "1e-9") + "," + stats_sql("pairs", ["read_key"], False) + """,
 rc AS (
   SELECT st.read_key, st.eligible, st.bads, st.edr, lift.d1_bad_rate, lift.d10_bad_rate, lift.d1_d10_lift,
          lift.lift_label, rev.reversals
   FROM st LEFT JOIN lift ON st.read_key = lift.read_key LEFT JOIN rev ON st.read_key = rev.read_key
 )""")
-register("read_comparison", RC + "\nSELECT * FROM rc", ["edr"] + LIFT_DOUBLES)
-register("verdict", RC + f"""
+
+
+VERDICT = """
 SELECT max(CASE WHEN eligible < 200 THEN 1 ELSE 0 END) AS any_thin,
        max(CASE WHEN eligible >= 200 AND lift_label = 'clean rank-order' THEN 1 ELSE 0 END) AS any_clean,
        max(CASE WHEN eligible >= 200 AND lift_label = 'not separating' THEN 1 ELSE 0 END) AS any_bad,
@@ -727,7 +749,11 @@ SELECT max(CASE WHEN eligible < 200 THEN 1 ELSE 0 END) AS any_thin,
        CASE WHEN max(CASE WHEN eligible >= 200 AND lift_label = 'not separating' THEN 1 ELSE 0 END) = 1 THEN 'bad'
             WHEN max(CASE WHEN eligible >= 200 AND lift_label = 'clean rank-order' THEN 1 ELSE 0 END) = 0
               OR max(CASE WHEN eligible < 200 THEN 1 ELSE 0 END) = 1 THEN 'warn' ELSE 'good' END AS verdict
-FROM rc""")
+FROM rc"""
+WIDE = replace(CFG, program_codes=("AUTO", "BUIL", "FURN", "HOUS", "MACH"), creditline_tier=None)
+register("read_comparison", rc_sql(COH) + "\nSELECT * FROM rc", ["edr"] + LIFT_DOUBLES)
+register("verdict", rc_sql(COH) + VERDICT)
+register("verdict_wide", rc_sql(cohort_ctes(WIDE)) + VERDICT)
 
 register("gains_curve", DEC + """
 SELECT read_key, decile AS point, cum_n / sum(n) OVER (PARTITION BY read_key) AS cum_pop_share, cum_bad_share
@@ -758,15 +784,39 @@ SELECT st.*, lift.d1_d10_lift, lift.lift_label FROM st LEFT JOIN lift
   ON st.population = lift.population AND st.read_key = lift.read_key""",
          ["avg_score", "avg_creditline", "edr", "d1_d10_lift"])
 
-register("lift_comparison", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + """
-SELECT population, read_key, arg_min(lift_vs_overall, decile) AS d1_lift, arg_max(lift_vs_overall, decile) AS d10_lift,
-       arg_min(lift_vs_overall, decile) - arg_max(lift_vs_overall, decile) AS lift_spread
-FROM deciles_full GROUP BY population, read_key""", ["d1_lift", "d10_lift", "lift_spread"])
-
-register("grouped_rank_order", BENCH + f""",
+register("lift_comparison", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + ","
+         + lift_sql("deciles_full", ["population", "read_key"]) + """
+SELECT d.population, d.read_key, CAST(sum(d.n) AS BIGINT) AS eligible, sum(d.bads) / sum(d.n) AS edr,
+       arg_min(d.lift_vs_overall, d.decile) AS d1_lift, arg_max(d.lift_vs_overall, d.decile) AS d10_lift,
+       any_value(l.d1_d10_lift) AS d1_d10_lift, any_value(l.lift_label) AS lift_label
+FROM deciles_full d JOIN lift l ON d.population = l.population AND d.read_key = l.read_key
+GROUP BY d.population, d.read_key""", ["edr", "d1_lift", "d10_lift", "d1_d10_lift"])
+
+register("lift_table", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + """
+SELECT population, read_key, decile, n, bad_rate,
+       sum(bads) OVER (PARTITION BY population, read_key) / sum(n) OVER (PARTITION BY population, read_key) AS edr,
+       lift_vs_overall
+FROM deciles_full""", ["bad_rate", "edr", "lift_vs_overall"])
+
+# the requested read does not exist: the first read with subject rows is shown
+register("benchmark_overlay", SNAPPAIRS + "," + deciles_sql("spairs", ["population", "read_key"]) + """,
+chosen AS (SELECT read_key FROM spairs WHERE population = 'subject'
+           ORDER BY CASE read_key """ + " ".join(f"WHEN '{r.key}' THEN {i}" for i, r in enumerate(CFG.reads)) + """ END LIMIT 1)
+SELECT population, read_key, decile, score_min, score_max, n, bads, bad_rate, cum_bad_rate, lift_vs_overall
+FROM deciles_full WHERE read_key IN (SELECT read_key FROM chosen)""", ["bad_rate", "cum_bad_rate", "lift_vs_overall"])
+
+register("tie_aware_deciles_months", COH + """,
+few AS (SELECT p.* FROM pairs p, win WHERE p.vintage < win.first_board_month + INTERVAL 3 MONTH),"""
+         + deciles_sql("few", ["read_key"]) + "\nSELECT * FROM deciles_full", DECILE_DOUBLES)
+
+BPAIRS = BENCH + f""",
 bpairs AS (SELECT *, CAST(coalesce(target, 0) AS INTEGER) AS bad FROM bench
-           WHERE metric_eligible = 1 AND bhvr_score {VALID}),""" + quantile_sql("bpairs", ["benchmark_group", "read_key"])
-         + "\nSELECT * FROM qfull", QDOUBLES)
+           WHERE metric_eligible = 1 AND bhvr_score {VALID})"""
+BYGROUP = ["benchmark_group", "read_key"]
+register("grouped_rank_order", BPAIRS + "," + quantile_sql("bpairs", BYGROUP) + "\nSELECT * FROM qfull", QDOUBLES)
+register("grouped_summary", BPAIRS + summary_sql("bench", "bpairs", BYGROUP), ["score_mean", "rate"])
+register("grouped_segments", BPAIRS + segments_sql("bpairs", BYGROUP), ["score_mean", "bad_rate"])
+register("grouped_diagnostics", BPAIRS + "," + quantile_sql("bpairs", BYGROUP) + rank_diag_sql(BYGROUP), ["spearman_decile_bad_rate"])
 
 # ----------------------------------------------------------------------------
 # study: activation
@@ -948,7 +998,7 @@ mail AS (
     TRY_CAST(SCORE_VANTAGE_VALUE_V3 AS DOUBLE) AS vantage3,
     TRY_CAST(TRM10_Score AS DOUBLE) AS TRM_Score,
     TRY_CAST(EXP_RESPONSE_SCORE AS DOUBLE) AS EXP_RESPONSE_SCORE_num,
-    OFFER_CODE_FIRST_7 || RESERVATION_SEQUENCE AS ReservationNumber,
+    coalesce(OFFER_CODE_FIRST_7, '') || coalesce(RESERVATION_SEQUENCE, '') AS ReservationNumber,
     TRY_CAST(TM12_3BR AS DOUBLE) AS TM12_3RR,
     CAST(CASE WHEN CAMPFLAG1 IN ({_lst(_C.NEW_MAIL_FLAGS)}) THEN 0
               WHEN CAMPFLAG1 IN ({_lst(_C.REMAIL_FLAGS)}) THEN 1 END AS INTEGER) AS rm_flag
@@ -1060,8 +1110,8 @@ _DIMS = "prospect_type AS Prospect_type, pqabandon_flag, prchargeoff_flag, prclo
 ROLLUP = FINAL + f""",
 roll AS (
   SELECT campaign_month, {_DIMS}, count(*) AS volume, CAST(sum(GrossResponse) AS BIGINT) AS responders,
-         CAST(sum(CAST(TRM_Score AS DECIMAL(38,10))) AS DOUBLE) AS expected_responses,
-         CAST(sum(CAST(EXP_RESPONSE_SCORE_num AS DECIMAL(38,10))) AS DOUBLE) AS expected_responses_xpm,
+         CAST(CAST(sum(CAST(CAST(TRM_Score AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) AS expected_responses,
+         CAST(CAST(sum(CAST(CAST(EXP_RESPONSE_SCORE_num AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) AS expected_responses_xpm,
          CAST(sum(NetResponse) AS BIGINT) AS Boards
   FROM fr GROUP BY ALL
 ),
@@ -1072,8 +1122,11 @@ register("combined_rollup", ROLLUP + """
 SELECT strftime(campaign_month, '%Y-%m') AS campaign_month, upper(strftime(campaign_month, '%b%y')) AS month_label,
        * EXCLUDE (campaign_month) FROM rollup""", ROLL_DOUBLES)
 
-_ATTR_COLS = ("ALL7120", "ALL8370", "ALL2350", "ALL6980", "BCC5120", "BCC5830", "BCC5020", "ALL7110", "ALL7516",
-              "IQB9416", "IQT9416", "IQT9413", "IQT9415", "IQT9417", "IQT9410", "BCC5421", "IQT9510", "REV3511")
+from vintagekit.operators.features import ATTRIBUTES as _ATTR_COLS, KEEP_LISTS  # noqa: E402
+from vintagekit.sources.testdata import OTHER_ATTRIBUTES  # noqa: E402
+
+_OTHER = ", ".join(f"CAST((px + q * {i + 1} + n * {i * i % 17}) % {40 + 13 * (i % 9)} AS DOUBLE) AS {c}"
+                   for i, c in enumerate(OTHER_ATTRIBUTES))
 
 
 def _exc(mod, code, value):
@@ -1099,16 +1152,18 @@ attrs AS (
     CAST(n % 4 AS DOUBLE) AS IQB9416, CAST(n % 7 AS DOUBLE) AS IQT9416, CAST(nr % 3 AS DOUBLE) AS IQT9413,
     CAST(no % 5 AS DOUBLE) AS IQT9415, CAST(n % 9 AS DOUBLE) AS IQT9417, CAST((n + no) % 11 AS DOUBLE) AS IQT9410,
     {_exc(53, 999999999, 'CASE WHEN k % 5 = 0 THEN 0 ELSE px % 7000 END')} AS BCC5421,
-    {_exc(59, 9999, 'n % 15')} AS IQT9510, {_exc(61, 98, 'nr % 4')} AS REV3511
+    {_exc(59, 9999, 'n % 15')} AS IQT9510, {_exc(61, 98, 'nr % 4')} AS REV3511,
+    {_OTHER}
   FROM agg
 ),
 wa AS (
   SELECT f.campaign_month, f.ReservationNumber, f.ENCRYPTED_PIN, f.vantage3, f.TM12_3RR, f.scorecard,
-         f.pqabandon_flag, f.prchargeoff_flag, f.prclosure_flag, f.prdecline_flag, a.*
+         f.pqabandon_flag, f.prchargeoff_flag, f.prclosure_flag, f.prdecline_flag, f.TRM_Score, f.OFFER_CODE_FIRST_7,
+         f.CAMPFLAG1, a.*
   FROM fr f LEFT JOIN (SELECT EPIN, {', '.join(_ATTR_COLS)} FROM attrs WHERE FileName LIKE 'TRM_BUREAU_A%') a
     ON f.ENCRYPTED_PIN = a.EPIN
 )"""
-ATTR_DOUBLES = ["vantage3", "TM12_3RR"] + list(_ATTR_COLS)
+ATTR_DOUBLES = ["vantage3", "TM12_3RR", "TRM_Score"] + list(_ATTR_COLS)
 register("append_attributes", FINAL + BUREAU + "\nSELECT * FROM wa", ATTR_DOUBLES)
 
 
@@ -1188,13 +1243,14 @@ woe AS (
 WOE_DOUBLES = ["bcc5421_impcap", "bcc5421_woe", "iqt9510_impcap", "iqt9510_impcaplog", "rev3511_cap"]
 register("woe_transforms", FINAL + BUREAU + WOE.format(src="wa") + "\nSELECT * FROM woe", ATTR_DOUBLES + WOE_DOUBLES)
 
-_KEEP = ["vantage3", "TM12_3RR", "iqt_1317ratio", "iqbt_16ratio", "Full_delinq", "ALL8370tr", "Totbal_mon_pymt_rate",
-         "ALL7516tr", "Util_NewCards_rate", "iqt9510_impcaplog", "bcc5421_woe", "rev3511_cap", "Effetive_max_util",
-         "Maxbal_mon_pymt_rate", "ALL2350tr", "iqt_1510grad", "iqt_1317grad", "iqt_1315ratio", "prdecline_flag",
-         "prclosure_flag", "pqabandon_flag", "prchargeoff_flag"]
-register("feature_select", FINAL + BUREAU + ENG + WOE.format(src="eng") + f"""
-SELECT campaign_month, ReservationNumber, scorecard, {', '.join(_KEEP)} FROM woe""",
-         [c for c in _KEEP if not c.endswith("_flag")])
+def _select(lists: list[int], where: str = "") -> tuple[str, list[str]]:
+    cols = list(dict.fromkeys(["campaign_month", "ReservationNumber", "scorecard"] + [c for k in lists for c in KEEP_LISTS[k]]))
+    doubles = [c for c in cols if c in ENG_DOUBLES + WOE_DOUBLES]
+    return FINAL + BUREAU + ENG + WOE.format(src="eng") + f"\nSELECT {', '.join(cols)} FROM woe {where}", doubles
+
+
+register("feature_select", *_select([1, 2, 3, 4]))
+register("feature_select_sc4", *_select([4], "WHERE scorecard = 4"))
 
 
 # ----------------------------------------------------------------------------
@@ -1220,8 +1276,8 @@ def agg_sql(src: str, dims: list[str], name: str = "agg", where: str = "") -> st
 {name}0 AS (
   SELECT {sel}CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume,
     CAST(coalesce(sum(responders), 0) AS BIGINT) AS responders, CAST(coalesce(sum(Boards), 0) AS BIGINT) AS Boards,
-    coalesce(CAST(sum(CAST(expected_responses AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS expected_responses,
-    coalesce(CAST(sum(CAST(expected_responses_xpm AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS expected_responses_xpm,
+    coalesce(CAST(CAST(sum(CAST(CAST(expected_responses AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE), 0.0) AS expected_responses,
+    coalesce(CAST(CAST(sum(CAST(CAST(expected_responses_xpm AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE), 0.0) AS expected_responses_xpm,
     count(expected_responses_xpm) AS xnn, count(*) AS nrows
   FROM {src} {where} {grp}
 ),
@@ -1249,6 +1305,25 @@ AGG_DOUBLES = ["expected_responses", "expected_responses_xpm", "actual_response_
 RATES = ["actual_response_rate", "actual_board_rate", "expected_rr_trm", "expected_rr_xpm",
          "actual_vs_expected_trm", "actual_vs_expected_xpm"]
 
+_met, _LB, _thr = _C.DEFAULT_METRIC, _C.DEFAULT_LOOKBACK_MONTHS, 12
+MART_DOUBLES = ["annual_fee", "expected_responses", "expected_responses_xpm"]
+PIVOT_MONTHS = [f"{y}-{m:02d}" for y in (1999, 2000) for m in range(1, 13)]
+#: The months a view shows by default: the latest ones present.
+VIEW = MART + f""",
+mr AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month DESC) AS r
+       FROM (SELECT DISTINCT campaign_month FROM mart WHERE campaign_month IS NOT NULL)),
+mj AS (SELECT m.*, mr.r FROM mart m JOIN mr ON m.campaign_month = mr.campaign_month),
+vw AS (SELECT * EXCLUDE (r) FROM mj WHERE r <= {_LB}),
+pv AS (SELECT * FROM mart WHERE campaign_month IN ({_lst(PIVOT_MONTHS)}))"""
+
+
+def _unpivot(src: str, ids: list[str], metrics: list[str], dropna: bool = False) -> str:
+    i = ", ".join(ids)
+    parts = [f"SELECT {i}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {src}"
+             + (f" WHERE {m} IS NOT NULL" if dropna else "") for m in metrics]
+    return "\nUNION ALL\n".join(parts)
+
+
 register("aggregate_by", MART + "," + agg_sql("mart", ["vs_band", "scorecard"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
          AGG_DOUBLES)
 register("kpi_totals", MART + "," + agg_sql("mart", []) + "\nSELECT " + ", ".join(
@@ -1256,22 +1331,22 @@ register("kpi_totals", MART + "," + agg_sql("mart", []) + "\nSELECT " + ", ".joi
     [m for m in _C.METRIC_COLUMNS if m in AGG_DOUBLES])
 register("monthly_trend", MART + "," + agg_sql("mart", ["campaign_month"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
          AGG_DOUBLES)
-register("pivot_metric", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"]) + f""",
-lr AS (SELECT vs_band, campaign_month, round({_C.DEFAULT_METRIC} * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS v
-       FROM agg)
-PIVOT lr ON campaign_month USING first(v) GROUP BY vs_band""")
-_supp = ", ".join(f"CASE WHEN volume < {_C.SMALL_CELL_THRESHOLD} THEN NULL ELSE {r} END AS {r}" for r in RATES)
+register("pivot_metric", VIEW + "," + agg_sql("pv", ["vs_band", "campaign_month"]) + "\nSELECT vs_band, " + ", ".join(
+    f"max(CASE WHEN campaign_month = '{m}' THEN {_met} END) AS \"{m}\"" for m in PIVOT_MONTHS) + " FROM agg GROUP BY vs_band",
+    [f'"{m}"' for m in PIVOT_MONTHS])
+_supp = ", ".join(f"CASE WHEN volume < {_thr} THEN NULL ELSE {r} END AS {r}" for r in RATES)
 register("suppress_small_cells", MART + "," + agg_sql("mart", ["campaign_month", "vs_band"])
          + f"\nSELECT * EXCLUDE (_rows, {', '.join(RATES)}), {_supp} FROM agg", AGG_DOUBLES)
 
-_thr = _C.SMALL_CELL_THRESHOLD
-_met = _C.DEFAULT_METRIC
-register("pivot_overall", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"], "ac") + ","
-         + agg_sql("mart", ["vs_band"], "ar") + "," + agg_sql("mart", ["campaign_month"], "am") + ","
-         + agg_sql("mart", [], "ag") + f""",
+
+def overall_sql(src: str) -> str:
+    """Cells, Overall column, Overall row and grand total, as rows of ``ov``."""
+    return ("," + agg_sql(src, ["vs_band", "campaign_month"], "ac") + "," + agg_sql(src, ["vs_band"], "ar") + ","
+            + agg_sql(src, ["campaign_month"], "am") + "," + agg_sql(src, [], "ag") + f""",
 cells AS (SELECT vs_band, campaign_month, CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END AS value FROM ac
           WHERE vs_band IS NOT NULL),
-vis AS (SELECT * FROM cells WHERE value IS NOT NULL)
+vis AS (SELECT * FROM cells WHERE value IS NOT NULL),
+ov AS (
 SELECT 'cell' AS level, CAST(vs_band AS VARCHAR) AS row_value, campaign_month AS column_key, value FROM vis
 UNION ALL
 SELECT 'row_total', CAST(vs_band AS VARCHAR), 'Overall', CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END FROM ar
@@ -1279,14 +1354,26 @@ WHERE vs_band IN (SELECT vs_band FROM vis)
 UNION ALL
 SELECT 'col_total', 'Overall', campaign_month, {_met} FROM am
 UNION ALL
-SELECT 'grand', 'Overall', 'Overall', {_met} FROM ag""", ["value"])
+SELECT 'grand', 'Overall', 'Overall', {_met} FROM ag)""")
 
-_LB = _C.DEFAULT_LOOKBACK_MONTHS
-MONTHS_RANKED = f""",
-mr AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month DESC) AS r
-       FROM (SELECT DISTINCT campaign_month FROM mart WHERE campaign_month IS NOT NULL)),
-mj AS (SELECT m.*, mr.r FROM mart m JOIN mr ON m.campaign_month = mr.campaign_month)"""
-register("exec_kpis", MART + MONTHS_RANKED + "," + agg_sql("mj", [], "kl", "WHERE r = 1") + ","
+
+_WIDE_COLS = PIVOT_MONTHS + ["Overall"]
+OVERALL_WIDE = VIEW + overall_sql("pv") + """,
+wide AS (SELECT row_value AS "Row", """ + ", ".join(
+    f"max(CASE WHEN column_key = '{c}' THEN value END) AS \"{c}\"" for c in _WIDE_COLS) + " FROM ov GROUP BY row_value)"
+register("pivot_overall", VIEW + overall_sql("vw") + "\nSELECT * FROM ov", ["value"])
+register("pivot_overall_wide", OVERALL_WIDE + "\nSELECT * FROM wide", [f'"{c}"' for c in _WIDE_COLS])
+
+
+def _percent(c: str) -> str:
+    h = f'CAST(floor("{c}" * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)'
+    return (f"CASE WHEN \"{c}\" IS NULL THEN '\u2014' ELSE CAST({h} // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST({h} % 100 AS VARCHAR), 2, '0') || '%' END AS \"{c}\"")
+
+
+register("formatted_pivot", OVERALL_WIDE + '\nSELECT "Row", ' + ", ".join(map(_percent, _WIDE_COLS)) + " FROM wide")
+
+register("exec_kpis", VIEW + "," + agg_sql("mj", [], "kl", "WHERE r = 1") + ","
          + agg_sql("mj", [], "ka", f"WHERE r <= {_LB}") + ","
          + agg_sql("mj", [], "kx", f"WHERE r <= {_LB} AND expected_responses_xpm IS NOT NULL") + """
 SELECT (SELECT max(campaign_month) FROM mj WHERE r = 1) AS latest_month, """
@@ -1298,31 +1385,21 @@ SELECT (SELECT max(campaign_month) FROM mj WHERE r = 1) AS latest_month, """
        WHEN kl.actual_vs_expected_trm < {_C.KPI_BAD} THEN 'bad' ELSE 'warn' END AS aoe_status
 FROM kl, ka, kx""", [f"{p}_{m}" for p in ("latest", "all") for m in _C.METRIC_COLUMNS if m in AGG_DOUBLES])
 
-
-def _unpivot(src: str, ids: list[str], metrics: list[str], dropna: bool = False) -> str:
-    i = ", ".join(ids)
-    parts = [f"SELECT {i}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {src}"
-             + (f" WHERE {m} IS NOT NULL" if dropna else "") for m in metrics]
-    return "\nUNION ALL\n".join(parts)
-
-
-register("trend_long", MART + MONTHS_RANKED + "," + agg_sql("mj", ["campaign_month"], "agg", f"WHERE r <= {_LB}")
-         + "\n" + _unpivot("agg", ["campaign_month"], ["actual_board_rate", "actual_response_rate", "expected_rr_trm",
-                                                      "expected_rr_xpm"]), ["value"])
-register("model_by_band_trm", MART + "," + agg_sql("mart", ["vs_band"]) + "\n"
+register("trend_long", VIEW + "," + agg_sql("vw", ["campaign_month"]) + "\n"
+         + _unpivot("agg", ["campaign_month"], ["actual_board_rate", "actual_response_rate", "expected_rr_trm",
+                                               "expected_rr_xpm"]), ["value"])
+register("model_by_band_trm", VIEW + "," + agg_sql("vw", ["vs_band"]) + "\n"
          + _unpivot("agg", ["vs_band"], ["actual_response_rate", "expected_rr_trm"]), ["value"])
-register("model_by_band_xpm", MART + "," + agg_sql("mart", ["vs_band"], "agg", "WHERE expected_responses_xpm IS NOT NULL")
+register("model_by_band_xpm", VIEW + "," + agg_sql("vw", ["vs_band"], "agg", "WHERE expected_responses_xpm IS NOT NULL")
          + "\n" + _unpivot("agg", ["vs_band"], ["actual_response_rate", "expected_rr_xpm"]), ["value"])
-register("model_monthly", MART + "," + agg_sql("mart", ["campaign_month"]) + "\n"
+register("model_monthly", VIEW + "," + agg_sql("vw", ["campaign_month"]) + "\n"
          + _unpivot("agg", ["campaign_month"], ["actual_response_rate", "expected_rr_trm", "expected_rr_xpm"], True),
          ["value"])
-register("model_by_tier", MART + "," + agg_sql("mart", ["trm10_tier"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
-         AGG_DOUBLES)
-register("model_by_scorecard", MART + "," + agg_sql("mart", ["scorecard"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
-         AGG_DOUBLES)
-register("volume_mix", MART + "\nSELECT vs_band, campaign_month, CAST(sum(volume) AS BIGINT) AS volume FROM mart GROUP BY ALL")
+register("model_by_tier", VIEW + "," + agg_sql("vw", ["trm10_tier"]) + "\nSELECT * EXCLUDE (_rows) FROM agg", AGG_DOUBLES)
+register("model_by_scorecard", VIEW + "," + agg_sql("vw", ["scorecard"]) + "\nSELECT * EXCLUDE (_rows) FROM agg", AGG_DOUBLES)
+register("volume_mix", VIEW + "\nSELECT vs_band, campaign_month, CAST(sum(volume) AS BIGINT) AS volume FROM vw GROUP BY ALL")
 
-register("mom_delta", MART + "," + agg_sql("mart", ["vs_band", "campaign_month"]) + f""",
+register("mom_delta", VIEW + "," + agg_sql("vw", ["vs_band", "campaign_month"]) + f""",
 c AS (SELECT CAST(vs_band AS VARCHAR) AS row_value, campaign_month,
              CASE WHEN volume < {_thr} THEN NULL ELSE {_met} END AS v FROM agg),
 c2 AS (SELECT * FROM c WHERE row_value IS NOT NULL AND v IS NOT NULL),
@@ -1336,53 +1413,75 @@ SELECT d.*, least(1.0, abs(delta) / mx.m) AS intensity,
        CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction
 FROM d, mx""", ["value", "prev_v", "delta", "intensity", "alpha"])
 
-register("volume_share", MART + f""",
+register("volume_share", VIEW + f""",
 cell AS (SELECT CAST(vs_band AS VARCHAR) AS row_value, campaign_month AS column_key, CAST(sum(volume) AS BIGINT) AS vol
-         FROM mart WHERE vs_band IS NOT NULL GROUP BY ALL),
+         FROM vw WHERE vs_band IS NOT NULL GROUP BY ALL),
 b AS (SELECT * FROM cell UNION ALL SELECT row_value, 'Overall', CAST(sum(vol) AS BIGINT) FROM cell GROUP BY row_value),
 t AS (SELECT *, sum(vol) OVER (PARTITION BY column_key) AS tot FROM b)
 SELECT row_value, column_key, vol,
        greatest({float(_C.VOLUME_SHARE_MIN)}, least({float(_C.VOLUME_SHARE_MAX)}, vol / tot * 100)) AS pct
 FROM t WHERE tot > 0 AND vol > 0""", ["pct"])
 
-register("dict_filter", MART + """
-SELECT * FROM mart WHERE vs_band IN ('640-700', '701-730', '731-830') AND scorecard IN (2, 4)""",
-         ["annual_fee", "expected_responses", "expected_responses_xpm"])
-register("month_window", MART + MONTHS_RANKED + f"\nSELECT * EXCLUDE (r) FROM mj WHERE r <= {_LB}",
-         ["annual_fee", "expected_responses", "expected_responses_xpm"])
+_PICKED = "vs_band IN ('640-700', '701-730', '731-830') AND scorecard IN (2, 4)"
+register("dict_filter", MART + f"\nSELECT * FROM mart WHERE {_PICKED}", MART_DOUBLES)
+register("month_window", VIEW + "\nSELECT * FROM vw", MART_DOUBLES)
 register("filter_options", MART + "\n" + "\nUNION\n".join(
     f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value FROM mart WHERE {d} IS NOT NULL"
     for d in _C.ROLLUP_DIMENSIONS))
 
-register("validate_rollup", MART + """,
-v AS (
-  SELECT campaign_month, count(*) AS row_count, CAST(coalesce(sum(volume), 0) AS BIGINT) AS total_volume,
-    CAST(coalesce(sum(responders), 0) AS BIGINT) AS total_responders, CAST(coalesce(sum(Boards), 0) AS BIGINT) AS total_boards,
-    coalesce(min(volume) < 0, false) AS e0, coalesce(coalesce(sum(volume), 0) <= 0, false) AS e1,
-    coalesce(max(CASE WHEN responders > volume THEN 1 ELSE 0 END) = 1, false) AS e2,
-    coalesce(max(CASE WHEN Boards > volume THEN 1 ELSE 0 END) = 1, false) AS e3,
-    false AS e4,
-    coalesce(max(CASE WHEN expected_responses < 0 OR expected_responses > volume THEN 1 ELSE 0 END) = 1, false) AS w0,
-    coalesce(max(CASE WHEN expected_responses_xpm < 0 OR expected_responses_xpm > volume THEN 1 ELSE 0 END) = 1, false) AS w1
-  FROM mart GROUP BY campaign_month
-)
-SELECT campaign_month, row_count, total_volume, total_responders, total_boards, NOT (e0 OR e1 OR e2 OR e3 OR e4) AS ok,
-  array_to_string(list_filter([CASE WHEN e0 THEN 'negative volume' END, CASE WHEN e1 THEN 'total volume not positive' END,
-    CASE WHEN e2 THEN 'responders exceed volume' END, CASE WHEN e3 THEN 'boards exceed volume' END,
-    CASE WHEN e4 THEN 'foreign campaign_month' END], lambda x: x IS NOT NULL), '; ') AS errors,
-  array_to_string(list_filter([CASE WHEN w0 THEN 'expected_responses outside [0, volume]' END,
-    CASE WHEN w1 THEN 'expected_responses_xpm outside [0, volume]' END], lambda x: x IS NOT NULL), '; ') AS warnings
-FROM v""")
+# --- validation: rules on totals, one row per month attempt
+
+VALIDATED_DOUBLES = ["total_expected_responses", "total_expected_responses_xpm"]
+
+
+def validation_sql(src: str, attempts: str, name: str = "val") -> str:
+    """``src`` with load_month and campaign_month; ``attempts`` with load_month."""
+    rules = [("coalesce(n, 0) = 0", "rollup is empty"), ("least_volume < 0", "negative volume"),
+             ("n > 0 AND coalesce(v, 0) <= 0", "total volume not positive"), ("r > v", "responders exceed volume"),
+             ("b > v", "boards exceed volume"), ("foreign_rows > 0", "foreign campaign_month")]
+    warns = [("et < 0 OR et > v", "expected_responses outside [0, volume]"),
+             ("ex < 0 OR ex > v", "expected_responses_xpm outside [0, volume]")]
+    said = lambda rs: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in rs) + ")"
+    return f""",
+{name}_t AS (
+  SELECT load_month, count(*) AS n, CAST(sum(volume) AS BIGINT) AS v, CAST(sum(responders) AS BIGINT) AS r,
+    CAST(sum(Boards) AS BIGINT) AS b, CAST(CAST(sum(CAST(CAST(expected_responses AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) AS et,
+    CAST(CAST(sum(CAST(CAST(expected_responses_xpm AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) AS ex, min(volume) AS least_volume,
+    sum(CASE WHEN campaign_month IS DISTINCT FROM load_month THEN 1 ELSE 0 END) AS foreign_rows
+  FROM {src} GROUP BY load_month),
+{name} AS (
+  SELECT a.load_month AS campaign_month, coalesce(n, 0) AS row_count, v AS total_volume, r AS total_responders,
+    b AS total_boards, et AS total_expected_responses, ex AS total_expected_responses_xpm,
+    {said(rules)} = '' AS ok, {said(rules)} AS errors, {said(warns)} AS warnings
+  FROM (SELECT DISTINCT load_month FROM {attempts}) a LEFT JOIN {name}_t t ON a.load_month = t.load_month)"""
+
+
+_MN = "(CAST(substr(campaign_month, 1, 4) AS INTEGER) * 12 + CAST(substr(campaign_month, 6, 2) AS INTEGER))"
+LOADED = MART + ",\nld AS (SELECT *, campaign_month AS load_month FROM mart)"
+FAULTY = LOADED + f""",
+faulty AS (
+  SELECT * REPLACE (
+    CAST(CASE WHEN {_MN} % 9 = 1 AND trm10_tier = 1 THEN -volume WHEN {_MN} % 9 = 2 THEN 0 ELSE volume END AS BIGINT) AS volume,
+    CAST(CASE WHEN {_MN} % 9 = 3 THEN volume * 2 WHEN {_MN} % 9 = 8 AND trm10_tier = 1 THEN volume + 1
+              WHEN {_MN} % 9 IN (2, 8) THEN 0 ELSE responders END AS BIGINT) AS responders,
+    CAST(CASE WHEN {_MN} % 9 = 4 THEN volume * 2 WHEN {_MN} % 9 = 2 THEN 0 ELSE Boards END AS BIGINT) AS Boards,
+    CASE WHEN {_MN} % 9 = 5 AND trm10_tier = 1 THEN '1900-01' ELSE campaign_month END AS campaign_month,
+    CASE WHEN {_MN} % 9 = 6 THEN volume * 3.0 ELSE expected_responses END AS expected_responses,
+    CASE WHEN {_MN} % 9 = 7 THEN volume * -1.0 ELSE expected_responses_xpm END AS expected_responses_xpm)
+  FROM ld WHERE {_MN} % 9 <> 0)"""
+register("validate_rollup", LOADED + validation_sql("ld", "ld") + "\nSELECT * FROM val", VALIDATED_DOUBLES)
+register("validate_rollup_faulty", FAULTY + validation_sql("faulty", "ld") + "\nSELECT * FROM val", VALIDATED_DOUBLES)
 
 register("validation_summary", MART + """
 SELECT campaign_month, 'campaign_month=' || campaign_month AS partition_path, count(*) AS row_count,
   CAST(coalesce(sum(volume), 0) AS BIGINT) AS total_volume, CAST(coalesce(sum(responders), 0) AS BIGINT) AS total_responders,
   CAST(coalesce(sum(Boards), 0) AS BIGINT) AS total_boards,
-  coalesce(CAST(sum(CAST(expected_responses AS DECIMAL(38,10))) AS DOUBLE), 0.0) AS total_expected_responses,
-  CAST(sum(CAST(expected_responses_xpm AS DECIMAL(38,10))) AS DOUBLE) AS total_expected_responses_xpm,
+  coalesce(CAST(CAST(sum(CAST(CAST(expected_responses AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE), 0.0) AS total_expected_responses,
+  CAST(CAST(sum(CAST(CAST(expected_responses_xpm AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) AS total_expected_responses_xpm,
   count(expected_responses_xpm) > 0 AND coalesce(sum(expected_responses_xpm) <> 0, false) AS has_xpm
-FROM mart GROUP BY campaign_month""", ["total_expected_responses", "total_expected_responses_xpm"])
+FROM mart GROUP BY campaign_month""", VALIDATED_DOUBLES)
 
+_FILE = "'exp_' || upper(strftime(strptime(campaign_month, '%Y-%m'), '%b%y')) || '_rollup.csv'"
 register("parse_rollup_month", MART + """,
 ms AS (SELECT DISTINCT strptime(campaign_month, '%Y-%m')::DATE AS d FROM mart),
 names AS (
@@ -1400,9 +1499,59 @@ SELECT file_name,
     AS campaign_month
 FROM names""")
 
-register("missing_months", MART + """,
+register("missing_months", MART + f""",
 p AS (SELECT DISTINCT campaign_month FROM mart),
 b AS (SELECT min(campaign_month) AS lo, max(campaign_month) AS hi FROM p),
 e AS (SELECT strftime(unnest(generate_series(strptime(lo, '%Y-%m'), strptime(hi, '%Y-%m'), INTERVAL 1 MONTH)), '%Y-%m')
         AS campaign_month FROM b)
-SELECT campaign_month FROM e WHERE campaign_month NOT IN (SELECT campaign_month FROM p)""")
+SELECT campaign_month FROM e WHERE campaign_month NOT IN (SELECT campaign_month FROM p WHERE {_MN} % 5 <> 0)""")
+
+# --- file-backed mart: what the files must hold follows from the tables
+
+register("read_mart", MART + "\nSELECT * FROM mart", MART_DOUBLES)
+register("cache_or_compute", MART + "\nSELECT * FROM mart", MART_DOUBLES)
+register("mart_months", MART + "\nSELECT DISTINCT campaign_month FROM mart")
+register("mart_status", MART + """
+SELECT max(campaign_month) AS latest_month, count(DISTINCT campaign_month) AS months, true AS refreshed FROM mart""")
+register("csv_rollup_roundtrip", MART + f"\nSELECT *, {_FILE} AS source_file FROM mart", MART_DOUBLES)
+_DIM_COLS = ", ".join(_C.REQUIRED_ROLLUP_COLUMNS + tuple(_C.OPTIONAL_ROLLUP_COLUMNS))
+register("filtered_export", MART + f"""
+SELECT {_DIM_COLS}, campaign_month FROM mart
+WHERE {_PICKED} AND campaign_month >= '1997-01' AND campaign_month <= '1999-12'""", MART_DOUBLES)
+register("mart_replace_month", FAULTY + validation_sql("faulty", "faulty") + """,
+kept AS (
+  SELECT load_month, volume, responders FROM faulty WHERE load_month IN (SELECT campaign_month FROM val WHERE ok)
+  UNION ALL
+  SELECT load_month, volume, responders FROM ld WHERE load_month NOT IN (SELECT campaign_month FROM val WHERE ok))
+SELECT k.load_month AS campaign_month, count(*) AS stored_rows, CAST(sum(k.volume) AS BIGINT) AS stored_volume,
+  CAST(sum(k.responders) AS BIGINT) AS stored_responders, any_value(val.ok) AS ok, any_value(val.errors) AS errors
+FROM kept k LEFT JOIN val ON k.load_month = val.campaign_month GROUP BY k.load_month""")
+
+# files for all months; every other month in the mart, every sixth with a newer file; every seventh fails
+INGEST = LOADED + f""",
+files AS (SELECT * REPLACE (CAST(CASE WHEN {_MN} % 7 = 3 THEN volume * 2 ELSE responders END AS BIGINT) AS responders) FROM ld),
+ages AS (SELECT campaign_month, {_MN} AS k, CAST(2001 * 12 + 9 - {_MN} AS INTEGER) AS age_months
+         FROM (SELECT DISTINCT campaign_month FROM ld)),
+plan AS (
+  SELECT campaign_month, age_months,
+    CASE WHEN age_months >= {_C.HISTORY_FREEZE_MONTHS} THEN 'frozen' WHEN k % 2 <> 0 THEN 'add' WHEN k % 6 = 0 THEN 'replace'
+         WHEN age_months >= 0 AND age_months < {_C.RECENT_REFRESH_WINDOW_MONTHS} THEN 'replace' ELSE 'skip' END AS action,
+    CASE WHEN age_months >= {_C.HISTORY_FREEZE_MONTHS} THEN 'in the freeze window' WHEN k % 2 <> 0 THEN 'new month'
+         WHEN k % 6 = 0 THEN 'file newer than partition'
+         WHEN age_months >= 0 AND age_months < {_C.RECENT_REFRESH_WINDOW_MONTHS} THEN 'in the refresh window'
+         ELSE 'up to date' END AS reason
+  FROM ages)""" + validation_sql("files", "files") + """,
+done AS (
+  SELECT p.*, CASE WHEN action IN ('add', 'replace') AND NOT val.ok THEN 'failed' WHEN action = 'add' THEN 'added'
+                   WHEN action = 'replace' THEN 'replaced' WHEN action = 'skip' THEN 'skipped' ELSE 'frozen' END AS status,
+         val.* EXCLUDE (campaign_month)
+  FROM plan p JOIN val ON p.campaign_month = val.campaign_month)"""
+register("ingest_plan", INGEST + f"\nSELECT campaign_month, {_FILE} AS file_name, age_months, action, reason FROM plan")
+register("ingest_summary", INGEST + """
+SELECT s.status, count(done.campaign_month) AS files
+FROM (VALUES ('added'), ('replaced'), ('skipped'), ('frozen'), ('failed')) s(status) LEFT JOIN done ON s.status = done.status
+GROUP BY s.status""")
+register("load_log", INGEST + f"""
+SELECT campaign_month, {_FILE} AS source_file, row_count, total_volume, total_responders, total_boards, total_expected_responses,
+  total_expected_responses_xpm, status, CASE WHEN status = 'failed' THEN errors ELSE warnings END AS message
+FROM done WHERE status IN ('added', 'replaced', 'failed')""", VALIDATED_DOUBLES)

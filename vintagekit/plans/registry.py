@@ -1,37 +1,52 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame.
+
+Plans return full precision; doubles are rounded here, once, for comparison with other engines.
+"""
 
 from __future__ import annotations
 
-from vintagekit.plans import studio
+from collections.abc import Callable
+from functools import wraps
 
-QUERIES = {
-    "tie_aware_deciles": studio.tie_aware_deciles,
-}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-for _name in """scan_account_month dim_enrich data_window exclusion_set tier_accounts available_cohorts
-score_availability cohort_bulk cohort_point_in_time cohort_month portfolio_snapshot portfolio_closest_score
-benchmark_snapshot snapshot_diagnostics snapshot_summary score_status invalid_scores funnel read_funnel
-board_reconciliation quantile_deciles overall_summary segment_tables rank_diagnostics d1_d10_lift reversals
-kpi_strip verdict gains_curve read_comparison month_stats benchmark_summary lift_comparison grouped_rank_order
-activation_base activation_by_month activation_curve activation_histogram activation_table activation_by_score
-account_payload decile_export dataset_diagnostics""".split():
-    QUERIES[_name] = getattr(studio, _name)
+from vintagekit.plans import campaign, mart, studio
 
-from vintagekit.plans import campaign  # noqa: E402
 
-for _name in """campaign_windows mailfile_month applications first_application response_join final_response
-campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
-woe_transforms feature_select""".split():
-    QUERIES[_name] = getattr(campaign, _name)
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round double columns to ``digits`` places as round(x * 10^d) / 10^d, the same
+    IEEE steps on every engine (so an exact half never rounds two ways)."""
+    scale = float(10 ** digits)
+    return df.select(*[
+        (F.round(F.col(f"`{f.name}`") * F.lit(scale), 0) / F.lit(scale)).alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
-from vintagekit.plans import mart  # noqa: E402
 
-for _name in """aggregate_by kpi_totals monthly_trend pivot_metric suppress_small_cells pivot_overall exec_kpis
-trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier model_by_scorecard volume_mix mom_delta
-volume_share dict_filter month_window filter_options validate_rollup validation_summary parse_rollup_month
-missing_months""".split():
-    QUERIES[_name] = getattr(mart, _name)
+def _edge(plan: Callable) -> Callable:
+    @wraps(plan)
+    def query(spark, sf_dir):
+        return rounded(plan(spark, sf_dir))
+    return query
 
-for _name in """mart_replace_month read_mart mart_months csv_rollup_roundtrip load_log ingest_plan ingest_summary
-mart_status filtered_export cache_or_compute""".split():
-    QUERIES[_name] = getattr(mart, _name)
+
+STUDY = """tie_aware_deciles scan_account_month dim_enrich data_window exclusion_set tier_accounts available_cohorts
+score_availability cohort_bulk cohort_point_in_time cohort_month portfolio_snapshot portfolio_snapshot_given
+portfolio_closest_score portfolio_closest_score_given benchmark_snapshot snapshot_diagnostics snapshot_summary
+score_status invalid_scores funnel read_funnel board_reconciliation quantile_deciles overall_summary segment_tables
+rank_diagnostics d1_d10_lift reversals kpi_strip verdict verdict_wide gains_curve read_comparison month_stats
+tie_aware_deciles_months benchmark_summary benchmark_overlay lift_comparison lift_table grouped_rank_order
+grouped_summary grouped_segments grouped_diagnostics activation_base activation_by_month activation_curve
+activation_histogram activation_table activation_by_score account_payload decile_export dataset_diagnostics"""
+CAMPAIGN = """campaign_windows mailfile_month applications first_application response_join final_response
+campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
+woe_transforms feature_select feature_select_sc4"""
+MART = """aggregate_by kpi_totals monthly_trend pivot_metric suppress_small_cells pivot_overall pivot_overall_wide
+formatted_pivot exec_kpis trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier
+model_by_scorecard volume_mix mom_delta volume_share dict_filter month_window filter_options validate_rollup
+validate_rollup_faulty validation_summary parse_rollup_month missing_months mart_replace_month read_mart mart_months
+csv_rollup_roundtrip load_log ingest_plan ingest_summary mart_status filtered_export cache_or_compute"""
+
+QUERIES = {name: _edge(getattr(module, name))
+           for module, names in ((studio, STUDY), (campaign, CAMPAIGN), (mart, MART)) for name in names.split()}

@@ -9,13 +9,14 @@ reach the scan as pushed filters.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vintagekit.config import StudyConfig
+from vintagekit.config import CREDITLINE_GROUPS, FUNNEL_BUCKET_MAX, SCORE_AVAILABILITY_MAX_MOB, StudyConfig
+from vintagekit.functions.dates import month_end_of
+from vintagekit.operators import payload as PL
 from vintagekit.operators import population as P
 from vintagekit.operators import rank as R
 from vintagekit.session import prepare
@@ -24,43 +25,38 @@ from vintagekit.sources import testdata as TD
 CFG = StudyConfig()
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns to ``digits`` places as round(x * 10^d) / 10^d, the same
-    IEEE steps on every engine (so an exact half never rounds two ways)."""
-    scale = float(10 ** digits)
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name) * F.lit(scale), 0) / F.lit(scale)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
-
-
 @dataclass
 class StudyInputs:
     spark: SparkSession
+    sf_dir: str
     fact: DataFrame
     products: DataFrame
     cfg: StudyConfig
     window_start: dt.date
     window_end: dt.date
 
+    @property
+    def exclude_from(self) -> dt.date:
+        return P.exclusion_start(self.cfg, self.window_start)
+
     @property
     def excluded(self) -> DataFrame:
         return P.exclusion_set(self.fact, self.cfg, self.window_start)
 
     def cohort(self, **kw) -> DataFrame:
-        return P.cohort_bulk(self.fact, self.cfg, self.window_start, self.window_end, self.products,
-                             excluded=kw.pop("excluded", self.excluded), **kw)
+        return P.cohort_bulk(self.fact, self.cfg, self.window_start, self.window_end, self.products, **kw)
+
+    def cohort_pairs(self, months: list[str] | None = None) -> DataFrame:
+        return R.eligible_pairs(self.cohort(), self.cfg, months=months)
 
-    def cohort_pairs(self) -> DataFrame:
-        return R.eligible_pairs(self.cohort(), self.cfg)
+    def snapshot(self, **kw) -> DataFrame:
+        """Subject and benchmark rows of the snapshot month, one pass, with exclusion and tier flags."""
+        return P.snapshot_pass(self.fact, self.cfg, self.products, benchmark=True, exclude_from=self.exclude_from, **kw)
 
 
 def staged_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adapter A staged once per session (SRC5), sorted by month inside each file
-    so date-bounded scans skip row groups."""
+    """Adapter A in the session's staging folder (SRC5), sorted by month inside each file so date-bounded scans
+    skip row groups. A warehouse that holds the fact hands it to the operators directly."""
     from vintagekit.sources.cache import cache_or_compute, stage_path
     return cache_or_compute(spark, stage_path(spark, "account_month", sf_dir),
                             lambda: TD.account_month_fact(spark, sf_dir),
@@ -68,18 +64,27 @@ def staged_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
                             sort_within=["reportingdate"])
 
 
+_WINDOWS: dict[tuple, tuple[dt.date, dt.date, dt.date]] = {}
+
+
 def inputs(spark: SparkSession, sf_dir: str, cfg: StudyConfig = CFG) -> StudyInputs:
+    """Fact, dimensions and the detected window (one aggregated row, computed once per session and scope). A
+    configuration without a snapshot month gets the detected one."""
     prepare(spark)
     fact = staged_fact(spark, sf_dir)
-    products = TD.product_dimension(spark, sf_dir)
-    start, end = P.resolve_window(fact, cfg)
-    return StudyInputs(spark, fact, products, cfg, start, end)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+    if key not in _WINDOWS:
+        _WINDOWS[key] = P.resolve_window(fact, cfg)
+    start, end, snapshot = _WINDOWS[key]
+    if cfg.snapshot_month is None:
+        cfg = replace(cfg, snapshot_month=snapshot)
+    return StudyInputs(spark, sf_dir, fact, TD.product_dimension(spark, sf_dir), cfg, start, end)
 
 
 def tie_aware_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: cohort (all board months, all reads in one pass) -> tie-aware deciles per read."""
     s = inputs(spark, sf_dir)
-    return finish(R.tie_aware_deciles(s.cohort_pairs(), ["read_key"], k=s.cfg.n_deciles))
+    return R.tie_aware_deciles(s.cohort_pairs(), ["read_key"], k=s.cfg.n_deciles)
 
 
 # ----------------------------------------------------------------------------
@@ -114,7 +119,6 @@ def tier_accounts(spark, sf_dir):
 
 
 def _bounds(s: StudyInputs):
-    from vintagekit.functions.dates import month_end_of
     return month_end_of(s.window_start), month_end_of(s.window_end)
 
 
@@ -123,20 +127,18 @@ def available_cohorts(spark, sf_dir):
     s = inputs(spark, sf_dir)
     lo, hi = _bounds(s)
     br = P.boards(s.fact, s.cfg, lo, hi, s.products)
-    mob = (s.fact.filter(F.col("cardid").isNotNull()).join(br.select(P.ACCT), P.ACCT, "left_semi")
-           .groupBy(P.ACCT).agg(F.max("monthsonbooks").alias("max_mob_observed")))
+    mob = s.fact.filter(F.col("cardid").isNotNull()).groupBy(P.ACCT).agg(F.max("monthsonbooks").alias("max_mob_observed"))
     j = br.join(mob, P.ACCT, "left")
     m = F.coalesce(F.col("max_mob_observed"), F.lit(-1))
-    return finish(j.groupBy("vintage", "program_code", "channel").agg(
+    return j.groupBy("vintage", "program_code", "channel").agg(
         F.count(F.lit(1)).alias("accounts"), F.min("opendate").alias("min_opendate"),
         F.max("opendate").alias("max_opendate"), F.avg("creditline").alias("avg_creditline"),
         F.sum((m >= 4).cast("long")).alias("matured_mob4"), F.sum((m >= 6).cast("long")).alias("matured_mob6"),
-        F.max("max_mob_observed").alias("max_mob_observed")))
+        F.max("max_mob_observed").alias("max_mob_observed"))
 
 
 def score_availability(spark, sf_dir):
     """P5: for every cohort, accounts with a row / a score / a valid score by MOB 1..max."""
-    from vintagekit.config import SCORE_AVAILABILITY_MAX_MOB
     s = inputs(spark, sf_dir)
     lo, hi = _bounds(s)
     br = P.boards(s.fact, s.cfg, lo, hi, None).select("vintage", P.ACCT)
@@ -149,8 +151,8 @@ def score_availability(spark, sf_dir):
         F.countDistinct(F.when(F.col("bhvr_score").isNotNull(), acct)).alias("accounts_with_score"),
         F.countDistinct(F.when(P.valid_score(s.cfg), acct)).alias("accounts_with_valid_score"),
         F.min("bhvr_score").alias("min_score"), F.max("bhvr_score").alias("max_score"))
-    return finish(g.withColumn("valid_score_rate_among_rows",
-                               R.safe_div("accounts_with_valid_score", "boarded_accounts_with_row")))
+    return g.withColumn("valid_score_rate_among_rows",
+                               R.safe_div("accounts_with_valid_score", "boarded_accounts_with_row"))
 
 
 # ----------------------------------------------------------------------------
@@ -159,46 +161,63 @@ def score_availability(spark, sf_dir):
 
 def cohort_bulk(spark, sf_dir):
     """Cohort rows (account x read) for every board month in one pass."""
-    return finish(inputs(spark, sf_dir).cohort())
+    return inputs(spark, sf_dir).cohort()
 
 
 def cohort_point_in_time(spark, sf_dir):
     """Cohort in point-in-time mode."""
-    return finish(inputs(spark, sf_dir).cohort(mode="point_in_time"))
+    return inputs(spark, sf_dir).cohort(mode="point_in_time")
 
 
 def cohort_month(spark, sf_dir):
     """One board month (the first), score and performance rows without date bounds."""
     s = inputs(spark, sf_dir)
-    return finish(P.cohort_month(s.fact, s.cfg, s.window_start, s.products))
+    return P.cohort_month(s.fact, s.cfg, s.window_start, s.products)
+
+
+GIVEN_MONTH = dt.date(1998, 6, 1)
+GIVEN = replace(CFG, snapshot_month=GIVEN_MONTH)
 
 
-def _portfolio(s: StudyInputs, **kw):
-    allowed = P.tier_accounts(s.fact, s.cfg)
-    return P.portfolio_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded, allowed=allowed, **kw)
+def _portfolio(s: StudyInputs):
+    return P.portfolio_snapshot(s.fact, s.cfg, s.products, s.exclude_from)
 
 
 def portfolio_snapshot(spark, sf_dir):
     """Eligible, valid-score subject snapshot rows per read."""
-    return finish(_portfolio(inputs(spark, sf_dir)))
+    return _portfolio(inputs(spark, sf_dir))
+
+
+def portfolio_snapshot_given(spark, sf_dir):
+    """P11 for a given snapshot month."""
+    return _portfolio(inputs(spark, sf_dir, GIVEN))
+
+
+def _closest(s: StudyInputs):
+    return P.portfolio_closest_score(s.fact, s.cfg, s.products)
 
 
 def portfolio_closest_score(spark, sf_dir):
     """P12 + J5: snapshot with the closest valid score in each read's window."""
-    s = inputs(spark, sf_dir)
-    return finish(P.portfolio_closest_score(s.fact, s.cfg, s.products))
+    return _closest(inputs(spark, sf_dir))
+
+
+def portfolio_closest_score_given(spark, sf_dir):
+    """P12 for a given snapshot month."""
+    return _closest(inputs(spark, sf_dir, GIVEN))
+
+
+def _benchmark(s: StudyInputs):
+    return P.benchmark_snapshot(s.fact, s.cfg, s.products, s.exclude_from)
 
 
 def benchmark_snapshot(spark, sf_dir):
     """Benchmark population with credit-line groups."""
-    s = inputs(spark, sf_dir)
-    return finish(P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded))
+    return _benchmark(inputs(spark, sf_dir))
 
 
 def _diag_rows(s: StudyInputs):
-    snap = P.snapshot_rows(s.fact, s.cfg, s.cfg.snapshot_month, s.products)
-    perf = P.forward_perf(snap, s.fact, s.cfg, s.cfg.snapshot_month)
-    return P._stack_reads(snap.join(perf, P.ACCT, "left"), s.cfg, list(snap.columns))
+    return P.subject_rows(P.snapshot_pass(s.fact, s.cfg, s.products), s.cfg)
 
 
 def snapshot_diagnostics(spark, sf_dir):
@@ -208,7 +227,7 @@ def snapshot_diagnostics(spark, sf_dir):
     valid = P.valid_score(s.cfg)
     elig = (F.coalesce(F.col("has_horizon"), F.lit(0)) == 1) | (F.coalesce(F.col("chargeoff"), F.lit(0)) == 1)
     keys = ["read_key", "board_month", "snapshot_population_source", "program_code", "channel"]
-    return finish(d.groupBy(*keys).agg(
+    return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("active_or_new_snapshot_accounts"),
         F.sum((F.col("activeaccountindicator") == 1).cast("long")).alias("active_snapshot_accounts"),
         F.sum((F.col("newaccountindicator") == 1).cast("long")).alias("new_board_snapshot_accounts"),
@@ -218,7 +237,7 @@ def snapshot_diagnostics(spark, sf_dir):
         F.sum(F.coalesce(valid & elig, F.lit(False)).cast("long")).alias("eligible_valid_score_accounts"),
         F.sum(F.coalesce(valid & elig & (F.coalesce(F.col("target"), F.lit(0)) == 1), F.lit(False)).cast("long"))
         .alias("bads_valid_score"),
-        F.avg(F.when(valid, F.col("bhvr_score").cast("double"))).alias("avg_valid_score")))
+        F.avg(F.when(valid, F.col("bhvr_score").cast("double"))).alias("avg_valid_score"))
 
 
 def snapshot_summary(spark, sf_dir):
@@ -228,14 +247,14 @@ def snapshot_summary(spark, sf_dir):
             "accounts_with_score", "accounts_with_valid_score", "eligible_accounts",
             "eligible_valid_score_accounts", "bads_valid_score"]
     g = d.groupBy("read_key", "board_month").agg(*[F.sum(c).alias(c) for c in sums])
-    return finish(g.withColumn("valid_score_rate", R.safe_div("accounts_with_valid_score", "active_or_new_snapshot_accounts"))
-                  .withColumn("eligible_valid_score_rate",
-                              R.safe_div("eligible_valid_score_accounts", "active_or_new_snapshot_accounts"))
-                  .withColumn("bad_rate_valid_score", R.safe_div("bads_valid_score", "eligible_valid_score_accounts")))
+    return (g.withColumn("valid_score_rate", R.safe_div("accounts_with_valid_score", "active_or_new_snapshot_accounts"))
+            .withColumn("eligible_valid_score_rate",
+                        R.safe_div("eligible_valid_score_accounts", "active_or_new_snapshot_accounts"))
+            .withColumn("bad_rate_valid_score", R.safe_div("bads_valid_score", "eligible_valid_score_accounts")))
 
 
 def _status_rows(s: StudyInputs):
-    return P.snapshot_rows(s.fact, s.cfg, s.cfg.snapshot_month, s.products, variant="score_card")
+    return P.snapshot_pass(s.fact, s.cfg, s.products, subject="score_card")
 
 
 def score_status(spark, sf_dir):
@@ -243,10 +262,10 @@ def score_status(spark, sf_dir):
     s = inputs(spark, sf_dir)
     d = _status_rows(s).withColumn("snapshot_score_status", P.score_status(s.cfg))
     keys = ["board_month", "snapshot_population_source", "program_code", "channel", "snapshot_score_status"]
-    return finish(d.groupBy(*keys).agg(
+    return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("accounts"), F.min("bhvr_score").alias("min_snapshot_score"),
         F.max("bhvr_score").alias("max_snapshot_score"),
-        F.avg(F.col("bhvr_score").cast("double")).alias("avg_snapshot_score")))
+        F.avg(F.col("bhvr_score").cast("double")).alias("avg_snapshot_score"))
 
 
 def invalid_scores(spark, sf_dir):
@@ -260,7 +279,6 @@ def invalid_scores(spark, sf_dir):
 
 def funnel(spark, sf_dir):
     """Five parallel step counts at the snapshot in one scan."""
-    from vintagekit.functions.dates import month_end_of
     s = inputs(spark, sf_dir)
     obs = month_end_of(s.cfg.snapshot_month)
     f = s.fact.filter((F.col("reportingdate") == F.lit(obs)) & F.col("cardid").isNotNull() & P.program_filter(s.cfg))
@@ -269,20 +287,18 @@ def funnel(spark, sf_dir):
     return f.agg(F.count(F.lit(1)).alias("step1_rows_at_snapshot"), c(an).alias("step2_active_or_new"),
                  c(an & (F.col("creditline") == F.lit(s.cfg.creditline_tier))).alias("step3_snapshot_cl_tier"),
                  c(an & P.valid_score(s.cfg)).alias("step4_valid_score"),
-                 c(an & (F.col("dimbucketid") <= 29)).alias("step5_current_or_30dpd"))
+                 c(an & (F.col("dimbucketid") <= FUNNEL_BUCKET_MAX)).alias("step5_current_or_30dpd"))
 
 
 def read_funnel(spark, sf_dir):
     """Per read - pulled, not excluded, and boarded at the tier."""
     s = inputs(spark, sf_dir)
-    pulled = P.portfolio_snapshot(s.fact, s.cfg, s.products)
-    ex = s.excluded.withColumn("_x", F.lit(1))
-    tier = P.tier_accounts(s.fact, s.cfg).withColumn("_t", F.lit(1))
-    j = pulled.join(ex, P.ACCT, "left").join(tier, P.ACCT, "left")
-    kept = F.col("_x").isNull()
-    return j.groupBy("read_key").agg(
+    rows = P.snapshot_pass(s.fact, s.cfg, s.products, exclude_from=s.exclude_from)
+    pulled = P.portfolio_rows(rows, s.cfg, more=("excluded", "at_tier"))
+    kept = F.coalesce("excluded", F.lit(0)) == 0
+    return pulled.groupBy("read_key").agg(
         F.count(F.lit(1)).alias("pulled"), F.sum(kept.cast("long")).alias("not_excluded"),
-        F.sum((kept & F.col("_t").isNotNull()).cast("long")).alias("at_tier"))
+        F.sum((kept & (F.col("at_tier") == 1)).cast("long")).alias("at_tier"))
 
 
 def board_reconciliation(spark, sf_dir):
@@ -301,7 +317,7 @@ def board_reconciliation(spark, sf_dir):
                   F.sum("boards_at_tier").alias("boards_at_tier"),
                   F.lit(None).cast("double").alias("avg_creditline"))
     out = g.unionByName(total)
-    return finish(out.withColumn("tier_share", R.safe_div("boards_at_tier", "boards_any_cl")))
+    return out.withColumn("tier_share", R.safe_div("boards_at_tier", "boards_any_cl"))
 
 
 # ----------------------------------------------------------------------------
@@ -309,27 +325,27 @@ def board_reconciliation(spark, sf_dir):
 # ----------------------------------------------------------------------------
 
 def quantile_deciles(spark, sf_dir):
-    return finish(R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+    return R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
 
 
 def overall_summary(spark, sf_dir):
     s = inputs(spark, sf_dir)
     cohort = s.cohort()
-    return finish(R.overall_summary(cohort, R.eligible_pairs(cohort, s.cfg), ["read_key"]))
+    return R.overall_summary(cohort, R.eligible_pairs(cohort, s.cfg), ["read_key"])
 
 
 def segment_tables(spark, sf_dir):
-    return finish(R.segment_tables(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+    return R.segment_tables(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
 
 
 def rank_diagnostics(spark, sf_dir):
     dec = R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
-    return finish(R.rank_diagnostics(dec, ["read_key"]))
+    return R.rank_diagnostics(dec, ["read_key"])
 
 
 def d1_d10_lift(spark, sf_dir):
     dec = R.tie_aware_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
-    return finish(R.d1_d10_lift(dec, ["read_key"]))
+    return R.d1_d10_lift(dec, ["read_key"])
 
 
 def reversals(spark, sf_dir):
@@ -338,7 +354,7 @@ def reversals(spark, sf_dir):
 
 
 def kpi_strip(spark, sf_dir):
-    return finish(R.kpi_strip(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+    return R.kpi_strip(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
 
 
 def verdict(spark, sf_dir):
@@ -347,22 +363,38 @@ def verdict(spark, sf_dir):
 
 def gains_curve(spark, sf_dir):
     dec = R.tie_aware_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
-    return finish(R.gains_curve(dec, ["read_key"]))
+    return R.gains_curve(dec, ["read_key"])
 
 
 def read_comparison(spark, sf_dir):
-    return finish(R.read_comparison(inputs(spark, sf_dir).cohort_pairs(), ["read_key"]))
+    return R.read_comparison(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
 
 
 def month_stats(spark, sf_dir):
-    return finish(R.month_stats(inputs(spark, sf_dir).cohort_pairs(), "vintage", ["read_key"]))
+    return R.month_stats(inputs(spark, sf_dir).cohort_pairs(), "vintage", ["read_key"])
+
+
+def tie_aware_deciles_months(spark, sf_dir):
+    """R16 + F20: deciles of the first three board months only."""
+    s = inputs(spark, sf_dir)
+    start = s.window_start.year * 12 + s.window_start.month - 1
+    months = [f"{(start + i) // 12:04d}-{(start + i) % 12 + 1:02d}" for i in range(3)]
+    return R.tie_aware_deciles(s.cohort_pairs(months), ["read_key"], k=s.cfg.n_deciles)
+
+
+WIDE = replace(CFG, program_codes=("AUTO", "BUIL", "FURN", "HOUS", "MACH"), creditline_tier=None)
+
+
+def verdict_wide(spark, sf_dir):
+    """R9 over all programs and credit lines."""
+    return R.verdict(inputs(spark, sf_dir, WIDE).cohort_pairs(), [])
 
 
 def _snapshot_pairs(s: StudyInputs) -> DataFrame:
-    """Subject portfolio and benchmark groups as one population-labelled frame."""
-    port = _portfolio(s).withColumn("population", F.lit("subject"))
-    bench = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded) \
-        .withColumn("population", F.col("benchmark_group"))
+    """Subject portfolio and benchmark groups as one population-labelled frame, from one pass."""
+    rows = P.not_excluded(s.snapshot())
+    port = P.portfolio_rows(rows.filter(F.col("at_tier") == 1), s.cfg).withColumn("population", F.lit("subject"))
+    bench = P.benchmark_rows(rows, s.cfg).withColumn("population", F.col("benchmark_group"))
     cols = ["population", "read_key", P.ACCT, "bhvr_score", "metric_eligible", "target", "creditline"]
     return R.eligible_pairs(port.select(*cols).unionByName(bench.select(*cols)), s.cfg)
 
@@ -370,20 +402,55 @@ def _snapshot_pairs(s: StudyInputs) -> DataFrame:
 def benchmark_summary(spark, sf_dir):
     """KPI strip per population (subject portfolio and benchmark groups) and read."""
     s = inputs(spark, sf_dir)
-    return finish(R.kpi_strip(_snapshot_pairs(s), ["population", "read_key"]))
+    return R.kpi_strip(_snapshot_pairs(s), ["population", "read_key"])
+
+
+def benchmark_overlay(spark, sf_dir):
+    """Decile series of all populations on the requested read; here a read that is not there, so the first
+    one with subject rows is taken."""
+    s = inputs(spark, sf_dir)
+    return R.overlay_series(_snapshot_pairs(s), "b90_w9", [r.key for r in s.cfg.reads], "subject", k=s.cfg.n_deciles)
 
 
 def lift_comparison(spark, sf_dir):
-    """Lift-normalised decile comparison across populations."""
+    """Lift-normalised comparison across populations."""
+    s = inputs(spark, sf_dir)
+    return R.lift_comparison(_snapshot_pairs(s), ["population", "read_key"])
+
+
+def lift_table(spark, sf_dir):
+    """Each decile's lift over its population's rate."""
     s = inputs(spark, sf_dir)
-    return finish(R.lift_comparison(_snapshot_pairs(s), ["population", "read_key"]))
+    return R.lift_table(_snapshot_pairs(s), ["population", "read_key"])
+
+
+_BY_GROUP = ["benchmark_group", "read_key"]
+
+
+def _group_pairs(s: StudyInputs) -> DataFrame:
+    return R.eligible_pairs(_benchmark(s), s.cfg)
 
 
 def grouped_rank_order(spark, sf_dir):
     """Quantile deciles per benchmark credit-line group and read."""
+    return R.quantile_deciles(_group_pairs(inputs(spark, sf_dir)), _BY_GROUP)
+
+
+def grouped_summary(spark, sf_dir):
+    """R3 per benchmark credit-line group and read."""
     s = inputs(spark, sf_dir)
-    bench = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded)
-    return finish(R.quantile_deciles(R.eligible_pairs(bench, s.cfg), ["benchmark_group", "read_key"]))
+    bench = _benchmark(s)
+    return R.overall_summary(bench, R.eligible_pairs(bench, s.cfg), _BY_GROUP)
+
+
+def grouped_segments(spark, sf_dir):
+    """R4 per benchmark credit-line group and read."""
+    return R.segment_tables(_group_pairs(inputs(spark, sf_dir)), _BY_GROUP)
+
+
+def grouped_diagnostics(spark, sf_dir):
+    """R5 per benchmark credit-line group and read."""
+    return R.rank_diagnostics(R.quantile_deciles(_group_pairs(inputs(spark, sf_dir)), _BY_GROUP), _BY_GROUP)
 
 
 # ----------------------------------------------------------------------------
@@ -401,12 +468,12 @@ def activation_base(spark, sf_dir):
 
 def activation_by_month(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return finish(A.activation_by_month(_activation(inputs(spark, sf_dir))))
+    return A.activation_by_month(_activation(inputs(spark, sf_dir)))
 
 
 def activation_curve(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return finish(A.activation_curve(_activation(inputs(spark, sf_dir))))
+    return A.activation_curve(_activation(inputs(spark, sf_dir)))
 
 
 def activation_histogram(spark, sf_dir):
@@ -416,53 +483,67 @@ def activation_histogram(spark, sf_dir):
 
 def activation_table(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return finish(A.activation_table(_activation(inputs(spark, sf_dir))))
+    return A.activation_table(_activation(inputs(spark, sf_dir)))
 
 
 def activation_by_score(spark, sf_dir):
     from vintagekit.operators import activation as A
     s = inputs(spark, sf_dir)
     scores = A.first_score_per_account(s.cohort(), s.cfg.reads[0].key)
-    return finish(A.activation_by_score(_activation(s), scores))
+    return A.activation_by_score(_activation(s), scores)
 
 
 # ----------------------------------------------------------------------------
 # payload and exports
 # ----------------------------------------------------------------------------
 
-def _payload(s: StudyInputs) -> DataFrame:
-    from vintagekit.operators import payload as PL
+def build_payload(s: StudyInputs) -> DataFrame:
+    """One cohort pass and one snapshot pass; the snapshot rows carry their population."""
     reads = s.cfg.reads
     cohort = PL.with_dataset(PL.account_frame(s.cohort(), reads, "vintage", s.cfg),
                              "cohort-subject", "Cohort", "subject")
-    port = PL.with_dataset(PL.account_frame(_portfolio(s), reads, "board_month", s.cfg),
-                           "port-subject", "Total Portfolio", "subject")
-    bench_long = P.benchmark_snapshot(s.fact, s.cfg, s.products, excluded=s.excluded)
-    bench = PL.account_frame(bench_long, reads, "board_month", s.cfg, keys=["benchmark_group"])
-    bench = PL.with_dataset(bench, F.concat(F.lit("port-"), F.col("benchmark_group")), "Total Portfolio",
-                            F.col("benchmark_group")).drop("benchmark_group")
-    return cohort.unionByName(port).unionByName(bench)
+    rows = P.not_excluded(s.snapshot())
+    cols = ["population", P.ACCT, "read_key", "board_month", "bhvr_score", "program_code", "channel", "creditline",
+            "metric_eligible", "target"]
+    port = P.portfolio_rows(rows.filter(F.col("at_tier") == 1), s.cfg).withColumn("population", F.lit("subject"))
+    bench = P.benchmark_rows(rows, s.cfg).withColumn("population", F.col("benchmark_group"))
+    snap = PL.account_frame(port.select(*cols).unionByName(bench.select(*cols)), reads, "board_month", s.cfg, keys=["population"])
+    snap = PL.with_dataset(snap.withColumnRenamed("population", "group"), F.concat(F.lit("port-"), F.col("group")),
+                           "Total Portfolio", F.col("group")).drop("group")
+    return cohort.unionByName(snap)
+
+
+def _payload(s: StudyInputs) -> DataFrame:
+    """SNK6: written once per session, one folder per dataset, and read by everything that needs it."""
+    from vintagekit.sources.cache import _complete, stage_path
+    path = stage_path(s.spark, "payload", s.sf_dir)
+    got = _complete(s.spark, path, ["dataset_id", P.ACCT])
+    if got is None:
+        PL.write_payload(build_payload(s), path)
+        got = s.spark.read.parquet(path)
+    return got
 
 
 def account_payload(spark, sf_dir):
     """SNK6: one row per (dataset, account) with e_<read>/b_<read> flags."""
-    return finish(_payload(inputs(spark, sf_dir)))
+    return _payload(inputs(spark, sf_dir))
 
 
 def decile_export(spark, sf_dir):
-    """SNK7: tie-aware deciles per (dataset, read) over the payload."""
-    from vintagekit.operators import payload as PL
+    """SNK7: tie-aware deciles per (dataset, read) over the payload, written and read back."""
+    import uuid
+
+    from vintagekit.session import checkpoint_dir
     s = inputs(spark, sf_dir)
     long = PL.payload_long(_payload(s), s.cfg.reads).filter(F.col("eligible") == 1)
-    return finish(R.tie_aware_deciles(long, ["dataset_id", "read_key"], score="score", bad="bad"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/decile-export-{uuid.uuid4().hex}"
+    PL.write_deciles(R.tie_aware_deciles(long, ["dataset_id", "read_key"], score="score", bad="bad"), path)
+    return spark.read.parquet(path)
 
 
 def dataset_diagnostics(spark, sf_dir):
     """SNK8: expected datasets left-joined to payload counts."""
-    from vintagekit.operators import payload as PL
     s = inputs(spark, sf_dir)
-    groups = ["Group 1 - Credit Line >= $5,000", "Group 2 - $5,000 > Credit Line >= $3,000",
-              "Group 3 - Credit Line < $3,000", "Group Unknown Credit Line"]
-    ids = ["cohort-subject", "port-subject"] + [f"port-{g}" for g in groups]
+    ids = ["cohort-subject", "port-subject"] + [f"port-{g}" for g in CREDITLINE_GROUPS]
     expected = spark.createDataFrame([(i,) for i in ids], "dataset_id string")
     return PL.dataset_diagnostics(_payload(s), expected)

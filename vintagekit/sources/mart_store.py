@@ -1,52 +1,126 @@
-"""Month-partitioned Parquet mart: validated replace, reads, CSV round trip,
-load log, ingest planning and status.
+"""Month-partitioned Parquet mart and the rollup files that feed it: file export and scan, ingest plan, validated
+replace, load log, reads, status and export.
 
-Writes use dynamic partition overwrite, so only the months present in the
-frame are replaced; months that fail validation are removed from the frame
-first and never replace a good partition.
+Files are bound by header name, never by position. A month is validated as a whole before anything is written; writes
+use dynamic partition overwrite, so only months that pass are replaced and a failed month never replaces a good one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from vintagekit import config as C
 from vintagekit.operators import metrics as M
-
-ROLLUP_SCHEMA = T.StructType([
-    T.StructField("Prospect_type", T.StringType()),
-    T.StructField("pqabandon_flag", T.StringType()),
-    T.StructField("prchargeoff_flag", T.StringType()),
-    T.StructField("prclosure_flag", T.StringType()),
-    T.StructField("prdecline_flag", T.StringType()),
-    T.StructField("vs_band", T.StringType()),
-    T.StructField("annual_fee", T.DoubleType()),
-    T.StructField("times_mailed_12mo_cnt", T.IntegerType()),
-    T.StructField("trm10_tier", T.IntegerType()),
-    T.StructField("scorecard", T.IntegerType()),
-    T.StructField("rm_flag", T.StringType()),
-    T.StructField("volume", T.LongType()),
-    T.StructField("responders", T.LongType()),
-    T.StructField("expected_responses", T.DoubleType()),
-    T.StructField("expected_responses_xpm", T.DoubleType()),
-    T.StructField("Boards", T.LongType()),
-    T.StructField("GRR", T.DoubleType()),
-    T.StructField("NRR", T.DoubleType()),
-])
-
-
-def replace_months(df: DataFrame, path: str, expected_month: str = "campaign_month") -> DataFrame:
-    """SNK1: validate every month, write only the passing ones with dynamic
-    partition overwrite. Returns the validation rows (the load outcome)."""
-    v = M.validate_rollup(df.withColumn("expected_month", F.col(expected_month)))
-    good = v.filter("ok").select("campaign_month")
-    keep = df.join(F.broadcast(good), "campaign_month", "left_semi")
-    (keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("campaign_month").parquet(path))
+from vintagekit.session import checkpoint_dir
+
+PLAN_SCHEMA = "campaign_month string, file_name string, path string, file_time timestamp, partition_time timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def file_name(path: str | Column) -> Column:
+    return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
+
+
+# --- rollup files -----------------------------------------------------------------------------
+
+def write_rollup_csv(rollup: DataFrame, folder: str) -> None:
+    """SNK2: one header CSV per month, named exp_<MON><YY>_rollup.csv; ``campaign_month`` (yyyy-MM) is in the name
+    only. A month is an aggregate of about 10^4 rows, so it is one file from one task."""
+    spark = rollup.sparkSession
+    label = F.upper(F.date_format(F.to_date("campaign_month", "yyyy-MM"), "MMMyy"))
+    scratch = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    (rollup.withColumn("_label", label).drop("campaign_month").repartition("_label").write.option("header", True)
+     .partitionBy("_label").csv(scratch))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    fs.mkdirs(path(folder))
+    for part in path(scratch).getFileSystem(conf).globStatus(path(f"{scratch}/_label=*/part-*.csv")):
+        month = part.getPath().getParent().getName().partition("=")[2]
+        target = path(f"{folder}/exp_{month}_rollup.csv")
+        fs.delete(target, False)
+        if not fs.rename(part.getPath(), target):
+            raise OSError(f"cannot write {target}")
+
+
+def rollup_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(campaign_month, file_name, path, file_time) of the files whose names parse (ING2), from the file system's
+    own names and times (one listing of one file per month); no content is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    rows = [(f.getPath().getName(), f.getPath().toString(), f.getModificationTime())
+            for f in path.getFileSystem(conf).listStatus(path) if f.isFile()]
+    files = spark.createDataFrame(rows, "file_name string, path string, ms long")
+    files = files.withColumn("campaign_month", F.date_format(M.rollup_month("file_name"), "yyyy-MM"))
+    return (files.where(F.col("campaign_month").isNotNull())
+            .select("campaign_month", "file_name", "path", F.timestamp_millis("ms").alias("file_time")))
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Header line by file name: the line whose first field is a known column name, in any case."""
+    known = [c.lower() for c in C.ROLLUP_COLUMNS]
+    lines = spark.read.text(paths).select("value", file_name(F.col("_metadata.file_path")).alias("file_name"))
+    first = F.lower(F.trim(F.translate(F.element_at(F.split("value", ","), 1), '"﻿', "")))
+    rows = lines.where(first.isin(known)).groupBy("file_name").agg(F.min("value").alias("header")).collect()
+    return {r["file_name"]: r["header"] for r in rows}  # one line per file
+
+
+def read_rollup_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, dict[str, list[str]]]:
+    """SRC3: conformed rows of the files, with ``load_month`` and ``source_file``; and the required columns that a file
+    lacks, by file name (those files are not read). Files of equal headers are read together; columns are
+    bound by header name and cast by name."""
+    headers = _headers(spark, paths)
+    lacking: dict[str, list[str]] = {}
+    groups: dict[str, list[str]] = {}
+    for p in paths:
+        name = p.rpartition("/")[2]
+        names = {c.strip().strip('"').lstrip("﻿").lower() for c in headers.get(name, "").split(",")}
+        missing = [c for c in C.REQUIRED_ROLLUP_COLUMNS if c.lower() not in names]
+        if missing:
+            lacking[name] = missing
+        else:
+            groups.setdefault(headers[name], []).append(p)
+    out = None
+    for same in groups.values():
+        raw = spark.read.option("header", True).csv(same).withColumn("source_file", file_name(F.col("_metadata.file_path")))
+        month = F.date_format(M.rollup_month("source_file"), "yyyy-MM")
+        part = M.conform_rollup(M.prepare_rollup(raw, month)).withColumn("load_month", month)
+        out = part if out is None else out.unionByName(part)
+    return out, lacking
+
+
+def read_rollup_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC3 for a whole folder; a file without a required column raises."""
+    paths = [r["path"] for r in rollup_files(spark, folder).select("path").collect()]  # one per month
+    out, lacking = read_rollup_files(spark, paths)
+    if lacking or out is None:
+        raise ValueError(f"missing required columns: {lacking}" if lacking else f"no rollup files in {folder}")
+    return out
+
+
+# --- mart -------------------------------------------------------------------------------------
+
+def replace_months(df: DataFrame, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """SNK1: validate every month, write only the passing ones with dynamic partition overwrite; with nothing to write
+    the mart is left alone. Returns the validation rows (the load outcome)."""
+    spark = df.sparkSession
+    v = M.validate_rollup(df, expected)
+    good = [r["campaign_month"] for r in v.filter("ok").select("campaign_month").collect()]  # bounded by the calendar
+    if good:
+        rows = df.filter(F.col("load_month").isin(good)).withColumn("campaign_month", F.col("load_month"))
+        (rows.drop("load_month", "source_file").repartition("campaign_month").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("campaign_month").parquet(path))
+    spark.catalog.refreshByPath(path)
     return v
 
 
@@ -61,71 +135,90 @@ def mart_months(mart: DataFrame) -> DataFrame:
     return mart.select("campaign_month").distinct().orderBy("campaign_month")
 
 
-def write_rollup_csv(rollup: DataFrame, path: str) -> None:
-    """SNK2: header CSV per month directory (the SAS export's one file per month)."""
-    rollup.write.mode("overwrite").option("header", True).partitionBy("campaign_month").csv(path)
-
-
-def read_rollup_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: explicit schema (no inference), source file recorded, conformed."""
-    raw = (spark.read.schema(ROLLUP_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-           .csv(path).withColumn("source_file", F.col("_metadata.file_path")))
-    month = F.regexp_extract("source_file", r"campaign_month=(\d{4}-\d{2})", 1)
-    return M.prepare_rollup(raw.withColumn("campaign_month", month))
+def partition_times(spark: SparkSession, path: str) -> DataFrame:
+    """(campaign_month, partition_time): newest file of each month; empty without a mart."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "campaign_month string, partition_time timestamp")
+    return df.groupBy(F.col("campaign_month").cast("string").alias("campaign_month")).agg(
+        F.max("_metadata.file_modification_time").alias("partition_time"))
 
 
-def load_log_rows(validation: DataFrame, loaded_time: str) -> DataFrame:
-    """SNK3: one log row per month attempt."""
-    return validation.select(
-        "campaign_month", F.concat(F.lit("exp_"), F.upper(F.date_format(F.to_date("campaign_month", "yyyy-MM"),
-                                                                       "MMMyy")), F.lit("_rollup.csv"))
-        .alias("source_file"),
-        F.lit(loaded_time).alias("loaded_time"), F.col("row_count").cast("long"), "total_volume",
-        "total_responders", "total_boards",
-        F.when(F.col("ok"), "loaded").otherwise("failed").alias("status"),
-        F.concat_ws(" | ", "errors", "warnings").alias("message"))
-
+def mart_status(spark: SparkSession, path: str) -> DataFrame:
+    """Latest month, number of months, last refresh time (newest file)."""
+    return partition_times(spark, path).agg(
+        F.max("campaign_month").alias("latest_month"), F.count(F.lit(1)).alias("months"), F.max("partition_time").alias("last_refresh"))
 
-def append_log(log: DataFrame, path: str) -> None:
-    log.write.mode("append").parquet(path)
 
+# --- ingest -----------------------------------------------------------------------------------
 
 def ingest_plan(files: DataFrame, partitions: DataFrame, as_of: dt.date, force: bool = False,
                 recent: int = C.RECENT_REFRESH_WINDOW_MONTHS, freeze: int = C.HISTORY_FREEZE_MONTHS) -> DataFrame:
-    """ING1: per file add / replace / skip, with explicit ``frozen`` for months older
-    than the freeze limit (dropped even under force). files: (campaign_month,
-    file_time); partitions: (campaign_month, partition_time)."""
+    """ING1: per file add / replace / skip, with an explicit ``frozen`` for months at or past the freeze limit (left
+    alone even under force). files: (campaign_month, file_time, ...); partitions: (campaign_month, partition_time)."""
     j = files.join(partitions, "campaign_month", "left")
     m = F.to_date("campaign_month", "yyyy-MM")
     age = (F.year(F.lit(as_of)) * 12 + F.month(F.lit(as_of))) - (F.year(m) * 12 + F.month(m))
-    exists = F.col("partition_time").isNotNull()
-    action = (F.when(age > freeze, "frozen")
-              .when(exists & F.lit(force), "replace")
-              .when(~exists, "add")
-              .when(F.col("file_time") > F.col("partition_time"), "replace")
-              .when(age < recent, "replace")
-              .otherwise("skip"))
-    reason = (F.when(age > freeze, "older than freeze window").when(exists & F.lit(force), "force")
-              .when(~exists, "new month").when(F.col("file_time") > F.col("partition_time"), "file newer")
-              .when(age < recent, "recent month").otherwise("up to date"))
-    return j.select("campaign_month", "file_time", "partition_time", age.alias("age_months"),
-                    action.alias("action"), reason.alias("reason"))
-
-
-def ingest_summary(plan: DataFrame, validation: DataFrame) -> DataFrame:
-    """ING8: counters added / replaced / skipped / frozen / failed over every file."""
-    j = plan.join(validation.select("campaign_month", "ok"), "campaign_month", "left")
-    outcome = (F.when(F.col("action").isin("add", "replace") & ~F.coalesce(F.col("ok"), F.lit(False)), "failed")
-               .when(F.col("action") == "add", "added").when(F.col("action") == "replace", "replaced")
-               .otherwise(F.col("action")))
-    return j.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
+    there = F.col("partition_time").isNotNull()
+    rules = [(age >= freeze, "frozen", "in the freeze window"), (there & F.lit(force), "replace", "forced"),
+             (~there, "add", "new month"), (F.col("file_time") > F.col("partition_time"), "replace", "file newer than partition"),
+             ((age >= 0) & (age < recent), "replace", "in the refresh window"), (F.lit(True), "skip", "up to date")]
+    action = reason = None
+    for cond, what, why in rules:
+        action = F.when(cond, what) if action is None else action.when(cond, what)
+        reason = F.when(cond, why) if reason is None else reason.when(cond, why)
+    return j.select(*files.columns, "partition_time", age.alias("age_months"), action.alias("action"), reason.alias("reason"))
+
+
+def run_ingest(spark: SparkSession, folder: str, path: str, as_of: dt.date, force: bool = False,
+               log_path: str | None = None) -> DataFrame:
+    """ING8: plan from the files' own names and times, load what is to be added or replaced, validate, write the
+    months that pass, append the log. One row per file: the plan, the month's totals, ``status`` (added, replaced,
+    skipped, frozen, failed) and ``message``. A file that cannot be read or fails keeps its month as it was."""
+    plan = ingest_plan(rollup_files(spark, folder), partition_times(spark, path), as_of, force)
+    plan = spark.createDataFrame(plan.collect(), plan.schema)  # one row per month; the files may change under the job
+    todo = [r["path"] for r in plan.filter(F.col("action").isin("add", "replace")).select("path").collect()]
+    rows, lacking = read_rollup_files(spark, todo) if todo else (None, {})
+    readable = plan.filter(F.col("path").isin(todo) & ~F.col("file_name").isin(list(lacking)) if todo else F.lit(False))
+    if rows is not None:
+        checked = replace_months(rows, path, readable.select(F.col("campaign_month").alias("load_month")))
+    else:
+        checked = spark.createDataFrame([], M.VALIDATION_SCHEMA)
+    bad = spark.createDataFrame([(k, f"missing required columns: {', '.join(v)}") for k, v in sorted(lacking.items())],
+                                "file_name string, lacking string")
+    j = plan.join(checked, "campaign_month", "left").join(bad, "file_name", "left")
+    load = F.col("action").isin("add", "replace")
+    status = (F.when(load & (F.col("lacking").isNotNull() | ~F.coalesce("ok", F.lit(False))), "failed")
+              .when(F.col("action") == "add", "added").when(F.col("action") == "replace", "replaced")
+              .when(F.col("action") == "skip", "skipped").otherwise("frozen"))
+    message = F.coalesce("lacking", F.when(status == "failed", F.col("errors")).when(load, F.col("warnings")), F.lit(""))
+    out = j.select(*plan.columns, *M.TOTALS, status.alias("status"), message.alias("message"))
+    out = spark.createDataFrame(out.collect(), out.schema)  # the outcome as it was, one row per file
+    if log_path is not None:
+        append_log(load_log_rows(out, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)), log_path)
+    return out
+
+
+def load_log_rows(outcome: DataFrame, loaded_time: dt.datetime) -> DataFrame:
+    """SNK3: one log row per load attempt (skipped and frozen files are not attempts)."""
+    return outcome.filter(F.col("status").isin("added", "replaced", "failed")).select(
+        "campaign_month", F.col("path").alias("source_file"), F.col("file_time").alias("source_modified_time"),
+        F.lit(loaded_time).alias("loaded_time"), *M.TOTALS, "status", "message")
 
 
-def mart_status(spark: SparkSession, path: str) -> DataFrame:
-    """Latest month, number of months, last refresh time (file modification)."""
-    df = spark.read.parquet(path).select("campaign_month", F.col("_metadata.file_modification_time").alias("t"))
-    return df.agg(F.max(F.col("campaign_month").cast("string")).alias("latest_month"),
-                  F.countDistinct("campaign_month").alias("months"), F.max("t").alias("last_refresh"))
+def append_log(log: DataFrame, path: str) -> None:
+    log.write.mode("append").parquet(path)
+
+
+def ingest_summary(outcome: DataFrame) -> DataFrame:
+    """ING8: files per status, every status listed."""
+    spark = outcome.sparkSession
+    names = spark.createDataFrame([(s,) for s in ("added", "replaced", "skipped", "frozen", "failed")], "status string")
+    n = outcome.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+    return names.join(n, "status", "left").select("status", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 def filtered_export(mart: DataFrame, filters: dict, path: str, months=None, month_from=None, month_to=None) -> None:

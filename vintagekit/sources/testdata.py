@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintagekit.functions.dates import month_diff
+from vintagekit.operators.features import ATTRIBUTES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def account_month_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account-month fact: account = customer, card row = line item, month end of ship date.
 
-    The open date is the account's first ship date (a window over the account),
-    so the result comes out hash-partitioned by account - the key every
-    downstream window, aggregation and join of the studio uses.
+    The open date is the account's first ship date: an aggregation (partial before the
+    exchange) joined back, so no account's rows are held together.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -51,8 +51,9 @@ def account_month_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.last_day(ship).alias("reportingdate"),
         "l_quantity", "l_tax", "l_returnflag", "l_linestatus",
     )
-    acct = Window.partitionBy("creditaccountid")
-    rows = rows.withColumn("opendate", F.min("shipdate").over(acct))
+    opened = (li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").groupBy("o_custkey")
+              .agg(F.min(ship).alias("opendate")))
+    cust = cust.join(opened, cust.c_custkey == opened.o_custkey, "inner").drop("o_custkey")
     rows = rows.join(cust, rows.creditaccountid == cust.c_custkey, "inner")
 
     q = F.col("l_quantity")
@@ -150,17 +151,18 @@ def mail_file_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _app_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def application_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base of the three application tables below."""
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
     app_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.select(app_id.alias("APPLICATION_ID"), "*")
+    return rows.select(app_id.alias("APPLICATION_ID"), "l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag", "o_custkey",
+                       "o_orderdate", "c_nationkey")
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _app_rows(spark, sf_dir)
+def applications(rows: DataFrame) -> DataFrame:
     return rows.select(
         "APPLICATION_ID",
         F.col("l_shipdate").alias("APPLICATION_RECEIVE_DATE"),
@@ -169,15 +171,13 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _app_rows(spark, sf_dir)
+def applicants(rows: DataFrame) -> DataFrame:
     return rows.select("APPLICATION_ID",
                        F.date_add(F.lit("1950-01-01").cast("date"),
                                   (F.col("o_custkey") % 15000).cast("int")).alias("DOB"))
 
 
-def application_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _app_rows(spark, sf_dir)
+def application_status(rows: DataFrame) -> DataFrame:
     res = F.concat(_offer_code("c_nationkey", "o_orderdate"),
                    F.lpad(F.col("l_orderkey").cast("string"), 9, "0"))
     status = (F.when(F.col("l_returnflag") == "N", F.lit("Declined: Expired Offer"))
@@ -195,6 +195,12 @@ def program_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("n_nationkey") % 4) * 25).cast("double").alias("finalcombinedaf"))
 
 
+#: Attributes that the features derive from; the others are filled by one rule.
+SHAPED_ATTRIBUTES = ("ALL7120", "ALL8370", "ALL2350", "ALL6980", "BCC5120", "BCC5830", "BCC5020", "ALL7110", "ALL7516",
+                     "IQB9416", "IQT9416", "IQT9413", "IQT9415", "IQT9417", "IQT9410", "BCC5421", "IQT9510", "REV3511")
+OTHER_ATTRIBUTES = tuple(a for a in ATTRIBUTES if a not in SHAPED_ATTRIBUTES)
+
+
 def bureau_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bureau attribute table keyed by EPIN (customer), derived from line items.
 
@@ -217,7 +223,7 @@ def bureau_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def exc(mod, code, value):
         return F.when(k % mod == 0, F.lit(code)).otherwise(value).cast("double")
 
-    return a.select(
+    named = [
         k.cast("string").alias("EPIN"),
         F.when(k % 3 == 0, F.lit("TRM_BUREAU_B")).otherwise(F.lit("TRM_BUREAU_A")).alias("FileName"),
         exc(23, 995, q % 260).alias("ALL7120"),
@@ -238,4 +244,7 @@ def bureau_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         exc(53, 999999999, F.when(k % 5 == 0, F.lit(0)).otherwise(px % 7000)).alias("BCC5421"),
         exc(59, 9999, n % 15).alias("IQT9510"),
         exc(61, 98, nr % 4).alias("REV3511"),
-    )
+    ]
+    rest = [((px + q * (i + 1) + n * (i * i % 17)) % (40 + 13 * (i % 9))).cast("double").alias(c)
+            for i, c in enumerate(OTHER_ATTRIBUTES)]
+    return a.select(*named, *rest)
