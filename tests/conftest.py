@@ -16,7 +16,7 @@ def spark():
     from vintagekit.session import prepare
     s = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     prepare(s)
     yield s

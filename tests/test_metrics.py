@@ -4,6 +4,7 @@ plus suppression, validation and month parsing edges."""
 import pytest
 from pyspark.sql import functions as F
 
+from vintagekit import config as C
 from vintagekit.operators import metrics as M
 
 SCHEMA = ("campaign_month string, vs_band string, scorecard int, volume long, responders long, Boards long, "
@@ -76,14 +77,69 @@ def test_overall_row_not_suppressed(spark):
     assert levels[("grand", "Overall", "Overall")] == pytest.approx(140 / 2100)
 
 
-def test_validation_errors_and_warnings(spark):
-    df = spark.createDataFrame([
-        ("2025-01", "A", 1, 100, 150, 5, 10.0, 10.0),     # responders > volume -> error
-        ("2025-02", "A", 1, 100, 10, 5, 500.0, None),     # expected > volume -> warning only
-    ], SCHEMA).withColumn("expected_month", F.col("campaign_month"))
-    v = {r.campaign_month: r for r in M.validate_rollup(df).collect()}
-    assert not v["2025-01"].ok and "responders exceed volume" in v["2025-01"].errors
-    assert v["2025-02"].ok and "expected_responses outside" in v["2025-02"].warnings
+def rollup(spark, rows):
+    """Mart rows with all required columns; rows: (load month, campaign_month, volume, responders, Boards, expected, xpm)."""
+    df = spark.createDataFrame(rows, "load_month string, campaign_month string, volume long, responders long, Boards long, "
+                                     "expected_responses double, expected_responses_xpm double")
+    have = set(df.columns)
+    return df.select("*", *[F.lit(1).alias(c) for c in C.REQUIRED_ROLLUP_COLUMNS if c not in have])
+
+
+def test_validation_compares_totals(spark):
+    df = rollup(spark, [
+        ("2025-01", "2025-01", 10, 12, 0, 1.0, 1.0), ("2025-01", "2025-01", 1000, 5, 0, 1.0, 1.0),   # one row over, total fine
+        ("2025-02", "2025-02", 100, 150, 5, 10.0, 10.0),                                             # responders
+        ("2025-03", "2025-03", 100, 10, 101, 10.0, 10.0),                                            # boards
+        ("2025-04", "2025-04", 100, 10, 5, 500.0, None),                                             # warning only
+        ("2025-05", "2025-05", -1, 0, 0, 0.0, None), ("2025-05", "2025-05", 5, 0, 0, 0.0, None),     # a negative row
+        ("2025-06", "2025-07", 5, 0, 0, 0.0, -1.0), ("2025-08", None, 5, 0, 0, 0.0, None),           # foreign, null month
+        ("2025-09", "2025-09", 0, 0, 0, 0.0, None)])
+    attempts = spark.createDataFrame([(f"2025-{m:02d}",) for m in range(1, 11) if m != 7], "load_month string")
+    v = {r.campaign_month: r for r in M.validate_rollup(df, attempts).collect()}
+    assert v["2025-01"].ok and v["2025-01"].errors == v["2025-01"].warnings == ""
+    assert v["2025-02"].errors == "responders exceed volume" and v["2025-03"].errors == "boards exceed volume"
+    assert v["2025-04"].ok and v["2025-04"].warnings == "expected_responses outside [0, volume]"
+    assert v["2025-05"].errors == "negative volume" and v["2025-08"].errors == "foreign campaign_month"
+    assert v["2025-06"].errors == "foreign campaign_month" and "xpm" in v["2025-06"].warnings
+    assert v["2025-09"].errors == "total volume not positive"
+    assert v["2025-10"].errors == "rollup is empty" and v["2025-10"].row_count == 0 and not v["2025-10"].ok
+
+
+def test_validation_without_a_required_column(spark):
+    df = rollup(spark, [("2025-01", "2025-01", 10, 1, 1, 1.0, 1.0)]).drop("Boards")
+    v = M.validate_rollup(df).collect()
+    assert [r.ok for r in v] == [False] and v[0].errors == "missing required columns: Boards"
+
+
+def test_wide_pivot_with_overall_and_text(spark):
+    wide = M.pivot_overall(toy(spark), "vs_band", "actual_response_rate", ["2025-01", "2025-02"], threshold=150)
+    rows = {r.Row: r.asDict() for r in wide.collect()}
+    assert rows["A"]["2025-01"] == pytest.approx(0.05) and rows["B"]["2025-01"] is None
+    assert rows["Overall"]["2025-01"] == pytest.approx(80 / 1100) and rows["Overall"]["Overall"] == pytest.approx(140 / 2100)
+    assert rows["A"]["Overall"] == pytest.approx(90 / 1800)
+    text = {r.Row: r.asDict() for r in M.formatted_pivot(wide, "actual_response_rate").collect()}
+    assert text["A"]["2025-01"] == "5.00%" and text["B"]["2025-01"] == "\u2014" and text["Overall"]["Overall"] == "6.67%"
+    one = spark.createDataFrame([(1234567.0, 1.236)], "n double, r double")
+    assert one.select(M.format_metric(F.col("n"), "volume"), M.format_metric(F.col("r"), "actual_vs_expected_trm")).first() == ("1,234,567", "1.24")
+
+
+def test_overall_equals_the_global_ratio(spark):
+    long = M.pivot_overall_long(toy(spark), "vs_band", "actual_board_rate", threshold=0).collect()
+    k = M.kpi_totals(toy(spark)).first()
+    assert [r.value for r in long if r.level == "grand"] == [pytest.approx(k.actual_board_rate)]
+
+
+def test_month_on_month_takes_the_previous_visible_month(spark):
+    d = {(r.row_value, r.campaign_month): r for r in M.mom_delta(toy(spark), "vs_band", "actual_response_rate", threshold=150).collect()}
+    assert set(d) == set()  # A does not move, B has one visible month only
+    d = {r.row_value: r for r in M.mom_delta(toy(spark), "vs_band", "actual_response_rate", threshold=0).collect()}
+    assert d["B"].direction == "down" and d["B"].intensity == 1.0 and d["B"].alpha == pytest.approx(0.70)
+
+
+def test_missing_months_of_an_expected_list(spark):
+    found = spark.createDataFrame([("2025-01",), ("2025-04",)], "campaign_month string")
+    want = M.expected_months(found, end="2025-05")
+    assert sorted(r[0] for r in M.missing_months(want, found).collect()) == ["2025-02", "2025-03", "2025-05"]
 
 
 def test_parse_rollup_month(spark):
@@ -102,3 +158,10 @@ def test_blank_band_becomes_lowest(spark):
     assert [r.vs_band for r in out] == ["530-549", "530-549"]
     assert [r.rm_flag for r in out] == [None, 1]
     assert "expected_responses_xpm" in M.prepare_rollup(df).columns
+
+
+def test_prepare_takes_names_in_any_case_and_drops_the_rates(spark):
+    df = spark.createDataFrame([("A", "4", "x", 1.0, 2.0)], "VS_BAND string, Scorecard string, TRM10_TIER string, grr double, Nrr double")
+    out = M.prepare_rollup(df)
+    assert not {"grr", "nrr"} & {c.lower() for c in out.columns}
+    assert out.first().scorecard == 4 and out.first().trm10_tier is None
