@@ -36,7 +36,7 @@ HEAD, TOP, RARE = 100_000, 63, 64
 CLASSES = 1 + TOP + RARE
 END = 0
 DEPTH, NOISE, STEPS, BATCH, RATE, SEED = 24, 8, 800, 2048, 0.02, 7
-FLUSH = 300_000
+FLUSH = 200_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -99,9 +99,26 @@ def _index(head: Head) -> dict[bytes, int]:
     return _INDEX[head.name]
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD words, the most frequent first: those from the lowest level of counts (sixteenths of an
+    octave, so about a thousand levels at any size) at which no more than HEAD qualify. No task and no
+    answer to the driver holds more, however many partitions there are."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    rows = counts.where(level >= least).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def head_of(counts: DataFrame, ends: int) -> Head:
-    """The HEAD most frequent words, the totals and the add-half mass of each class of words."""
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    """The frequent words, the totals and the add-half mass of each class of words."""
+    top = frequent(counts)
     own = [w for w, _ in top[:TOP]]
     cls = F.crc32(F.substring("word", -2, 2)) % RARE
     rest = counts.where(~F.col("word").isin(own)) if own else counts
@@ -232,9 +249,11 @@ def _scorer(shared):
         base_end, known_end = np.log10(head.ends + 0.5), int(head.ends > 0)
         log_total = np.log10(head.total + 0.5 * (head.distinct + 1))
         tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        kinds = {"n_tokens": pa.int64(), "head_known": pa.int64(), "base_head": pa.float64(), "model_head": pa.float64(), "tail": tail_kind}
         for batch in batches:
-            cols = {k: [] for k in ("n_tokens", "head_known", "base_head", "model_head", "tail")}
+            done = 0
             for part in _chunks(batch.column(3).to_pylist()):
+                cols = {k: [] for k in kinds}
                 lists = [words(t) for t in part]
                 found = [classes_of(x, index, head) for x in lists]
                 codes, sizes = codes_of([c for _, c in found])
@@ -251,9 +270,10 @@ def _scorer(shared):
                     cols["model_head"].append(float(model))
                     tail = Counter(tokens[i] for i in np.flatnonzero(~known).tolist())
                     cols["tail"].append([{"word": w, "n": c} for w, c in tail.items()])
-            kinds = {"n_tokens": pa.int64(), "head_known": pa.int64(), "base_head": pa.float64(), "model_head": pa.float64(), "tail": tail_kind}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(cols[k], t) for k, t in kinds.items())],
-                                             ["rid", "doc_id", "held_out", *kinds])
+                own = [batch.column(i).slice(done, len(part)) for i in range(3)]
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(cols[k], t) for k, t in kinds.items())],
+                                                 ["rid", "doc_id", "held_out", *kinds])
 
     return score
 
