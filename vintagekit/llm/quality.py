@@ -2,7 +2,7 @@
 
 One pass over the texts gives each document the votes of overlapping heuristic labellers (good, bad or
 abstain) and a hashed feature vector of its word shapes. Expectation-maximisation over the counts of the
-vote patterns (at most 3 ** 10 patterns, however many documents) estimates each labeller's hit rate on good
+vote patterns (at most 3 ** 11 patterns, however many documents) estimates each labeller's hit rate on good
 and on bad documents and the share of good ones, without labels. The posterior of a document's
 votes is its label; a linear scorer (logistic regression over ``DIM`` hashed features) is
 trained on posterior labels and decides: documents that score under ``KEEP`` are rejected.
@@ -33,7 +33,9 @@ from pyspark.sql.functions import arrow_udf
 from vintagekit.llm.common import stage
 
 DIM, TRAIN_ROWS, KEEP = 1024, 16_384, 0.5
-LABELLERS = ("symbols", "word_shapes", "capitals", "adjacent_repeats", "variety", "bare_marks", "sentences", "lines", "word_length", "shouts")
+RIGHT = 0.995  # prior: how often a labeller passes a good document
+LABELLERS = ("symbols", "word_shapes", "capitals", "adjacent_repeats", "variety", "bare_marks", "sentences", "lines", "word_length", "shouts",
+             "runs")
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 #: Letters to a or A, digits to 0, bytes of other scripts to a, white space and marks as they are.
@@ -58,7 +60,9 @@ def describe(text: bytes | None) -> tuple[list[int], dict[int, float]]:
     chars, letters = max(1, len(raw)), max(1, int(counts[65] + counts[97]))
     shapes = raw[np.concatenate([[True], raw[1:] != raw[:-1]])].tobytes().split()
     shape_counts = Counter(shapes)
-    repeats = sum(map(eq, words, words[1:]))
+    same_next = np.fromiter(map(eq, words, words[1:]), bool, n - 1)
+    repeats = int(same_next.sum())
+    runs = int((same_next[1:] & same_next[:-1]).sum()) / n  # words whose two neighbours are the same word
     marks = sum(int(counts[m]) for m in _MARKS) / chars
     clean = sum(c for s, c in shape_counts.items() if s in _CLEAN) / n
     bare = sum(c for s, c in shape_counts.items() if not (b"a" in s or b"A" in s or b"0" in s)) / n
@@ -71,15 +75,16 @@ def describe(text: bytes | None) -> tuple[list[int], dict[int, float]]:
     shouts = int(counts[33]) / n
     votes = [
         _vote(marks > 0.05),
-        _vote(clean < 0.7),
+        _vote(clean < 0.7, n >= 10),
         _vote(capitals > 0.4, letters >= 20),
         _vote(repeats / n > 0.15, n >= 5),
         _vote(top > 0.3 or len(set(words)) < 0.15 * min(n, 2000), n >= 20),
-        _vote(bare > 0.1),
+        _vote(bare > 0.1, n >= 5),
         _vote(ends < 0.005 or ends > 0.8, n >= 40),
         _vote(same > 0.6, len(lines) >= 4),
         _vote(not 2 <= mean <= 14, n >= 5),
         _vote(shouts > 0.3, n >= 5),
+        _vote(runs > 0.1, n >= 5),
     ]
     features: dict[int, float] = {}
 
@@ -91,8 +96,11 @@ def describe(text: bytes | None) -> tuple[list[int], dict[int, float]]:
     for shape, c in shape_counts.items():
         add(b"shape " + shape[:12], c / n)
     for name, value in ((b"repeats", repeats / n), (b"capitals", capitals), (b"marks", marks), (b"top", top if n >= 20 else 0.0),
-                        (b"bare", bare), (b"unclean", 1 - clean), (b"same lines", same if len(lines) >= 4 else 0.0), (b"shouts", shouts)):
+                        (b"bare", bare), (b"unclean", 1 - clean), (b"same lines", same if len(lines) >= 4 else 0.0), (b"shouts", shouts),
+                        (b"runs", runs)):
         add(name, value)
+        if value >= 0.05:  # and the step it is on, so that the linear scorer can bend
+            add(name + b" %d" % min(10, int(value * 20)), 1.0)
     return votes, features
 
 
@@ -131,8 +139,9 @@ class LabelModel:
         for _ in range(rounds):
             wg, wb = n * q, n * (1 - q)
             self.share = (wg.sum() + 4) / (n.sum() + 5)
-            # priors: a labeller is right about good documents 9 of 10 times, about bad ones 4 of 10
-            self.on_good = ((wg[:, None] * good).sum(0) + 9) / ((wg[:, None] * (good | bad)).sum(0) + 10)
+            # priors: the labellers are made to raise false alarms rarely, and each sees some kinds of bad documents
+            # only; the first weighs as much as the data, at any size, so a kind that few labellers see stays bad
+            self.on_good = ((wg[:, None] * good).sum(0) + RIGHT * n.sum()) / ((wg[:, None] * (good | bad)).sum(0) + n.sum())
             self.on_bad = ((wb[:, None] * bad).sum(0) + 4) / ((wb[:, None] * (good | bad)).sum(0) + 10)
             q = self.posterior(votes)
 
