@@ -283,7 +283,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(shards: DataFrame) -> DataFrame:
     """All records, found through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
     places = shards.select("shard").repartition("shard").mapInArrow(_list_captures, _ENTRY).select("path", "offset", "length")
-    dealt = (places.repartition("path", F.floor(F.col("offset") / F.lit(8 << 20))).sortWithinPartitions("path", "offset"))
+    dealt = (places.repartition("path", F.floor(F.col("offset") / F.lit(1 << 20))).sortWithinPartitions("path", "offset"))
     return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
