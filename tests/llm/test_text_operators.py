@@ -158,6 +158,13 @@ def test_no_rule_hides_from_the_triggers():
         assert any(k.strip() in body or k.split()[0] in body for k in keys), (label, rx)
 
 
+def test_license_wordings_without_a_stem(spark):
+    texts = {"Distributed under the 3-clause BSD": "bsd-3-clause", "2-clause BSD": "bsd-2-clause", "released under WTFPL": "wtfpl",
+             "https://www.eclipse.org/legal/epl-v10": "epl-1", "http://scripts.sil.org/OFL": "ofl-1.1"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in sorted(licenses.license_report(df).collect())] == list(texts.values())
+
+
 # --- SimHash ----------------------------------------------------------------------------------
 
 def brute_fingerprint(text):

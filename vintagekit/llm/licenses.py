@@ -1,7 +1,6 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-The text is lowered (A-Z), cut into words and joined by single spaces. A document that holds none of the
-trigger stems has no detection and runs no rule. Otherwise each license's rules run if its keyword
+The text is lowered (A-Z), cut into words and joined by single spaces. A rule runs if its keyword
 occurs. A rule is a regular expression over whole words with a priority: a notice ("licensed under the
 ...") or SPDX line before an address before a bare name before a vague mention. Detections are
 word intervals; one that lies inside an interval of the same or a better priority is suppressed. They
@@ -27,10 +26,6 @@ from vintagekit.llm.common import NON_WORD, ascii_lower, let
 #: Base phrases and their labels. Fixed values.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: A document without any of these has no detection (every rule below needs one of them).
-TRIGGERS = ("licen", "copyright", "spdx", " cc by", " cc0 ", "creativecommons", "creative commons", "public domain",
-            "all rights reserved", "gnu org", "general public", "gpl", "apache org", "mozilla org")
-
 #: label, keyword, name, SPDX words, address. Hand-written signatures over normalised words.
 LICENSES = (
     ("mit", " mit ", r"(?:the )?mit licen[cs]e", "mit", "opensource org licenses mit"),
@@ -151,10 +146,7 @@ def detections(norm: Column) -> Column:
         F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(rx).alias("rx")) for label, p, rx in rs]).alias("rules"))
         for key, rs in by_key.items()])
     wanted = F.flatten(F.transform(F.filter(groups, lambda g: F.exists(g["keys"], lambda k: F.contains(norm, k))), lambda g: g["rules"]))
-    triggered = F.lit(False)
-    for t in TRIGGERS:
-        triggered = triggered | F.contains(norm, F.lit(t))
-    return F.when(triggered, F.flatten(F.transform(wanted, lambda r: _places(norm, r)))).otherwise(F.array().cast(_DETECTION))
+    return F.flatten(F.transform(wanted, lambda r: _places(norm, r)))
 
 
 def _standing(found: Column) -> Column:
