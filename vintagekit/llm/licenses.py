@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-The text is lowered (A-Z), cut into words and joined by single spaces. A rule runs if its keyword
-occurs. A rule is a regular expression over whole words with a priority: a notice ("licensed under the
+The text is lowered (A-Z), cut into words and joined by single spaces. A rule runs if one of its keywords
+occurs; the keywords cover every branch of its expression, so no match is lost. A rule is a regular expression over whole words with a priority: a notice ("licensed under the
 ...") or SPDX line before an address before a bare name before a vague mention. Detections are
 word intervals; one that lies inside an interval of the same or a better priority is suppressed. They
 are sorted by start (longer first) and folded once with the furthest end seen per priority, so
@@ -34,7 +34,7 @@ LICENSES = (
     ("isc", " isc ", r"isc licen[cs]e", "isc", "opensource org licenses isc"),
     ("apache-1.1", " apache ", r"apache (?:software )?licen[cs]e (?:version )?1 1", "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2", " apache ", r"apache (?:software )?licen[cs]e(?: version)? 2(?: 0)?", "apache 2 0", "apache org licenses license 2 0"),
-    ("bsd-2-clause", " bsd ", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", " bsd ", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", " bsd ", r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?", "bsd 4 clause", "directory fsf org wiki license bsd 4clause"),
     ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)(?: licen[cs]e)?", "0bsd", "opensource org licenses 0bsd"),
@@ -79,9 +79,11 @@ LICENSES = (
     ("cc-by-sa", "c", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4] 0)?", "cc by sa [1-4] 0", "creativecommons org licenses by sa"),
     ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4] 0)?", "cc by [1-4] 0", "creativecommons org licenses by"),
 )
-#: The single-letter keywords above stand for families: a keyword and the words that switch it on.
+#: Keywords above that stand for several: any of the words given here switches the rule on.
 FAMILIES = {"g": ("general public", "gpl"), "l": ("lgpl", "lesser general", "library general"),
-            "a": ("agpl", "affero"), "c": (" cc by", " cc0 ", "creative commons", "creativecommons", "spdx license identifier cc")}
+            "a": ("agpl", "affero"), "c": (" cc by", " cc attribution", " cc0 ", "creative commons", "creativecommons"),
+            "bsd": (" bsd ", "freebsd"), "0bsd": ("0bsd", "zero clause bsd")}
+SPDX = "spdx license identifier"
 GENERIC = (
     ("public-domain", "public domain", r"(?:released into|dedicated to|placed in|in) the public domain"),
     ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
@@ -98,8 +100,7 @@ def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, regular expression over whole words), in order."""
     out = [(label, 0, phrase, phrase) for phrase, label in BASE]
     for label, key, name, spdx, address in LICENSES:
-        out += [(label, 1, key, _GRANT + name), (label, 1, key if key in FAMILIES else spdx.split("(")[0].split("[")[0],
-                                                  "spdx license identifier " + spdx),
+        out += [(label, 1, key, _GRANT + name), (label, 1, SPDX, f"{SPDX} {spdx}"),
                 (label, 2, key if key in FAMILIES else address.split("(")[0].split(".")[0], "(?:https? )?(?:www )?" + address), (label, 3, key, name)]
     out += [(label, 4, key, name) for label, key, name in GENERIC]
     return [(label, p, key, f"(?<= )(?:{rx})(?= )") for label, p, key, rx in out]
