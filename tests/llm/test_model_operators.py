@@ -147,6 +147,52 @@ def test_cross_parse_equals_naive_parse():
             assert count == got[li, t]
 
 
+def many_scripts(rng):
+    """{language: a maker of texts}: pairs of languages that share a script and its letters, but not their words."""
+    ranges = {"latin": (0x61, 26), "greek": (0x3B1, 17), "cyrillic": (0x430, 32), "chinese": (0x4E00, 1500), "korean": (0xAC00, 1500)}
+    makers = {}
+    for script, (first, n) in ranges.items():
+        for k in "ab":
+            known = ["".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(2, 4))) for _ in range(400)]
+            makers[f"{script}-{k}"] = lambda size, known=known: " ".join(rng.choice(known) for _ in range(size))
+    return makers
+
+
+def test_language_of_many_scripts(spark):
+    """With Latin, Greek, Cyrillic, Chinese and Korean together no letter of a sample is lost."""
+    import random
+    makers = many_scripts(random.Random(4))
+    rows = [(i * 100 + j, make(150), lang) for i, (lang, make) in enumerate(makers.items()) for j in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.language_report(df).collect()}
+    held = [(lang, got[i]) for i, _, lang in rows if got[i].held_out]
+    assert len({lang for lang, _ in held}) == len(makers) and all(r.lang_pred == lang and r.score > 0.55 for lang, r in held)
+
+
+def test_letters_in_a_table_or_searched_are_one(monkeypatch):
+    import random
+    rng = random.Random(5)
+    makers = many_scripts(rng)
+    sample = {k: make(1200) for k, make in makers.items()}
+    texts = [make(100) + make2(50) for make, make2 in zip(makers.values(), reversed(makers.values()))]
+    got = []
+    for dense in (1, 60, 5000):
+        monkeypatch.setattr(language, "DENSE", dense)
+        model = language.Model(sample)
+        got.append(model.phrases(*model.encode(texts)))
+    assert (got[0] == got[1]).all() and (got[0] == got[2]).all()
+
+
+def test_every_label_is_learned(spark):
+    names = [f"{i:03d}" for i in range(300)]
+    rows = [(i * 10 + j, f"{chr(0x4E00 + 2 * i)}{chr(0x4E01 + 2 * i)} " * 30, lang) for i, lang in enumerate(names) for j in range(6)]
+    sample = language.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted(sample) == names
+    model = language.Model(sample)
+    counts = model.phrases(*model.encode([r[1] for r in rows[::6]]))
+    assert (counts.argmin(axis=0) == np.arange(300)).all()
+
+
 # --- language model ---------------------------------------------------------------------------
 
 def test_lm_base_score_and_gain(spark, docs, nothing):

@@ -3,14 +3,18 @@
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed from
 left to right into the longest phrases that occur in the sample (the automaton is walked until no
 transition is left, then a new phrase begins); the language that needs the fewest phrases per
-letter wins. Texts are lowered; runs of other characters count as one gap; rare letters are one
-symbol that no automaton has. A text is parsed whole, in segments of ``SEGMENT`` symbols, each of which begins a new
+letter wins. Texts are lowered; runs of other characters count as one gap. Every letter of the sample is a symbol, in
+any script; letters that a language's sample lacks match nothing in its automaton. A text is parsed whole, in segments of ``SEGMENT`` symbols, each of which begins a new
 phrase; segments of many texts take their steps together, so the walk is vectorised.
 
 Sample (bounds are parameters): the labelled rows that may be learned from are dealt into ``DOCS``
-hash buckets per language, and the row with the smallest hash of each bucket gives one piece of text. At
-most ``SYMBOLS`` symbols per language and ``ALL_SYMBOLS`` in all are used, of the ``LANGS`` most frequent labels.
-Only this sample, never the table, comes to the driver; tasks build the automata from it.
+hash buckets per language, and the row with the smallest hash of each bucket gives one piece of text. Every label
+is learned. At most ``SYMBOLS`` symbols per language and ``ALL_SYMBOLS`` in all are used: with more than 64 labels each has
+fewer symbols, with more than 256 fewer buckets or shorter pieces too. Only this sample, never the table, comes to the driver; tasks build the automata
+from it. A parse costs a walk per label, so time grows with the labels.
+
+An automaton holds the transitions of the ``DENSE`` most frequent letters of its language as a table and all others as
+sorted keys that are searched; the split changes memory and time, not results.
 
 ``score`` is second / (best + second) of the phrase counts: 0.5 for a tie, near 1 when the
 winner needs far fewer; 1 if only one language is known.
@@ -24,7 +28,6 @@ doc_id, text and (for the sample) lang are read.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOCS, PIECE, SYMBOLS, ALL_SYMBOLS, LANGS, LETTERS = 64, 1000, 16_384, 1 << 20, 256, 60
+DOCS, PIECE, SYMBOLS, ALL_SYMBOLS, DENSE = 64, 1000, 16_384, 1 << 20, 60
 SEGMENT, WIDTH = 512, 16_384
 
 
-def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions [state * letters + code] (0: none; the root is state 0) of the automaton that reads
-    every substring of ``codes``."""
+def share_of(langs: int) -> int:
+    """Symbols that each of so many languages has."""
+    return max(1, min(SYMBOLS, ALL_SYMBOLS // max(1, langs)))
+
+
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions {code: state} of each state (the root is state 0) of the automaton that reads every substring of
+    ``codes``."""
     steps, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
         new = len(steps)
@@ -63,11 +71,48 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros(len(steps) * letters, np.uint16 if len(steps) < 1 << 16 else np.uint32)
-    for s, out in enumerate(steps):
-        for c, t in out.items():
-            table[s * letters + c] = t
-    return table
+    return steps
+
+
+class Automaton:
+    """A language's automaton over local codes: the gap 0, its letters from the most frequent on, and last the letters it
+    lacks. Codes up to DENSE are columns of ``table``; the others are found by search in ``keys``."""
+
+    def __init__(self, codes: np.ndarray, letters: int):
+        seen = np.bincount(codes, minlength=letters)
+        seen[0] = 0
+        own = np.argsort(-seen, kind="stable")[:np.count_nonzero(seen)]
+        self.letters, self.width = len(own) + 2, min(len(own), DENSE) + 2
+        self.local = np.full(letters, self.letters - 1, np.int32)
+        self.local[0], self.local[own] = 0, np.arange(1, len(own) + 1)
+        steps = suffix_automaton(self.local[codes])
+        kind = np.uint16 if len(steps) < 1 << 16 else np.uint32
+        self.table = np.zeros(len(steps) * self.width, kind)  # its last column: no transition, or one among the keys
+        self.root = np.zeros(self.letters, kind)
+        for c, t in steps[0].items():
+            self.root[c] = t
+        far = []
+        for s, out in enumerate(steps):
+            for c, t in out.items():
+                if c < self.width - 1:
+                    self.table[s * self.width + c] = t
+                else:
+                    far.append((s * self.letters + c, t))
+        far.sort()
+        self.keys, self.to = np.array([k for k, _ in far], np.int64), np.array([t for _, t in far], kind)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state of each (0: none)."""
+        if not len(self.keys):
+            return self.table[state * self.width + c]
+        last = self.width - 1
+        t = self.table[state * self.width + np.minimum(c, last)]
+        search = np.flatnonzero((c >= last) & (c < self.letters - 1))
+        if len(search):
+            key = state[search] * self.letters + c[search]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            t[search] = np.where(self.keys[at] == key, self.to[at], 0)
+        return t
 
 
 class Model:
@@ -75,20 +120,15 @@ class Model:
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
-        share = min(SYMBOLS, ALL_SYMBOLS // max(1, len(self.langs)))
+        share = share_of(len(self.langs))
         letter = np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), np.uint8)
-        seen = Counter(c for text in sample.values() for c in text.lower() if c.isalpha())
-        common = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.letters = len(common) + 2
-        self.code = letter * np.uint8(self.letters - 1)  # other letters are the last symbol, the rest is a gap
-        for i, c in enumerate(common):
+        known = sorted({c for text in sample.values() for c in text.lower() if c.isalpha()})
+        self.letters = len(known) + 2
+        kind = np.uint8 if self.letters <= 1 << 8 else np.uint32
+        self.code = letter * kind(self.letters - 1)  # letters of no sample are the last symbol, the rest is a gap
+        for i, c in enumerate(known):
             self.code[ord(c)] = i + 1
-        self.tables = []
-        for lang in self.langs:
-            codes, _ = self.encode([sample[lang]])
-            codes = codes[:share]
-            # a rare letter matches nothing: the sample is read without it
-            self.tables.append(suffix_automaton(codes[codes < self.letters - 1], self.letters))
+        self.automata = [Automaton(self.encode([sample[lang]])[0][:share], self.letters) for lang in self.langs]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts and how many each has; runs of non-letters are one gap."""
@@ -111,20 +151,21 @@ class Model:
         start = begin[owner] + number * SEGMENT
         length = np.minimum(SEGMENT, sizes[owner] - number * SEGMENT)
         order = np.argsort(-length, kind="stable")
-        for at in range(0, len(order), WIDTH):
-            pick = order[at:at + WIDTH]
-            long_, where = length[pick], start[pick]
-            active = np.searchsorted(-long_, -np.arange(1, long_[0] + 1), side="right")  # segments with a symbol at each step
-            for i, table in enumerate(self.tables):
+        for i, automaton in enumerate(self.automata):
+            local = automaton.local[codes]
+            for at in range(0, len(order), WIDTH):
+                pick = order[at:at + WIDTH]
+                long_, where = length[pick], start[pick]
+                active = np.searchsorted(-long_, -np.arange(1, long_[0] + 1), side="right")  # segments with a symbol at each step
                 state, count = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
                 for step in range(int(long_[0])):
                     m = active[step]
-                    c = codes[where[:m] + step]
+                    c = local[where[:m] + step]
                     s = state[:m]
-                    t = table[s * self.letters + c]
+                    t = automaton.step(s, c)
                     none = t == 0
                     count[:m] += none | (s == 0)
-                    state[:m] = np.where(none, table[c], t)
+                    state[:m] = np.where(none, automaton.root[c], t)
                 out[i] += np.bincount(owner[pick], weights=count, minlength=len(sizes)).astype(np.int64)
         return out
 
@@ -171,14 +212,14 @@ def sample_texts(docs: DataFrame, learn: Column) -> dict[str, str]:
     """Bounded sample of the rows that ``learn`` allows: {language: text}."""
     h = F.xxhash64("doc_id", "text")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), "text")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    picked = (rows.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod("h", F.lit(DOCS)).alias("bucket"))
-              .agg(F.min("h").alias("h")).select("h").collect()) if langs else []
+    share = share_of(rows.select("lang").distinct().count())
+    buckets, length = max(1, min(DOCS, 16 * share // PIECE)), min(PIECE, 16 * share)
+    picked = (rows.groupBy("lang", F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.min("h").alias("h")).select("h").collect())
     if not picked:
         return {}
-    room = F.greatest(F.length("text") - PIECE, F.lit(0))
-    piece = F.substring("text", F.pmod(F.col("h"), room + 1).cast("int") + 1, F.lit(PIECE))
-    got = (rows.where(F.col("h").isin([r["h"] for r in picked]) & F.col("lang").isin(langs))
+    room = F.greatest(F.length("text") - length, F.lit(0))
+    piece = F.substring("text", F.pmod(F.col("h"), room + 1).cast("int") + 1, F.lit(length))
+    got = (rows.where(F.col("h").isin([r["h"] for r in picked]))
            .select("lang", "h", piece.alias("piece")).distinct().orderBy("lang", "h").collect())
     out: dict[str, list[str]] = {}
     for r in got:
