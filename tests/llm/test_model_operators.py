@@ -234,6 +234,19 @@ def test_lm_is_a_distribution():
     assert np.abs(sums - 1).max() < 1e-4
 
 
+def test_lm_learns_trigrams_that_are_rare():
+    """Every counted trigram is trained on, also the few in a thousand million that draws would miss."""
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 40, (3000, 3)) @ np.array([lm.CLASSES ** 2, lm.CLASSES, 1]))
+    counts = rng.integers(1, 1_000_000, len(codes))
+    rare = (100 * lm.CLASSES + 100) * lm.CLASSES + 101
+    logs = lm.log_probabilities(lm.train(np.append(codes, rare), np.append(counts, 5)))
+    assert logs[rare] > np.log10(5 / counts.sum()) + 3  # a thousand times its share of all tokens
+    seen = logs[codes].astype(float)
+    unigram = np.bincount(codes % lm.CLASSES, weights=counts, minlength=lm.CLASSES) / counts.sum()
+    assert (seen * counts).sum() > (np.log10(unigram[codes % lm.CLASSES]) * counts).sum()
+
+
 # --- WARC -------------------------------------------------------------------------------------
 
 def brute_warc(rows):

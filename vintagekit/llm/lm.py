@@ -5,9 +5,11 @@ frequent words (a class each) and the rest by a hash of their last two bytes. Th
 predicts a token's class from the two classes before it: each of them has a vector, each position a matrix, and
 the sum is compared with the output vectors of all classes. It is trained in numpy with noise-contrastive
 estimation on the class trigram counts of all training documents (at most CLASSES ** 3 counts come to the
-driver, however large the corpus). Batched matrix products then give the normalised log-probabilities of all
-classes after every pair of classes; a word within a class has its add-half share of the class, each
-class keeping half a count for words never seen, so every step is a distribution over words.
+driver, however large the corpus). Each of the ``STEPS`` passes takes the whole gradient: every trigram with its count,
+and the noise in expectation instead of draws, so no token of the corpus is left out. Batched matrix products then
+give the normalised log-probabilities of all classes after every pair of classes; a word within a class has its
+add-half share of the class, each class keeping half a count for words never seen, so every step is a distribution
+over words.
 
 Word counts cover all training documents and grow with them. The ``HEAD`` most frequent words (a bound) go to the
 tasks; all other words are counted per document and joined with their counts by shuffle, which
@@ -35,7 +37,7 @@ from vintagekit.llm.common import stage
 HEAD, TOP, RARE = 100_000, 63, 64
 CLASSES = 1 + TOP + RARE
 END = 0
-DEPTH, NOISE, STEPS, BATCH, RATE, SEED = 24, 8, 800, 2048, 0.02, 7
+DEPTH, NOISE, STEPS, RATE, SEED = 24, 8, 800, 0.02, 7
 FLUSH = 200_000
 
 
@@ -185,7 +187,8 @@ def trigram_counts(training: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]
 # --- model ------------------------------------------------------------------------------------
 
 def train(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation: tell corpus tokens from NOISE tokens of the unigram of classes."""
+    """Noise-contrastive estimation: tell each corpus token from NOISE tokens of the unigram of classes, by passes
+    over all counted trigrams."""
     rng, real = np.random.default_rng(SEED), np.float32
     p = {"r": rng.normal(0, 0.1, (CLASSES, DEPTH)), "q": rng.normal(0, 0.1, (CLASSES, DEPTH)),
          "c": np.stack([np.eye(DEPTH)] * 2) * 0.5, "b": np.zeros(CLASSES)}
@@ -195,25 +198,20 @@ def train(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> dict[str
     noise /= noise.sum()
     p["b"] = np.log(noise)
     p = {k: v.astype(real) for k, v in p.items()}
-    log_kn, edge, noise_edge = np.log(NOISE * noise).astype(real), np.cumsum(counts), np.cumsum(noise)
+    real_n = np.zeros(CLASSES ** 3)
+    real_n[codes] = counts
+    real_n = real_n.reshape(-1, CLASSES)  # pairs of classes before, class
+    all_n = (real_n + real_n.sum(axis=1, keepdims=True) * (NOISE * noise)).astype(real)  # and the noise tokens expected beside them
+    real_n, log_kn = real_n.astype(real), np.log(NOISE * noise).astype(real)
     m, v2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    row, classes = np.arange(BATCH), np.arange(CLASSES)
     for t in range(1, steps + 1):
-        pick = codes[np.minimum(np.searchsorted(edge, rng.random(BATCH) * edge[-1], side="right"), len(codes) - 1)]
-        h1, h2, w = pick // CLASSES ** 2, pick // CLASSES % CLASSES, pick % CLASSES
-        other = np.minimum(np.searchsorted(noise_edge, rng.random((BATCH, NOISE)), side="right"), CLASSES - 1)
-        tokens = np.concatenate([w[:, None], other], axis=1)
-        r1, r2 = p["r"][h1], p["r"][h2]
-        hat = r1 @ p["c"][0] + r2 @ p["c"][1]
-        s = np.take_along_axis(hat @ p["q"].T + p["b"] - log_kn, tokens, axis=1)
-        e = 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # belief that the token is from the corpus
-        e[:, 0] -= 1
-        slope = np.bincount((row[:, None] * CLASSES + tokens).ravel(), weights=e.ravel(), minlength=BATCH * CLASSES)
-        slope = (slope / BATCH).astype(real).reshape(BATCH, CLASSES)
-        d_hat = slope @ p["q"]
-        one1, one2 = (h1 == classes[:, None]).astype(real), (h2 == classes[:, None]).astype(real)
-        grad = {"r": one1 @ (d_hat @ p["c"][0].T) + one2 @ (d_hat @ p["c"][1].T), "q": slope.T @ hat, "b": slope.sum(0),
-                "c": np.stack([r1.T @ d_hat, r2.T @ d_hat])}
+        hat = ((p["r"] @ p["c"][0])[:, None] + p["r"] @ p["c"][1]).reshape(-1, DEPTH)
+        s = hat @ p["q"].T + (p["b"] - log_kn)
+        slope = all_n / (1 + np.exp(-np.clip(s, -30, 30))) - real_n  # belief that the tokens are from the corpus, less those that are
+        d_hat = (slope @ p["q"]).reshape(CLASSES, CLASSES, DEPTH)
+        d1, d2 = d_hat.sum(axis=1), d_hat.sum(axis=0)
+        grad = {"r": d1 @ p["c"][0].T + d2 @ p["c"][1].T, "q": slope.T @ hat, "b": slope.sum(0),
+                "c": np.stack([p["r"].T @ d1, p["r"].T @ d2])}
         rate = RATE * min(1.0, 2.0 * (1 - t / (steps + 1)))
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
