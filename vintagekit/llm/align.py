@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from vintagekit.llm import vocab
 from vintagekit.llm.common import stage
 
-HEAD, SLICE, HELD, PARTS, PARTS_MB = 200_000, 2 << 20, 500_000, 400_000, 200
+BITS = 20  # of an id: a document of a slice and two ids make one integer
+ID = (1 << BITS) - 1
+HEAD, SLICE, HELD, PARTS, PARTS_MB = 200_000, 2 << 20, 500_000, 600_000, 200
+RUN = 1 << 20
 
 
 # --- parts ------------------------------------------------------------------------------------
@@ -67,7 +71,7 @@ def _spans(ids: list[list[int]], token_bytes: pa.Array, want: pa.Array, n: int)
 
 
 def align(texts: list[str], a: list[list[int]], b: list[list[int]], bytes_a: pa.Array, bytes_b: pa.Array) -> pa.Table:
-    """One row a text: n_a, n_b, n_groups, right (the joined bytes are a space and the text), groups, links (a << 32 | b)."""
+    """One row a text: n_a, n_b, n_groups, right (the joined bytes are a space and the text), groups, links (a << BITS | b)."""
     n = len(texts)
     want = pa.array([b" " + t.encode() for t in texts], pa.binary())
     left, right_a = _spans(a, bytes_a, want, n)
@@ -80,7 +84,7 @@ def align(texts: list[str], a: list[list[int]], b: list[list[int]], bytes_a: pa.
     ends_a, ends_b = (pc.is_valid(both[c]).to_numpy() for c in ("a", "b"))
     part, shared = key >> 32, ends_a & ends_b
     cover = [pc.fill_null_backward(both[c]).to_numpy().astype(np.int64) for c in ("a", "b")]
-    links = pa.array(cover[0] << 32 | cover[1])
+    links = pa.array(cover[0] << BITS | cover[1])
     group = np.cumsum(shared) - shared  # the group that each stretch is of
     n_groups, group_part = int(shared.sum()), part[shared]
     sides = [_joined(_starts(group[ends], n_groups), pc.cast(pc.drop_null(both[c].combine_chunks()), pa.string()), ",")
@@ -105,10 +109,10 @@ class Aligner:
     def parts(self, text: str | None) -> list[str]:
         if not text:
             return []
-        return vocab.SPACE.split(text) if self.cuts and "▁" not in text else [text]
+        return vocab.pieces(text) if self.cuts and "▁" not in text else [text]
 
-    def numbers(self, parts: list[list[str]]) -> list[list[int]]:
-        """The parts' numbers, after aligning the new ones."""
+    def numbers(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' numbers in one row, after aligning the new ones, and the list that each is of."""
         wanted = set().union(*parts)
         if len(self.number) + len(wanted) > self.keep or self.table.nbytes > PARTS_MB << 20:
             self._shrink()
@@ -118,8 +122,9 @@ class Aligner:
             self.table = pa.concat_tables([self.table, rows]).combine_chunks()
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-        n = self.number.__getitem__
-        return [list(map(n, x)) for x in parts]
+        sizes = list(map(len, parts))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
+        return flat, np.repeat(np.arange(len(parts)), sizes)
 
     def _shrink(self) -> None:
         keep = np.flatnonzero(self.met > 1)
@@ -129,33 +134,35 @@ class Aligner:
         self.number = {names[i]: k for k, i in enumerate(keep.tolist())}
         self.table, self.met = self.table.take(pa.array(keep)).combine_chunks(), np.zeros(len(keep), np.int64)
 
+    def _checked(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Numbers, their lists, and the lists with a part whose joined bytes are not its own."""
+        flat, doc = self.numbers(parts)
+        return flat, doc, np.unique(doc[~self.table["right"].to_numpy()[flat]]).tolist()
+
     def documents(self, texts: list[str | None]) -> pa.RecordBatch:
         """One row a text: its figures, and its linked pairs as lists a, b and m (their links)."""
         n = len(texts)
-        numbers = self.numbers(parts := [self.parts(t) for t in texts])
-        right = self.table["right"].to_numpy()
-        doubt = [i for i, x in enumerate(numbers) if len(x) > 1 and not right[x].all()]
-        if doubt:  # look at these texts whole
-            for i in doubt:
+        parts = [self.parts(t) for t in texts]
+        flat, doc, wrong = self._checked(parts)
+        if wrong:
+            for i in wrong:  # look at these texts whole
                 parts[i] = [texts[i]]
-            numbers = self.numbers(parts)
-            right = self.table["right"].to_numpy()
-        numbers = [x if right[x].all() else [] for x in numbers]
-        flat, doc = (x.to_numpy() for x in _lists(numbers))
+            for i in self._checked(parts)[2]:
+                parts[i] = []
+            flat, doc = self.numbers(parts)
         self.met += np.bincount(flat, minlength=len(self.met))
         offsets = _starts(doc, n)
         total = lambda c: np.diff(np.concatenate([[0], np.cumsum(self.table[c].to_numpy()[flat])])[offsets])
         groups = _joined(offsets, self.table["groups"].combine_chunks().take(pa.array(flat)), ";")
-        hashes = [hashlib.sha256(g.as_buffer()).hexdigest() if len(x) else "" for g, x in zip(groups, numbers)]
+        hashes = [hashlib.sha256(g.as_buffer()).hexdigest() if x else "" for g, x in zip(groups, parts)]
         code, times = np.unique(doc.astype(np.int64) << 32 | flat, return_counts=True)  # a part repeated in a text
         links = self.table["links"].combine_chunks().take(pa.array(code & 0xFFFFFFFF))
         at = pc.list_parent_indices(links).to_numpy()
-        held = pa.table({"doc": (code >> 32)[at], "link": pc.list_flatten(links), "m": times[at]})
-        held = held.group_by(["doc", "link"], use_threads=False).aggregate([("m", "sum")])
-        order = np.argsort(held["doc"].to_numpy(), kind="stable")
-        link, m, owner = held["link"].to_numpy()[order], held["m_sum"].to_numpy()[order], held["doc"].to_numpy()[order]
-        bounds = pa.array(_starts(owner, n), pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (link >> 32, link & 0xFFFFFFFF, m)]
+        held = pa.table({"key": (code >> 32)[at] << 2 * BITS | pc.list_flatten(links).to_numpy(), "m": times[at]})
+        held = held.group_by("key", use_threads=False).aggregate([("m", "sum")]).sort_by("key")
+        key, m = held["key"].to_numpy(), held["m_sum"].to_numpy()
+        bounds = pa.array(_starts(key >> 2 * BITS, n), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (key >> BITS & ID, key & ID, m)]
         n_links = np.diff(np.concatenate([[0], np.cumsum(m)])[bounds.to_numpy()])
         return pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (total("n_a"), total("n_b"), total("n_groups"), n_links)] + [pa.array(hashes, pa.string()), *lists],
@@ -195,17 +202,22 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per pair of a task, passed on whenever many pairs are held."""
     pa.set_cpu_count(1)
-    held = None
+    _ALIGNERS.clear()  # all texts are aligned by now
+    held = pa.table({"link": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+
+    def split() -> list[pa.RecordBatch]:
+        link = held["link"].to_numpy()
+        cols = pa.array((link >> BITS).astype(np.int32)), pa.array((link & ID).astype(np.int32)), held["n"]
+        return pa.table(cols, ["a", "b", "n"]).to_batches()
+
     for batch in batches:
-        more = pa.table({"a": pc.list_flatten(batch.column(0)), "b": pc.list_flatten(batch.column(1))})
-        more = more.append_column("n", pa.array(np.ones(len(more), np.int64)))
-        held = more if held is None else pa.concat_tables([held, more])
-        held = held.group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
+        link = pa.array(pc.list_flatten(batch.column(0)).to_numpy().astype(np.int64) << BITS | pc.list_flatten(batch.column(1)).to_numpy())
+        more = pa.table({"link": link}).group_by("link", use_threads=False).aggregate([("link", "count")]).rename_columns(["link", "n"])
+        held = pa.concat_tables([held, more]).group_by("link", use_threads=False).aggregate([("n", "sum")]).rename_columns(["link", "n"])
         if len(held) > HELD:
-            yield from held.to_batches()
-            held = None
-    if held is not None:
-        yield from held.to_batches()
+            yield from split()
+            held = held.slice(0, 0)
+    yield from split()
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -219,30 +231,34 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 _LINKS = "rid long, a int, b int, m long, count_sum long, n_best long"
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``RUN`` pairs."""
+    ends, at = pc.cumulative_sum(pc.list_value_length(batch.column("a")).cast(pa.int64())).to_numpy(), 0
+    while at < len(ends):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _priced(shared):
     """Sums over the pairs that every task holds, as a row for each document whose ids are negative and match nothing;
     and a row for each other pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n, best = shared.value
-        for batch in batches:
-            rid = batch.column(0).to_numpy()
-            a, b, m = (pc.list_flatten(batch.column(i)).to_numpy().astype(np.int64) for i in (1, 2, 3))
-            doc = pc.list_parent_indices(batch.column(1)).to_numpy()
-            wanted = a << 32 | b
-            at = np.searchsorted(code, wanted)
-            at[at == len(code)] = 0
-            found = code[at] == wanted if len(code) else np.zeros(len(a), bool)
-            sums = [np.zeros(len(rid), np.int64) for _ in range(2)]
-            here = at[found]
-            np.add.at(sums[0], doc[found], m[found] * n[here] if len(code) else m[found])
-            np.add.at(sums[1], doc[found], m[found] * best[here] if len(code) else m[found])
-            rest = ~found
+        links, n, best = shared.value
+        links, n, best = pa.array(links), np.append(n, 0), np.append(best, 0)  # the last stands for pairs not held
+        for batch in chain.from_iterable(map(_runs, batches)):
+            rid = batch.column("rid").to_numpy()
+            a, b, m = (pc.list_flatten(batch.column(c)).to_numpy().astype(np.int64) for c in "abm")
+            doc = pc.list_parent_indices(batch.column("a")).to_numpy()
+            at = pc.fill_null(pc.index_in(pa.array(a << BITS | b), links), len(links)).to_numpy()
+            bounds = _starts(doc, len(rid))
+            count_sum, n_best = (np.diff(np.concatenate([[0], np.cumsum(m * x[at])])[bounds]) for x in (n, best))
+            rest = at == len(links)
             none = np.zeros(int(rest.sum()), np.int64)
-            cols = [np.concatenate(x) for x in ((rid, rid[doc[rest]]), (-1 - rid % (1 << 30), a[rest]), (np.full(len(rid), -1), b[rest]),
-                                                (np.zeros(len(rid), np.int64), m[rest]), (sums[0], none), (sums[1], none))]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)],
-                                             ["rid", "a", "b", "m", "count_sum", "n_best"])
+            cols = {"rid": (rid, rid[doc[rest]]), "a": (-1 - rid % (1 << 30), a[rest]), "b": (np.full(len(rid), -1), b[rest]),
+                    "m": (np.zeros(len(rid)), m[rest]), "count_sum": (count_sum, none), "n_best": (n_best, none)}
+            kinds = [pa.int32() if c in "ab" else pa.int64() for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k.to_pandas_dtype())) for x, k in zip(cols.values(), kinds)], list(cols))
 
     return run
 
@@ -253,9 +269,9 @@ def alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
     counts = pair_counts(rows)
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * head >= total  # at most ``head`` pairs
-    table = counts.where(often).select((F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("code"), "n", "best").orderBy("code").toArrow()
+    table = counts.where(often).select((F.shiftleft(F.col("a").cast("long"), BITS) + F.col("b")).alias("link"), "n", "best").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(
-        (table["code"].to_numpy(), table["n"].to_numpy(), table["best"].to_numpy(zero_copy_only=False).astype(np.int64)))
+        (table["link"].to_numpy(), table["n"].to_numpy(), table["best"].to_numpy(zero_copy_only=False).astype(np.int64)))
     links = rows.select("rid", "a", "b", "m").mapInArrow(_priced(shared), _LINKS)
     rare = counts.where(~often).select("a", "b", "n", F.col("best").cast("int").alias("best"))
     sums = links.join(rare, ["a", "b"], "left").groupBy("rid").agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from vintagekit.llm import decontaminate, language, licenses, lm, mixing, pii, quality, simhash, topk, warc
+from vintagekit.llm import (align, decontaminate, divergence, language, licenses, lm, mixing, pii, quality, simhash, tokens, topk,
+                            warc)
 from vintagekit.llm.common import table
 
 
@@ -49,15 +50,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_quality_classifier, op3_license_scan, op4_simhash_near_dedup, op5_exact_top_k, op6_language_id,
-    op7_lm_scoring, op8_warc, op9_benchmark_decontamination, op10_source_mixing, pipeline)}
+    op7_lm_scoring, op8_warc, op9_benchmark_decontamination, op10_source_mixing, op11_token_counts,
+    op12_cross_tokenizer_alignment, op13_source_divergence, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": topk.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }

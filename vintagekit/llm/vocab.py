@@ -18,7 +18,7 @@ SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: on. The letters are of ranges that every Unicode version knows as such.
 _LETTER = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 WORD = re.compile(rf"(?<=\S)(?= \S)|(?<=[{_LETTER}])(?=[.,])")
-_RUN = re.compile(rf" ?[{_LETTER[3:]}]+")
+_RUN = re.compile(rf"( ?[{_LETTER[3:]}]+)([.,;:!?]+)?")
 #: Spaces and marks that stand elsewhere.
 _ODD_SPACE, _ODD_MARK = re.compile(r" (?:(?=\s)|(?<=\s ))"), re.compile(rf"[.,](?<![{_LETTER}].)")
 
@@ -69,16 +69,20 @@ class ByteBpe:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, texts: list[str]) -> list[list[int]]:
-        """The same for short parts of texts: a run of letters is one word of the splitting rule, so the merges alone
-        give its tokens."""
+        """The same for short parts of texts: a run of letters is one word of the splitting rule and so are marks after
+        it, so the merges alone give their tokens."""
         out: list = [None] * len(texts)
         other = []
-        merge = self.tokenizer.model.tokenize
+        merge, words = self.tokenizer.model.tokenize, _RUN.fullmatch
+        marks: dict = {None: []}
         for i, t in enumerate(texts):
-            if _RUN.fullmatch(t):
-                out[i] = [x.id for x in merge(t.encode().decode("latin-1").translate(_LETTERS))]
-            else:
+            if not (m := words(t)):
                 other.append(i)
+                continue
+            run, mark = m.groups()
+            if mark not in marks:
+                marks[mark] = [x.id for x in merge(mark)]
+            out[i] = [x.id for x in merge(run.encode().decode("latin-1").translate(_LETTERS))] + marks[mark]
         for i, ids in zip(other, self.encode([texts[i] for i in other])):
             out[i] = ids
         return out
@@ -124,6 +128,13 @@ def words(text: str) -> list[str]:
     return ["\0" + p if p[0] != " " or "\0" in p else p[1:] for p in WORD.split(text)]
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut by ``SPACE``."""
+    if not text[0].isspace() and not text[-1].isspace() and not _ODD_SPACE.search(text):
+        return text.split(" ")
+    return SPACE.split(text)
+
+
 def spelled(word: str) -> str:
     return word[1:] if word[:1] == "\0" else " " + word
 
