@@ -158,9 +158,11 @@ class Aligner:
         code, times = np.unique(doc.astype(np.int64) << 32 | flat, return_counts=True)  # a part repeated in a text
         links = self.table["links"].combine_chunks().take(pa.array(code & 0xFFFFFFFF))
         at = pc.list_parent_indices(links).to_numpy()
-        held = pa.table({"key": (code >> 32)[at] << 2 * BITS | pc.list_flatten(links).to_numpy(), "m": times[at]})
-        held = held.group_by("key", use_threads=False).aggregate([("m", "sum")]).sort_by("key")
-        key, m = held["key"].to_numpy(), held["m_sum"].to_numpy()
+        key = (code >> 32)[at] << 2 * BITS | pc.list_flatten(links).to_numpy()
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        m = np.add.reduceat(times[at][order], first) if len(first) else times[:0]
+        key = key[order][first]
         bounds = pa.array(_starts(key >> 2 * BITS, n), pa.int32())
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (key >> BITS & ID, key & ID, m)]
         n_links = np.diff(np.concatenate([[0], np.cumsum(m)])[bounds.to_numpy()])
