@@ -81,12 +81,12 @@ def _encoder(path: str, version: str):
     return encode
 
 
-def _stored(spark: SparkSession, slot: str) -> DataFrame:
-    """(digest, n_tokens) of the cache, each digest once; empty if there is no cache yet."""
+def _stored(spark: SparkSession, slot: str, there: bool = False) -> DataFrame:
+    """(digest, n_tokens) of the cache, each digest once; empty if there is no cache yet, unless it must be there."""
     try:
         rows = spark.read.schema(SCHEMA).parquet(slot)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if there or e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], SCHEMA)
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, few: int = FEW) ->
         else:
             texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
         texts.mapInArrow(_encoder(tokenizer, version), SCHEMA).write.mode("append").parquet(slot)
-    known = _stored(spark, slot).join(tally.select("digest", "rows"), "digest")
+    known = _stored(spark, slot, there=bool(n)).join(tally.select("digest", "rows"), "digest")
     hot = known.where(F.col("rows") * HOT >= (n or 0)).select("digest", "n_tokens")  # at most HOT rows
     often = rows.join(F.broadcast(hot), "digest")
     seldom = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(known.select("digest", "n_tokens"), "digest")
