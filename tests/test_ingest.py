@@ -78,7 +78,8 @@ def test_ingest_keeps_a_bad_month_out(spark, folder, tmp_path):
     (folder / "notes.csv").write_text("volume\n1\n")
     (folder / "exp_2025_rollup.csv").write_text("volume\n1\n")
     second = {r.campaign_month: r for r in S.run_ingest(spark, str(folder), mart, dt.date(2025, 3, 1), log_path=log).collect()}
-    assert {k: r.status for k, r in second.items()} == {"2025-01": "failed", "2025-02": "replaced", "2025-03": "failed", "2025-04": "failed"}
+    assert {k: r.status for k, r in second.items()} == {"2025-01": "failed", "2025-02": "replaced", "2025-03": "failed", "2025-04": "failed",
+                                                        None: "ignored"}
     assert second["2025-01"].message == "responders exceed volume" and "volume" in second["2025-03"].message
     stored = {r.campaign_month: (r.n, r.v) for r in S.read_mart(spark, mart).groupBy("campaign_month").agg(
         F.count("*").alias("n"), F.sum("volume").alias("v")).collect()}
@@ -102,6 +103,150 @@ def test_file_without_rows_is_empty_and_replace_twice_is_once(spark, folder, tmp
     assert S.mart_status(spark, mart).first().latest_month == "2025-01"
 
 
+def text(folder, name, lines):
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def outcome(rows):
+    return {r.file_name: (r.status, r.message, r.total_volume) for r in rows.collect()}
+
+
+def line(**values):
+    all_ = {c: 1 for c in ORDER} | VALUES | values
+    return ",".join(str(all_[c]) for c in ORDER)
+
+
+def test_every_file_stands_for_itself(spark, folder, tmp_path):
+    mart, head = str(tmp_path / "mart"), ",".join(ORDER)
+    put(folder, "JAN25", rows=3)
+    text(folder, "exp_FEB25_rollup.csv", [head, line(), line(volume='"1 000"'), line(volume="x", Boards="y"), line(Boards="")])
+    text(folder, "exp_MAR25_rollup.csv", [head.replace("GRR", "Volume"), line()])
+    text(folder, "exp_APR25_rollup.csv", [head.replace("Boards", "Bords"), line()])
+    (folder / "exp_MAY25_rollup.csv").write_text("")
+    text(folder, "exp_JUN25_rollup.csv", [head, line(), line() + ",7", "a,b"])
+    text(folder, "exp_JUL25_rollup.csv", [head, line(volume="250.0", scorecard="?", vs_band="")])  # flags are read permissively
+    text(folder, "exp_2025_rollup.csv", [head, line()])
+    (folder / "exp_AUG25_rollup.csv").mkdir()
+    got = outcome(S.run_ingest(spark, str(folder), mart, dt.date(2025, 9, 1)))
+    assert got == {
+        "exp_JAN25_rollup.csv": ("added", "", 300),
+        "exp_FEB25_rollup.csv": ("failed", "2 values of volume are no numbers; 1 values of Boards are no numbers", 200),
+        "exp_MAR25_rollup.csv": ("failed", "repeated columns: volume", None),
+        "exp_APR25_rollup.csv": ("failed", "missing required columns: Boards", None),
+        "exp_MAY25_rollup.csv": ("failed", "the file is empty", None),
+        "exp_JUN25_rollup.csv": ("failed", "2 broken lines", 200),
+        "exp_JUL25_rollup.csv": ("added", "", 250),
+        "exp_2025_rollup.csv": ("ignored", "the name gives no month", None)}
+    stored = {r.campaign_month: r for r in S.read_mart(spark, mart).collect()}
+    assert set(stored) == {"2025-01", "2025-07"} and stored["2025-07"].vs_band == C.LOWEST_BAND and stored["2025-07"].scorecard is None
+
+
+def test_the_newest_file_of_a_month_is_loaded(spark, folder, tmp_path):
+    import os
+    mart = str(tmp_path / "mart")
+    put(folder, "JAN25", volume=700)
+    (folder / "exp_JAN25_rollup.csv").rename(folder / "exp_jan25_rollup.CSV")
+    put(folder, "JAN25")
+    for name, at in (("exp_jan25_rollup.CSV", 2_000_000_000), ("exp_JAN25_rollup.csv", 1_900_000_000)):
+        os.utime(folder / name, (at, at))
+    got = outcome(S.run_ingest(spark, str(folder), mart, dt.date(2025, 3, 1)))
+    assert got == {"exp_jan25_rollup.CSV": ("added", "", 700),
+                   "exp_JAN25_rollup.csv": ("skipped", "a newer file of the month is there", None)}
+    assert S.read_mart(spark, mart).first().volume == 700
+
+
+def test_a_file_that_breaks_the_job_breaks_its_month_only(spark, folder, tmp_path, monkeypatch):
+    mart = str(tmp_path / "mart")
+    for m in ("JAN25", "FEB25", "MAR25"):
+        put(folder, m)
+    read = S.read_rollup_files
+
+    def breaking(spark, paths):
+        rows, faults = read(spark, paths)
+        bad = F.col("source_file") == "exp_FEB25_rollup.csv"
+        return rows.withColumn("volume", F.when(bad, F.raise_error(F.lit("unreadable block")).cast("long")).otherwise(F.col("volume"))), faults
+
+    monkeypatch.setattr(S, "read_rollup_files", breaking)
+    got = outcome(S.run_ingest(spark, str(folder), mart, dt.date(2025, 6, 1)))
+    assert {k: v[0] for k, v in got.items()} == {"exp_JAN25_rollup.csv": "added", "exp_FEB25_rollup.csv": "failed", "exp_MAR25_rollup.csv": "added"}
+    assert got["exp_FEB25_rollup.csv"][1].startswith("cannot be loaded")
+    assert [r.campaign_month for r in S.mart_months(spark, mart).collect()] == ["2025-01", "2025-03"]
+
+
+class Died(Exception):
+    pass
+
+
+def dying(step, value):
+    def on_step(s, v):
+        if (s, v) == (step, value):
+            raise Died
+    return on_step
+
+
+def volumes(spark, mart):
+    return {r.campaign_month: r.v for r in S.read_mart(spark, mart).groupBy("campaign_month").agg(F.sum("volume").alias("v")).collect()}
+
+
+@pytest.mark.parametrize("step, value, seen", [
+    ("staged", "", {"2025-01": 100, "2025-02": 100}), ("moved", "2025-01", {"2025-01": 100, "2025-02": 100}),
+    ("published", "2025-01", {"2025-01": 500, "2025-02": 100}), ("moved", "2025-02", {"2025-01": 500, "2025-02": 100}),
+    ("published", "2025-02", {"2025-01": 500, "2025-02": 500})])
+def test_a_dead_writer_leaves_a_readable_mart(spark, folder, tmp_path, step, value, seen):
+    from vintagekit.sources import publish as P
+    mart = str(tmp_path / "mart")
+    for m in ("JAN25", "FEB25"):
+        put(folder, m)
+    S.replace_months(S.read_rollup_csv(spark, str(folder)), mart)
+    for m in ("JAN25", "FEB25"):
+        put(folder, m, volume=500)
+    new = S.read_rollup_csv(spark, str(folder))
+    with pytest.raises(Died):
+        S.replace_months(new, mart, on_step=dying(step, value))
+    assert volumes(spark, mart) == seen                                            # a reader of the open publication
+    assert [r.campaign_month for r in S.mart_months(spark, mart).collect()] == ["2025-01", "2025-02"]
+    P.recover(spark, mart, S.KEY)
+    assert volumes(spark, mart) == seen and sorted(p.name for p in (tmp_path / "mart").iterdir() if p.name[0] == "_") == []
+    S.replace_months(new, mart)
+    assert volumes(spark, mart) == {"2025-01": 500, "2025-02": 500}
+
+
+def test_stale_temporary_months_are_not_listed_and_go(spark, folder, tmp_path):
+    mart = tmp_path / "mart"
+    put(folder, "JAN25")
+    rows = S.read_rollup_csv(spark, str(folder))
+    S.replace_months(rows, str(mart))
+    stale = mart / "campaign_month=2025-02__tmp"
+    stale.mkdir()
+    (stale / "part-0.parquet").write_bytes(next((mart / "campaign_month=2025-01").glob("*.parquet")).read_bytes())
+    (mart / "campaign_month=2025-03").mkdir()                                      # no files
+    assert [r.campaign_month for r in S.mart_months(spark, str(mart)).collect()] == ["2025-01"]
+    assert set(volumes(spark, str(mart))) == {"2025-01"} and S.mart_status(spark, str(mart)).first().months == 1
+    S.replace_months(rows, str(mart))
+    assert not stale.exists()
+
+
+def test_input_is_read_once_and_empty_months_are_refused(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    mart = str(tmp_path / "mart")
+    kinds = {"Prospect_type": "string", "vs_band": "string", "annual_fee": "double", "expected_responses": "double", "expected_responses_xpm": "double"}
+    cols = [c for c in ORDER if c not in C.DROP_RATE_COLUMNS]
+    schema = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in cols) + ", load_month string"
+    row = tuple(({c: 1 for c in ORDER} | VALUES)[c] for c in cols)
+    df = spark.createDataFrame([(*row, m) for m in ("2025-01", "2025-02") for _ in range(50)], schema)
+    expected = spark.createDataFrame([("2025-01",), ("2025-02",), ("2025-03",)], "load_month string")
+    got = {r.campaign_month: (r.ok, r.errors) for r in S.replace_months(df.mapInArrow(count, df.schema), mart, expected).collect()}
+    assert got == {"2025-01": (True, ""), "2025-02": (True, ""), "2025-03": (False, "rollup is empty")}
+    assert seen.value == 100
+    assert set(S.read_mart(spark, mart).columns) == {*cols, "campaign_month"}      # nothing of the staging is left in the rows
+
+
 def test_a_cluster_needs_a_shared_folder():
     assert staging_root("yarn", "hdfs:///shared", "/tmp/x") == "hdfs:///shared"
     assert staging_root("local[4]", None, "/tmp/x") == "/tmp/x/checkpoints"

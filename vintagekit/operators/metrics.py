@@ -77,11 +77,6 @@ def suppress_small_cells(df: DataFrame, threshold: int = C.SMALL_CELL_THRESHOLD,
                        for c in df.columns])
 
 
-def month_values(df: DataFrame, col: str = "campaign_month") -> list[str]:
-    """The sorted month list (bounded by the calendar) for pivot column values."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
-
-
 def pivot_metric(df: DataFrame, row_dim: str, metric: str, values: Sequence[str], column_dim: str = "campaign_month") -> DataFrame:
     """A5: aggregate to (row, column) first, then lay the metric out wide over the caller's columns."""
     return aggregate_by(df, [row_dim, column_dim]).groupBy(row_dim).pivot(column_dim, list(values)).agg(F.first(metric))
@@ -271,20 +266,25 @@ def _exact(col: str) -> Column:
 def validate_rollup(df: DataFrame, expected: DataFrame | None = None, month: str = "load_month") -> DataFrame:
     """DQ1: one row per month attempt (``month``, where the rows were read from): errors block the month, warnings
     do not. Responders, boards and expected responses are compared as totals. ``expected`` lists the attempts, so a
-    month without rows is reported as empty; without required columns every attempt fails."""
+    month without rows is reported as empty; without required columns every attempt fails. A ``mark`` column says what was
+    wrong with a row as it was read; a row with text for a number or with a broken line blocks its month."""
     missing = [c for c in C.REQUIRED_ROLLUP_COLUMNS if c not in df.columns]
     attempts = (expected if expected is not None else df).select(month).distinct()
     if missing:
         return attempts.select(
             F.col(month).alias("campaign_month"), *[F.lit(None).cast("double" if "expected" in t else "long").alias(t) for t in TOTALS],
             F.lit(False).alias("ok"), F.lit(f"missing required columns: {', '.join(missing)}").alias("errors"), F.lit("").alias("warnings"))
-    foreign = ~F.col("campaign_month").eqNullSafe(F.col(month)) if "campaign_month" in df.columns else F.lit(False)
+    marked = "mark" in df.columns
+    holds = lambda c: F.array_contains(F.split(F.col("mark"), ","), c)
+    foreign = (holds("campaign_month") if marked else ~F.col("campaign_month").eqNullSafe(F.col(month))
+               if "campaign_month" in df.columns else F.lit(False))
+    faults = ["line", *NUMBERS] if marked else []
     xpm = _exact("expected_responses_xpm") if "expected_responses_xpm" in df.columns else F.lit(None).cast("double")
     g = df.groupBy(month).agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("volume").cast("long").alias("total_volume"),
         F.sum("responders").cast("long").alias("total_responders"), F.sum("Boards").cast("long").alias("total_boards"),
         _exact("expected_responses").alias("total_expected_responses"), xpm.alias("total_expected_responses_xpm"),
-        F.min("volume").alias("_least"), F.max(foreign).alias("_foreign"))
+        F.min("volume").alias("_least"), F.max(foreign).alias("_foreign"), *[F.count_if(holds(c)).alias(f"_{c}") for c in faults])
     g = attempts.join(g, month, "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     v, some = F.col("total_volume"), F.col("row_count") > 0
 
@@ -295,9 +295,11 @@ def validate_rollup(df: DataFrame, expected: DataFrame | None = None, month: str
               (some & F.coalesce(v <= 0, F.lit(True)), "total volume not positive"),
               (F.col("total_responders") > v, "responders exceed volume"), (F.col("total_boards") > v, "boards exceed volume"),
               (F.col("_foreign"), "foreign campaign_month")]
+    errors += [(F.col(f"_{c}") > 0, F.concat(F.col(f"_{c}").cast("string"), F.lit(" broken lines" if c == "line" else f" values of {c} are no numbers")))
+               for c in faults]
     warnings = [(outside("total_expected_responses"), "expected_responses outside [0, volume]"),
                 (outside("total_expected_responses_xpm"), "expected_responses_xpm outside [0, volume]")]
-    said = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
+    said = lambda rules: F.array_compact(F.array(*[F.when(c, m) for c, m in rules]))
     return g.select(F.col(month).alias("campaign_month"), *TOTALS, (F.size(said(errors)) == 0).alias("ok"),
                     F.array_join(said(errors), "; ").alias("errors"), F.array_join(said(warnings), "; ").alias("warnings"))
 
@@ -370,11 +372,35 @@ _TYPES = {"Prospect_type": "string", "vs_band": "string", "annual_fee": "double"
           "responders": "bigint", "Boards": "bigint", "expected_responses": "double", "expected_responses_xpm": "double"}
 
 
-def conform_rollup(df: DataFrame) -> DataFrame:
-    """The known columns by name, cast by name (text that is no number becomes null), and the month and file columns."""
+#: The mark of a row that nothing is wrong with.
+CLEAN = "clean"
+#: Columns in which text that is no number blocks the month; the flags are read permissively (ING7).
+NUMBERS = ("volume", "responders", "Boards", "expected_responses", "expected_responses_xpm", "annual_fee", "times_mailed_12mo_cnt")
+
+
+def number(col: str, kind: str) -> Column:
+    """Text as a number; null if it is none. A whole number may be written with decimals (100.0)."""
+    c = F.trim(F.col(col).cast("string"))
+    if kind == "double":
+        return c.try_cast("double")
+    wide = c.try_cast("decimal(38,6)")
+    return F.when(wide == F.floor(wide), wide).try_cast(kind)
+
+
+def conform_rollup(df: DataFrame, broken: Column | None = None) -> DataFrame:
+    """The known columns by name, cast by name, and the month and file columns. With ``broken`` (whether a line had too
+    few or too many fields) the rows get a ``mark``: the columns whose text is no number, in order and comma-joined, or
+    "line", or CLEAN; without it such text becomes null."""
     own = [*C.REQUIRED_ROLLUP_COLUMNS, *C.OPTIONAL_ROLLUP_COLUMNS]
     extra = [c for c in ("campaign_month", "source_file") if c in df.columns]
-    return df.select(*[F.col(c).try_cast(_TYPES.get(c, "int")).alias(c) for c in own], *extra)
+    kind = {c: _TYPES.get(c, "int") for c in own}
+    value = {c: F.col(c).try_cast(kind[c]) if kind[c] == "string" else number(c, kind[c]) for c in own}
+    marks = []
+    if broken is not None:
+        wrong = [F.when(value[c].isNull() & (F.trim(F.col(c).cast("string")) != ""), c) for c in NUMBERS]
+        said = F.array_join(F.array_compact(F.array(*wrong)), ",")
+        marks = [F.when(broken, "line").when(said == "", CLEAN).otherwise(said).alias("mark")]
+    return df.select(*[value[c].alias(c) for c in own], *extra, *marks)
 
 
 def expected_months(present: DataFrame, start: str | None = None, end: str | None = None,

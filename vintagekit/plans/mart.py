@@ -15,6 +15,7 @@ from vintagekit.operators import metrics as M
 from vintagekit.plans.campaign import staged_response
 from vintagekit.session import checkpoint_dir, prepare
 from vintagekit.sources import mart_store as S
+from vintagekit.sources import publish as P
 from vintagekit.sources.cache import cache_or_compute as staged
 from vintagekit.sources.cache import stage_path
 
@@ -58,11 +59,14 @@ def view(spark, sf_dir, **months) -> DataFrame:
     return M.month_window(mart_frame(spark, sf_dir), **months)
 
 
-PIVOT_MONTHS = [f"{y}-{m:02d}" for y in (1999, 2000) for m in range(1, 13)]
+def calendar(spark, sf_dir) -> list[str]:
+    """Every month from the first to the last of the mart, bounded by the calendar: the columns of a wide pivot."""
+    mart = mart_frame(spark, sf_dir)
+    return [r[0] for r in M.expected_months(mart).orderBy("campaign_month").collect()]
 
 
 def pivot_metric(spark, sf_dir):
-    return M.pivot_metric(view(spark, sf_dir, months=PIVOT_MONTHS), ROW_DIM, METRIC, PIVOT_MONTHS)
+    return M.pivot_metric(mart_frame(spark, sf_dir), ROW_DIM, METRIC, calendar(spark, sf_dir))
 
 
 def suppress_small_cells(spark, sf_dir):
@@ -76,7 +80,7 @@ def pivot_overall(spark, sf_dir):
 
 def pivot_overall_wide(spark, sf_dir):
     """The wide table with Overall row and column."""
-    return M.pivot_overall(view(spark, sf_dir, months=PIVOT_MONTHS), ROW_DIM, METRIC, PIVOT_MONTHS, CELL_THRESHOLD)
+    return M.pivot_overall(mart_frame(spark, sf_dir), ROW_DIM, METRIC, calendar(spark, sf_dir), CELL_THRESHOLD)
 
 
 def formatted_pivot(spark, sf_dir):
@@ -239,7 +243,7 @@ def read_mart(spark, sf_dir):
 
 
 def mart_months(spark, sf_dir):
-    return S.mart_months(read_mart(spark, sf_dir))
+    return S.mart_months(spark, _store(spark, sf_dir))
 
 
 def _export(spark, rows: DataFrame, folder: str) -> None:
@@ -254,7 +258,7 @@ def csv_rollup_roundtrip(spark, sf_dir):
     """SNK2 -> SRC3: rollup written as one named CSV per month, read back by header name."""
     folder = _scratch(spark, "csv")
     _export(spark, _rollup(spark, sf_dir), folder)
-    return S.read_rollup_csv(spark, folder).drop("load_month")
+    return S.read_rollup_csv(spark, folder).drop("load_month", "mark")
 
 
 def _ingested(spark, sf_dir) -> tuple[DataFrame, str, str]:
@@ -286,6 +290,81 @@ def load_log(spark, sf_dir):
             .withColumn("source_file", S.file_name("source_file")).drop("source_modified_time", "loaded_time"))
 
 
+#: What kind of file a month gets in ``ingest_isolation``, by its number of months modulo 8.
+FILE_KINDS = ("good", "text for a volume", "repeated column", "missing column", "empty", "two files", "bad name", "whole numbers as decimals")
+
+
+def _odd_files(spark, sf_dir) -> str:
+    """One rollup file a month of the mart, of the kinds above; returns the folder."""
+    folder, older = _scratch(spark, "odd"), _scratch(spark, "older")
+    roll, k = _rollup(spark, sf_dir), _month_number() % len(FILE_KINDS)
+    text = F.col("volume").cast("string")
+    _export(spark, roll.where(k.isin(0, 4, 5, 6)), folder)
+    _export(spark, roll.where(k == 1).withColumn("volume", F.when(F.col("trm10_tier") == 1, F.lit("1 000")).otherwise(text)), folder)
+    _export(spark, roll.where(k == 2).withColumn("VOLUME ", text), folder)
+    _export(spark, roll.where(k == 3).drop("Boards"), folder)
+    _export(spark, roll.where(k == 7).withColumn("volume", F.concat(text, F.lit(".0"))), folder)
+    _export(spark, roll.where(k == 5).withColumn("volume", F.col("volume") * 2), older)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    for r in S.rollup_files(spark, folder).collect():  # one per month
+        kind = (int(r["campaign_month"][:4]) * 12 + int(r["campaign_month"][5:])) % len(FILE_KINDS)
+        if kind == 4:
+            fs.create(path(r["path"]), True).close()
+        elif kind == 5:
+            other = path(f"{folder}/{r['file_name'].lower()}")
+            fs.rename(path(f"{older}/{r['file_name']}"), other)
+            fs.setTimes(other, 1_000_000_000_000, -1)
+        elif kind == 6:
+            fs.rename(path(r["path"]), path(f"{folder}/exp_{r['campaign_month'].replace('-', '')}_rollup.csv"))
+    return folder
+
+
+def ingest_isolation(spark, sf_dir):
+    """ING8 over files of eight kinds in one run: outcome per file, and what the mart holds of its month afterwards."""
+    path = _scratch(spark, "store")
+    done = S.run_ingest(spark, _odd_files(spark, sf_dir), path, AS_OF)
+    stored = S.read_mart(spark, path).groupBy("campaign_month").agg(F.sum("volume").alias("stored_volume"))
+    return done.select("campaign_month", "file_name", "action", "status", "message", "row_count", "total_volume").join(stored, "campaign_month", "left")
+
+
+class _Died(Exception):
+    """Stands for a writer that is lost between two steps."""
+
+
+def mart_swap(spark, sf_dir):
+    """SNK1 with a writer that dies after a step: the last four months of the mart are replaced by ones of twice the
+    volume. What a reader finds then, and after the table was recovered, beside a temporary month that no one lists."""
+    rows = _loadable(spark, sf_dir)
+    last = [r[0] for r in rows.select("load_month").distinct().orderBy(F.desc("load_month")).limit(4).collect()]
+    rows = rows.where(F.col("load_month").isin(last))
+    out = None
+    for step, value in (("staged", ""), ("moved", sorted(last)[1]), ("published", sorted(last)[1])):
+        path = _scratch(spark, "store")
+        S.replace_months(rows, path)
+        spark.range(1).write.parquet(f"{path}/campaign_month=1900-01{P.TMP}")
+
+        def on_step(at, month, here=(step, value)):
+            if (at, month) == here:
+                raise _Died
+
+        try:
+            S.replace_months(rows.withColumn("volume", F.col("volume") * 2), path, on_step=on_step)
+        except _Died:
+            pass
+        states = []
+        for state in ("open", "recovered"):
+            if state == "recovered":
+                P.recover(spark, path, S.KEY)
+            mart = S.mart_months(spark, path).join(S.read_mart(spark, path), "campaign_month", "left")
+            seen = mart.groupBy("campaign_month").agg(F.sum("volume").alias(state))
+            states.append(spark.createDataFrame(seen.collect(), seen.schema))  # as it is now: a row a month
+        both = states[0].join(states[1], "campaign_month", "full").withColumn("died_after", F.lit(step))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def mart_status(spark, sf_dir):
     return S.mart_status(spark, _store(spark, sf_dir)).withColumn("refreshed", F.col("last_refresh").isNotNull()).drop("last_refresh")
 

@@ -1307,14 +1307,14 @@ RATES = ["actual_response_rate", "actual_board_rate", "expected_rr_trm", "expect
 
 _met, _LB, _thr = _C.DEFAULT_METRIC, _C.DEFAULT_LOOKBACK_MONTHS, 12
 MART_DOUBLES = ["annual_fee", "expected_responses", "expected_responses_xpm"]
-PIVOT_MONTHS = [f"{y}-{m:02d}" for y in (1999, 2000) for m in range(1, 13)]
+#: The whole calendar of the mart: the mail file follows the orders of the test tables, from 1995-01 to 2001-08.
+PIVOT_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:80]
 #: The months a view shows by default: the latest ones present.
 VIEW = MART + f""",
 mr AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month DESC) AS r
        FROM (SELECT DISTINCT campaign_month FROM mart WHERE campaign_month IS NOT NULL)),
 mj AS (SELECT m.*, mr.r FROM mart m JOIN mr ON m.campaign_month = mr.campaign_month),
-vw AS (SELECT * EXCLUDE (r) FROM mj WHERE r <= {_LB}),
-pv AS (SELECT * FROM mart WHERE campaign_month IN ({_lst(PIVOT_MONTHS)}))"""
+vw AS (SELECT * EXCLUDE (r) FROM mj WHERE r <= {_LB})"""
 
 
 def _unpivot(src: str, ids: list[str], metrics: list[str], dropna: bool = False) -> str:
@@ -1331,7 +1331,7 @@ register("kpi_totals", MART + "," + agg_sql("mart", []) + "\nSELECT " + ", ".joi
     [m for m in _C.METRIC_COLUMNS if m in AGG_DOUBLES])
 register("monthly_trend", MART + "," + agg_sql("mart", ["campaign_month"]) + "\nSELECT * EXCLUDE (_rows) FROM agg",
          AGG_DOUBLES)
-register("pivot_metric", VIEW + "," + agg_sql("pv", ["vs_band", "campaign_month"]) + "\nSELECT vs_band, " + ", ".join(
+register("pivot_metric", VIEW + "," + agg_sql("mart", ["vs_band", "campaign_month"]) + "\nSELECT vs_band, " + ", ".join(
     f"max(CASE WHEN campaign_month = '{m}' THEN {_met} END) AS \"{m}\"" for m in PIVOT_MONTHS) + " FROM agg GROUP BY vs_band",
     [f'"{m}"' for m in PIVOT_MONTHS])
 _supp = ", ".join(f"CASE WHEN volume < {_thr} THEN NULL ELSE {r} END AS {r}" for r in RATES)
@@ -1358,7 +1358,7 @@ SELECT 'grand', 'Overall', 'Overall', {_met} FROM ag)""")
 
 
 _WIDE_COLS = PIVOT_MONTHS + ["Overall"]
-OVERALL_WIDE = VIEW + overall_sql("pv") + """,
+OVERALL_WIDE = VIEW + overall_sql("mart") + """,
 wide AS (SELECT row_value AS "Row", """ + ", ".join(
     f"max(CASE WHEN column_key = '{c}' THEN value END) AS \"{c}\"" for c in _WIDE_COLS) + " FROM ov GROUP BY row_value)"
 register("pivot_overall", VIEW + overall_sql("vw") + "\nSELECT * FROM ov", ["value"])
@@ -1555,3 +1555,41 @@ register("load_log", INGEST + f"""
 SELECT campaign_month, {_FILE} AS source_file, row_count, total_volume, total_responders, total_boards, total_expected_responses,
   total_expected_responses_xpm, status, CASE WHEN status = 'failed' THEN errors ELSE warnings END AS message
 FROM done WHERE status IN ('added', 'replaced', 'failed')""", VALIDATED_DOUBLES)
+
+# files of eight kinds in an empty mart: text in a volume fails the month, a faulty header too, the newer of two files counts
+_LOADS = f"age_months < {_C.HISTORY_FREEZE_MONTHS}"
+register("ingest_isolation", LOADED + f""",
+odd AS (SELECT * REPLACE (CASE WHEN {_MN} % 8 = 1 AND trm10_tier = 1 THEN NULL ELSE volume END AS volume),
+               CASE WHEN {_MN} % 8 = 1 AND trm10_tier = 1 THEN 1 ELSE 0 END AS no_number FROM ld),
+wrong AS (SELECT load_month, CAST(sum(no_number) AS VARCHAR) AS n FROM odd GROUP BY load_month HAVING sum(no_number) > 0),
+ages AS (SELECT campaign_month, {_MN} % 8 AS kind, 2001 * 12 + 9 - {_MN} AS age_months FROM (SELECT DISTINCT campaign_month FROM ld))"""
+         + validation_sql("odd", "odd") + f""",
+seen AS (
+  SELECT a.*, val.row_count, val.total_volume, concat_ws('; ', nullif(val.errors, ''), wrong.n || ' values of volume are no numbers') AS errors, val.warnings
+  FROM ages a JOIN val ON val.campaign_month = a.campaign_month LEFT JOIN wrong ON wrong.load_month = a.campaign_month),
+files AS (
+  SELECT *, {_FILE} AS file_name, CASE WHEN {_LOADS} THEN 'add' ELSE 'frozen' END AS action,
+         CASE kind WHEN 2 THEN 'repeated columns: volume' WHEN 3 THEN 'missing required columns: Boards' WHEN 4 THEN 'the file is empty' END AS fault
+  FROM seen WHERE kind <> 6),
+done AS (
+  SELECT *, CASE WHEN action = 'frozen' THEN 'frozen' WHEN fault IS NOT NULL OR errors <> '' THEN 'failed' ELSE 'added' END AS status FROM files),
+result AS (
+  SELECT campaign_month, file_name, action, status,
+         CASE WHEN status = 'frozen' THEN '' WHEN fault IS NOT NULL THEN fault WHEN status = 'failed' THEN errors ELSE warnings END AS message,
+         CASE WHEN status <> 'frozen' AND fault IS NULL THEN row_count
+              WHEN status <> 'frozen' AND fault IS NOT NULL THEN NULL END AS row_count,
+         CASE WHEN status <> 'frozen' AND fault IS NULL THEN total_volume END AS total_volume FROM done
+  UNION ALL
+  SELECT campaign_month, lower({_FILE}), 'skip', 'skipped', 'a newer file of the month is there', NULL, NULL FROM seen WHERE kind = 5
+  UNION ALL
+  SELECT NULL, 'exp_' || replace(campaign_month, '-', '') || '_rollup.csv', 'ignore', 'ignored', 'the name gives no month', NULL, NULL
+  FROM seen WHERE kind = 6)
+SELECT result.*, stored.total_volume AS stored_volume
+FROM result LEFT JOIN (SELECT campaign_month, total_volume FROM done WHERE status = 'added') stored ON stored.campaign_month = result.campaign_month""")
+
+register("mart_swap", LOADED + """,
+v AS (SELECT load_month AS campaign_month, CAST(sum(volume) AS BIGINT) AS v, row_number() OVER (ORDER BY load_month DESC) AS back FROM ld GROUP BY load_month),
+last4 AS (SELECT campaign_month, v, 5 - back AS r FROM v WHERE back <= 4),
+died AS (SELECT * FROM (VALUES ('staged', 0), ('moved', 1), ('published', 2)) x(died_after, done))
+SELECT died_after, campaign_month, CASE WHEN r <= done THEN 2 * v ELSE v END AS open, CASE WHEN r <= done THEN 2 * v ELSE v END AS recovered
+FROM last4, died""")

@@ -46,7 +46,7 @@ MART = """aggregate_by kpi_totals monthly_trend pivot_metric suppress_small_cell
 formatted_pivot exec_kpis trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier
 model_by_scorecard volume_mix mom_delta volume_share dict_filter month_window filter_options validate_rollup
 validate_rollup_faulty validation_summary parse_rollup_month missing_months mart_replace_month read_mart mart_months
-csv_rollup_roundtrip load_log ingest_plan ingest_summary mart_status filtered_export cache_or_compute"""
+csv_rollup_roundtrip load_log ingest_plan ingest_summary ingest_isolation mart_swap mart_status filtered_export cache_or_compute"""
 
 QUERIES = {name: _edge(getattr(module, name))
            for module, names in ((studio, STUDY), (campaign, CAMPAIGN), (mart, MART)) for name in names.split()}

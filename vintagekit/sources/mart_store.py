@@ -1,32 +1,32 @@
 """Month-partitioned Parquet mart and the rollup files that feed it: file export and scan, ingest plan, validated
 replace, load log, reads, status and export.
 
-Files are bound by header name, never by position. A month is validated as a whole before anything is written; writes
-use dynamic partition overwrite, so only months that pass are replaced and a failed month never replaces a good one.
+Files are bound by header name, never by position, and each file stands for itself: one that cannot be read, repeats or
+lacks a column, or holds text where a number belongs fails its own month and no other. Of two files of a month the newer
+is loaded. Rows are read once, into a staging folder beside the mart, dealt there by what is wrong with them; the rules
+are checked on what was staged, and only months that pass are published (``publish``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from vintagekit import config as C
 from vintagekit.operators import metrics as M
 from vintagekit.session import checkpoint_dir
+from vintagekit.sources import publish as P
 
+KEY = "campaign_month"
 PLAN_SCHEMA = "campaign_month string, file_name string, path string, file_time timestamp, partition_time timestamp"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def file_name(path: str | Column) -> Column:
     return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
 
@@ -53,98 +53,138 @@ def write_rollup_csv(rollup: DataFrame, folder: str) -> None:
             raise OSError(f"cannot write {target}")
 
 
-def rollup_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(campaign_month, file_name, path, file_time) of the files whose names parse (ING2), from the file system's
-    own names and times (one listing of one file per month); no content is read."""
+def rollup_files(spark: SparkSession, folder: str, named_only: bool = True) -> DataFrame:
+    """(campaign_month, file_name, path, file_time) of the files named exp_..._rollup.csv, from the file system's own names
+    and times (one listing of one file per month); no content is read. Names that give no month (ING2) have none, or are
+    left out."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(folder)
     rows = [(f.getPath().getName(), f.getPath().toString(), f.getModificationTime())
             for f in path.getFileSystem(conf).listStatus(path) if f.isFile()]
-    files = spark.createDataFrame(rows, "file_name string, path string, ms long")
+    files = spark.createDataFrame(rows, "file_name string, path string, ms long").where(F.col("file_name").rlike("(?i)^exp_.*_rollup\\.csv$"))
     files = files.withColumn("campaign_month", F.date_format(M.rollup_month("file_name"), "yyyy-MM"))
-    return (files.where(F.col("campaign_month").isNotNull())
+    return (files.where(F.col("campaign_month").isNotNull() if named_only else F.lit(True))
             .select("campaign_month", "file_name", "path", F.timestamp_millis("ms").alias("file_time")))
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Header line by file name: the line whose first field is a known column name, in any case."""
-    known = [c.lower() for c in C.ROLLUP_COLUMNS]
-    lines = spark.read.text(paths).select("value", file_name(F.col("_metadata.file_path")).alias("file_name"))
-    first = F.lower(F.trim(F.translate(F.element_at(F.split("value", ","), 1), '"﻿', "")))
-    rows = lines.where(first.isin(known)).groupBy("file_name").agg(F.min("value").alias("header")).collect()
-    return {r["file_name"]: r["header"] for r in rows}  # one line per file
-
-
-def read_rollup_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, dict[str, list[str]]]:
-    """SRC3: conformed rows of the files, with ``load_month`` and ``source_file``; and the required columns that a file
-    lacks, by file name (those files are not read). Files of equal headers are read together; columns are
-    bound by header name and cast by name."""
-    headers = _headers(spark, paths)
-    lacking: dict[str, list[str]] = {}
-    groups: dict[str, list[str]] = {}
+def header_of(spark: SparkSession, path: str) -> list[str] | None:
+    """Column names of a file, from its first line alone; none for an empty file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return None if line is None else [c.strip().strip('"').strip() for c in line.removeprefix("\ufeff").split(",")]
+
+
+def header_fault(names: list[str] | None) -> str | None:
+    """Why a file with this header cannot be loaded."""
+    if names is None:
+        return "the file is empty"
+    low = [n.lower() for n in names]
+    if again := sorted({n for n in low if low.count(n) > 1}):
+        return f"repeated columns: {', '.join(again)}"
+    if missing := [c for c in C.REQUIRED_ROLLUP_COLUMNS if c.lower() not in low]:
+        return f"missing required columns: {', '.join(missing)}"
+    return None
+
+
+def read_rollup_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """SRC3: conformed rows of the files with ``load_month``, ``source_file`` and ``mark`` (what is wrong with the row, see
+    ``conform_rollup``); and, by file name, why a file is not read. Files of equal headers are read together."""
+    faults: dict[str, str] = {}
+    groups: dict[tuple, list[str]] = {}
     for p in paths:
-        name = p.rpartition("/")[2]
-        names = {c.strip().strip('"').lstrip("﻿").lower() for c in headers.get(name, "").split(",")}
-        missing = [c for c in C.REQUIRED_ROLLUP_COLUMNS if c.lower() not in names]
-        if missing:
-            lacking[name] = missing
+        try:
+            names = header_of(spark, p)
+            fault = header_fault(names)
+        except Py4JJavaError as e:
+            fault = f"cannot be read: {e.java_exception.getClass().getSimpleName()}"
+        if fault:
+            faults[p.rpartition("/")[2]] = fault
         else:
-            groups.setdefault(headers[name], []).append(p)
+            groups.setdefault(tuple(names), []).append(p)
     out = None
-    for same in groups.values():
-        raw = spark.read.option("header", True).csv(same).withColumn("source_file", file_name(F.col("_metadata.file_path")))
+    for names, same in groups.items():
+        schema = ", ".join(f"`{n or f'_{i}'}` string" for i, n in enumerate(names))
+        raw = (spark.read.schema(f"{schema}, _line string").option("header", True).option("columnNameOfCorruptRecord", "_line").option("columnPruning", False)
+               .csv(same).withColumn("source_file", file_name(F.col("_metadata.file_path"))))
         month = F.date_format(M.rollup_month("source_file"), "yyyy-MM")
-        part = M.conform_rollup(M.prepare_rollup(raw, month)).withColumn("load_month", month)
+        part = M.conform_rollup(M.prepare_rollup(raw, month), broken=F.col("_line").isNotNull()).withColumn("load_month", month)
         out = part if out is None else out.unionByName(part)
-    return out, lacking
+    return out, faults
 
 
 def read_rollup_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC3 for a whole folder; a file without a required column raises."""
+    """SRC3 for a whole folder; a file that cannot be read raises."""
     paths = [r["path"] for r in rollup_files(spark, folder).select("path").collect()]  # one per month
-    out, lacking = read_rollup_files(spark, paths)
-    if lacking or out is None:
-        raise ValueError(f"missing required columns: {lacking}" if lacking else f"no rollup files in {folder}")
+    out, faults = read_rollup_files(spark, paths)
+    if faults or out is None:
+        raise ValueError(f"unreadable files: {faults}" if faults else f"no rollup files in {folder}")
     return out
 
 
 # --- mart -------------------------------------------------------------------------------------
 
-def replace_months(df: DataFrame, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """SNK1: validate every month, write only the passing ones with dynamic partition overwrite; with nothing to write
-    the mart is left alone. Returns the validation rows (the load outcome)."""
-    spark = df.sparkSession
-    v = M.validate_rollup(df, expected)
-    good = [r["campaign_month"] for r in v.filter("ok").select("campaign_month").collect()]  # bounded by the calendar
-    if good:
-        rows = df.filter(F.col("load_month").isin(good)).withColumn("campaign_month", F.col("load_month"))
-        (rows.drop("load_month", "source_file").repartition("campaign_month").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("campaign_month").parquet(path))
-    spark.catalog.refreshByPath(path)
+def replace_months(df: DataFrame, path: str, expected: DataFrame | None = None,
+                   on_step: Callable[[str, str], None] = lambda step, value: None) -> DataFrame:
+    """SNK1 and DQ1: stage the rows (read once), check every month on what was staged, publish the months that pass. An
+    empty month is refused, a failing one stays as it was. ``expected`` lists the months attempted. Returns the
+    validation rows. ``on_step`` hears of each step: staged, moved, published."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    P.recover(spark, path, KEY)
+    staging = f"{path.rstrip('/')}/_staging/{run}"
+    if "mark" not in df.columns:
+        foreign = ~F.col("campaign_month").eqNullSafe(F.col("load_month")) if "campaign_month" in df.columns else F.lit(False)
+        df = df.withColumn("mark", F.when(foreign, "campaign_month").otherwise(M.CLEAN))
+    rows = df.drop("campaign_month", "source_file")
+    seen = Observation()
+    (rows.hint("rebalance", "load_month", "mark").observe(seen, F.count(F.lit(1)).alias("rows")).write
+     .partitionBy("load_month", "mark").parquet(staging))
+    on_step("staged", "")
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    v = M.validate_rollup(staged, expected)
+    v = spark.createDataFrame(v.collect(), v.schema)  # bounded by the calendar; the staged files are about to move
+    if (stored := staged.count()) != seen.get["rows"]:
+        raise OSError(f"{stored} of {seen.get['rows']} rows are in {staging}")
+    good = [r["campaign_month"] for r in v.filter("ok").select("campaign_month").orderBy("campaign_month").collect()]
+    P.publish(spark, path, KEY, run, {m: f"{staging}/load_month={m}/mark={M.CLEAN}" for m in good}, good, on_step)
     return v
 
 
+def _parts(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The mart's partitions by place: those in place and, while a publication is open, those moved aside."""
+    places: dict[str, list[str]] = {}
+    for folder in P.partition_folders(spark, path, KEY).values():
+        places.setdefault(folder.rpartition("/")[0], []).append(folder)
+    return [spark.read.option("basePath", base).parquet(*folders) for base, folders in places.items()]
+
+
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: partition discovery; campaign_month stays text (yyyy-MM)."""
-    return (spark.read.option("basePath", path).parquet(path)
-            .withColumn("campaign_month", F.col("campaign_month").cast("string")))
+    """SRC4: partition discovery over the listed months; campaign_month stays text (yyyy-MM)."""
+    out = None
+    for df in _parts(spark, path):
+        df = df.withColumn("campaign_month", F.col("campaign_month").cast("string"))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(f"no months in {path}")
+    return out
 
 
-def mart_months(mart: DataFrame) -> DataFrame:
-    """SRC6: materialised months, sorted."""
-    return mart.select("campaign_month").distinct().orderBy("campaign_month")
+def mart_months(spark: SparkSession, path: str) -> DataFrame:
+    """SRC6: materialised months, sorted, from the folders' names; no file is read."""
+    return spark.createDataFrame([(m,) for m in P.partition_folders(spark, path, KEY)], "campaign_month string")
 
 
 def partition_times(spark: SparkSession, path: str) -> DataFrame:
     """(campaign_month, partition_time): newest file of each month; empty without a mart."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], "campaign_month string, partition_time timestamp")
-    return df.groupBy(F.col("campaign_month").cast("string").alias("campaign_month")).agg(
-        F.max("_metadata.file_modification_time").alias("partition_time"))
+    out = spark.createDataFrame([], "campaign_month string, partition_time timestamp")
+    for df in _parts(spark, path):
+        out = out.unionByName(df.groupBy(F.col("campaign_month").cast("string").alias("campaign_month")).agg(
+            F.max("_metadata.file_modification_time").alias("partition_time")))
+    return out
 
 
 def mart_status(spark: SparkSession, path: str) -> DataFrame:
@@ -173,28 +213,60 @@ def ingest_plan(files: DataFrame, partitions: DataFrame, as_of: dt.date, force:
     return j.select(*files.columns, "partition_time", age.alias("age_months"), action.alias("action"), reason.alias("reason"))
 
 
+def newest_of_month(files: DataFrame) -> DataFrame:
+    """``newest``: whether a file is the one to load of its month; equal times go by name. One row per file."""
+    order = Window.partitionBy("campaign_month").orderBy(F.desc("file_time"), F.desc("file_name"))
+    return files.withColumn("newest", F.col("campaign_month").isNotNull() & (F.row_number().over(order) == 1))
+
+
+def _load(spark: SparkSession, files: list[tuple[str, str]], path: str) -> tuple[list, dict[str, str]]:
+    """Validation rows of (month, path) files and, by file name, why a file failed before any rule. All files go through
+    one job; if that job breaks, each goes through its own, so that one file breaks its own month only."""
+    rows, faults = read_rollup_files(spark, [p for _, p in files])
+    readable = [(m, p) for m, p in files if p.rpartition("/")[2] not in faults]
+    if rows is None:
+        return [], faults
+    try:
+        expected = spark.createDataFrame([(m,) for m, _ in readable], "load_month string")
+        return replace_months(rows, path, expected).collect(), faults
+    except (PySparkException, Py4JJavaError) as e:
+        if len(files) == 1:
+            said = e.getCondition() if isinstance(e, PySparkException) else None
+            return [], {files[0][1].rpartition("/")[2]: f"cannot be loaded: {said or type(e).__name__}"}
+    checked: list = []
+    for one in readable:
+        more, why = _load(spark, [one], path)
+        checked, faults = checked + more, faults | why
+    return checked, faults
+
+
 def run_ingest(spark: SparkSession, folder: str, path: str, as_of: dt.date, force: bool = False,
                log_path: str | None = None) -> DataFrame:
-    """ING8: plan from the files' own names and times, load what is to be added or replaced, validate, write the
+    """ING8: plan from the files' own names and times, load what is to be added or replaced, validate, publish the
     months that pass, append the log. One row per file: the plan, the month's totals, ``status`` (added, replaced,
-    skipped, frozen, failed) and ``message``. A file that cannot be read or fails keeps its month as it was."""
-    plan = ingest_plan(rollup_files(spark, folder), partition_times(spark, path), as_of, force)
-    plan = spark.createDataFrame(plan.collect(), plan.schema)  # one row per month; the files may change under the job
-    todo = [r["path"] for r in plan.filter(F.col("action").isin("add", "replace")).select("path").collect()]
-    rows, lacking = read_rollup_files(spark, todo) if todo else (None, {})
-    readable = plan.filter(F.col("path").isin(todo) & ~F.col("file_name").isin(list(lacking)) if todo else F.lit(False))
-    if rows is not None:
-        checked = replace_months(rows, path, readable.select(F.col("campaign_month").alias("load_month")))
-    else:
-        checked = spark.createDataFrame([], M.VALIDATION_SCHEMA)
-    bad = spark.createDataFrame([(k, f"missing required columns: {', '.join(v)}") for k, v in sorted(lacking.items())],
-                                "file_name string, lacking string")
-    j = plan.join(checked, "campaign_month", "left").join(bad, "file_name", "left")
+    skipped, frozen, failed, ignored) and ``message``. A file that fails keeps its month as it was and no other month's
+    load depends on it; of several files of a month the newest is loaded and the others are skipped; a name
+    that gives no month is ignored."""
+    files = newest_of_month(rollup_files(spark, folder, named_only=False))
+    plan = ingest_plan(files, partition_times(spark, path), as_of, force)
+    other = F.col("campaign_month").isNotNull() & ~F.col("newest")
+    plan = plan.withColumns({
+        "action": F.when(F.col("campaign_month").isNull(), "ignore").when(other, "skip").otherwise(F.col("action")),
+        "reason": F.when(F.col("campaign_month").isNull(), "the name gives no month").when(other, "a newer file of the month is there")
+        .otherwise(F.col("reason"))}).drop("newest")
+    plan = spark.createDataFrame(plan.collect(), plan.schema)  # one row per file; the files may change under the job
     load = F.col("action").isin("add", "replace")
-    status = (F.when(load & (F.col("lacking").isNotNull() | ~F.coalesce("ok", F.lit(False))), "failed")
-              .when(F.col("action") == "add", "added").when(F.col("action") == "replace", "replaced")
-              .when(F.col("action") == "skip", "skipped").otherwise("frozen"))
-    message = F.coalesce("lacking", F.when(status == "failed", F.col("errors")).when(load, F.col("warnings")), F.lit(""))
+    todo = [(r["campaign_month"], r["path"]) for r in plan.where(load).select("campaign_month", "path").collect()]
+    checked, faults = _load(spark, todo, path) if todo else ([], {})
+    checked = spark.createDataFrame(checked, M.VALIDATION_SCHEMA).withColumn("loaded", F.lit(True))
+    bad = spark.createDataFrame(sorted(faults.items()), "file_name string, fault string")
+    j = (plan.withColumn("loaded", F.when(load, True)).join(checked, ["campaign_month", "loaded"], "left")
+         .join(bad, "file_name", "left"))
+    failed = load & (F.col("fault").isNotNull() | ~F.coalesce("ok", F.lit(False)))
+    status = (F.when(failed, "failed").when(F.col("action") == "add", "added").when(F.col("action") == "replace", "replaced")
+              .when(F.col("action") == "skip", "skipped").when(F.col("action") == "ignore", "ignored").otherwise("frozen"))
+    message = F.coalesce("fault", F.when(failed, F.col("errors")).when(load, F.col("warnings"))
+                         .when(F.col("reason").isin("the name gives no month", "a newer file of the month is there"), F.col("reason")), F.lit(""))
     out = j.select(*plan.columns, *M.TOTALS, status.alias("status"), message.alias("message"))
     out = spark.createDataFrame(out.collect(), out.schema)  # the outcome as it was, one row per file
     if log_path is not None:
@@ -216,7 +288,7 @@ def append_log(log: DataFrame, path: str) -> None:
 def ingest_summary(outcome: DataFrame) -> DataFrame:
     """ING8: files per status, every status listed."""
     spark = outcome.sparkSession
-    names = spark.createDataFrame([(s,) for s in ("added", "replaced", "skipped", "frozen", "failed")], "status string")
+    names = spark.createDataFrame([(s,) for s in ("added", "replaced", "skipped", "frozen", "failed")], "status string")  # of files that have a month
     n = outcome.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
     return names.join(n, "status", "left").select("status", F.coalesce("files", F.lit(0)).alias("files"))
 
