@@ -8,7 +8,9 @@ Scale: deciles first aggregate to one row per (group, distinct score) with a
 map-side partial aggregate; valid integer scores are bounded (at most
 ``valid_max - valid_min + 1`` values per group), so the ordered window that
 turns cumulative counts into deciles runs on a tiny input instead of a
-single-partition sort of all accounts.
+single-partition sort of all accounts. Real-valued scores have no such bound:
+with ``ranges`` the cumulative counts come from ``prefix.RunningSums``, which
+spreads each group over that many ranges of all scores.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vintagekit.config import LIFT_CLEAN, LIFT_WEAK, THIN_READ_ELIGIBLE
 from vintagekit.functions.nulls import safe_div
+from vintagekit.operators.prefix import RunningSums
 
 
 def _w(groups: Sequence[str]):
@@ -37,10 +40,11 @@ def eligible_pairs(df: DataFrame, cfg, target: str = "target", score: str = "bhv
 
 
 def tie_aware_deciles(df: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score",
-                      bad: str = "bad", k: int = 10) -> DataFrame:
+                      bad: str = "bad", k: int = 10, ranges: int | None = None) -> DataFrame:
     """Cumulative-share deciles; equal scores never split across deciles.
 
     decile = clip(ceil(cum_n / n * k), 1, k), evaluated in exact integer arithmetic.
+    ``ranges``: for real-valued scores, the number of ranges their order is spread over.
     Output per (groups, decile): score range, n, bads, bad rate, lift, shares,
     cumulative measures, and the decile-detail bar width (R12).
     """
@@ -48,10 +52,13 @@ def tie_aware_deciles(df: DataFrame, groups: Sequence[str] = (), score: str = "b
     by_score = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"),
                                               F.sum(F.col(bad).cast("long")).alias("bads"))
     part = _w(groups)
-    cum = part.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_score = (by_score.withColumn("_cum_n", F.sum("n").over(cum))
-                .withColumn("total_n", F.sum("n").over(part))
-                .withColumn("total_bads", F.sum("bads").over(part)))
+    if ranges:
+        by_score = RunningSums(by_score, groups, score, ["n", "bads"], ranges).rows.withColumnRenamed("cum_n", "_cum_n")
+    else:
+        cum = part.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by_score = (by_score.withColumn("_cum_n", F.sum("n").over(cum))
+                    .withColumn("total_n", F.sum("n").over(part))
+                    .withColumn("total_bads", F.sum("bads").over(part)))
     share = F.expr(f"(_cum_n * {int(k)} + total_n - 1) div total_n")
     by_score = by_score.withColumn("decile", F.least(F.greatest(share, F.lit(1)), F.lit(k)).cast("int"))
     d = by_score.groupBy(*groups, "decile").agg(
@@ -265,13 +272,46 @@ def quantile_deciles(df: DataFrame, groups: Sequence[str] = (), score: str = "bh
     below = F.size(F.filter(F.col("_edges"), lambda e: e < x))
     b = F.when(F.col("_k") <= 1, F.lit(0)).otherwise(F.greatest(below - 1, F.lit(0)))
     binned = binned.withColumn("score_decile", (b + 1).cast("int"))
-    g = binned.groupBy(*groups, "score_decile").agg(
-        F.sum("_n").alias("n"), F.sum("_bads").alias("bads"),
-        F.min(score).alias("score_min"), F.max(score).alias("score_max"),
-        (F.sum(F.col(score) * F.col("_n")) / F.sum("_n")).alias("score_mean"))
+    g = _bins(binned, groups, score)
     med = histogram_quantiles(binned, groups + ["score_decile"], score, "_n", F.array(F.lit(0.5)))
     g = g.join(med.select(*groups, "score_decile", F.col("q").alias("score_median")),
                groups + ["score_decile"], "left")
+    return _bin_rates(g, groups, k)
+
+
+def _bins(binned: DataFrame, groups: list[str], score: str) -> DataFrame:
+    return binned.groupBy(*groups, "score_decile").agg(
+        F.sum("_n").alias("n"), F.sum("_bads").alias("bads"),
+        F.min(score).alias("score_min"), F.max(score).alias("score_max"),
+        (F.sum(F.col(score) * F.col("_n")) / F.sum("_n")).alias("score_mean"))
+
+
+def quantile_deciles_ranged(df: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score",
+                            bad: str = "bad", k: int = 10, ranges: int = 200) -> DataFrame:
+    """R2 for real-valued scores: the same rows, with edges, bins and medians from one set of running sums. The
+    distinct scores are spread over ``ranges``; nothing but k bins a group is ever ordered in one task."""
+    groups = list(groups)
+    hist = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(bad).cast("long")).alias("_bads"))
+    run = RunningSums(hist, groups, score, ["_n"], ranges)
+    parts = F.least("total_rows", F.lit(k))
+    probs = F.transform(F.sequence(F.lit(0).cast("long"), parts), lambda i: (F.col("total__n") - 1) * (i / parts))
+    edges = run.at(run.rows, "_n", probs).groupBy(*groups).agg(F.array_sort(F.collect_set("q")).alias("_edges"))
+    rows = run.with_group(run.rows, edges)
+    x = F.col(score).cast("double")
+    below = F.size(F.filter("_edges", lambda e: e < x))
+    bin_ = F.when(parts <= 1, F.lit(0)).otherwise(F.greatest(below - 1, F.lit(0))) + 1
+    binned = rows.withColumn("score_decile", bin_.cast("int"))
+    g = _bins(binned, groups, score)
+    last = F.sum("n").over(_w(groups).orderBy("score_decile").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = g.withColumn("_last", last).groupBy(*groups).agg(F.map_from_entries(F.collect_list(
+        F.struct("score_decile", (F.col("_last") - F.col("n") + (F.col("n") - 1) * 0.5).alias("p")))).alias("_middle"))
+    placed = run.with_group(binned, middle)
+    med = run.at(placed, "_n", F.array(F.col("_middle")[F.col("score_decile")]), ["score_decile"])
+    med = med.select(*groups, F.col("score_decile"), F.col("q").alias("score_median"))
+    return _bin_rates(_join(g, med, [*groups, "score_decile"], "left"), groups, k)
+
+
+def _bin_rates(g: DataFrame, groups: list[str], k: int) -> DataFrame:
     part = _w(groups)
     cum = part.orderBy("score_decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     overall = F.sum("bads").over(part) / F.sum("n").over(part)

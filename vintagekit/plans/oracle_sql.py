@@ -632,6 +632,11 @@ qfull AS (SELECT *, cum_bads_low_to_high / cum_n_low_to_high AS cum_bad_rate_low
 QDOUBLES = ["score_mean", "score_median", "bad_rate", "lift_vs_overall", "pct_population",
             "cum_bad_rate_low_to_high"]
 COH = cohort_ctes()
+_LINES = """WITH priced AS (SELECT l_linestatus, l_extendedprice AS price, CAST(l_returnflag = 'R' AS INTEGER) AS bad FROM lineitem)"""
+register("real_score_deciles", _LINES + "," + deciles_sql("priced", ["l_linestatus"], score="price") + "\nSELECT * FROM deciles_full",
+         DECILE_DOUBLES + ["score_min", "score_max"])
+register("real_score_quantiles", _LINES + "," + quantile_sql("priced", ["l_linestatus"], score="price") + "\nSELECT * FROM qfull",
+         QDOUBLES + ["score_min", "score_max"])
 register("quantile_deciles", COH + "," + quantile_sql("pairs", ["read_key"]) + "\nSELECT * FROM qfull", QDOUBLES)
 
 

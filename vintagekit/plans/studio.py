@@ -324,6 +324,27 @@ def board_reconciliation(spark, sf_dir):
 # rank-order analytics on the cohort
 # ----------------------------------------------------------------------------
 
+def _priced_lines(spark, sf_dir):
+    """Order lines by status with a real-valued score (the price) and a flag (returned)."""
+    prepare(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select("l_linestatus", F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("int").alias("bad"))
+
+
+#: Ranges for the real-valued queries: a range of the 100 TB case holds a few million distinct scores.
+RANGES = 200
+
+
+def real_score_deciles(spark, sf_dir):
+    """R1 and W1 on a real-valued score."""
+    return R.tie_aware_deciles(_priced_lines(spark, sf_dir), ["l_linestatus"], "price", ranges=RANGES)
+
+
+def real_score_quantiles(spark, sf_dir):
+    """R2 on a real-valued score."""
+    return R.quantile_deciles_ranged(_priced_lines(spark, sf_dir), ["l_linestatus"], "price", ranges=RANGES)
+
+
 def quantile_deciles(spark, sf_dir):
     return R.quantile_deciles(inputs(spark, sf_dir).cohort_pairs(), ["read_key"])
 
