@@ -1598,3 +1598,25 @@ last4 AS (SELECT campaign_month, v, 5 - back AS r FROM v WHERE back <= 4),
 died AS (SELECT * FROM (VALUES ('staged', 0), ('moved', 1), ('published', 2)) x(died_after, done))
 SELECT died_after, campaign_month, CASE WHEN r <= done THEN 2 * v ELSE v END AS open, CASE WHEN r <= done THEN 2 * v ELSE v END AS recovered
 FROM last4, died""")
+
+# as-of joins: the whole list of candidates per left row, best one first
+
+
+def asof_sql(where: str, order: str) -> str:
+    owner = "CASE WHEN creditaccountid % 3 = 0 THEN 0 ELSE creditaccountid END AS owner"
+    return f"""WITH {FACT},
+l AS (SELECT row_number() OVER () AS rid, {owner}, creditaccountid, cardid AS board_card, CAST(reportingdate - INTERVAL 10 DAY AS DATE) AS at
+      FROM fact WHERE newaccountindicator = 1),
+r AS (SELECT DISTINCT {owner}, reportingdate, bhvr_score, cardid, card_part, card_supp FROM fact WHERE bhvr_score {VALID}),
+j AS (
+  SELECT l.*, r.bhvr_score, r.cardid, datediff('day', l.at, r.reportingdate) AS gap,
+         row_number() OVER (PARTITION BY rid ORDER BY {order}, r.cardid DESC, r.card_part DESC, r.card_supp DESC) AS best
+  FROM l JOIN r ON l.owner = r.owner WHERE {where})
+SELECT l.owner, l.creditaccountid, l.board_card, l.at, j.bhvr_score, j.cardid, CAST(j.gap AS INTEGER) AS gap
+FROM l LEFT JOIN j ON l.rid = j.rid AND j.best = 1"""
+
+
+register("asof_forward", asof_sql("r.reportingdate >= l.at", "r.reportingdate"))
+register("asof_backward", asof_sql("r.reportingdate <= l.at AND r.reportingdate >= l.at - INTERVAL 45 DAY", "r.reportingdate DESC"))
+register("asof_nearest", asof_sql("abs(datediff('day', l.at, r.reportingdate)) <= 400",
+                                  "abs(datediff('day', l.at, r.reportingdate)), r.reportingdate DESC"))

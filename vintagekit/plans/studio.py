@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vintagekit.config import CREDITLINE_GROUPS, FUNNEL_BUCKET_MAX, SCORE_AVAILABILITY_MAX_MOB, StudyConfig
 from vintagekit.functions.dates import month_end_of
+from vintagekit.operators import asof as AS
 from vintagekit.operators import payload as PL
 from vintagekit.operators import population as P
 from vintagekit.operators import rank as R
@@ -207,6 +208,36 @@ def portfolio_closest_score_given(spark, sf_dir):
     return _closest(inputs(spark, sf_dir, GIVEN))
 
 
+def _asof(spark, sf_dir, direction, **kw):
+    """Boarding rows of the month-end account table (J5's left side) with the score row nearest in time; a third of all
+    accounts are one key."""
+    fact = staged_fact(spark, sf_dir)
+    owner = F.when(F.col(P.ACCT) % 3 == 0, F.lit(0)).otherwise(F.col(P.ACCT)).alias("owner")
+    mid = F.date_sub("reportingdate", 10).alias("at")
+    left = fact.where(F.col("newaccountindicator") == 1).select(owner, P.ACCT, F.col("cardid").alias("board_card"), mid)
+    right = fact.where(P.valid_score(CFG)).select(owner, "reportingdate", "bhvr_score", "cardid", "card_part", "card_supp")
+    return AS.asof_join(left, right, ["owner"], "at", "reportingdate", ["bhvr_score", "cardid"], direction,
+                        ties=["cardid", "card_part", "card_supp"], **kw)
+
+
+def asof_forward(spark, sf_dir):
+    """J5 as an operator on two tables: the first valid score at or after the date."""
+    prepare(spark)
+    return _asof(spark, sf_dir, "forward")
+
+
+def asof_backward(spark, sf_dir):
+    """J5 backward, at most 45 days."""
+    prepare(spark)
+    return _asof(spark, sf_dir, "backward", tolerance=45)
+
+
+def asof_nearest(spark, sf_dir):
+    """J5 either way, at most 400 days, the later of two equally near."""
+    prepare(spark)
+    return _asof(spark, sf_dir, "nearest", tolerance=400, prefer="forward")
+
+
 def _benchmark(s: StudyInputs):
     return P.benchmark_snapshot(s.fact, s.cfg, s.products, s.exclude_from)
 
