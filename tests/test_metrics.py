@@ -165,3 +165,12 @@ def test_prepare_takes_names_in_any_case_and_drops_the_rates(spark):
     out = M.prepare_rollup(df)
     assert not {"grr", "nrr"} & {c.lower() for c in out.columns}
     assert out.first().scorecard == 4 and out.first().trm10_tier is None
+
+
+def test_wide_pivots_lose_no_month(spark):
+    from tests.conftest import SF_SMALL
+    from vintagekit.plans import mart
+    months = {r[0] for r in mart.mart_frame(spark, SF_SMALL).select("campaign_month").distinct().collect()}
+    assert len(months) > 24
+    for name in ("pivot_metric", "pivot_overall_wide", "formatted_pivot"):
+        assert months <= set(getattr(mart, name)(spark, SF_SMALL).columns)

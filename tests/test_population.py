@@ -134,3 +134,35 @@ def test_overlay_falls_back_to_the_first_read_with_subjects(spark):
     got = R.overlay_series(df, "c", ["a", "b"], "subject").collect()
     assert {(r.population, r.read_key) for r in got} == {("subject", "b"), ("other", "b")}
     assert {r.read_key for r in R.overlay_series(df, "b", ["a", "b"], "subject").collect()} == {"b"}
+
+
+def test_first_row_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    from vintagekit.functions.rows import first_row
+    df = spark.createDataFrame([(k, a, b, f"r{i}") for i, (k, a, b) in enumerate([(1, 2, None), (1, 2, 5), (1, None, 9), (2, 3, 1), (2, 3, 0), (None, 1, 1)])],
+                               "k int, a int, b int, v string")
+    w = Window.partitionBy("k").orderBy("a", "b")
+    want = df.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    got = first_row(df, ["k"], [F.col("a"), F.col("b")])
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_bitmap_counts_are_exact_and_merge(spark):
+    from vintagekit.operators import distinct as DI
+    df = spark.range(200_000).selectExpr("id % 3 as k", "(id * 7) % 90001 as account", "id % 5 = 0 as five").unionByName(
+        spark.createDataFrame([(9, 1, False)], "k long, account long, five boolean"))
+    maps = DI.id_bitmaps(df, ["k"], "account", {"all": F.lit(True), "five": F.col("five")})
+    got = {r.k: (r["all"], r.five) for r in DI.distinct_counts(maps, ["k"], ["all", "five"]).collect()}
+    want = {r.k: (r.a, r.f) for r in df.groupBy("k").agg(F.countDistinct("account").alias("a"), F.countDistinct(F.when(F.col("five"), F.col("account"))).alias("f")).collect()}
+    assert got == want
+    assert DI.union_counts(maps, ["all"]).first()[0] == df.select("account").distinct().count()
+    assert DI.union_counts(maps.where("k = 77"), ["all"]).first()[0] == 0
+
+
+def test_activation_is_one_scan_and_one_account_exchange(spark):
+    s = studio.inputs(spark, SF_CHECK)
+    plan = studio._activation(s)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(creditaccountid") == 1 and "Window" not in plan
+    for name in ("score_availability", "board_reconciliation"):
+        assert "Expand" not in getattr(studio, name)(spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()

@@ -9,10 +9,11 @@ not "after" the campaign start, and sums over only-missing values stay missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagekit import config as C
+from vintagekit.functions.rows import first_row
 from vintagekit.functions.nulls import flag, null_safe_ne, sas_ge, sas_lt
 
 # ----------------------------------------------------------------------------
@@ -55,9 +56,8 @@ def mailfile(raw: DataFrame, start=None, end=None) -> DataFrame:
 
 def first_mail_row(mail: DataFrame) -> DataFrame:
     """D4 on the mail file: one row per (month, reservation number), deterministic."""
-    w = Window.partitionBy("campaign_month", "ReservationNumber").orderBy("CAMPAIGN_DATE", "ENCRYPTED_PIN",
-                                                                        "RESERVATION_SEQUENCE")
-    return mail.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first_row(mail, ["campaign_month", "ReservationNumber"],
+                     [F.col(c) for c in ("CAMPAIGN_DATE", "ENCRYPTED_PIN", "RESERVATION_SEQUENCE")])
 
 
 # ----------------------------------------------------------------------------
@@ -99,8 +99,7 @@ def applications(apps: DataFrame, applicants: DataFrame, status: DataFrame, mail
 def first_application(apps: DataFrame) -> DataFrame:
     """The first application per (month, reservation number) by receive date;
     ties broken by application id (the source order is unspecified there)."""
-    w = Window.partitionBy("campaign_month", "RESERVATION_NUMBER").orderBy("AppRcvDate", "APPLICATION_ID")
-    return apps.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first_row(apps, ["campaign_month", "RESERVATION_NUMBER"], [F.col("AppRcvDate"), F.col("APPLICATION_ID")])
 
 
 # ----------------------------------------------------------------------------

@@ -169,9 +169,9 @@ def dict_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
 
 def filter_options(df: DataFrame, dims: Sequence[str] = C.ROLLUP_DIMENSIONS) -> DataFrame:
     """distinct non-null values per dimension, as (dimension, value) rows."""
-    structs = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims]
-    long = df.select(F.explode(F.array(*structs)).alias("_o")).select("_o.*")
-    return long.where(F.col("value").isNotNull()).distinct()
+    sets = df.agg(*[F.collect_set(F.col(d).cast("string")).alias(d) for d in dims])  # one row, a few values a dimension
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("values")) for d in dims])
+    return sets.select(F.explode(each).alias("_o")).select("_o.dimension", F.explode("_o.values").alias("value"))
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str], dropna: bool = False) -> DataFrame:

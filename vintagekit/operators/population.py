@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagekit.config import CREDITLINE_GROUPS, CREDITLINE_HIGH, CREDITLINE_MID, StudyConfig
 from vintagekit.functions.dates import add_month_start, month_end_of, month_start
+from vintagekit.functions.rows import first_row
 from vintagekit.functions.nulls import blank, flag
 
 ACCT = "creditaccountid"
@@ -167,17 +168,6 @@ def restrict_accounts(df: DataFrame, allowed: DataFrame | None) -> DataFrame:
 # best-row selection
 # ----------------------------------------------------------------------------
 
-def first_per_account(df: DataFrame, order: list[Column], key: str = ACCT) -> DataFrame:
-    """Keep the first row per key under ``order`` (row_number == 1)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-
-
-def card_desc() -> list[Column]:
-    """Largest card first; the line's part and supplier keys finish the order."""
-    return [F.col("cardid").desc(), F.col("card_part").desc(), F.col("card_supp").desc()]
-
-
 def boards(fact: DataFrame, cfg: StudyConfig, start_eom: dt.date, end_eom: dt.date,
            products: DataFrame | None = None, tier: bool = True) -> DataFrame:
     """First boarding row per account (earliest month, largest card) in a month-end range."""
@@ -186,7 +176,7 @@ def boards(fact: DataFrame, cfg: StudyConfig, start_eom: dt.date, end_eom: dt.da
         & F.col("cardid").isNotNull() & (F.col("newaccountindicator") == 1) & program_filter(cfg))
     if tier and cfg.creditline_tier is not None:
         f = f.filter(F.col("creditline") == F.lit(cfg.creditline_tier))
-    b = first_per_account(f, [F.col("reportingdate").asc()] + card_desc())
+    b = first_row(f, [ACCT], board_order())
     b = _with_channel(b, products)
     return b.select(
         month_start("reportingdate").alias("vintage"),
@@ -204,7 +194,7 @@ def _down(*cols: str) -> list[Column]:
     return [k for c in cols for k in (F.col(c).isNull(), -F.col(c))]
 
 
-def _first(cond: Column, order: list[Column], fields: list[Column]) -> Column:
+def first_where(cond: Column, order: list[Column], fields: list[Column]) -> Column:
     """The fields of the first row under ``order`` among the rows where ``cond`` holds."""
     keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
     return F.min(F.when(cond, F.struct(*keys, *fields)))
@@ -213,13 +203,18 @@ def _first(cond: Column, order: list[Column], fields: list[Column]) -> Column:
 _CARD = ("cardid", "card_part", "card_supp")
 
 
+def board_order() -> list[Column]:
+    """Earliest month, then the largest card; the line's part and supplier keys finish the order."""
+    return [F.col("reportingdate")] + _down(*_CARD)
+
+
 def _score_order(cfg: StudyConfig, status: bool = True) -> list[Column]:
     """Valid score first, then (optionally) blank status first."""
     return ([F.when(valid_score(cfg), 0).otherwise(1)]
             + ([F.when(blank("esc"), 0).otherwise(1)] if status else []))
 
 
-def _excluded(cfg: StudyConfig, start: dt.date) -> Column:
+def excluded_flag(cfg: StudyConfig, start: dt.date) -> Column:
     """1 if any of an account's rows since ``start`` carries a listed status reason."""
     return F.max(flag((F.col("reportingdate") >= F.lit(start)) & F.col("dimstatusreasonid").isin(list(cfg.exclusion_ids))))
 
@@ -294,14 +289,14 @@ def _cohort(fact: DataFrame, cfg: StudyConfig, boarded: tuple[dt.date, dt.date],
     inside = _inside(mode)
     f = f.withColumn("_contractual", contractual(cfg)).withColumn("_day", F.unix_date("reportingdate"))
     g = f.groupBy(ACCT).agg(
-        _first(board, [date] + _down(*_CARD), [
+        first_where(board, [date] + _down(*_CARD), [
             date.alias("cohort_reportingdate"), F.col("opendate"), F.col("cardid").alias("board_cardid"),
             F.col("reservationnumber"), F.col("dimproductofferedid"), F.col("creditline")]).alias("b"),
-        _first(scored, _score_order(cfg) + _down("_day", *_CARD), [
+        first_where(scored, _score_order(cfg) + _down("_day", *_CARD), [
             date.alias("score_reportingdate"), mob.alias("score_mob"), F.col("dimbucketid").alias("bucket_at_score"),
             F.col("bhvr_score"), F.col("esc"), F.col("scorecard")]).alias("s"),
         *_read_aggs(cfg, lambda r: perform & inside(r), lambda r: mob == r.horizon, PERF_FIELDS),
-        (_excluded(cfg, exclude_from) if exclude_from is not None else F.lit(0)).alias("_excluded"))
+        (excluded_flag(cfg, exclude_from) if exclude_from is not None else F.lit(0)).alias("_excluded"))
     g = g.filter(F.col("b").isNotNull() & (F.coalesce("_excluded", F.lit(0)) == 0))
     reads = [f"{r.key}__{c}" for r in cfg.reads for c in PERF_FIELDS]
     wide = _with_channel(g.select(ACCT, *[f"b.{c}" for c in (
@@ -387,13 +382,13 @@ def snapshot_pass(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None
     picks = {}
     if subject is not None:
         order = [] if subject == "card" else _score_order(cfg, status=subject == "score_status_card")
-        picks["subject"] = _first(at & active_or_new() & program_filter(cfg), order + _down(*_CARD), fields)
+        picks["subject"] = first_where(at & active_or_new() & program_filter(cfg), order + _down(*_CARD), fields)
     if benchmark:
         like = (at & (F.col("activeaccountindicator") == 1) & (F.col("dimbucketid") <= cfg.benchmark_bucket_max)
                 & (F.col("vantage3") >= cfg.benchmark_vantage_min) & not_program_filter(cfg))
         if cfg.benchmark_require_blank_status:
             like = like & blank("esc")
-        picks["benchmark"] = _first(like, _score_order(cfg, status=False) + _down(*_CARD), fields)
+        picks["benchmark"] = first_where(like, _score_order(cfg, status=False) + _down(*_CARD), fields)
 
     def inside(r):
         s, e = bounds[r.key]
@@ -405,7 +400,7 @@ def snapshot_pass(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None
         days = F.datediff(date, F.lit(obs))
         for r in cfg.reads:
             near = valid_score(cfg) & (date >= F.lit(obs)) & (date <= F.lit(bounds[r.key][1]))
-            aggs.append(_first(near, [F.abs(days), date] + _down(*_CARD), [
+            aggs.append(first_where(near, [F.abs(days), date] + _down(*_CARD), [
                 date.alias("score_reportingdate"), F.col("monthsonbooks").alias("score_mob"), F.col("cardid").alias("score_cardid"),
                 days.alias("days_from_snapshot"), F.col("bhvr_score"), F.col("esc"), F.col("scorecard")]).alias(f"{r.key}__pick"))
             kept.append(f"{r.key}__pick")
@@ -413,7 +408,7 @@ def snapshot_pass(fact: DataFrame, cfg: StudyConfig, products: DataFrame | None
         tier = (F.col("newaccountindicator") == 1) & program_filter(cfg)
         if cfg.creditline_tier is not None:
             tier = tier & (F.col("creditline") == F.lit(cfg.creditline_tier))
-        aggs += [_excluded(cfg, exclude_from).alias("excluded"), F.max(flag(tier)).alias("at_tier")]
+        aggs += [excluded_flag(cfg, exclude_from).alias("excluded"), F.max(flag(tier)).alias("at_tier")]
         kept += ["excluded", "at_tier"]
     g = f.withColumn("_contractual", contractual(cfg)).groupBy(ACCT).agg(*[v.alias(k) for k, v in picks.items()], *aggs)
     each = F.array_compact(F.array(*[

@@ -60,9 +60,10 @@ def view(spark, sf_dir, **months) -> DataFrame:
 
 
 def calendar(spark, sf_dir) -> list[str]:
-    """Every month from the first to the last of the mart, bounded by the calendar: the columns of a wide pivot."""
-    mart = mart_frame(spark, sf_dir)
-    return [r[0] for r in M.expected_months(mart).orderBy("campaign_month").collect()]
+    """Every month of the years from the mart's first month to its last, bounded by the calendar: the columns of a wide
+    pivot."""
+    lo, hi = mart_frame(spark, sf_dir).agg(F.min("campaign_month"), F.max("campaign_month")).first()
+    return [f"{y}-{m:02d}" for y in range(int(lo[:4]), int(hi[:4]) + 1) for m in range(1, 13)] if lo else []
 
 
 def pivot_metric(spark, sf_dir):

@@ -572,7 +572,7 @@ g AS (
   SELECT strftime(date_trunc('month', a.opendate), '%Y-%m') AS board_month,
     count(DISTINCT a.creditaccountid) AS boards_any_cl,
     count(DISTINCT CASE WHEN a.creditline = {CFG.creditline_tier} THEN a.creditaccountid END) AS boards_at_tier,
-    avg(a.creditline) AS avg_creditline
+    avg(a.creditline) AS avg_creditline, count(DISTINCT a.creditaccountid) AS boards_once
   FROM fact a, win
   WHERE a.cardid IS NOT NULL AND a.newaccountindicator = 1 AND substr(a.reservationnumber, 1, 4) IN ({_codes()})
     AND a.reportingdate >= win.start_eom AND a.reportingdate <= win.end_eom
@@ -581,7 +581,10 @@ g AS (
 u AS (
   SELECT * FROM g
   UNION ALL
-  SELECT 'TOTAL', CAST(sum(boards_any_cl) AS BIGINT), CAST(sum(boards_at_tier) AS BIGINT), CAST(NULL AS DOUBLE) FROM g
+  SELECT 'TOTAL', CAST(sum(boards_any_cl) AS BIGINT), CAST(sum(boards_at_tier) AS BIGINT), CAST(NULL AS DOUBLE),
+    (SELECT count(DISTINCT a.creditaccountid) FROM fact a, win
+     WHERE a.cardid IS NOT NULL AND a.newaccountindicator = 1 AND substr(a.reservationnumber, 1, 4) IN ({_codes()})
+       AND a.reportingdate >= win.start_eom AND a.reportingdate <= win.end_eom) FROM g
 )
 SELECT *, CASE WHEN boards_any_cl = 0 THEN NULL ELSE boards_at_tier / boards_any_cl END AS tier_share FROM u""",
          ["avg_creditline", "tier_share"])
@@ -855,6 +858,7 @@ act AS (
 )"""
 ACT = BASE + "," + ACT_CTES
 register("activation_base", ACT + "\nSELECT * FROM act")
+register("activation_state", ACT + "\nSELECT board_month, obs_months, act_lag, count(*) AS accounts FROM act GROUP BY ALL")
 register("activation_by_month", ACT + """
 SELECT board_month, count(*) AS boarded, CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS activated,
        CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS pct_activated
@@ -1312,8 +1316,8 @@ RATES = ["actual_response_rate", "actual_board_rate", "expected_rr_trm", "expect
 
 _met, _LB, _thr = _C.DEFAULT_METRIC, _C.DEFAULT_LOOKBACK_MONTHS, 12
 MART_DOUBLES = ["annual_fee", "expected_responses", "expected_responses_xpm"]
-#: The whole calendar of the mart: the mail file follows the orders of the test tables, from 1995-01 to 2001-08.
-PIVOT_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:80]
+#: All years of the mart: the mail file follows the orders of the test tables, from 1995 to 2001.
+PIVOT_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 #: The months a view shows by default: the latest ones present.
 VIEW = MART + f""",
 mr AS (SELECT campaign_month, row_number() OVER (ORDER BY campaign_month DESC) AS r

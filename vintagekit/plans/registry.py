@@ -37,7 +37,7 @@ portfolio_closest_score portfolio_closest_score_given benchmark_snapshot snapsho
 score_status invalid_scores funnel read_funnel board_reconciliation quantile_deciles overall_summary segment_tables
 rank_diagnostics d1_d10_lift reversals kpi_strip verdict verdict_wide gains_curve read_comparison month_stats
 tie_aware_deciles_months benchmark_summary benchmark_overlay lift_comparison lift_table grouped_rank_order
-grouped_summary grouped_segments grouped_diagnostics activation_base activation_by_month activation_curve
+grouped_summary grouped_segments grouped_diagnostics activation_base activation_state activation_by_month activation_curve
 activation_histogram activation_table activation_by_score real_score_deciles real_score_quantiles asof_forward asof_backward asof_nearest account_payload decile_export dataset_diagnostics"""
 CAMPAIGN = """campaign_windows mailfile_month applications first_application response_join final_response
 campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vintagekit.config import CREDITLINE_GROUPS, FUNNEL_BUCKET_MAX, SCORE_AVAILABILITY_MAX_MOB, StudyConfig
 from vintagekit.functions.dates import month_end_of
 from vintagekit.operators import asof as AS
+from vintagekit.operators import distinct as DI
 from vintagekit.operators import payload as PL
 from vintagekit.operators import population as P
 from vintagekit.operators import rank as R
@@ -146,12 +147,11 @@ def score_availability(spark, sf_dir):
     rows = s.fact.filter(F.col("cardid").isNotNull() & F.col("monthsonbooks").between(1, SCORE_AVAILABILITY_MAX_MOB)) \
         .select(P.ACCT, "monthsonbooks", "bhvr_score")
     j = br.join(rows, P.ACCT, "left")
-    acct = F.col(P.ACCT)
-    g = j.groupBy("vintage", F.col("monthsonbooks").alias("score_mob")).agg(
-        F.countDistinct(acct).alias("boarded_accounts_with_row"),
-        F.countDistinct(F.when(F.col("bhvr_score").isNotNull(), acct)).alias("accounts_with_score"),
-        F.countDistinct(F.when(P.valid_score(s.cfg), acct)).alias("accounts_with_valid_score"),
-        F.min("bhvr_score").alias("min_score"), F.max("bhvr_score").alias("max_score"))
+    counts = {"boarded_accounts_with_row": F.lit(True), "accounts_with_score": F.col("bhvr_score").isNotNull(),
+              "accounts_with_valid_score": P.valid_score(s.cfg)}
+    maps = DI.id_bitmaps(j, ["vintage", F.col("monthsonbooks").alias("score_mob")], P.ACCT, counts,
+                         F.min("bhvr_score").alias("min_score"), F.max("bhvr_score").alias("max_score"))
+    g = DI.distinct_counts(maps, ["vintage", "score_mob"], list(counts), F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"))
     return g.withColumn("valid_score_rate_among_rows",
                                R.safe_div("accounts_with_valid_score", "boarded_accounts_with_row"))
 
@@ -334,19 +334,20 @@ def read_funnel(spark, sf_dir):
 
 def board_reconciliation(spark, sf_dir):
     """P20: distinct boards by board month (any line / at tier) and a TOTAL row
-    that adds the months."""
+    that adds the months; ``boards_once`` counts an account of several months once in the TOTAL."""
     s = inputs(spark, sf_dir)
     lo, hi = _bounds(s)
     f = s.fact.filter(F.col("cardid").isNotNull() & (F.col("newaccountindicator") == 1) & P.program_filter(s.cfg)
                       & (F.col("reportingdate") >= F.lit(lo)) & (F.col("reportingdate") <= F.lit(hi)))
-    acct = F.col(P.ACCT)
-    g = f.groupBy(F.date_format(F.trunc("opendate", "month"), "yyyy-MM").alias("board_month")).agg(
-        F.countDistinct(acct).alias("boards_any_cl"),
-        F.countDistinct(F.when(F.col("creditline") == F.lit(s.cfg.creditline_tier), acct)).alias("boards_at_tier"),
-        F.avg("creditline").alias("avg_creditline"))
+    counts = {"boards_any_cl": F.lit(True), "boards_at_tier": F.col("creditline") == F.lit(s.cfg.creditline_tier)}
+    maps = DI.id_bitmaps(f, [F.date_format(F.trunc("opendate", "month"), "yyyy-MM").alias("board_month")], P.ACCT, counts,
+                         F.sum(F.col("creditline").cast("decimal(38,6)")).alias("_line"), F.count("creditline").alias("_lines"))
+    g = DI.distinct_counts(maps, ["board_month"], list(counts), (F.sum("_line") / F.sum("_lines")).cast("double").alias("avg_creditline"))
+    g = g.withColumn("boards_once", F.col("boards_any_cl"))
     total = g.agg(F.lit("TOTAL").alias("board_month"), F.sum("boards_any_cl").alias("boards_any_cl"),
                   F.sum("boards_at_tier").alias("boards_at_tier"),
                   F.lit(None).cast("double").alias("avg_creditline"))
+    total = R._join(total, DI.union_counts(maps, ["boards_any_cl"]).withColumnRenamed("boards_any_cl", "boards_once"), [])  # a row each
     out = g.unionByName(total)
     return out.withColumn("tier_share", R.safe_div("boards_at_tier", "boards_any_cl"))
 
@@ -511,31 +512,44 @@ def grouped_diagnostics(spark, sf_dir):
 
 def _activation(s: StudyInputs):
     from vintagekit.operators import activation as A
-    return A.activation_base(s.fact, s.cfg, s.window_start, s.window_end, s.excluded)
+    return A.activation_base(s.fact, s.cfg, s.window_start, s.window_end, s.exclude_from)
 
 
 def activation_base(spark, sf_dir):
     return _activation(inputs(spark, sf_dir))
 
 
+def activation_state(spark, sf_dir):
+    """The mergeable state of T3-T7, merged from two halves of the accounts."""
+    from vintagekit.operators import activation as A
+    base = _activation(inputs(spark, sf_dir))
+    half = F.col(P.ACCT) % 2
+    return A.merge_states(A.activation_state(base.where(half == 0)), A.activation_state(base.where(half != 0)))
+
+
+def _activation_state(spark, sf_dir):
+    from vintagekit.operators import activation as A
+    return A.activation_state(_activation(inputs(spark, sf_dir)))
+
+
 def activation_by_month(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return A.activation_by_month(_activation(inputs(spark, sf_dir)))
+    return A.activation_by_month(_activation_state(spark, sf_dir))
 
 
 def activation_curve(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return A.activation_curve(_activation(inputs(spark, sf_dir)))
+    return A.activation_curve(_activation_state(spark, sf_dir))
 
 
 def activation_histogram(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return A.activation_histogram(_activation(inputs(spark, sf_dir)))
+    return A.activation_histogram(_activation_state(spark, sf_dir))
 
 
 def activation_table(spark, sf_dir):
     from vintagekit.operators import activation as A
-    return A.activation_table(_activation(inputs(spark, sf_dir)))
+    return A.activation_table(_activation_state(spark, sf_dir))
 
 
 def activation_by_score(spark, sf_dir):
