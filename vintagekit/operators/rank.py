@@ -40,16 +40,17 @@ def eligible_pairs(df: DataFrame, cfg, target: str = "target", score: str = "bhv
 
 
 def tie_aware_deciles(df: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score",
-                      bad: str = "bad", k: int = 10, ranges: int | None = None) -> DataFrame:
+                      bad: str = "bad", k: int = 10, ranges: int | None = None, count: str | None = None) -> DataFrame:
     """Cumulative-share deciles; equal scores never split across deciles.
 
     decile = clip(ceil(cum_n / n * k), 1, k), evaluated in exact integer arithmetic.
     ``ranges``: for real-valued scores, the number of ranges their order is spread over.
+    ``count``: how many accounts a row stands for, if rows are counts (``bad`` then holds the bad ones).
     Output per (groups, decile): score range, n, bads, bad rate, lift, shares,
     cumulative measures, and the decile-detail bar width (R12).
     """
     groups = list(groups)
-    by_score = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"),
+    by_score = df.groupBy(*groups, score).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"),
                                               F.sum(F.col(bad).cast("long")).alias("bads"))
     part = _w(groups)
     if ranges:
@@ -116,13 +117,28 @@ def population_stats(pairs: DataFrame, groups: Sequence[str] = (), score: str =
     return pairs.groupBy(*groups).agg(*aggs).withColumn("edr", safe_div("bads", "eligible"))
 
 
+def score_counts(pairs: DataFrame, groups: Sequence[str], score: str = "bhvr_score", bad: str = "bad",
+                 creditline: str = "creditline") -> DataFrame:
+    """(groups, score, n, bads, line, lines): the counts that deciles, KPIs and lift are all taken from, so that account
+    rows are aggregated once."""
+    return pairs.groupBy(*groups, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(bad).cast("long")).alias("bads"),
+        F.sum(F.col(creditline).cast("decimal(38,6)")).alias("line"), F.count(creditline).alias("lines"))
+
+
+def kpis_of(counts: DataFrame, groups: Sequence[str], k: int = 10, score: str = "bhvr_score") -> DataFrame:
+    """R8 from score counts."""
+    groups = list(groups)
+    stats = counts.groupBy(*groups).agg(
+        F.sum("n").alias("eligible"), F.sum("bads").alias("bads"), (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("avg_score"),
+        (F.sum("line").cast("double") / F.sum("lines")).alias("avg_creditline")).withColumn("edr", safe_div("bads", "eligible"))
+    lift = d1_d10_lift(tie_aware_deciles(counts, groups, score, "bads", k, count="n"), groups)
+    return _join(stats, lift.select(*groups, "d1_d10_lift", "lift_label"), groups, "left")
+
+
 def kpi_strip(pairs: DataFrame, groups: Sequence[str] = (), k: int = 10) -> DataFrame:
     """Eligible, EDR, bads, D1/D10 lift with label, average score, average line."""
-    groups = list(groups)
-    stats = population_stats(pairs, groups)
-    lift = d1_d10_lift(tie_aware_deciles(pairs, groups, k=k), groups).select(
-        *groups, "d1_d10_lift", "lift_label")
-    return _join(stats, lift, groups, "left")
+    return kpis_of(score_counts(pairs, groups), groups, k)
 
 
 def _join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -137,10 +153,11 @@ def read_comparison(pairs: DataFrame, groups: Sequence[str] = ("read_key",), k:
                     eps: float = 1e-9) -> DataFrame:
     """Per read eligible, bads, EDR, D1 and last-decile EDR, lift, reversals."""
     groups = list(groups)
-    dec = tie_aware_deciles(pairs, groups, k=k)
+    counts = pairs.groupBy(*groups, "bhvr_score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bads"))
+    dec = tie_aware_deciles(counts, groups, bad="bads", k=k, count="n")
     lift = d1_d10_lift(dec, groups)
     rev = reversals(dec, groups, eps)
-    stats = population_stats(pairs, groups, creditline=None).drop("avg_score")
+    stats = dec.groupBy(*groups).agg(F.sum("n").alias("eligible"), F.sum("bads").alias("bads")).withColumn("edr", safe_div("bads", "eligible"))
     return (stats.join(lift, groups, "left").join(rev, groups, "left")
             .select(*groups, "eligible", "bads", "edr", "d1_bad_rate", "d10_bad_rate",
                     "d1_d10_lift", "lift_label", "reversals"))

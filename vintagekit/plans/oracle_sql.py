@@ -1624,3 +1624,29 @@ register("asof_forward", asof_sql("r.reportingdate >= l.at", "r.reportingdate"))
 register("asof_backward", asof_sql("r.reportingdate <= l.at AND r.reportingdate >= l.at - INTERVAL 45 DAY", "r.reportingdate DESC"))
 register("asof_nearest", asof_sql("abs(datediff('day', l.at, r.reportingdate)) <= 400",
                                   "abs(datediff('day', l.at, r.reportingdate)), r.reportingdate DESC"))
+
+# selections of months: the full recompute that the stored counts must equal
+SELECTED = COH + """,
+pm AS (SELECT *, strftime(vintage, '%Y-%m') AS board_month FROM pairs),
+ms AS (SELECT board_month, row_number() OVER (ORDER BY board_month) AS r FROM (SELECT DISTINCT board_month FROM pm)),
+picked AS (
+  SELECT 'all' AS selection, * FROM pm
+  UNION ALL SELECT 'first', * FROM pm WHERE board_month IN (SELECT board_month FROM ms WHERE r <= 3)
+  UNION ALL SELECT 'some', * FROM pm WHERE substr(board_month, 6, 2) IN ('02', '07'))"""
+_SEL = ["selection", "read_key"]
+register("selected_deciles", SELECTED + "," + deciles_sql("picked", _SEL) + "\nSELECT * FROM deciles_full", DECILE_DOUBLES)
+register("selected_gains", SELECTED + "," + deciles_sql("picked", _SEL) + """
+SELECT selection, read_key, decile AS point, cum_n / sum(n) OVER (PARTITION BY selection, read_key) AS cum_pop_share, cum_bad_share FROM deciles_full
+UNION ALL
+SELECT DISTINCT selection, read_key, 0, 0.0, 0.0 FROM deciles_full""", ["cum_pop_share", "cum_bad_share"])
+register("selected_kpis", SELECTED + "," + deciles_sql("picked", _SEL) + "," + lift_sql("deciles_full", _SEL) + "," + stats_sql("picked", _SEL) + """
+SELECT st.*, lift.d1_d10_lift, lift.lift_label FROM st LEFT JOIN lift ON st.selection = lift.selection AND st.read_key = lift.read_key""",
+         ["avg_score", "avg_creditline", "edr", "d1_d10_lift"])
+register("stored_month_stats", SELECTED + "," + deciles_sql("pm", ["read_key", "board_month"]) + "," + lift_sql("deciles_full", ["read_key", "board_month"]) + """
+SELECT p.read_key, p.board_month, count(*) AS n, CAST(sum(p.bad) AS BIGINT) AS bads, avg(p.bhvr_score) AS avg_score,
+       CAST(sum(p.bad) AS BIGINT) / count(*) AS bad_rate, any_value(l.d1_d10_lift) AS d1_d10_lift
+FROM pm p LEFT JOIN lift l ON p.read_key = l.read_key AND p.board_month = l.board_month
+GROUP BY p.read_key, p.board_month""", ["avg_score", "bad_rate", "d1_d10_lift"])
+register("cube_months_touched", SELECTED + """
+SELECT board_month, count(*) AS accounts, count(*) AS accounts_after, board_month = (SELECT max(board_month) FROM pm) AS touched
+FROM pm GROUP BY board_month""")

@@ -38,7 +38,8 @@ score_status invalid_scores funnel read_funnel board_reconciliation quantile_dec
 rank_diagnostics d1_d10_lift reversals kpi_strip verdict verdict_wide gains_curve read_comparison month_stats
 tie_aware_deciles_months benchmark_summary benchmark_overlay lift_comparison lift_table grouped_rank_order
 grouped_summary grouped_segments grouped_diagnostics activation_base activation_state activation_by_month activation_curve
-activation_histogram activation_table activation_by_score real_score_deciles real_score_quantiles asof_forward asof_backward asof_nearest account_payload decile_export dataset_diagnostics"""
+activation_histogram activation_table activation_by_score real_score_deciles real_score_quantiles asof_forward asof_backward asof_nearest selected_deciles
+selected_gains selected_kpis stored_month_stats cube_months_touched account_payload decile_export dataset_diagnostics"""
 CAMPAIGN = """campaign_windows mailfile_month applications first_application response_join final_response
 campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
 woe_transforms feature_select feature_select_sc4"""

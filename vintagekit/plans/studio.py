@@ -9,6 +9,7 @@ reach the scan as pushed filters.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from vintagekit.config import CREDITLINE_GROUPS, FUNNEL_BUCKET_MAX, SCORE_AVAILABILITY_MAX_MOB, StudyConfig
 from vintagekit.functions.dates import month_end_of
 from vintagekit.operators import asof as AS
+from vintagekit.operators import cube as CU
 from vintagekit.operators import distinct as DI
 from vintagekit.operators import payload as PL
 from vintagekit.operators import population as P
 from vintagekit.operators import rank as R
-from vintagekit.session import prepare
+from vintagekit.session import checkpoint_dir, prepare
 from vintagekit.sources import testdata as TD
 
 CFG = StudyConfig()
@@ -342,7 +344,7 @@ def board_reconciliation(spark, sf_dir):
     counts = {"boards_any_cl": F.lit(True), "boards_at_tier": F.col("creditline") == F.lit(s.cfg.creditline_tier)}
     maps = DI.id_bitmaps(f, [F.date_format(F.trunc("opendate", "month"), "yyyy-MM").alias("board_month")], P.ACCT, counts,
                          F.sum(F.col("creditline").cast("decimal(38,6)")).alias("_line"), F.count("creditline").alias("_lines"))
-    g = DI.distinct_counts(maps, ["board_month"], list(counts), (F.sum("_line") / F.sum("_lines")).cast("double").alias("avg_creditline"))
+    g = DI.distinct_counts(maps, ["board_month"], list(counts), (F.sum("_line").cast("double") / F.sum("_lines")).alias("avg_creditline"))
     g = g.withColumn("boards_once", F.col("boards_any_cl"))
     total = g.agg(F.lit("TOTAL").alias("board_month"), F.sum("boards_any_cl").alias("boards_any_cl"),
                   F.sum("boards_at_tier").alias("boards_at_tier"),
@@ -427,6 +429,68 @@ def month_stats(spark, sf_dir):
     return R.month_stats(inputs(spark, sf_dir).cohort_pairs(), "vintage", ["read_key"])
 
 
+def _stored_cube(spark, sf_dir) -> str:
+    """The cohort's counts by read, month and score, written in two goes: the months up to the middle, then the rest."""
+    s = inputs(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cube-{uuid.uuid4().hex}"
+    cube = CU.month_cube(s.cohort_pairs(), ["read_key"], F.col("vintage"))
+    middle = f"{(s.window_start.year + s.window_end.year) // 2}-06"
+    CU.write_months(cube.where(F.col(CU.MONTH) <= middle), path)
+    CU.write_months(cube.where(F.col(CU.MONTH) > middle), path)
+    return path
+
+
+def _selections(spark, sf_dir) -> DataFrame:
+    """Counts of three selections of months, read from the stored state alone."""
+    path = _stored_cube(spark, sf_dir)
+    months = CU.stored_months(spark, path)
+    out = None
+    for name, picked in (("all", []), ("first", months[:3]), ("some", [m for m in months if m.endswith(("-02", "-07"))])):
+        rows = CU.select_months(spark, path, picked).withColumn("selection", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def selected_deciles(spark, sf_dir):
+    """F20 + R16: deciles of three selections of months from the stored counts."""
+    return CU.deciles(_selections(spark, sf_dir), ["selection", "read_key"])
+
+
+def selected_gains(spark, sf_dir):
+    """F20 + R10."""
+    return R.gains_curve(selected_deciles(spark, sf_dir), ["selection", "read_key"])
+
+
+def selected_kpis(spark, sf_dir):
+    """F20 + R8."""
+    return CU.kpis(_selections(spark, sf_dir), ["selection", "read_key"])
+
+
+def stored_month_stats(spark, sf_dir):
+    """R13 from the stored counts."""
+    return CU.month_stats(CU.select_months(spark, _stored_cube(spark, sf_dir)), ["read_key"])
+
+
+def cube_months_touched(spark, sf_dir):
+    """Adding to the state: the last month is written again with the counts of both halves of its accounts merged. Per
+    month its accounts, and whether its files are others than before."""
+    path = _stored_cube(spark, sf_dir)
+    pairs = inputs(spark, sf_dir).cohort_pairs()
+    last = CU.stored_months(spark, path)[-1]
+
+    def files(name):
+        rows = CU.select_months(spark, path)
+        found = rows.groupBy(CU.MONTH, F.col("_metadata.file_name").alias("f")).agg(F.sum("n").alias("n"))
+        found = found.groupBy(CU.MONTH).agg(F.sort_array(F.collect_set("f")).alias(name), F.sum("n").alias(f"{name}_n"))
+        return spark.createDataFrame(found.collect(), found.schema)  # a row a month, as it is now
+
+    before = files("before")
+    halves = [CU.month_cube(pairs.where(F.col(P.ACCT) % 2 == i), ["read_key"], F.col("vintage")).where(F.col(CU.MONTH) == last) for i in (0, 1)]
+    CU.write_months(CU.merge_cubes(*halves), path)
+    both = before.join(files("after"), CU.MONTH, "full")
+    return both.select(CU.MONTH, F.col("before_n").alias("accounts"), F.col("after_n").alias("accounts_after"), (F.col("before") != F.col("after")).alias("touched"))
+
+
 def tie_aware_deciles_months(spark, sf_dir):
     """R16 + F20: deciles of the first three board months only."""
     s = inputs(spark, sf_dir)
