@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagekit.config import Read, StudyConfig
+from vintagekit.operators.prefix import RunningSums
 
 ACCT = "creditaccountid"
 
@@ -63,13 +64,76 @@ def write_payload(payload: DataFrame, path: str) -> None:
     payload.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
 
 
+#: Accounts of a chunk of the columnar payload.
+CHUNK = 4096
+CODED = ("board_month", "program", "channel")
+
+
+def payload_metadata(payload: DataFrame, reads: Sequence[Read], chunk: int = CHUNK) -> DataFrame:
+    """SNK6: one row per dataset - accounts, chunks, reads and the sorted values behind the codes (a calendar and two
+    code lists); ``months`` are the board months."""
+    return payload.groupBy("dataset_id", "prism", "population").agg(
+        F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"),
+        F.array(*[F.lit(r.key) for r in reads]).alias("reads"),
+        *[F.sort_array(F.collect_set(c)).alias("months" if c == "board_month" else f"{c}s") for c in CODED])
+
+
+def columnar_payload(payload: DataFrame, reads: Sequence[Read], chunk: int = CHUNK, ranges: int = 200) -> tuple[DataFrame, DataFrame]:
+    """SNK6: (chunks, metadata). A chunk is one row of aligned arrays of at most ``chunk`` accounts of one dataset, in
+    account order: score, cl, coded month, program and channel, and e_/b_ flags of each read. Accounts are numbered over
+    ranges, so no dataset meets in one task."""
+    meta = payload_metadata(payload, reads, chunk)
+    flags = [f"{p}_{r.key}" for r in reads for p in ("e", "b")]
+    numbered = RunningSums(payload.withColumn("one", F.lit(1).cast("long")), ["dataset_id"], ACCT, ["one"], ranges).rows
+    row = F.struct(F.col("cum_one").alias("at"), ACCT, *CODED, "score", "cl", *flags)
+    packed = numbered.groupBy("dataset_id", F.floor((F.col("cum_one") - 1) / chunk).cast("long").alias("chunk")).agg(
+        F.sort_array(F.collect_list(row)).alias("_rows"))
+    coded = packed.join(meta.select("dataset_id", F.col("months").alias("board_months"), "programs", "channels"), "dataset_id")
+
+    def code(c: str) -> Column:
+        return F.transform("_rows", lambda r: (F.array_position(F.col(f"{c}s"), r[c]) - 1).cast("int")).alias(c)
+
+    return coded.select("dataset_id", "chunk", F.col(f"_rows.{ACCT}").alias(ACCT), *[code(c) for c in CODED],
+                        *[F.col(f"_rows.{c}").alias(c) for c in ("score", "cl", *flags)]), meta
+
+
+def unpack_payload(chunks: DataFrame, meta: DataFrame, reads: Sequence[Read]) -> DataFrame:
+    """The account rows of a columnar payload."""
+    flags = [f"{p}_{r.key}" for r in reads for p in ("e", "b")]
+    cols = [ACCT, *CODED, "score", "cl", *flags]
+    rows = chunks.select("dataset_id", F.inline(F.arrays_zip(*cols)))
+    m = meta.select("dataset_id", "prism", "population", F.col("months").alias("board_months"), "programs", "channels")
+    out = rows.join(m, "dataset_id")
+    return out.select("dataset_id", "prism", "population", ACCT,
+                      *[F.col(f"{c}s")[F.col(c)].alias(c) if c in CODED else F.col(c)
+                        for c in ("board_month", "score", "cl", "program", "channel", *flags)])
+
+
 def write_deciles(deciles: DataFrame, path: str) -> None:
     """SNK7: partitioned Parquet, one folder per dataset."""
     deciles.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
 
 
+def write_activation(by_month: DataFrame, path: str) -> None:
+    """SNK7: the activation-by-month sheet as CSV (a row a month)."""
+    by_month.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def dataset_diagnostics(payload: DataFrame, expected: DataFrame) -> DataFrame:
-    """SNK8: one row per expected dataset: rows and included/empty status."""
-    counts = payload.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"))
+    """SNK8: one row per expected dataset (dataset_id, source): rows, included/empty status and what to say of it."""
+    counts = payload.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("board_month").alias("_months"))
     out = expected.join(counts, "dataset_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("rows") > 0, "included").otherwise("empty"))
+    some = F.col("rows") > 0
+    said = F.concat(F.format_number("rows", 0), F.lit(" valid-scored accounts across "), F.col("_months").cast("string"), F.lit(" board month(s)"))
+    return out.select("dataset_id", "source", "rows", F.when(some, "included").otherwise("empty").alias("status"),
+                      F.when(some, said).otherwise("No accounts available for this slice.").alias("message"))
+
+
+def activation_diagnostics(base: DataFrame, scores: DataFrame) -> DataFrame:
+    """SNK8 for the activation tracker: boarded accounts and how many of them have a cohort score."""
+    g = base.join(scores.select(ACCT, "bhvr_score"), ACCT, "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("bhvr_score").alias("_scored"))
+    some = F.col("rows") > 0
+    said = F.concat(F.format_number("rows", 0), F.lit(" boarded accounts ("), F.format_number("_scored", 0), F.lit(" with a cohort score)"))
+    return g.select(F.lit("activation").alias("dataset_id"), F.lit("Active card tracker").alias("source"), "rows",
+                    F.when(some, "included").otherwise("empty").alias("status"), F.when(some, said).otherwise("No boarded accounts.").alias("message"))

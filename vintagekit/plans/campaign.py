@@ -9,7 +9,7 @@ from vintagekit.operators import campaign as CP
 from vintagekit.operators import features as FE
 from vintagekit.session import prepare
 from vintagekit.sources import testdata as TD
-from vintagekit.sources.cache import cache_or_compute, stage_path
+from vintagekit.sources.cache import cache_or_compute, source_path
 
 BUREAU_FILE_PATTERN = "TRM_BUREAU_A%"
 
@@ -20,7 +20,7 @@ def _mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _apps(spark, sf_dir, mail):
-    rows = cache_or_compute(spark, stage_path(spark, "applications", sf_dir), lambda: TD.application_rows(spark, sf_dir),
+    rows = cache_or_compute(spark, source_path(spark, "applications", TD.source_files(sf_dir)), lambda: TD.application_rows(spark, sf_dir),
                             required=["APPLICATION_ID"])
     return CP.applications(TD.applications(rows), TD.applicants(rows), TD.application_status(rows), mail)
 
@@ -35,7 +35,7 @@ def response(spark, sf_dir) -> DataFrame:
 def staged_response(spark, sf_dir) -> DataFrame:
     """C3 as a table of the session: the chain is joined once and everything after it reads it."""
     prepare(spark)
-    return cache_or_compute(spark, stage_path(spark, "response", sf_dir), lambda: response(spark, sf_dir),
+    return cache_or_compute(spark, source_path(spark, "response", TD.source_files(sf_dir)), lambda: response(spark, sf_dir),
                             required=["campaign_month", "ReservationNumber", "scorecard"], sort_within=["campaign_month"])
 
 

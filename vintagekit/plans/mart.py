@@ -16,8 +16,9 @@ from vintagekit.plans.campaign import staged_response
 from vintagekit.session import checkpoint_dir, prepare
 from vintagekit.sources import mart_store as S
 from vintagekit.sources import publish as P
+from vintagekit.sources import testdata as TD
 from vintagekit.sources.cache import cache_or_compute as staged
-from vintagekit.sources.cache import stage_path
+from vintagekit.sources.cache import source_path
 
 ROW_DIM = C.DEFAULT_ROW_DIM
 METRIC = C.DEFAULT_METRIC
@@ -37,7 +38,7 @@ def mart_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mart as the dashboard reads it: built once per session and staged as
     Parquet (SRC5), sorted by month so month filters skip row groups."""
     prepare(spark)
-    return staged(spark, stage_path(spark, "mart", sf_dir), lambda: build_mart_rows(spark, sf_dir),
+    return staged(spark, source_path(spark, "mart", TD.source_files(sf_dir)), lambda: build_mart_rows(spark, sf_dir),
                             required=["campaign_month", "volume", "expected_responses_xpm"],
                             sort_within=["campaign_month"])
 
@@ -380,3 +381,45 @@ def cache_or_compute(spark, sf_dir):
     """SRC5: the second call reads the staged copy."""
     mart_frame(spark, sf_dir)
     return mart_frame(spark, sf_dir)
+
+
+def cache_rules(spark, sf_dir):
+    """SRC5: what makes a copy be built again. Per step how often the build ran and the copy's rows and sum."""
+    import threading
+
+    source, place = _scratch(spark, "source"), _scratch(spark, "copies")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    out, builds = [], []
+
+    def copy(nonempty=True):
+        path = f"{place}/{source_path(spark, 'orders', [source]).rpartition('/')[2]}"
+
+        def build():
+            builds.append(1)
+            return spark.read.parquet(source).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderkey").alias("last"))
+
+        return staged(spark, path, build, required=["o_custkey"], allow_empty=not nonempty), path
+
+    def note(step, df):
+        r = df.agg(F.count(F.lit(1)), F.sum("orders"), F.sum("last")).first()
+        out.append((step, len(builds), r[0], r[1], r[2]))
+        builds.clear()
+
+    even = F.col("o_orderkey") % 2 == 0
+    orders.where(even).write.parquet(source)
+    note("1 built", copy()[0])
+    note("2 read", copy()[0])
+    orders.where(~even).write.mode("append").parquet(source)
+    df, path = copy()
+    note("3 source changed", df)
+    df.limit(0).write.mode("overwrite").parquet(path)
+    note("4 copy emptied", copy()[0])
+    orders.limit(0).write.mode("append").parquet(source)  # new files again, so both builders find no copy
+    both = [threading.Thread(target=copy) for _ in range(2)]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join()
+    builds.clear()  # one or two, as it happens
+    note("5 two at once", copy()[0])
+    return spark.createDataFrame(out, "step string, builds int, customers long, orders long, last_keys long")

@@ -952,14 +952,38 @@ register("decile_export", PAYLOAD + f""",
 plong AS ({_plong}),""" + deciles_sql("plong", ["dataset_id", "read_key"], score="score") + "\nSELECT * FROM deciles_full",
          DECILE_DOUBLES)
 
-register("dataset_diagnostics", PAYLOAD + """,
-expected AS (SELECT * FROM (VALUES ('cohort-subject'), ('port-subject'), ('port-Group 1 - Credit Line >= $5,000'),
-  ('port-Group 2 - $5,000 > Credit Line >= $3,000'), ('port-Group 3 - Credit Line < $3,000'),
-  ('port-Group Unknown Credit Line')) v(dataset_id)),
-c AS (SELECT dataset_id, count(*) AS rows FROM payload GROUP BY dataset_id)
-SELECT e.dataset_id, coalesce(c.rows, 0) AS rows, CASE WHEN coalesce(c.rows, 0) > 0 THEN 'included' ELSE 'empty' END
-  AS status
-FROM expected e LEFT JOIN c ON e.dataset_id = c.dataset_id""")
+register("dataset_diagnostics", PAYLOAD + "," + ACT_CTES + f""",
+expected AS (SELECT * FROM (VALUES ('cohort-subject', 'Cohort / subject'), ('port-subject', 'Total Portfolio / subject'),
+  ('port-Group 1 - Credit Line >= $5,000', 'Total Portfolio / Group 1 - Credit Line >= $5,000'),
+  ('port-Group 2 - $5,000 > Credit Line >= $3,000', 'Total Portfolio / Group 2 - $5,000 > Credit Line >= $3,000'),
+  ('port-Group 3 - Credit Line < $3,000', 'Total Portfolio / Group 3 - Credit Line < $3,000'),
+  ('port-Group Unknown Credit Line', 'Total Portfolio / Group Unknown Credit Line')) v(dataset_id, source)),
+c AS (SELECT dataset_id, count(*) AS rows, count(DISTINCT board_month) AS months FROM payload GROUP BY dataset_id),
+sc AS (SELECT DISTINCT creditaccountid FROM cohort WHERE read_key = '{CFG.reads[0].key}'),
+t AS (SELECT count(*) AS rows, count(sc.creditaccountid) AS scored FROM act LEFT JOIN sc ON act.creditaccountid = sc.creditaccountid)
+SELECT e.dataset_id, e.source, coalesce(c.rows, 0) AS rows, CASE WHEN coalesce(c.rows, 0) > 0 THEN 'included' ELSE 'empty' END AS status,
+  CASE WHEN coalesce(c.rows, 0) > 0 THEN format('{{:,}}', c.rows) || ' valid-scored accounts across ' || CAST(c.months AS VARCHAR) || ' board month(s)'
+       ELSE 'No accounts available for this slice.' END AS message
+FROM expected e LEFT JOIN c ON e.dataset_id = c.dataset_id
+UNION ALL
+SELECT 'activation', 'Active card tracker', rows, CASE WHEN rows > 0 THEN 'included' ELSE 'empty' END,
+  CASE WHEN rows > 0 THEN format('{{:,}}', rows) || ' boarded accounts (' || format('{{:,}}', scored) || ' with a cohort score)' ELSE 'No boarded accounts.' END
+FROM t""")
+register("columnar_payload", PAYLOAD + "\nSELECT * FROM payload", ["cl"])
+register("payload_metadata", PAYLOAD + f"""
+SELECT dataset_id, prism, population, count(*) AS n, CAST(ceil(count(*) / 64) AS BIGINT) AS chunks, CAST(ceil(count(*) / 64) AS BIGINT) AS chunk_rows,
+  CAST(least(count(*), 64) AS INTEGER) AS largest_chunk, '{','.join(r.key for r in CFG.reads)}' AS reads,
+  string_agg(DISTINCT board_month, ',' ORDER BY board_month) AS months, string_agg(DISTINCT program, ',' ORDER BY program) AS programs,
+  string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels
+FROM payload GROUP BY dataset_id, prism, population""")
+register("activation_export", ACT + """
+SELECT board_month, count(*) AS boarded, CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS activated,
+       CAST(sum(CASE WHEN act_lag >= 0 THEN 1 ELSE 0 END) AS BIGINT) / count(*) AS pct_activated
+FROM act GROUP BY board_month""", ["pct_activated"])
+register("restrict_accounts", cohort_ctes() + f"""
+SELECT * FROM cohort WHERE creditaccountid IN (
+  SELECT creditaccountid FROM fact WHERE cardid IS NOT NULL AND newaccountindicator = 1 AND substr(reservationnumber, 1, 4) IN ({_codes()})
+    AND creditline = {CFG.creditline_tier})""", COHORT_DOUBLES)
 
 
 # ----------------------------------------------------------------------------
@@ -1650,3 +1674,14 @@ GROUP BY p.read_key, p.board_month""", ["avg_score", "bad_rate", "d1_d10_lift"])
 register("cube_months_touched", SELECTED + """
 SELECT board_month, count(*) AS accounts, count(*) AS accounts_after, board_month = (SELECT max(board_month) FROM pm) AS touched
 FROM pm GROUP BY board_month""")
+
+register("cache_rules", """
+WITH c AS (SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS last FROM orders GROUP BY o_custkey),
+e AS (SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
+t AS (SELECT count(*) AS customers, sum(orders) AS orders, sum(last) AS last_keys FROM c),
+h AS (SELECT count(*) AS customers, sum(orders) AS orders, sum(last) AS last_keys FROM e)
+SELECT step, CAST(builds AS INTEGER) AS builds, CAST(customers AS BIGINT) AS customers, CAST(orders AS BIGINT) AS orders, CAST(last_keys AS BIGINT) AS last_keys
+FROM (VALUES ('1 built', 1), ('2 read', 0)) s(step, builds), h
+UNION ALL
+SELECT step, CAST(builds AS INTEGER), CAST(customers AS BIGINT), CAST(orders AS BIGINT), CAST(last_keys AS BIGINT)
+FROM (VALUES ('3 source changed', 1), ('4 copy emptied', 1), ('5 two at once', 0)) s(step, builds), t""")

@@ -39,7 +39,8 @@ rank_diagnostics d1_d10_lift reversals kpi_strip verdict verdict_wide gains_curv
 tie_aware_deciles_months benchmark_summary benchmark_overlay lift_comparison lift_table grouped_rank_order
 grouped_summary grouped_segments grouped_diagnostics activation_base activation_state activation_by_month activation_curve
 activation_histogram activation_table activation_by_score real_score_deciles real_score_quantiles asof_forward asof_backward asof_nearest selected_deciles
-selected_gains selected_kpis stored_month_stats cube_months_touched account_payload decile_export dataset_diagnostics"""
+selected_gains selected_kpis stored_month_stats cube_months_touched account_payload columnar_payload payload_metadata decile_export activation_export
+dataset_diagnostics restrict_accounts"""
 CAMPAIGN = """campaign_windows mailfile_month applications first_application response_join final_response
 campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
 woe_transforms feature_select feature_select_sc4"""
@@ -47,7 +48,7 @@ MART = """aggregate_by kpi_totals monthly_trend pivot_metric suppress_small_cell
 formatted_pivot exec_kpis trend_long model_by_band_trm model_by_band_xpm model_monthly model_by_tier
 model_by_scorecard volume_mix mom_delta volume_share dict_filter month_window filter_options validate_rollup
 validate_rollup_faulty validation_summary parse_rollup_month missing_months mart_replace_month read_mart mart_months
-csv_rollup_roundtrip load_log ingest_plan ingest_summary ingest_isolation mart_swap mart_status filtered_export cache_or_compute"""
+csv_rollup_roundtrip load_log ingest_plan ingest_summary ingest_isolation mart_swap mart_status filtered_export cache_or_compute cache_rules"""
 
 QUERIES = {name: _edge(getattr(module, name))
            for module, names in ((studio, STUDY), (campaign, CAMPAIGN), (mart, MART)) for name in names.split()}

@@ -61,8 +61,8 @@ class StudyInputs:
 def staged_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A in the session's staging folder (SRC5), sorted by month inside each file so date-bounded scans
     skip row groups. A warehouse that holds the fact hands it to the operators directly."""
-    from vintagekit.sources.cache import cache_or_compute, stage_path
-    return cache_or_compute(spark, stage_path(spark, "account_month", sf_dir),
+    from vintagekit.sources.cache import cache_or_compute, source_path
+    return cache_or_compute(spark, source_path(spark, "account_month", TD.source_files(sf_dir)),
                             lambda: TD.account_month_fact(spark, sf_dir),
                             required=["creditaccountid", "reportingdate", "bhvr_score"],
                             sort_within=["reportingdate"])
@@ -645,8 +645,8 @@ def build_payload(s: StudyInputs) -> DataFrame:
 
 def _payload(s: StudyInputs) -> DataFrame:
     """SNK6: written once per session, one folder per dataset, and read by everything that needs it."""
-    from vintagekit.sources.cache import _complete, stage_path
-    path = stage_path(s.spark, "payload", s.sf_dir)
+    from vintagekit.sources.cache import _complete, source_path
+    path = source_path(s.spark, "payload", TD.source_files(s.sf_dir))
     got = _complete(s.spark, path, ["dataset_id", P.ACCT])
     if got is None:
         PL.write_payload(build_payload(s), path)
@@ -672,8 +672,47 @@ def decile_export(spark, sf_dir):
 
 
 def dataset_diagnostics(spark, sf_dir):
-    """SNK8: expected datasets left-joined to payload counts."""
+    """SNK8: expected datasets left-joined to payload counts, and the activation tracker."""
+    from vintagekit.operators import activation as A
+    s = inputs(spark, sf_dir)
+    listed = [("cohort-subject", "Cohort / subject"), ("port-subject", "Total Portfolio / subject")]
+    listed += [(f"port-{g}", f"Total Portfolio / {g}") for g in CREDITLINE_GROUPS]
+    expected = spark.createDataFrame(listed, "dataset_id string, source string")
+    scores = A.first_score_per_account(s.cohort(), s.cfg.reads[0].key)
+    return PL.dataset_diagnostics(_payload(s), expected).unionByName(PL.activation_diagnostics(_activation(s), scores))
+
+
+#: Accounts of a chunk here, so that the test tables give several chunks.
+PAYLOAD_CHUNK = 64
+
+
+def columnar_payload(spark, sf_dir):
+    """SNK6: the payload packed into chunks of aligned arrays, written, read back and unpacked."""
+    s = inputs(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/columnar-{uuid.uuid4().hex}"
+    chunks, meta = PL.columnar_payload(_payload(s), s.cfg.reads, PAYLOAD_CHUNK)
+    chunks.write.partitionBy("dataset_id").parquet(f"{path}/chunks")
+    meta.write.parquet(f"{path}/meta")
+    return PL.unpack_payload(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/meta"), s.cfg.reads)
+
+
+def payload_metadata(spark, sf_dir):
+    """SNK6: the metadata row of each dataset, lists as text, and the sizes of its chunks."""
+    s = inputs(spark, sf_dir)
+    chunks, meta = PL.columnar_payload(_payload(s), s.cfg.reads, PAYLOAD_CHUNK)
+    sizes = chunks.groupBy("dataset_id").agg(F.max(F.size("score")).alias("largest_chunk"), F.count(F.lit(1)).alias("chunk_rows"))
+    text = [F.array_join(c, ",").alias(c) for c in ("reads", "months", "programs", "channels")]
+    return meta.join(sizes, "dataset_id").select("dataset_id", "prism", "population", "n", "chunks", "chunk_rows", "largest_chunk", *text)
+
+
+def activation_export(spark, sf_dir):
+    """SNK7: the activation-by-month sheet, written and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/activation-export-{uuid.uuid4().hex}"
+    PL.write_activation(activation_by_month(spark, sf_dir), path)
+    return spark.read.schema("board_month date, boarded long, activated long, pct_activated double").option("header", True).csv(path)
+
+
+def restrict_accounts(spark, sf_dir):
+    """The cohort of the accounts boarded at the tier (an allow-list), without the excluded ones."""
     s = inputs(spark, sf_dir)
-    ids = ["cohort-subject", "port-subject"] + [f"port-{g}" for g in CREDITLINE_GROUPS]
-    expected = spark.createDataFrame([(i,) for i in ids], "dataset_id string")
-    return PL.dataset_diagnostics(_payload(s), expected)
+    return P.exclude_accounts(P.restrict_accounts(s.cohort(exclude=False), P.tier_accounts(s.fact, s.cfg)), s.excluded)

@@ -1,20 +1,25 @@
 """SRC5 cache-or-compute: reuse a staged Parquet copy unless it is missing,
-incomplete (no ``_SUCCESS``) or lacks required columns.
+incomplete (no ``_SUCCESS``), lacks required columns, is empty where that is not allowed, or its source changed.
 
 Staged tables live under the session's checkpoint directory (on a cluster the
 shared folder named by ``spark.checkpoint.dir``), so a lost executor never
 loses them and later jobs read them instead of recomputing the lineage.
+A copy's name holds the fingerprint of its source: the path, length and time of every file, and the build's parameters.
+A copy is written beside its place and moved in by one rename, so builders that work at once never mix their files: the
+first to finish is kept and read by all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from vintagekit.session import checkpoint_dir
+from vintagekit.sources.publish import Folder
 
 
 def stage_path(spark: SparkSession, name: str, *parts: str) -> str:
@@ -22,31 +27,71 @@ def stage_path(spark: SparkSession, name: str, *parts: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{digest}"
 
 
-def _complete(spark: SparkSession, path: str, required: Iterable[str]) -> DataFrame | None:
+def fingerprint(spark: SparkSession, paths: Iterable[str]) -> str:
+    """Digest of the files at or below the paths: names, lengths and times, from listings alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for p in sorted(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            seen.append(f"{p} missing")
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName()[:1] not in "_.":
+                seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def source_path(spark: SparkSession, name: str, sources: Iterable[str], *params: str) -> str:
+    """Where the copy of a build over these source paths is: another place once a file or a parameter changes."""
+    return stage_path(spark, name, fingerprint(spark, sources), *params)
+
+
+def _complete(spark: SparkSession, path: str, required: Iterable[str], allow_empty: bool = True) -> DataFrame | None:
     try:
         spark.read.text(f"{path}/_SUCCESS")
         df = spark.read.parquet(path)
     except AnalysisException as e:  # only a missing path means "not staged"; anything else is raised
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    if not set(required).issubset(df.columns):
+    if not set(required).issubset(df.columns) or not (allow_empty or not df.isEmpty()):
         return None
     return df
 
 
 def cache_or_compute(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                      required: Iterable[str] = (), refresh: bool = False,
-                     sort_within: Iterable[str] = ()) -> DataFrame:
-    """Read ``path`` when complete; else compute, write (overwrite) and read back."""
+                     sort_within: Iterable[str] = (), allow_empty: bool = True) -> DataFrame:
+    """Read ``path`` when it is complete; else compute beside it, move the copy in and read it."""
     required = list(required)
     if not refresh:
-        df = _complete(spark, path, required)
+        df = _complete(spark, path, required, allow_empty)
         if df is not None:
             return df
     out = build()
     sort_within = list(sort_within)
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
-    out.write.mode("overwrite").parquet(path)
+    parent, _, name = path.rpartition("/")
+    own = f"{name}.{uuid.uuid4().hex}"
+    out.write.parquet(f"{parent}/{own}")
+    folder = Folder(spark, parent)
+    if folder.exists(name):
+        if not refresh and _complete(spark, path, required, allow_empty) is not None:  # another builder was faster
+            folder.remove(own)
+            return spark.read.parquet(path)
+        folder.remove(name)
+    try:
+        folder.move(f"{parent}/{own}", path)
+        if folder.exists(name, own):  # some file systems move into a folder that came up meanwhile
+            folder.remove(name, own)
+    except OSError:
+        if _complete(spark, path, required, allow_empty) is None:
+            raise
+        folder.remove(own)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)

@@ -19,6 +19,11 @@ from vintagekit.functions.dates import month_diff
 from vintagekit.operators.features import ATTRIBUTES
 
 
+def source_files(sf_dir: str) -> list[str]:
+    """The tables that the adapters read."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
