@@ -134,7 +134,7 @@ def test_cross_parse_equals_naive_parse():
         hay = bytes(c[c < model.letters - 1])
         at = 0
         for t, n in enumerate(sizes):
-            mine, count = bytes(codes[at:at + n]), 0
+            mine, count = bytes(codes[at:at + n]), 0.0
             at += n
             for s in range(0, len(mine), language.SEGMENT):
                 part, i = mine[s:s + language.SEGMENT], 0
@@ -142,9 +142,29 @@ def test_cross_parse_equals_naive_parse():
                     j = i + 1
                     while j <= len(part) and part[i:j] in hay:
                         j += 1
-                    i = max(i + 1, j - 1)
-                    count += 1
-            assert count == got[li, t]
+                    n_letters = max(1, j - 1 - i)
+                    count += min(np.log2(len(c)) + 2 * np.log2(n_letters) + 1, n_letters * np.log2(model.letters))
+                    i += n_letters
+            assert count == pytest.approx(got[li, t], rel=1e-12)
+
+
+@pytest.mark.parametrize("ratio", [1, 10, 40])
+def test_unequal_samples_are_normalised(ratio):
+    """Two labels with related words in one alphabet: the one with the smaller sample is still found."""
+    import random
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 6))) for _ in range(150)]
+    words = {"a": [w + rng.choice(["", "en", "er"]) for w in stems], "b": [w[:-1] + rng.choice(["os", "a", "um"]) for w in stems]}
+
+    def make(lang, n):
+        return " ".join(rng.choice(words[lang]) for _ in range(n))
+
+    for small in "ab":
+        sample = {lang: make(lang, 2400 // (ratio if lang == small else 1)) for lang in "ab"}
+        model = language.Model(sample)
+        truth = [lang for lang in "ab" for _ in range(100)]
+        got = model.phrases(*model.encode([make(lang, 40) for lang in truth])).argmin(axis=0)
+        assert np.mean([model.langs[k] == t for k, t in zip(got, truth)]) >= 0.95, (small, ratio)
 
 
 def many_scripts(rng):

@@ -425,3 +425,32 @@ def test_mix_of_empty_texts_and_equal_rows(spark):
     copies = spark.createDataFrame([(7, "one two", "a")] * 900 + [(8, "three four", "b")] * 100, "doc_id int, text string, source string")
     got = mixing.mix_report(copies).collect()
     assert len(got) == 1000 and max(r.taken for r in got) <= 4 and abs(sum(r.taken for r in got) - 3000) <= 4
+
+
+def test_license_bodies_and_expressions(spark):
+    texts = {"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+             "GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3",
+             "GNU Lesser General Public License as published by the Free Software Foundation; version 2.1": "lgpl-2.1",
+             "under GPLv2+": "gpl-2", "Business Source License 1.1": "busl-1.1", "MIT or Apache-2.0": "apache-2,mit",
+             "https://opensource.org/license/mit": "mit", "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2,mit"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in sorted(licenses.license_report(df).collect())] == list(texts.values())
+
+
+def test_dense_texts_take_linear_time(spark):
+    """A text full of license names, and one of account cues that touch their values."""
+    import time
+
+    def license_time(n):
+        df = spark.createDataFrame([(1, "see the mit license and " * n)], "doc_id long, text string")
+        at = time.perf_counter()
+        assert licenses.license_report(df).first().labels == "mit"
+        return time.perf_counter() - at
+
+    license_time(100)
+    assert license_time(80_000) < 60  # 2 MB
+    at = time.perf_counter()
+    assert pii.scan("acctX-" * 170_000) == [] and pii.scan("acct a-" * 150_000) == []  # 1 MB each
+    assert len(pii.scan("acct: 12-345-678 " * 50_000)) >= 50_000
+    assert time.perf_counter() - at < 30

@@ -2,22 +2,23 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed from
 left to right into the longest phrases that occur in the sample (the automaton is walked until no
-transition is left, then a new phrase begins); the language that needs the fewest phrases per
-letter wins. Texts are lowered; runs of other characters count as one gap. Every letter of the sample is a symbol, in
+transition is left, then a new phrase begins); the language that needs the fewest phrases, normalised, wins. In a larger
+sample phrases are longer by chance, so a phrase counts what it costs to name it: log2 of the sample's length for
+its place and 2 log2 + 1 bits for its length, but no more than its letters cost one by one. Texts are lowered; runs of other characters count as one gap. Every letter of the sample is a symbol, in
 any script; letters that a language's sample lacks match nothing in its automaton. A text is parsed whole, in segments of ``SEGMENT`` symbols, each of which begins a new
 phrase; segments of many texts take their steps together, so the walk is vectorised.
 
 Sample (bounds are parameters): the labelled rows that may be learned from are dealt into ``DOCS``
-hash buckets per language, and the row with the smallest hash of each bucket gives one piece of text. Every label
-is learned. At most ``SYMBOLS`` symbols per language and ``ALL_SYMBOLS`` in all are used: with more than 64 labels each has
-fewer symbols, with more than 256 fewer buckets or shorter pieces too. Only this sample, never the table, comes to the driver; tasks build the automata
+hash buckets per language, and the row with the smallest hash of each bucket gives one piece of ``PIECE`` characters from
+a place that the hash chooses. Every label is learned, with at most ``SYMBOLS`` symbols, however many labels there are;
+labels may have fewer. Only this sample, never the table, comes to the driver; tasks build the automata
 from it. A parse costs a walk per label, so time grows with the labels.
 
 An automaton holds the transitions of the ``DENSE`` most frequent letters of its language as a table and all others as
 sorted keys that are searched; the split changes memory and time, not results.
 
-``score`` is second / (best + second) of the phrase counts: 0.5 for a tie, near 1 when the
-winner needs far fewer; 1 if only one language is known.
+``score`` is second / (best + second) of the normalised counts: 0.5 for a tie, near 1 when the
+winner needs far less; 1 if only one language is known.
 
 Cases: null text and text without letters give ``und`` and score 0, as does a table without labels;
 ties go to the smaller label; repeated rows give equal rows; an empty table gives an empty table; very
@@ -35,15 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOCS, PIECE, SYMBOLS, ALL_SYMBOLS, DENSE = 64, 1000, 16_384, 1 << 20, 60
+DOCS, PIECE, SYMBOLS, DENSE = 64, 1000, 16_384, 60
 SEGMENT, WIDTH = 512, 16_384
 
 
-def share_of(langs: int) -> int:
-    """Symbols that each of so many languages has."""
-    return max(1, min(SYMBOLS, ALL_SYMBOLS // max(1, langs)))
-
-
 def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     """Transitions {code: state} of each state (the root is state 0) of the automaton that reads every substring of
     ``codes``."""
@@ -74,6 +70,13 @@ def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
     return steps
 
 
+def phrase_bits(sample: int, letters: int) -> np.ndarray:
+    """What a phrase of each length up to SEGMENT counts, given its label's sample and the letters of all samples."""
+    length = np.arange(1, SEGMENT + 1)
+    named = np.log2(max(2, sample)) + 2 * np.log2(length) + 1
+    return np.concatenate([[0.0], np.minimum(named, length * np.log2(letters))])
+
+
 class Automaton:
     """A language's automaton over local codes: the gap 0, its letters from the most frequent on, and last the letters it
     lacks. Codes up to DENSE are columns of ``table``; the others are found by search in ``keys``."""
@@ -85,6 +88,7 @@ class Automaton:
         self.letters, self.width = len(own) + 2, min(len(own), DENSE) + 2
         self.local = np.full(letters, self.letters - 1, np.int32)
         self.local[0], self.local[own] = 0, np.arange(1, len(own) + 1)
+        self.size = len(codes)
         steps = suffix_automaton(self.local[codes])
         kind = np.uint16 if len(steps) < 1 << 16 else np.uint32
         self.table = np.zeros(len(steps) * self.width, kind)  # its last column: no transition, or one among the keys
@@ -120,7 +124,6 @@ class Model:
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
-        share = share_of(len(self.langs))
         letter = np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), np.uint8)
         known = sorted({c for text in sample.values() for c in text.lower() if c.isalpha()})
         self.letters = len(known) + 2
@@ -128,7 +131,7 @@ class Model:
         self.code = letter * kind(self.letters - 1)  # letters of no sample are the last symbol, the rest is a gap
         for i, c in enumerate(known):
             self.code[ord(c)] = i + 1
-        self.automata = [Automaton(self.encode([sample[lang]])[0][:share], self.letters) for lang in self.langs]
+        self.automata = [Automaton(self.encode([sample[lang]])[0][:SYMBOLS], self.letters) for lang in self.langs]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts and how many each has; runs of non-letters are one gap."""
@@ -142,8 +145,8 @@ class Model:
         return codes[keep], np.bincount(owner[keep], minlength=len(low))
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases [language, text] of the cross-parse of each text."""
-        out = np.zeros((len(self.langs), len(sizes)), np.int64)
+        """Normalised phrases [language, text] of the cross-parse of each text: the bits that name them."""
+        out = np.zeros((len(self.langs), len(sizes)))
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         pieces = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(sizes)), pieces)
@@ -152,21 +155,23 @@ class Model:
         length = np.minimum(SEGMENT, sizes[owner] - number * SEGMENT)
         order = np.argsort(-length, kind="stable")
         for i, automaton in enumerate(self.automata):
-            local = automaton.local[codes]
+            local, bits = automaton.local[codes], phrase_bits(automaton.size, self.letters)
             for at in range(0, len(order), WIDTH):
                 pick = order[at:at + WIDTH]
                 long_, where = length[pick], start[pick]
                 active = np.searchsorted(-long_, -np.arange(1, long_[0] + 1), side="right")  # segments with a symbol at each step
-                state, count = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
+                state, so_far, cost = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64), np.zeros(len(pick))
                 for step in range(int(long_[0])):
                     m = active[step]
                     c = local[where[:m] + step]
                     s = state[:m]
                     t = automaton.step(s, c)
                     none = t == 0
-                    count[:m] += none | (s == 0)
+                    begins = none | (s == 0)
+                    cost[:m] += np.where(begins, bits[so_far[:m]], 0.0)
+                    so_far[:m] = np.where(begins, 1, so_far[:m] + 1)
                     state[:m] = np.where(none, automaton.root[c], t)
-                out[i] += np.bincount(owner[pick], weights=count, minlength=len(sizes)).astype(np.int64)
+                out[i] += np.bincount(owner[pick], weights=cost + bits[so_far], minlength=len(sizes))
         return out
 
 
@@ -211,15 +216,12 @@ def _predictor(shared):
 def sample_texts(docs: DataFrame, learn: Column) -> dict[str, str]:
     """Bounded sample of the rows that ``learn`` allows: {language: text}."""
     h = F.xxhash64("doc_id", "text")
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), "text")
-    share = share_of(rows.select("lang").distinct().count())
-    buckets, length = max(1, min(DOCS, 16 * share // PIECE)), min(PIECE, 16 * share)
-    picked = (rows.groupBy("lang", F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.min("h").alias("h")).select("h").collect())
-    if not picked:
-        return {}
-    room = F.greatest(F.length("text") - length, F.lit(0))
-    piece = F.substring("text", F.pmod(F.col("h"), room + 1).cast("int") + 1, F.lit(length))
-    got = (rows.where(F.col("h").isin([r["h"] for r in picked]))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", h.alias("h"), F.pmod(h, F.lit(DOCS)).alias("bucket"), "text")
+    picked = rows.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
+    room = F.greatest(F.length("text") - PIECE, F.lit(0))
+    piece = F.substring("text", F.pmod(F.col("h"), room + 1).cast("int") + 1, F.lit(PIECE))
+    got = (rows.join(F.broadcast(picked), ["lang", "bucket", "h"])  # DOCS rows a label
            .select("lang", "h", piece.alias("piece")).distinct().orderBy("lang", "h").collect())
     out: dict[str, list[str]] = {}
     for r in got:

@@ -45,6 +45,9 @@ _AUTHORITY = re.compile(r"(?:[A-Za-z0-9._~%!$&'*+,;=:-]+@)?[A-Za-z0-9-]+(?:\.[A-
 _URL_REST = re.compile(r"[/?#][A-Za-z0-9._~%!$&'()*+,;=:@/?#-]*")
 _IBAN = re.compile(r"[\s:#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: (?:number|no|nr|id))?\.?[ ]?[:#=]?[ ]?([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)(?![A-Za-z0-9-])")
+#: What may follow an account cue: a value that touches it belongs to a longer word. A value holds none of these, so no
+#: character is read for more than one cue.
+_AFTER_CUE = frozenset(" .:#=")
 
 #: Anchors. Fixed values.
 SCHEMES = ("http://", "https://", "ftp://")
@@ -132,9 +135,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
                 value = m.group(1).replace(" ", "")
                 if 15 <= len(value) <= 34 and _mod97(value):
                     out.append((m.start(1), m.end(1), "iban"))
-        elif m := _ACCOUNT.match(text, last + 1):
+        elif text[last + 1:last + 2] in _AFTER_CUE and (m := _ACCOUNT.match(text, last + 1)):
             value = m.group(1).replace("-", "")
-            if m.start(1) > last + 1 and 6 <= len(value) <= 34 and sum(c in _DIGITS for c in value) >= 4:
+            if 6 <= len(value) <= 34 and sum(c in _DIGITS for c in value) >= 4:
                 out.append((m.start(1), m.end(1), "account"))
     out = sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return out
