@@ -123,7 +123,7 @@ def score_counts(pairs: DataFrame, groups: Sequence[str], score: str = "bhvr_sco
     rows are aggregated once."""
     return pairs.groupBy(*groups, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(bad).cast("long")).alias("bads"),
-        F.sum(F.col(creditline).cast("decimal(38,6)")).alias("line"), F.count(creditline).alias("lines"))
+        F.sum(F.col(creditline).cast("double")).alias("line"), F.count(creditline).alias("lines"))
 
 
 def kpis_of(counts: DataFrame, groups: Sequence[str], k: int = 10, score: str = "bhvr_score") -> DataFrame:
@@ -131,7 +131,7 @@ def kpis_of(counts: DataFrame, groups: Sequence[str], k: int = 10, score: str =
     groups = list(groups)
     stats = counts.groupBy(*groups).agg(
         F.sum("n").alias("eligible"), F.sum("bads").alias("bads"), (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("avg_score"),
-        (F.sum("line").cast("double") / F.sum("lines")).alias("avg_creditline")).withColumn("edr", safe_div("bads", "eligible"))
+        (F.sum("line") / F.sum("lines")).alias("avg_creditline")).withColumn("edr", safe_div("bads", "eligible"))
     lift = d1_d10_lift(tie_aware_deciles(counts, groups, score, "bads", k, count="n"), groups)
     return _join(stats, lift.select(*groups, "d1_d10_lift", "lift_label"), groups, "left")
 
