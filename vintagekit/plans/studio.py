@@ -445,7 +445,8 @@ def _selections(spark, sf_dir) -> DataFrame:
     path = _stored_cube(spark, sf_dir)
     months = CU.stored_months(spark, path)
     out = None
-    for name, picked in (("all", []), ("first", months[:3]), ("some", [m for m in months if m.endswith(("-02", "-07"))])):
+    some = [m for m in months if m.endswith(("-02", "-07"))] or ["none"]  # an empty list would take all
+    for name, picked in (("all", []), ("first", months[:3]), ("some", some)):
         rows = CU.select_months(spark, path, picked).withColumn("selection", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
