@@ -18,6 +18,7 @@ per-month loop and no cross join.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,14 +155,14 @@ def tier_accounts(fact: DataFrame, cfg: StudyConfig) -> DataFrame:
     return f.select(ACCT).distinct()
 
 
-def exclude_accounts(df: DataFrame, excluded: DataFrame | None) -> DataFrame:
-    """Anti join by account set."""
-    return df if excluded is None else df.join(excluded.select(ACCT), ACCT, "left_anti")
+def exclude_accounts(df: DataFrame, excluded: DataFrame | None, on: Sequence[str] = (ACCT,)) -> DataFrame:
+    """Anti join by account set. ``on``: the key columns that both sides are laid out by."""
+    return df if excluded is None else df.join(excluded.select(*on), list(on), "left_anti")
 
 
-def restrict_accounts(df: DataFrame, allowed: DataFrame | None) -> DataFrame:
+def restrict_accounts(df: DataFrame, allowed: DataFrame | None, on: Sequence[str] = (ACCT,)) -> DataFrame:
     """Semi join; None = no-op."""
-    return df if allowed is None else df.join(allowed.select(ACCT), ACCT, "left_semi")
+    return df if allowed is None else df.join(allowed.select(*on), list(on), "left_semi")
 
 
 # ----------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
-from vintagekit.config import DEFAULT_READS, StudyConfig
+from vintagekit.config import DEFAULT_READS, SCORE_AVAILABILITY_MAX_MOB, StudyConfig
 
 CFG = StudyConfig()
 
@@ -985,6 +985,18 @@ SELECT * FROM cohort WHERE creditaccountid IN (
   SELECT creditaccountid FROM fact WHERE cardid IS NOT NULL AND newaccountindicator = 1 AND substr(reservationnumber, 1, 4) IN ({_codes()})
     AND creditline = {CFG.creditline_tier})""", COHORT_DOUBLES)
 
+register("enrich_in_place", QUERIES["dim_enrich"])
+register("exclude_accounts", BASE + "\nSELECT * FROM fact WHERE creditaccountid NOT IN (SELECT creditaccountid FROM excl)")
+register("restrict_fact", BASE + "," + TIER + "\nSELECT * FROM fact WHERE creditaccountid IN (SELECT creditaccountid FROM tier)")
+register("board_rows", BASE + "," + boards_cte() + f"""
+SELECT b.vintage, f.monthsonbooks, count(*) AS rows,
+  CAST(sum(CASE WHEN f.bhvr_score BETWEEN {CFG.valid_min} AND {CFG.valid_max} THEN 1 ELSE 0 END) AS BIGINT) AS valid_scores,
+  max(f.dimbucketid) AS max_bucket, CAST(sum(CASE WHEN f.chargeoffindicator = 1 THEN 1 ELSE 0 END) AS BIGINT) AS chargeoffs
+FROM boards b JOIN fact f ON b.creditaccountid = f.creditaccountid
+WHERE f.cardid IS NOT NULL AND f.monthsonbooks BETWEEN 1 AND {SCORE_AVAILABILITY_MAX_MOB}
+  AND (f.activeaccountindicator = 1 OR f.chargeoffindicator = 1)
+GROUP BY 1, 2""")
+
 
 # ----------------------------------------------------------------------------
 # campaign pipeline (adapter C in SQL)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vintagekit.plans import campaign, mart, studio
+from vintagekit.plans import campaign, layouts, mart, studio
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -41,6 +41,7 @@ grouped_summary grouped_segments grouped_diagnostics activation_base activation_
 activation_histogram activation_table activation_by_score real_score_deciles real_score_quantiles asof_forward asof_backward asof_nearest selected_deciles
 selected_gains selected_kpis stored_month_stats cube_months_touched account_payload columnar_payload payload_metadata decile_export activation_export
 dataset_diagnostics restrict_accounts"""
+LAYOUTS = "enrich_in_place exclude_accounts restrict_fact board_rows"
 CAMPAIGN = """campaign_windows mailfile_month applications first_application response_join final_response
 campaign_flags vs_band fixed_cut_deciles campaign_rollup combined_rollup append_attributes engineered_features
 woe_transforms feature_select feature_select_sc4"""
@@ -51,4 +52,4 @@ validate_rollup_faulty validation_summary parse_rollup_month missing_months mart
 csv_rollup_roundtrip load_log ingest_plan ingest_summary ingest_isolation mart_swap mart_status filtered_export cache_or_compute cache_rules"""
 
 QUERIES = {name: _edge(getattr(module, name))
-           for module, names in ((studio, STUDY), (campaign, CAMPAIGN), (mart, MART)) for name in names.split()}
+           for module, names in ((studio, STUDY), (layouts, LAYOUTS), (campaign, CAMPAIGN), (mart, MART)) for name in names.split()}

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from vintagekit.session import checkpoint_dir
 from vintagekit.sources.publish import Folder
@@ -50,10 +51,14 @@ def source_path(spark: SparkSession, name: str, sources: Iterable[str], *params:
     return stage_path(spark, name, fingerprint(spark, sources), *params)
 
 
-def _complete(spark: SparkSession, path: str, required: Iterable[str], allow_empty: bool = True) -> DataFrame | None:
+def _read(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+
+
+def _complete(spark: SparkSession, path: str, required: Iterable[str], allow_empty: bool = True, schema: StructType | None = None) -> DataFrame | None:
     try:
         spark.read.text(f"{path}/_SUCCESS")
-        df = spark.read.parquet(path)
+        df = _read(spark, path, schema)
     except AnalysisException as e:  # only a missing path means "not staged"; anything else is raised
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -65,11 +70,14 @@ def _complete(spark: SparkSession, path: str, required: Iterable[str], allow_emp
 
 def cache_or_compute(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                      required: Iterable[str] = (), refresh: bool = False,
-                     sort_within: Iterable[str] = (), allow_empty: bool = True) -> DataFrame:
-    """Read ``path`` when it is complete; else compute beside it, move the copy in and read it."""
+                     sort_within: Iterable[str] = (), allow_empty: bool = True,
+                     write: Callable[[DataFrame, str], None] = lambda df, place: df.write.parquet(place),
+                     schema: StructType | None = None) -> DataFrame:
+    """Read ``path`` when it is complete; else compute beside it, move the copy in and read it. ``write`` puts the files
+    of the copy in a folder; ``schema`` is needed where it may put none there."""
     required = list(required)
     if not refresh:
-        df = _complete(spark, path, required, allow_empty)
+        df = _complete(spark, path, required, allow_empty, schema)
         if df is not None:
             return df
     out = build()
@@ -78,20 +86,20 @@ def cache_or_compute(spark: SparkSession, path: str, build: Callable[[], DataFra
         out = out.sortWithinPartitions(*sort_within)
     parent, _, name = path.rpartition("/")
     own = f"{name}.{uuid.uuid4().hex}"
-    out.write.parquet(f"{parent}/{own}")
+    write(out, f"{parent}/{own}")
     folder = Folder(spark, parent)
     if folder.exists(name):
-        if not refresh and _complete(spark, path, required, allow_empty) is not None:  # another builder was faster
+        if not refresh and _complete(spark, path, required, allow_empty, schema) is not None:  # another builder was faster
             folder.remove(own)
-            return spark.read.parquet(path)
+            return _read(spark, path, schema)
         folder.remove(name)
     try:
         folder.move(f"{parent}/{own}", path)
         if folder.exists(name, own):  # some file systems move into a folder that came up meanwhile
             folder.remove(name, own)
     except OSError:
-        if _complete(spark, path, required, allow_empty) is None:
+        if _complete(spark, path, required, allow_empty, schema) is None:
             raise
         folder.remove(own)
     spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path)
+    return _read(spark, path, schema)

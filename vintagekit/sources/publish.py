@@ -40,6 +40,10 @@ class Folder:
     def has_files(self, *parts: str) -> bool:
         return any(f.isFile() and f.getLen() and f.getPath().getName()[:1] not in "_." for f in self._fs.listStatus(self._path(self.at(*parts))))
 
+    def size(self, *parts: str) -> int:
+        """Bytes of all files below; 0 if there is no such place."""
+        return self._fs.getContentSummary(self._path(self.at(*parts))).getLength() if self.exists(*parts) else 0
+
     def move(self, source: str, target: str) -> None:
         self._fs.mkdirs(self._path(target).getParent())
         if not self._fs.rename(self._path(source), self._path(target)):
