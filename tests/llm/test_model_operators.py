@@ -69,16 +69,15 @@ def test_em_recovers_accuracies():
 # --- top k ------------------------------------------------------------------------------------
 
 def brute_top(rows, k=5):
-    best = {}
+    kept = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [min(max(math.floor(256 * float(x)), -2**63), 2**63 - 1) for x in v]
-        best[i] = min(best.get(i, q), q)
+        kept.append((i, [min(max(math.floor(256 * float(x)), -2**63), 2**63 - 1) for x in v]))
     out = []
-    for i, q in best.items():
+    for at, (i, q) in enumerate(kept):
         if i % 50 == 0:
-            s = sorted((-min(max(sum(a * b for a, b in zip(q, c)), 1 - 2**63), 2**63 - 1), j) for j, c in best.items() if j != i)
+            s = sorted((-min(max(sum(a * b for a, b in zip(q, c)), 1 - 2**63), 2**63 - 1), j) for n, (j, c) in enumerate(kept) if n != at)
             out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s[:k])]
     return out
 
@@ -94,6 +93,21 @@ def test_top_k_equals_brute_force(spark, block):
     same(topk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0, block=block).collect(), brute_top(rows))
 
 
+def test_top_k_takes_every_row_but_the_querys_own(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1.0]), (50, [4.0]), (50, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k_report(df).collect()
+    same(got, brute_top(rows))
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [50, 50, 1, 1, 2]
+
+
+def test_top_k_in_many_groups_of_queries(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(50 * (i // 2)), [float(x) for x in rng.normal(0, 1, 3)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(topk.top_k(df, F.col("vec_id") % 50 == 0, block=100, chunks=1).collect(), brute_top(rows))
+
+
 def test_top_k_of_large_values_and_few_rows(spark):
     rows = [(0, [3.0e30, 1.0]), (1, [3.0e30, -1.0]), (2, [1e6, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
