@@ -304,9 +304,9 @@ def test_warc_round_trip_and_index(spark):
             (6, "http://www.a.org:80/x?y", "s"), (None, "http://n.org/\r\nX: 1", big), (7, "http://[bad", "\r\n\r\nWARC/1.1\r\n"), (5, "http://www.a.org/x?y", "s"), (8, "http://h.org", "q" * 300_000)]
     pages = spark.createDataFrame([(i, u, h, "c", 1) for i, u, h in rows], "page_id long, url string, html string, path string, offset int").repartition(3)
     captures, shards = warc.archive(pages)
-    got = warc.read_archives(shards).collect()
+    got = warc.read_archives(warc.search(shards, warc.wanted(pages))).collect()
     same([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], brute_warc([(i, h) for i, _, h in rows]))
-    top = sorted((r.first, r.shard) for r in shards.collect())
+    top = warc.firsts(shards)
     for url, ids in (("http://www.a.org/x?y", [1, 5, 5, 6]), ("http://h.org/", [8]), ("http://nowhere.org/", [])):
         found = []
         for path, offset, length in warc.find(top, url):
@@ -323,13 +323,39 @@ def test_warc_index_of_many_blocks(spark):
     captures = warc.write_archives(pages, _folder(spark), archive=20_000)
     assert captures.select("path").distinct().count() > 5
     shards = warc.write_index(captures, _folder(spark), lines=50)
-    top = sorted((r.first, r.shard) for r in shards.collect())
+    top = warc.firsts(shards)
     for n in range(0, 3000, 371):
         places = warc.find(top, f"http://h{n % 7}.org/p{n % 1000}")
         want = captures.where(F.col("key") == warc.surt(f"http://h{n % 7}.org/p{n % 1000}")).select("path", "offset", "length").collect()
         same(places, want)
 
 
+def test_warc_search_of_a_hot_address_and_of_absent_pages(spark):
+    pages = spark.range(2000).select(F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") - 700).alias("page_id"),
+                                     F.when(F.col("id") % 3 > 0, "http://hot.org/").otherwise(F.format_string("http://h%d.org/é", F.col("id"))).alias("url"),
+                                     F.lit("x").alias("html"))
+    captures = warc.write_archives(pages, _folder(spark), archive=20_000)
+    shards = warc.write_index(captures.repartition(8), _folder(spark), lines=7)
+    pairs = warc.wanted(pages).union(spark.createDataFrame([("org,hot)/", 9_999), ("zz", None), ("", 5)], "key string, page_id long"))
+    got = warc.search(shards, pairs)
+    same([tuple(r) for r in got.collect()], [tuple(r) for r in captures.select(got.columns).collect()])
+    assert warc.read_archives(got, read=1 << 14).rdd.getNumPartitions() > 1
+    assert warc.read_archives(got.limit(0)).collect() == []
+
+
+def test_warc_results_come_from_the_directory(spark):
+    """Directories that point at the wrong blocks lose records."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.format_string("http://h%02d.org/", F.col("id")).alias("url"), F.lit("x").alias("html"))
+    shards = warc.write_index(warc.write_archives(pages, _folder(spark)).coalesce(1), _folder(spark), lines=5)
+    for path in [r.shard for r in shards.collect()]:
+        with warc._open(path + ".dir") as f:
+            rows = [r.split("\t") for r in f.read().decode().split("\n")]
+        places = [r[2:] for r in rows]
+        with warc._create(path + ".dir") as f:
+            f.write("\n".join("\t".join(r[:2] + p) for r, p in zip(rows, places[1:] + places[:1])).encode())
+    assert warc.search(shards, warc.wanted(pages)).count() < 60
+
+
 def _folder(spark):
     import re
     import uuid

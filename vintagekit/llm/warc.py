@@ -8,11 +8,13 @@ no record twice.
 
 Index. The captures (reversed-host key, page id, file, offset, length) are range-sorted; each task writes its
 range as gzip blocks of ``LINES`` lines in one shard file, and a sparse directory beside it with the first
-key and place of each block. A search bisects the shards' first keys, then one shard's directory, reads one block
+(key, page id) and place of each block. A search bisects the shards' firsts, then one shard's directory, reads one block
 by its byte range, bisects its lines and reads the record by its byte range.
 
-Reading back goes through the index: all blocks give the places of all records, which are dealt by file and
-place, so each task reads the byte ranges of its files in order.
+Reading back searches the index for the (key, page id) of every page. The wanted pairs are range-sorted, so a hot
+address is spread by page ids and each task meets shards and blocks in order (one directory and one block are held). Every task
+gets the shards' firsts, one short row per shard of the index. The places found are dealt by file and stretch, in as many tasks as
+the bytes ask for (``READ`` each), and each task reads its byte ranges in order.
 
 Cases: a null html is an empty payload; a null url is an empty target; a null page id is kept as null
 (and is never referred to); rows that repeat a page id are records of their own (all rows
@@ -27,6 +29,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -38,14 +41,16 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from vintagekit.llm.common import stage
 from vintagekit.session import checkpoint_dir
 
-LEAST, ARCHIVE, LINES = 1000, 64 << 20, 1000
+LEAST, ARCHIVE, LINES, READ = 1000, 64 << 20, 1000, 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 _ENTRY = "key string, page_id long, path string, offset long, length long"
-_SHARD = "shard string, first string, blocks long, lines long"
+_SHARD = "shard string, first string, first_id long, blocks long, lines long"
 
 
 def surt(url: str | None) -> str:
@@ -183,7 +188,7 @@ def _indexer(folder: str, lines: int):
             nonlocal at
             member = gzip.compress("\n".join(block).encode(), compresslevel=6, mtime=0)
             out.write(member)
-            directory.append(f"{block[0].partition(chr(9))[0]}\t{at}\t{len(member)}")
+            directory.append("\t".join(block[0].split("\t")[:2]) + f"\t{at}\t{len(member)}")
             at += len(member)
             block.clear()
 
@@ -201,60 +206,98 @@ def _indexer(folder: str, lines: int):
         out.close()
         with _create(shard + ".dir") as d:
             d.write("\n".join(directory).encode())
+        key, page_id = directory[0].split("\t")[:2]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard]), pa.array([directory[0].partition("\t")[0]]), pa.array([len(directory)]), pa.array([total])],
-            ["shard", "first", "blocks", "lines"])
+            [pa.array([shard]), pa.array([key]), pa.array([int(page_id) if page_id else None], pa.int64()), pa.array([len(directory)]),
+             pa.array([total])], ["shard", "first", "first_id", "blocks", "lines"])
 
     return index
 
 
 def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
-    """Range-sort the captures and write the shards; one row per shard (shard, first, blocks, lines)."""
+    """Range-sort the captures and write the shards; one row per shard (shard, first, first_id, blocks, lines)."""
     order = ["key", "page_id", "path", "offset"]
     ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
     return stage(ranged.mapInArrow(_indexer(folder, lines), _SHARD), "shards")
 
 
-@lru_cache(maxsize=64)
-def _directory(shard: str) -> tuple[tuple[str, ...], tuple[tuple[int, int], ...]]:
+#: What sorts before every page id, as Spark sorts a null.
+_NONE = -(1 << 63) - 1
+
+
+def _at(page_id) -> int:
+    return _NONE if page_id is None or page_id == "" else int(page_id)
+
+
+def firsts(shards: DataFrame) -> list[tuple[str, int, str]]:
+    """(first key, first page id, shard) of all shards, sorted: one short row per shard."""
+    return sorted((r["first"], _at(r["first_id"]), r["shard"]) for r in shards.collect())
+
+
+@lru_cache(maxsize=4)
+def _directory(shard: str) -> tuple[tuple[tuple[str, int], ...], tuple[tuple[int, int], ...]]:
     with _open(shard + ".dir") as f:
         rows = [r.split("\t") for r in f.read().decode().split("\n")]
-    return tuple(r[0] for r in rows), tuple((int(r[1]), int(r[2])) for r in rows)
+    return tuple((r[0], _at(r[1])) for r in rows), tuple((int(r[2]), int(r[3])) for r in rows)
 
 
-def _block(shard: str, place: tuple[int, int]) -> list[list[str]]:
+@lru_cache(maxsize=2)
+def _block(shard: str, place: tuple[int, int]) -> tuple[tuple[str, int, str, int, int], ...]:
+    """Lines of one block: key, page id (``_NONE`` for null), path, offset, length."""
     with _open(shard) as f:
         f.seek(place[0])
-        return [r.split("\t") for r in zlib.decompress(f.read(place[1]), wbits=31).decode().split("\n")]
-
-
-def find(shards: list[tuple[str, str]], url: str) -> list[tuple[str, int, int]]:
-    """Places (path, offset, length) of all captures of an address. ``shards``: (first key, shard), sorted."""
-    key, out = surt(url), []
-    s = max(0, bisect.bisect_left(shards, (key,)) - 1)
-    while s < len(shards) and shards[s][0] <= key:
-        firsts, places = _directory(shards[s][1])
-        b = max(0, bisect.bisect_left(firsts, key) - 1)
-        while b < len(firsts) and firsts[b] <= key:
-            rows = _block(shards[s][1], places[b])
-            at = bisect.bisect_left(rows, [key])
-            while at < len(rows) and rows[at][0] == key:
-                out.append((rows[at][2], int(rows[at][3]), int(rows[at][4])))
+        rows = [r.split("\t") for r in zlib.decompress(f.read(place[1]), wbits=31).decode().split("\n")]
+    return tuple((r[0], _at(r[1]), r[2], int(r[3]), int(r[4])) for r in rows)
+
+
+def _lines(shards: list[tuple[str, int, str]], low: tuple[str, int], high: tuple[str, int]) -> Iterator[tuple]:
+    """Lines between two (key, page id) pairs, both included."""
+    s = max(0, bisect.bisect_left(shards, low) - 1)
+    while s < len(shards) and shards[s][:2] <= high:
+        heads, places = _directory(shards[s][2])
+        b = max(0, bisect.bisect_left(heads, low) - 1)
+        while b < len(heads) and heads[b] <= high:
+            rows = _block(shards[s][2], places[b])
+            at = bisect.bisect_left(rows, low)
+            while at < len(rows) and rows[at][:2] <= high:
+                yield rows[at]
                 at += 1
             b += 1
         s += 1
-    return out
 
 
-# --- reading ----------------------------------------------------------------------------------
+def find(shards: list[tuple[str, int, str]], url: str) -> list[tuple[str, int, int]]:
+    """Places (path, offset, length) of all captures of an address. ``shards``: as :func:`firsts` gives them."""
+    key = surt(url)
+    return [line[2:] for line in _lines(shards, (key, _NONE), (key, 1 << 63))]
 
-def _list_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard in batch.column(0).to_pylist():
-            for place in _directory(shard)[1]:
-                rows = _block(shard, place)
-                yield _entries([(r[0], int(r[1]) if r[1] else None, r[2], int(r[3]), int(r[4])) for r in rows])
 
+def wanted(pages: DataFrame) -> DataFrame:
+    """Distinct (key, page_id) of the pages."""
+    @arrow_udf(T.StringType())
+    def keys(urls: pa.Array) -> pa.Array:
+        return pa.array([surt(u.as_py()) for u in urls], pa.string())
+
+    return pages.select(keys(F.col("url").cast("string")).alias("key"), F.col("page_id").cast("long").alias("page_id")).distinct()
+
+
+def search(shards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Captures (key, page_id, path, offset, length) of the wanted (key, page_id) pairs, found through the index."""
+    shared = shards.sparkSession.sparkContext.broadcast(firsts(shards))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, page_id in zip(*(c.to_pylist() for c in batch.columns)):
+                pair = (key, _at(page_id))
+                found += [(key, page_id, *line[2:]) for line in _lines(shared.value, pair, pair)]
+            yield _entries(found)
+
+    ranged = pairs.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    return ranged.mapInArrow(look_up, _ENTRY)
+
+
+# --- reading ----------------------------------------------------------------------------------
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -280,10 +323,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f.close()
 
 
-def read_archives(shards: DataFrame) -> DataFrame:
-    """All records, found through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    places = shards.select("shard").repartition("shard").mapInArrow(_list_captures, _ENTRY).select("path", "offset", "length")
-    dealt = (places.repartition("path", F.floor(F.col("offset") / F.lit(1 << 20))).sortWithinPartitions("path", "offset"))
+def read_archives(captures: DataFrame, read: int = READ) -> DataFrame:
+    """The records at the places of ``captures`` (path, offset, length): page_id, url, payload_bytes, payload_digest, record_type,
+    refers_to."""
+    places = stage(captures.select("path", "offset", "length"), "places")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    # stretches of at most ``read`` bytes, more and smaller ones while there are fewer than tasks to run
+    tasks = max(1, math.ceil(size / read), min(2 * places.sparkSession.sparkContext.defaultParallelism, math.ceil(size / (1 << 20))))
+    dealt = places.repartition(tasks, "path", F.floor(F.col("offset") / F.lit(1 << 20))).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -297,7 +344,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, Dat
 
 def warc_report(pages: DataFrame) -> DataFrame:
     """Per page, as read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return read_archives(archive(pages)[1]).drop("url")
+    _, shards = archive(pages)
+    return read_archives(search(shards, wanted(pages))).drop("url")
 
 
 ORACLE_SQL = """
