@@ -66,6 +66,20 @@ def test_em_recovers_accuracies():
     assert np.abs(model.on_good - on_good).max() < 0.03 and np.abs(model.on_bad - on_bad).max() < 0.06
 
 
+@pytest.mark.parametrize("rate", [0.6, 0.8, 0.95])
+def test_em_recovers_a_poor_labeller(rate):
+    """The model of production finds how often one labeller is wrong about good documents, whatever the others do."""
+    rng = np.random.default_rng(9)
+    m, n = len(quality.LABELLERS), 20_000
+    good = rng.random(n) < 0.8
+    on_good, on_bad = np.full(m, 0.98), np.full(m, 0.6)
+    on_good[3] = rate
+    votes = np.where(rng.random((n, m)) < np.where(good[:, None], on_good, on_bad), good[:, None], ~good[:, None]).astype(int)
+    model = quality.LabelModel(Counter(quality.pattern(v) for v in votes.tolist()))
+    assert abs(model.share - 0.8) < 0.02 and abs(model.on_good[3] - rate) < 0.02
+    assert abs(model.on_bad[3] - 0.6) < 0.05
+
+
 # --- top k ------------------------------------------------------------------------------------
 
 def brute_top(rows, k=5):

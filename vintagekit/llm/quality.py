@@ -33,9 +33,9 @@ from pyspark.sql.functions import arrow_udf
 from vintagekit.llm.common import stage
 
 DIM, TRAIN_ROWS, KEEP = 1024, 16_384, 0.5
-#: Prior of the fit: labellers are made to pass good documents this often. It weighs as much as the data, at any
-#: size, so a kind of bad documents that few labellers see is not taken for good ones with false alarms.
-RIGHT, RIGHT_WEIGHT = 0.995, 1.0
+#: Pseudo-counts of the fit, a fixed few votes that any real table outweighs: right votes of all votes on
+#: good and on bad documents, and good documents of all.
+ON_GOOD, ON_BAD, SHARE = (9, 10), (4, 10), (4, 5)
 LABELLERS = ("symbols", "word_shapes", "capitals", "adjacent_repeats", "variety", "bare_marks", "sentences", "lines", "word_length", "shouts",
              "runs")
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -130,8 +130,7 @@ def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 class LabelModel:
     """Two hit rates per labeller and the share of good documents, by EM over vote patterns."""
 
-    def __init__(self, patterns: dict[int, int], rounds: int = 100, weight: float = 0.0):
-        """``weight``: what the prior RIGHT weighs against the data, in shares of the documents."""
+    def __init__(self, patterns: dict[int, int], rounds: int = 100):
         m = len(LABELLERS)
         keys = np.array(sorted(patterns), np.int64)
         n = np.array([patterns[k] for k in keys], float)
@@ -141,11 +140,9 @@ class LabelModel:
         q = np.where(bad.sum(1) * 5 >= np.maximum(1, (good | bad).sum(1)), 0.1, 0.95)
         for _ in range(rounds):
             wg, wb = n * q, n * (1 - q)
-            self.share = (wg.sum() + 4) / (n.sum() + 5)
-            # priors: a labeller is right about good documents 9 of 10 times, about bad ones 4 of 10
-            seen, extra = (wg[:, None] * (good | bad)).sum(0), weight * n.sum()
-            self.on_good = ((wg[:, None] * good).sum(0) + 9 + RIGHT * extra) / (seen + 10 + extra)
-            self.on_bad = ((wb[:, None] * bad).sum(0) + 4) / ((wb[:, None] * (good | bad)).sum(0) + 10)
+            self.share = (wg.sum() + SHARE[0]) / (n.sum() + SHARE[1])
+            self.on_good = ((wg[:, None] * good).sum(0) + ON_GOOD[0]) / ((wg[:, None] * (good | bad)).sum(0) + ON_GOOD[1])
+            self.on_bad = ((wb[:, None] * bad).sum(0) + ON_BAD[0]) / ((wb[:, None] * (good | bad)).sum(0) + ON_BAD[1])
             q = self.posterior(votes)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -178,7 +175,7 @@ def fit(facts: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.
     """The label model over all of ``facts`` (k, pattern, words, at, value) and the scorer's weights."""
     seen = facts.where("words")
     patterns = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}
-    model = LabelModel(patterns, weight=RIGHT_WEIGHT)
+    model = LabelModel(patterns)
     rows = seen.orderBy("k").limit(train_rows).select("pattern", "at", "value").toArrow().to_pydict()
     labels = model.of_patterns(np.array(rows["pattern"], np.int64))
     return model, train(list(zip(rows["at"], rows["value"])), labels)
