@@ -74,7 +74,7 @@ _WINDOWS: dict[tuple, tuple[dt.date, dt.date, dt.date]] = {}
 def inputs(spark: SparkSession, sf_dir: str, cfg: StudyConfig = CFG) -> StudyInputs:
     """Fact, dimensions and the detected window (one aggregated row, computed once per session and scope). A
     configuration without a snapshot month gets the detected one."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     fact = staged_fact(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, cfg)
     if key not in _WINDOWS:
@@ -97,19 +97,19 @@ def tie_aware_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_account_month(spark, sf_dir):
     """SRC1: the account-month fact (adapter A)."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return TD.account_month_fact(spark, sf_dir)
 
 
 def dim_enrich(spark, sf_dir):
     """J1 + J2: fact with channel and the month-end scorecard identifier."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     fact = TD.account_month_fact(spark, sf_dir)
     return P.dim_enrich(fact, TD.product_dimension(spark, sf_dir), TD.month_end_info(spark, sf_dir))
 
 
 def data_window(spark, sf_dir):
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return P.data_window(staged_fact(spark, sf_dir), CFG)
 
 
@@ -118,7 +118,7 @@ def exclusion_set(spark, sf_dir):
 
 
 def tier_accounts(spark, sf_dir):
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return P.tier_accounts(staged_fact(spark, sf_dir), CFG)
 
 
@@ -224,19 +224,19 @@ def _asof(spark, sf_dir, direction, **kw):
 
 def asof_forward(spark, sf_dir):
     """J5 as an operator on two tables: the first valid score at or after the date."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return _asof(spark, sf_dir, "forward")
 
 
 def asof_backward(spark, sf_dir):
     """J5 backward, at most 45 days."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return _asof(spark, sf_dir, "backward", tolerance=45)
 
 
 def asof_nearest(spark, sf_dir):
     """J5 either way, at most 400 days, the later of two equally near."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     return _asof(spark, sf_dir, "nearest", tolerance=400, prefer="forward")
 
 
@@ -360,7 +360,7 @@ def board_reconciliation(spark, sf_dir):
 
 def _priced_lines(spark, sf_dir):
     """Order lines by status with a real-valued score (the price) and a flag (returned)."""
-    prepare(spark)
+    prepare(spark, TD.source_files(sf_dir))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select("l_linestatus", F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("int").alias("bad"))
 
