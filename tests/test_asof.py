@@ -78,3 +78,15 @@ def test_no_task_orders_a_whole_key(spark):
     for line in plan.splitlines():
         if "windowspecdefinition" in line and "_t#" in line.split("windowspecdefinition")[1]:
             assert "_slice#" in line.split("windowspecdefinition")[1]
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_left_rows_of_one_time_are_looked_up_once(spark, direction):
+    left = spark.range(500).selectExpr("cast(id as int) as id", "0 as k", "date_add(date'2024-01-01', cast(id % 5 as int)) as at")
+    right = spark.createDataFrame([(0, DAY + dt.timedelta(days=2), 7)], "k int, seen date, score int")
+    out = asof_join(left, right, ["k"], "at", "seen", ["score"], direction)
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("_l#" in line for line in windows)
+    rows = out.collect()
+    found = {"backward": {2, 3, 4}, "forward": {0, 1, 2}, "nearest": set(range(5))}[direction]
+    assert len(rows) == 500 and all((r["score"] == 7) == (r["id"] % 5 in found) for r in rows)

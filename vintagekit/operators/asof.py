@@ -3,7 +3,8 @@
 Both tables are united and each (key, slice of time) is ordered once; the last or next right row is carried along as the
 last non-null value. A key is cut into slices of time, so a key that holds a large part of all rows is many keys; what a
 slice takes over from the slices beside it is one row for each slice, carried over the slices of a key. Right rows of
-one key and time are reduced to the first in tie order before they travel.
+one key and time are reduced to the first in tie order before they travel; left rows of one key and time are looked up once
+and get the result by an equality join, so a slice holds distinct times only.
 """
 
 from __future__ import annotations
@@ -52,9 +53,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     here = usable & F.col(left_time).isNotNull()
     timed = left.where(here)
     lefts = timed.select(*keys, _position(left, left_time).alias("_t"), F.struct(*[F.col(c) for c in own]).alias("_l"))
-    lefts = lefts.select(*keys, "_t", slot, "_l")
-    both = r.select(*keys, "_t", "_slice", F.lit(None).cast(lefts.schema["_l"].dataType).alias("_l"), "_r").unionByName(
-        lefts.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)))
+    asked = lefts.select(*keys, "_t").distinct().select(*keys, "_t", slot)
+    both = r.select(*keys, "_t", "_slice", F.lit(False).alias("_asked"), "_r").unionByName(
+        asked.select("*", F.lit(True).alias("_asked"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r")))
     ends = both.groupBy(*keys, "_slice").agg(F.min("_r.t").alias("_lo"), F.min_by("_r", "_r.t").alias("_first"), F.max_by("_r", "_r.t").alias("_last"))
     slices = Window.partitionBy(*keys).orderBy("_slice")
     ends = ends.select(
@@ -62,17 +63,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
         F.first("_first", True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     both = both.join(ends, [*keys, "_slice"])
     inside = Window.partitionBy(*keys, "_slice")
-    right_first = F.col("_l").isNotNull()
+    right_first = F.col("_asked")
     back = F.last("_r", True).over(inside.orderBy(F.asc("_t"), right_first).rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.last("_r", True).over(inside.orderBy(F.desc("_t"), right_first).rowsBetween(Window.unboundedPreceding, 0))
     back, ahead = F.coalesce(back, "_before"), F.coalesce(ahead, "_after")
     if direction == "nearest":
-        found = both.withColumns({"_b": back, "_a": ahead}).where(F.col("_l").isNotNull())
+        found = both.withColumns({"_b": back, "_a": ahead}).where("_asked")
         b, a = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
         first = b <= a if prefer == "backward" else b < a
         found = found.withColumn("_m", F.when(b.isNull() | (a.isNotNull() & ~first), F.col("_a")).otherwise(F.col("_b")))
     else:
-        found = both.withColumn("_m", back if direction == "backward" else ahead).where(F.col("_l").isNotNull())
+        found = both.withColumn("_m", back if direction == "backward" else ahead).where("_asked")
+    found = lefts.join(found.select(*keys, "_t", "_m"), [*keys, "_t"])
     gap = F.col("_m.t") - F.col("_t")
     near = F.col("_m").isNotNull() & (F.lit(True) if tolerance is None else F.abs(gap) <= F.lit(tolerance))
     out = found.select("_l.*", *[F.when(near, F.col("_m.r")[c]).alias(c) for c in columns], F.when(near, gap).alias("gap"))
