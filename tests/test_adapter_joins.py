@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
+from vintagekit import session as S
 from vintagekit.operators import campaign as CP
 from vintagekit.plans import campaign as CA
 from vintagekit.sources import buckets as B
@@ -49,6 +51,22 @@ def test_customers_meet_orders_before_line_items(spark, no_broadcast):
     assert 0 < text.index("SortMergeJoin [l_orderkey") < text.index("SortMergeJoin [o_custkey")
 
 
+def test_open_dates_are_taken_per_order_first(spark, no_broadcast):
+    text = plan(TD.account_month_fact(spark, SF_CHECK))
+    assert "HashAggregate(keys=[l_orderkey" in text
+    assert all("l_quantity" not in line for line in text.splitlines() if "SortMergeJoin" in line or "Exchange" in line)
+
+
+def test_fact_over_odd_rows(spark, odd):
+    got = sorted(tuple(r) for r in TD.account_month_fact(spark, odd).select(
+        "creditaccountid", "cardid", "opendate", "newaccountindicator", "activeaccountindicator", "chargeoffindicator", "dimbucketid",
+        F.coalesce("esc", F.lit("-")), F.coalesce(F.col("reportingdate").cast("string"), F.lit("-"))).collect())
+    opened = dt.date(1998, 2, 20)
+    assert got == [(7, 11, opened, 0, 1, 1, 0, "Z", "1998-03-31"), (7, 11, opened, 0, 1, 1, 0, "Z", "1998-03-31"),
+                   (7, 21, opened, 1, 0, 0, 60, " ", "1998-02-28"), (7, 22, opened, 0, 1, 0, 30, "-", "-"),
+                   (8, 41, None, 0, 1, 0, 0, "-", "-")]
+
+
 def test_laid_out_applications_keep_every_row(spark, odd):
     build = lambda: TD.application_rows(spark, odd)
     laid = B.bucketed(spark, stage_path(spark, "odd-applications", odd), build, ["APPLICATION_ID"], 8)
@@ -58,3 +76,7 @@ def test_laid_out_applications_keep_every_row(spark, odd):
     rows = sorted((r.APPLICATION_ID, r.RESERVATION_NUMBER, r.AppRcvDate, r.BoardDate) for r in got.collect())
     assert rows == [*[("1-1-10-1", "P001001000000001", dt.date(1998, 3, 9), dt.date(1998, 3, 9))] * 8,  # a repeated order: 2 x 2 x 2
                     ("2-1-11-2", "P001001000000002", dt.date(1998, 2, 20), None)]
+
+
+def test_a_task_of_a_scan_reads_at_most_16_mb(spark):
+    assert S.TASK_BYTES <= 16 << 20
