@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,22 @@ def brute_divergence(rows, min_docs=30, top=50):
     return out
 
 
+def test_a_worker_holds_little_of_what_it_has_aligned():
+    """Texts that are one part each."""
+    words, rng = [f"w{i}" for i in range(5000)], np.random.default_rng(7)
+    paths = vocab.vocabulary(vocab.BYTE_BPE), vocab.vocabulary(vocab.PIECE_BPE)
+    texts = ["▁ " + " ".join(rng.choice(words, 2500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    rows = held = most = 0
+    for out in align._align_texts(*paths)(iter([batch])):
+        rows, most = rows + len(out), max(most, len(out))
+        held = max(held, align._ALIGNERS[paths].table.nbytes)
+    align._ALIGNERS.clear()
+    assert rows == len(texts)
+    assert held < 96 << 20
+    assert most * len(texts[0].encode()) < 1.5 * (1 << 20)
+
+
 @pytest.mark.parametrize("shape", [{}, {"tile": 16, "block": 3}, {"min_docs": 1, "top": 5}, {"min_docs": 10 ** 6}])
 def test_divergence_against_brute_force(docs, rows, shape):
     got = divergence.divergence(docs, **shape)

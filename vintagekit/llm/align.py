@@ -11,6 +11,9 @@ A document keeps its distinct linked pairs of ids with their number of links. Th
 hold the pair) start as Table.group_by counts of a task and are merged by Spark. Pairs with a ``HEAD``-th of all counts
 or more (so at most HEAD) go to every task; links of other pairs are joined by shuffle, where no key is hot.
 
+A worker holds one slice of texts (``SLICE`` bytes, at least a text) and its aligned parts (``PARTS``, ``PARTS_MB``); Arrow gives what
+a slice took back to the system before the next one.
+
 The results of a task are written to the shared folder once, so tokenizers run once and a lost executor costs its tasks.
 
 Cases: null and empty texts, and texts whose joined token bytes differ from a space and the text for A or B, have zeros
@@ -36,7 +39,7 @@ from vintagekit.llm.common import stage
 
 BITS = 20  # of an id: a document of a slice and two ids make one integer
 ID = (1 << BITS) - 1
-HEAD, SLICE, HELD, PARTS, PARTS_MB = 200_000, 2 << 20, 500_000, 600_000, 200
+HEAD, SLICE, HELD, PARTS, PARTS_MB = 200_000, 1 << 20, 500_000, 400_000, 64
 RUN = 1 << 20
 
 
@@ -188,6 +191,8 @@ def _align_texts(path_a: str, path_b: str):
                 part = batch.slice(at, n)
                 out = aligner.documents(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *out.columns], ["doc_id", *out.schema.names])
+                del out
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -205,6 +210,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per pair of a task, passed on whenever many pairs are held."""
     pa.set_cpu_count(1)
     _ALIGNERS.clear()  # all texts are aligned by now
+    pa.default_memory_pool().release_unused()
     held = pa.table({"link": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
 
     def split() -> list[pa.RecordBatch]:
