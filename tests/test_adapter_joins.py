@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_CHECK
 from vintagekit import session as S
 from vintagekit.operators import campaign as CP
+from vintagekit.operators import features as FE
 from vintagekit.plans import campaign as CA
 from vintagekit.sources import buckets as B
 from vintagekit.sources import testdata as TD
@@ -80,3 +81,45 @@ def test_laid_out_applications_keep_every_row(spark, odd):
 
 def test_a_task_of_a_scan_reads_at_most_16_mb(spark):
     assert S.TASK_BYTES <= 16 << 20
+
+
+def test_attributes_are_exchanged_before_they_are_made(spark, no_broadcast):
+    mail = spark.createDataFrame([("7",), ("8",), (None,)], "ENCRYPTED_PIN string")
+    text = plan(FE.append_attributes(mail, TD.bureau_attributes(spark, SF_CHECK), "TRM_BUREAU_A%"))
+    assert "Exchange hashpartitioning(EPIN#" not in text and text.count("Exchange hashpartitioning(") == 4  # the sums lie by the join's key
+    assert "l_returnflag" not in text.split("SortMergeJoin [l_orderkey")[0]
+
+
+def test_attributes_over_odd_rows(spark, odd, tmp_path):
+    lines = [(1, 2.0, 10.9, "R", "O"), (1, 3.0, 20.9, "R", "F"), (2, 4.0, 30.9, "N", "O"), (3, 5.0, 1.0, "R", "O"), (4, None, None, None, None), (9, 1.0, 1.0, "R", "O")]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.mode(
+        "overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.EPIN: tuple(r)[1:] for r in TD.bureau_attributes(spark, odd).select("EPIN", "FileName", "ALL2350", "IQB9416", "IQT9410", "ALL7120", "BCC5421").collect()}
+    # order 1 stands twice: lines n, quantity q, price px, returned nr, open no
+    assert got == {"7": ("TRM_BUREAU_A", 4.0, 1.0, (5 + 3) % 11 * 1.0, 14.0, 90.0),  # n 5, q 14, px 90, nr 4, no 3
+                   "8": ("TRM_BUREAU_A", 0.0, 1.0, 1.0, None, None),
+                   None: ("TRM_BUREAU_A", 1.0, 1.0, 2.0, 5.0, 1.0)}
+
+
+def test_applications_lie_by_order(spark, no_broadcast):
+    """Joined there, and a reservation's applications meet before they are exchanged."""
+    text = plan(CA.applications(spark, SF_CHECK))
+    assert "Exchange hashpartitioning(l_orderkey" not in text and "Exchange hashpartitioning(APPLICATION_ID" not in text
+    assert text.count("SortMergeJoin [APPLICATION_ID") == 2 and text.count("Bucketed: true") == 3
+    CA.staged_response(spark, SF_CHECK)
+    assert spark.conf.get(S.ALL_KEYS) == "true"  # for these joins only
+    built = plan(TD.application_rows(spark, SF_CHECK, 8))
+    assert built.count("Exchange hashpartitioning(l_orderkey") == 1 and "REPARTITION_BY_NUM" in built
+
+
+def test_applications_by_order_keep_every_row(spark, odd):
+    laid = B.bucketed(spark, stage_path(spark, "odd-by-order", odd), lambda: TD.application_rows(spark, odd, 8), ["l_orderkey"], 8, placed=True)
+    rows = TD.application_rows(spark, odd)
+    assert laid.columns == rows.columns and laid.exceptAll(rows).isEmpty() and rows.exceptAll(laid).isEmpty()
+    files = [r.f for r in laid.select(F.input_file_name().alias("f")).distinct().collect()]
+    assert len(files) == len({f.rsplit("_", 1)[1] for f in files})  # a bucket is one file
+    codes = spark.createDataFrame([(dt.date(1998, 1, 1), "P001001"), (dt.date(1998, 2, 1), "P002002")], "campaign_month date, OFFER_CODE_FIRST_7 string")
+    parts = (TD.applications, TD.applicants, TD.application_status)
+    got = CP.applications(*[t(laid, TD.APPLICATION_KEY) for t in parts], codes, TD.APPLICATION_KEY)
+    want = CP.applications(*[t(rows) for t in parts], codes)
+    assert got.columns == want.columns and want.count() > 8 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
