@@ -1,5 +1,6 @@
 """Columnar payload and the rules of the staged copies."""
 
+import datetime as dt
 import os
 import threading
 
@@ -86,3 +87,21 @@ def test_incomplete_and_empty_copies_are_built_again(spark, tmp_path):
     spark.range(0).write.mode("overwrite").parquet(path)
     assert rows() == 0 and rows(allow_empty=False) == 5 and len(builds) == 3
     assert rows(refresh=True) == 5 and len(builds) == 4
+
+
+def test_account_frame_is_one_aggregation(spark):
+    """Null keys keep their row without flags; a base row needs the first read and a valid score."""
+    cfg = StudyConfig()
+    one, two = cfg.reads[:2]
+    rows = [("a", 1, one.key, dt.date(1998, 1, 31), 700, 1, 1), ("a", 1, two.key, dt.date(1998, 1, 31), 700, None, 1), ("a", 1, one.key, dt.date(1997, 1, 31), 650, 0, 0),
+            ("a", 2, one.key, dt.date(1998, 1, 31), 100, 1, 1), ("a", 3, two.key, dt.date(1998, 1, 31), 700, 1, 1), ("a", 4, one.key, None, 900, 1, None),
+            ("a", None, one.key, dt.date(1998, 1, 31), 700, 1, 1), (None, 5, one.key, dt.date(1998, 1, 31), 700, 1, 1), ("a", 6, None, None, 700, 1, 1),
+            ("a", 7, one.key, dt.date(1998, 1, 31), None, 1, 1)]
+    long = spark.createDataFrame(rows, "population string, creditaccountid long, read_key string, board_month date, bhvr_score int, metric_eligible int, target int").selectExpr(
+        "*", "'P' as program_code", "cast(null as string) as channel", "cast(1000 as double) as creditline")
+    out = PL.account_frame(long, (one, two), "board_month", cfg, keys=["population"])
+    got = {tuple(r) for r in out.collect()}
+    none = (0, 0)
+    assert got == {("a", 1, "1997-01", 650, 1000.0, "P", "", 1, 1, 0, 1), ("a", 4, None, 900, 1000.0, "P", "", 1, 0, *none),
+                   ("a", None, "1998-01", 700, 1000.0, "P", "", *none, *none), (None, 5, "1998-01", 700, 1000.0, "P", "", *none, *none)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

@@ -15,33 +15,34 @@ ACCT = "creditaccountid"
 
 def account_frame(long: DataFrame, reads: Sequence[Read], board_col: str, cfg: StudyConfig,
                   keys: Sequence[str] = ()) -> DataFrame:
-    """J14 + D5: align the reads of one population on the first read's accounts.
+    """J14 + D5: align the reads of one population on the first read's accounts, in one aggregation.
 
     ``long`` has one row per (account, read) with metric_eligible and target.
     The base is the first read's accounts with a valid score; every read
-    contributes e_<read> (eligible) and b_<read> (bad), missing -> 0.
+    contributes e_<read> (eligible) and b_<read> (bad), missing -> 0; a row without a key has none.
     """
-    first = reads[0].key
     keys = list(keys) + [ACCT]
-    base = (long.filter((F.col("read_key") == first)
-                        & F.col("bhvr_score").between(cfg.valid_min, cfg.valid_max))
-            .groupBy(*keys)
-            .agg(F.min(F.date_format(F.col(board_col), "yyyy-MM")).alias("board_month"),
-                 F.min("program_code").alias("program"), F.min("channel").alias("channel"),
-                 F.min("creditline").alias("cl"),
-                 F.min(F.bround(F.col("bhvr_score").cast("double"), 0).cast("int")).alias("score")))
-    flags = long.groupBy(*keys).agg(*[
-        agg for r in reads for agg in (
-            F.max(F.when(F.col("read_key") == r.key, F.coalesce(F.col("metric_eligible"), F.lit(0))))
-            .cast("int").alias(f"e_{r.key}"),
-            F.max(F.when(F.col("read_key") == r.key, F.coalesce(F.col("target"), F.lit(0))))
-            .cast("int").alias(f"b_{r.key}"))])
-    out = base.join(flags, keys, "left")
-    return out.select(*keys, "board_month", "score", "cl",
-                      F.coalesce("program", F.lit("")).alias("program"),
-                      F.coalesce("channel", F.lit("")).alias("channel"),
-                      *[F.coalesce(F.col(f"{p}_{r.key}"), F.lit(0)).alias(f"{p}_{r.key}")
-                        for r in reads for p in ("e", "b")])
+    is_base = (F.col("read_key") == reads[0].key) & F.col("bhvr_score").between(cfg.valid_min, cfg.valid_max)
+
+    def base(c: Column) -> Column:
+        return F.min(F.when(is_base, c))
+
+    def flag(r: Read, c: str) -> Column:
+        return F.max(F.when(F.col("read_key") == r.key, F.coalesce(F.col(c), F.lit(0)))).cast("int")
+
+    out = long.groupBy(*keys).agg(
+        F.max(F.when(is_base, 1)).alias("_base"),
+        base(F.date_format(F.col(board_col), "yyyy-MM")).alias("board_month"), base(F.col("program_code")).alias("program"),
+        base(F.col("channel")).alias("channel"), base(F.col("creditline")).alias("cl"),
+        base(F.bround(F.col("bhvr_score").cast("double"), 0).cast("int")).alias("score"),
+        *[flag(r, c).alias(f"{p}_{r.key}") for r in reads for p, c in (("e", "metric_eligible"), ("b", "target"))])
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    return out.filter(F.col("_base") == 1).select(
+        *keys, "board_month", "score", "cl", F.coalesce("program", F.lit("")).alias("program"),
+        F.coalesce("channel", F.lit("")).alias("channel"),
+        *[F.coalesce(F.when(keyed, F.col(f"{p}_{r.key}")), F.lit(0)).alias(f"{p}_{r.key}") for r in reads for p in ("e", "b")])
 
 
 def with_dataset(df: DataFrame, dataset_id, prism: str, population) -> DataFrame:
