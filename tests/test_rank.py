@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_CHECK
+from vintagekit.config import StudyConfig
 from vintagekit.operators import rank as R
+from vintagekit.plans import studio
 
 
 def frame(spark, scores, bads, group="g"):
@@ -110,3 +113,13 @@ def test_no_window_orders_a_whole_group(spark):
     plan = R.tie_aware_deciles(df, ["g"], "x", ranges=16)._jdf.queryExecution().optimizedPlan().toString()
     ordered = [line for line in plan.splitlines() if "Window" in line and "x#" in line.split("windowspecdefinition")[-1]]
     assert ordered and all("part#" in line for line in ordered)
+
+
+def test_overall_summary_reads_its_rows_once(spark):
+    cfg = StudyConfig()
+    rows = [("a", 700, 1, 1), ("a", 600, 1, None), ("a", 100, 1, 1), ("a", None, 1, 1), ("a", 650, 0, 1), ("a", 650, None, 1), ("b", 700, 0, 1), (None, 500, 1, 1)]
+    df = spark.createDataFrame(rows, "read_key string, bhvr_score int, metric_eligible int, target int")
+    out = R.overall_summary(R.eligible_pairs(df, cfg, mark="eligible"), ["read_key"])
+    assert {tuple(r) for r in out.collect()} == {("a", 6, 2, 1, 600, 700, 650.0, 0.5), ("b", 1, 0, 0, None, None, None, None), (None, 1, 1, 1, 500, 500, 500.0, 1.0)}
+    plan = studio.overall_summary(spark, SF_CHECK)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "reportingdate" in line for line in plan.splitlines()) == 1

@@ -30,10 +30,13 @@ def _w(groups: Sequence[str]):
 
 
 def eligible_pairs(df: DataFrame, cfg, target: str = "target", score: str = "bhvr_score",
-                   months: Sequence[str] | None = None, month_col: str = "vintage") -> DataFrame:
-    """Eligible, valid-score rows; null target counts as 0; optional month list."""
-    out = df.filter((F.coalesce(F.col("metric_eligible"), F.lit(0)) == 1)
-                    & F.col(score).between(cfg.valid_min, cfg.valid_max))
+                   months: Sequence[str] | None = None, month_col: str = "vintage", mark: str | None = None) -> DataFrame:
+    """Eligible, valid-score rows; null target counts as 0; optional month list. ``mark``: all rows stay, and a column of
+    this name says which are eligible."""
+    eligible = (F.coalesce(F.col("metric_eligible"), F.lit(0)) == 1) & F.col(score).between(cfg.valid_min, cfg.valid_max)
+    if mark:
+        eligible = F.coalesce(eligible, F.lit(False))
+    out = df.withColumn(mark, eligible) if mark else df.filter(eligible)
     if months:
         out = out.filter(F.date_format(F.col(month_col), "yyyy-MM").isin(list(months)))
     return out.withColumn("bad", F.coalesce(F.col(target), F.lit(0)).cast("int"))
@@ -343,17 +346,19 @@ def _bin_rates(g: DataFrame, groups: list[str], k: int) -> DataFrame:
             .withColumn("requested_deciles", F.lit(k)))
 
 
-def overall_summary(df: DataFrame, pairs: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score") -> DataFrame:
-    """Scored rows, eligible rows, bads, rate, score min/max/mean per group."""
+def overall_summary(marked: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score", mark: str = "eligible") -> DataFrame:
+    """Scored rows, eligible rows, bads, rate, score min/max/mean per group, from all rows in one pass; ``mark`` says
+    which are eligible (``eligible_pairs``)."""
     groups = list(groups)
-    total = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("total_scored_rows"))
-    el = pairs.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("eligible_rows"), F.sum(F.col("bad").cast("long")).alias("bads"),
-        F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.avg(score).alias("score_mean"))
-    out = _join(total, el, groups, "left")
-    return (out.withColumn("eligible_rows", F.coalesce("eligible_rows", F.lit(0)))
-            .withColumn("bads", F.coalesce("bads", F.lit(0)))
-            .withColumn("rate", safe_div("bads", "eligible_rows")))
+
+    def of_eligible(c: str) -> Column:
+        return F.when(F.col(mark), F.col(c))
+
+    out = marked.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("total_scored_rows"), F.count(F.when(F.col(mark), 1)).alias("eligible_rows"),
+        F.coalesce(F.sum(of_eligible("bad").cast("long")), F.lit(0)).alias("bads"),
+        F.min(of_eligible(score)).alias("score_min"), F.max(of_eligible(score)).alias("score_max"), F.avg(of_eligible(score)).alias("score_mean"))
+    return out.withColumn("rate", safe_div("bads", "eligible_rows"))
 
 
 def segment_tables(pairs: DataFrame, groups: Sequence[str] = (), score: str = "bhvr_score") -> DataFrame:

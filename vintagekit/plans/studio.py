@@ -385,8 +385,7 @@ def quantile_deciles(spark, sf_dir):
 
 def overall_summary(spark, sf_dir):
     s = inputs(spark, sf_dir)
-    cohort = s.cohort()
-    return R.overall_summary(cohort, R.eligible_pairs(cohort, s.cfg), ["read_key"])
+    return R.overall_summary(R.eligible_pairs(s.cohort(), s.cfg, mark="eligible"), ["read_key"])
 
 
 def segment_tables(spark, sf_dir):
@@ -558,7 +557,7 @@ def grouped_summary(spark, sf_dir):
     """R3 per benchmark credit-line group and read."""
     s = inputs(spark, sf_dir)
     bench = _benchmark(s)
-    return R.overall_summary(bench, R.eligible_pairs(bench, s.cfg), _BY_GROUP)
+    return R.overall_summary(R.eligible_pairs(bench, s.cfg, mark="eligible"), _BY_GROUP)
 
 
 def grouped_segments(spark, sf_dir):
