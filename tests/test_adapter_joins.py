@@ -83,6 +83,24 @@ def test_a_task_of_a_scan_reads_at_most_16_mb(spark):
     assert S.TASK_BYTES <= 16 << 20
 
 
+def test_indicators_travel_as_one_number(spark, no_broadcast):
+    lines = plan(TD.account_month_fact(spark, SF_CHECK)).splitlines()
+    last_join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert all(f"AS {c}" not in line for line in lines[last_join:] for c in ("activeaccountindicator", "chargeoffindicator", "dimbucketid", "esc"))
+
+
+def test_indicators_of_every_kind_of_line(spark, odd, tmp_path):
+    kinds = [(f, s, q, t) for f in ("N", "R", "A", None) for s in ("O", "F", None) for q in (1.0, 3.0, 4.0, 41.0, 46.0, None) for t in (0.0, 0.06, 0.07, None)]
+    rows = [(2, 11, 2, i, q, t, f, s, dt.datetime(1998, 2, 20)) for i, (f, s, q, t) in enumerate(kinds)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate timestamp").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.cardid - 20: tuple(r)[1:] for r in TD.account_month_fact(spark, odd).select(
+        "cardid", "activeaccountindicator", "chargeoffindicator", "dimbucketid", "esc").collect()}
+    assert got == {i: (0 if (f, s) == ("N", "O") else 1, 1 if (f, s) == ("R", "F") and q is not None and q <= 3 else 0,
+                       0 if q is None or q < 41 else 60 if q >= 46 else 30, None if t is None or t < 0.06 else "Z" if t >= 0.07 else " ")
+                   for i, (f, s, q, t) in enumerate(kinds)}
+
+
 def test_attributes_are_exchanged_before_they_are_made(spark, no_broadcast):
     mail = spark.createDataFrame([("7",), ("8",), (None,)], "ENCRYPTED_PIN string")
     text = plan(FE.append_attributes(mail, TD.bureau_attributes(spark, SF_CHECK), "TRM_BUREAU_A%"))
